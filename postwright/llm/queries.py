@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postwright.llm.chunks import op10_substring_dedup
 from postwright.llm.fingerprints import op4_fingerprints
+from postwright.llm.html_text import op9_html_extraction
 from postwright.llm.lines import OP1_SQL, op1_line_dedup
 from postwright.llm.mixing import OP3_SQL, op3_mixing
 from postwright.llm.ngram_join import op2_ngram_join
 from postwright.llm.packing import op5_packing
+from postwright.llm.quality_model import op8_quality_classifier
 from postwright.llm.quality_rules import OP6_SQL, op6_quality_rules
+from postwright.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
@@ -20,6 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
