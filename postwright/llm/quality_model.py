@@ -145,13 +145,13 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int = 3, rows: int = FIT
             got = [features(x, cache) for x in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "slots": [a for a, _ in got], "v": [b for _, b in got]})
 
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fitted(pdf):
         pdf = pdf.sort_values("doc_id", kind="stable")  # sums in one order
         w, cuts = fit(list(zip(pdf["grade"], pdf["slots"], pdf["v"], strict=True)), n_grades)
         return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "cuts": [cuts.tolist()]})
 
-    rows_ = t.join(sample, "doc_id").mapInPandas(extract, "doc_id bigint, grade int, slots array<int>, v array<float>")
-    model = rows_.groupBy(F.lit(1)).applyInPandas(lambda pdf: fitted(pdf), "w binary, cuts array<double>").collect()
+    rows_ = t.join(sample, "doc_id").mapInPandas(extract, "doc_id bigint, grade int, slots array<int>, v array<float>").withColumn("all", F.lit(1))
+    model = rows_.groupBy("all").applyInPandas(fitted, "w binary, cuts array<double>").collect()
     if not model:
         return np.zeros(DIM, dtype=np.float32), np.arange(n_grades - 1, dtype=float)
     return np.frombuffer(model[0]["w"], dtype=np.float32), np.array(model[0]["cuts"])

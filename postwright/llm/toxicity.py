@@ -2,8 +2,8 @@
 
 1. Token log-odds of toxic against clean training documents, under a Dirichlet
    prior in proportion to how often either kind has the token.
-2. A token scores its log-odds less a drift; what isn't in the lexicon costs
-   the drift. All maximal segments of a document come from one scan.
+2. A word scores the best log-odds of it and its stems, less a drift; a word that
+   the lexicon doesn't know costs the drift. All maximal segments of a document come from one scan.
 3. Segments get the E-value of the extreme-value law for maximal segments, with
    lambda solved for the clean tokens; a document's statistic sums its
    significant segments, and a logistic curve over the training documents
@@ -34,6 +34,10 @@ DRIFT = 0.2
 #: The bound of what the model is learnt from and of its size: training documents and lexicon tokens.
 TRAIN_ROWS = 200_000
 LEXICON = 50_000
+#: Stems of so many letters are tokens besides the word itself: inflected forms are too rare to be learnt one by one.
+STEMS = (4, 5, 6)
+#: Words of which a task remembers the score.
+MEMORY = 500_000
 #: K of the extreme-value law.
 EVD_K = 0.1
 #: Segments of a smaller E-value are significant passages.
@@ -55,6 +59,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def tokens_of(word: str) -> list[str]:
+    """A word and its stems, marked as such."""
+    return [word, *(word[:k] + "-" for k in STEMS if len(word) > k)]
+
+
 def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents of either kind that have a token, and how often clean ones use it."""
     seen: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
@@ -68,10 +77,13 @@ def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for y, text in zip(pdf["y"], pdf["text"], strict=True):
-            c = Counter(TOKEN.findall(text.lower()))
-            seen[0 if y else 1].update(c.keys())
+            uses: Counter = Counter()
+            for word, k in Counter(TOKEN.findall(text.lower())).items():
+                for token in tokens_of(word):
+                    uses[token] += k
+            seen[0 if y else 1].update(uses.keys())
             if not y:
-                seen[2].update(c)
+                seen[2].update(uses)
         if len(seen[0]) + len(seen[1]) > 500_000:
             yield flush()
     yield flush()
@@ -139,9 +151,18 @@ def maximal_segments(events: list[tuple[int, float]], drift: float = DRIFT) -> l
 
 
 def _scorer(scores: dict[str, float], rate: float):
+    memory: dict[str, float] = {}
+
+    def score(word: str) -> float:
+        """The best score of a word's tokens; 0 if the lexicon has none of them."""
+        if len(memory) >= MEMORY:
+            memory.clear()
+        memory[word] = best = max((scores.get(t, 0.0) for t in tokens_of(word)), default=0.0)
+        return best
+
     def statistic(text: str) -> tuple[float, list[tuple[int, int, float]]]:
         tokens = TOKEN.findall(text.lower())
-        events = [(i, scores[w]) for i, w in enumerate(tokens) if w in scores]
+        events = [(i, x) for i, w in enumerate(tokens) if (x := memory[w] if w in memory else score(w)) > 0]
         if not events:
             return -20.0, []
         length = math.log(EVD_K * max(len(tokens), 2))
