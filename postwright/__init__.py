@@ -1,0 +1,8 @@
+"""Postings, skills and matching as Spark jobs: DataFrame in, DataFrame out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the plan: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
