@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters with an accent and what they fold to, one for one.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -42,7 +43,7 @@ def alias_key(x: Column) -> Column:
     return F.trim(F.regexp_replace(fold(x), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def full_fold(s: pd.Series) -> pd.Series:
     """Casefold and NFKD without marks, for texts whose letters expand; offsets move."""
 
@@ -82,7 +83,7 @@ def clean(x: Column) -> Column:
     return optional(mend_mojibake(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_all(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", html.unescape(x)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,7 +121,7 @@ def job_types(title: Column, description: Column, contract: Column, is_remote: C
     for source, x in (("title", title), ("description", description)):
         x = alias_key(F.coalesce(x, F.lit("")))
         for value, p in JOB_TYPES:
-            parts.append(F.transform(F.regexp_extract_all(x, F.lit(f"(?U){p}"), F.lit(0)), lambda e, v=value, s=source: entry(v, s, e)))
+            parts.append(F.transform(F.regexp_extract_all(x, F.lit(f"(?U){p}"), F.lit(0)), partial(entry, value, source)))
     c = alias_key(F.coalesce(contract, F.lit("")))
     for value, token in CONTRACT_TYPES:
         parts.append(F.when(c.contains(token), F.array(entry(value, "metadata", contract))).otherwise(none))

@@ -104,3 +104,46 @@ def pii_queue(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         "action",
         F.when(F.col("emails") + F.col("phones") + F.col("addresses") >= 3, "remove").when(F.col("emails") + F.col("phones") + F.col("addresses") > 0, "redact").when(F.col("urls") > 0, "review").otherwise("keep"),
     )
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, tables: int = 16, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, group_id)`` of texts that are near another: minhash candidates, verified by exact Jaccard of word shingles.
+
+    Copies of equal shingle sets meet by their set; of a bucket that many different sets
+    share, each is compared with the bucket's first, and groups are what comparisons connect.
+    Candidates come from ``tables`` bands of two minhashes: a pair at the threshold is missed
+    with a chance of (1 - 0.64) ** 16, under one in ten million.
+    """
+    w = F.array_remove(F.split(text_key(F.coalesce(F.col(text), F.lit(""))), " "), "")
+    shingle = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda x, i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, words), " ")))
+    sets = docs.select(F.col(id_col).alias("doc_id"), w.alias("w")).where(F.size("w") > 0).select("doc_id", F.sort_array(F.array_distinct(shingle)).alias("s"))
+    sets = sets.select("doc_id", "s", F.xxhash64("s").alias("class")).cache()
+    leads = sets.groupBy("class").agg(F.min("doc_id").alias("lead"))
+    own = sets.join(leads, "class").where("doc_id = lead").select("class", "s")
+    low = lambda seed: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
+    bands = F.array(*[F.struct(F.lit(b).alias("b"), low(2 * b).alias("x"), low(2 * b + 1).alias("y")) for b in range(tables)])
+    at = own.select("class", F.explode(bands).alias("band"))
+    first = at.groupBy("band").agg(F.min("class").alias("first"))
+    pairs = at.join(first, "band").where("class <> first").select("class", "first").distinct()
+    both = pairs.join(own, "class").join(own.select(F.col("class").alias("first"), F.col("s").alias("t")), "first")
+    n = F.size(F.array_intersect("s", "t"))
+    links = both.where(n >= threshold * (F.size("s") + F.size("t") - n)).select("class", "first")
+    groups = _connected(links)
+    label = sets.join(leads, "class").join(groups, "class", "left").select("doc_id", F.coalesce("root", "class").alias("root"))
+    size = label.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
+    return label.join(size, "root").select("doc_id", "group_id")
+
+
+def _connected(links: DataFrame) -> DataFrame:
+    """``(class, root)`` by smallest labels along links, until none changes; each round is cut off by a checkpoint."""
+    spark = links.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/postwright-checkpoints"))
+    both = links.toDF("a", "b").union(links.select("first", "class")).distinct().checkpoint()
+    label = both.select(F.col("a").alias("class"), F.col("a").alias("root")).distinct()
+    while True:
+        near = both.join(label, both["b"] == label["class"]).groupBy("a").agg(F.min("root").alias("m"))
+        new = label.join(near, label["class"] == near["a"]).select("class", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved")).checkpoint()
+        label = new.select("class", "root")
+        if new.where("moved").isEmpty():
+            return label

@@ -235,7 +235,7 @@ def scored(candidates: DataFrame, profiles: DataFrame, jobs: DataFrame, mode: st
         + w["location"] * F.col("location.score")
     )
     d = d.withColumn("lexical_score", F.greatest(F.lit(0.0), weighted))
-    semantic = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("semantic_score")))
+    semantic = F.when(F.col("semantic_score").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("semantic_score"))))  # least skips nulls
     share = {"lexical": F.lit(1.0), "semantic": F.lit(0.0), "hybrid": F.lit(alpha) * F.col("p_confidence")}[mode]
     blended = F.when(semantic.isNull() | F.lit(mode == "lexical"), F.col("lexical_score")).otherwise(share * F.col("lexical_score") + (1 - share) * semantic)
     return d.withColumn("final_score", F.round(F.greatest(F.lit(0.0), blended - F.col("penalty_total")) * 100, 2))

@@ -67,53 +67,58 @@ def alias_table(skills: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All alias hits ``(doc_id, canonical, alias, alias_ord, start, end, evidence)`` that guards and policies pass.
 
-    Offsets are code points, half open. Texts are read once; only positions
-    that begin an alias are exploded, with no more than the longest alias's tokens.
+    Offsets are code points, half open. Tokens are exploded without the text and only
+    positions whose token begins an alias go on: they are what is dealt out, with each text
+    once. Runs, offsets and contexts are then cut from the text of each document in place.
     """
-    longest = aliases.agg(F.max("n_tokens").alias("n"), F.count("*").alias("rows")).first()
-    n, small = longest["n"] or 1, longest["rows"] <= BROADCAST_ALIASES
+    small = aliases.count() <= BROADCAST_ALIASES
     held = F.broadcast(aliases) if small else aliases
-    starts = aliases.select(F.col("first_token").alias("token"), "n_tokens").groupBy("token").agg(F.sort_array(F.collect_set("n_tokens")).alias("lengths"))
+    starts = aliases.groupBy(F.col("first_token").alias("token")).agg(F.sort_array(F.collect_set("n_tokens")).alias("lengths"))
     starts = F.broadcast(starts) if small else starts
-    folded = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), fold(F.col(f"`{text}`")).alias("folded"))
-    tokens = folded.withColumn("tokens", F.regexp_extract_all("folded", F.lit(TOKENS), F.lit(0)))
-    each = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    line = Window.partitionBy("doc_id").orderBy("pos")
-    ahead = [F.lead("token", k).over(line) for k in range(1, n)]
-    shown = each.withColumn("start", F.sum(F.char_length("token")).over(line) - F.char_length("token")).withColumn(
-        "run", F.transform(F.array(F.col("token"), *ahead), lambda t: F.when(t.rlike(r"(?U)^\s+$"), " ").otherwise(t))
-    ).withColumn("sizes", F.transform(F.array(F.col("token"), *ahead), lambda t: F.char_length(t)))
-    runs = (
-        shown.join(starts, "token")
-        .select("doc_id", "start", F.explode("lengths").alias("n_tokens"), "run", "sizes")
-        .select(
-            "doc_id",
-            "start",
-            "n_tokens",
-            F.array_join(F.slice("run", F.lit(1), F.col("n_tokens")), "").alias("key"),
-            F.aggregate(F.slice("sizes", F.lit(1), F.col("n_tokens")), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("size"),
-        )
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    tokens = F.regexp_extract_all(fold(F.col("text")), F.lit(TOKENS), F.lit(0))
+    at = own.select("doc_id", F.posexplode(tokens).alias("pos", "token")).join(starts, "token").select("doc_id", "pos", F.explode("lengths").alias("n"))
+    at = at.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
+    d = own.join(at, "doc_id").withColumn("folded", fold(F.col("text")))
+    d = d.withColumn("tokens", F.regexp_extract_all("folded", F.lit(TOKENS), F.lit(0)))
+    blank = lambda t: F.when(t.rlike(r"(?U)^\s+$"), " ").otherwise(t)
+    length = lambda first, n: F.char_length(F.array_join(F.slice("tokens", first, n), ""))
+    placed = F.transform(
+        "at",
+        lambda p: F.struct(
+            F.array_join(F.transform(F.slice("tokens", p["pos"] + 1, p["n"]), blank), "").alias("key"),
+            p["n"].alias("n_tokens"),
+            length(F.lit(1), p["pos"]).alias("start"),
+            length(p["pos"] + 1, p["n"]).alias("size"),
+        ),
     )
-    found = runs.join(held, ["key", "n_tokens"]).withColumn("end", (F.col("start") + F.col("size")))
-    found = found.join(folded, "doc_id")
-    at = lambda k: F.substring("folded", k.cast("int"), F.lit(1))
-    before_char = F.when(F.col("start") > 0, at(F.col("start"))).otherwise("")
-    after_char = at(F.col("end") + 1)
-    evidence = F.substring("text", (F.col("start") + 1).cast("int"), F.col("size").cast("int"))
+    cut = lambda c, first, n: F.substring(c, first.cast("int"), n.cast("int"))
+    near = lambda x: F.least(x["start"], F.lit(CONTEXT))
+    with_context = F.transform(
+        "placed",
+        lambda x: F.struct(
+            x["key"].alias("key"),
+            x["n_tokens"].alias("n_tokens"),
+            x["start"].alias("start"),
+            (x["start"] + x["size"]).alias("end"),
+            cut("text", x["start"] + 1, x["size"]).alias("evidence"),
+            cut("folded", x["start"] - near(x) + 1, near(x)).alias("before"),
+            cut("folded", x["start"] + x["size"] + 1, F.lit(CONTEXT)).alias("after"),
+        ),
+    )
+    found = d.withColumn("placed", placed).select("doc_id", F.explode(with_context).alias("x")).select("doc_id", "x.*").join(held, ["key", "n_tokens"])
+    before_char, after_char = F.right("before", F.lit(1)), F.substring("after", 1, 1)
     word = lambda c: c.rlike(r"(?U)^\w$")
     beside = lambda c: (c == "") | F.lit(NEIGHBOURS).contains(c)
-    lower = evidence == F.lower(evidence)
-    near_from = F.greatest(F.col("start") - CONTEXT, F.lit(0))
-    before = F.substring("folded", (near_from + 1).cast("int"), (F.col("start") - near_from).cast("int"))
-    after = F.substring("folded", (F.col("end") + 1).cast("int"), F.lit(CONTEXT))
+    lower = F.col("evidence") == F.lower("evidence")
     ok = (
         ~word(before_char)
         & ~word(after_char)
         & (~F.col("is_short") | (beside(before_char) & beside(after_char) & ~(F.col("is_alphabetic") & lower)))
-        & (F.col("terms").isNull() | (~lower & F.exists("terms", lambda t: before.contains(t) | after.contains(t))))
-        & (~F.col("is_chef") | (~after.rlike(CHEF_AFTER) & ~before.rlike(CHEF_BEFORE)))
+        & (F.col("terms").isNull() | (~lower & F.exists("terms", lambda t: F.col("before").contains(t) | F.col("after").contains(t))))
+        & (~F.col("is_chef") | (~F.col("after").rlike(CHEF_AFTER) & ~F.col("before").rlike(CHEF_BEFORE)))
     )
-    return found.where(ok).select("doc_id", "canonical", "alias", "alias_ord", F.col("start").cast("int"), F.col("end").cast("int"), evidence.alias("evidence"))
+    return found.where(ok).select("doc_id", "canonical", "alias", "alias_ord", "start", "end", "evidence")
 
 
 def matches(docs: DataFrame, skills: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

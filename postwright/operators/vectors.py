@@ -157,7 +157,9 @@ def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, tables:
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    form = lambda d, i: d.select(F.col(i), array_to_vector(F.transform(unit(F.col(column)), lambda x: x.cast("double"))).alias("v"))
+    any_ = vectors.where(norm(F.col(column)) > 0).select(F.size(column)).first()
+    dim = any_[0] if any_ else 1  # rows that are filtered out may still be hashed: they need the right size
+    form = lambda d, i: d.select(F.col(i), array_to_vector(F.coalesce(unit(F.col(column)), F.array_repeat(F.lit(0.0), dim))).alias("v"))
     base = form(vectors.where(norm(F.col(column)) > 0), vector_id)
     asked = form(queries.where(norm(F.col(column)) > 0), query_id)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(base)

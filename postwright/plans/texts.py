@@ -1 +1,478 @@
+"""Queries over texts, vectors and questions, with their SQL where it can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postwright.functions import text as T
+from postwright.operators import analytics as A
+from postwright.operators import attributes, audit, curation, enrich, guards, matching, ontology, parse, resumes, skillmatch
+from postwright.operators import vectors as V
+from postwright.plans import roles as R
+from postwright.sources import boards, exports
+
 QUERIES, SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+#: A small ontology of words that the given texts use.
+WORDS = [
+    ("Tion", "language", ["the tion", "tion"], None),
+    ("Edges", "framework", ["edges", "eding the"], "Tion"),
+    ("Andor", "database", ["andor", "of and", "and of the"], None),
+    ("Onthe", "cloud", ["onthe"], "Edges"),
+    ("Der und", "soft", ["der und", "und der"], None),
+    ("De la", "other", ["de la", "de la de"], None),
+    ("Que el", "data", ["que el", "el que"], None),
+    ("Rest in", "ml_ai", ["rest in", "in rest"], "Andor"),
+]
+_SKILLS = "canonical string, category string, aliases array<string>, parent string"
+
+
+def words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(WORDS, _SKILLS)
+
+
+def _aliases() -> str:
+    rows = [(c, a.lower(), k) for c, _, aliases, _ in WORDS for k, a in enumerate([c, *aliases])]
+    return "(VALUES " + ", ".join(f"('{c}', '{a}', {k})" for c, a, k in rows) + ") a(canonical, alias, ord)"
+
+
+# Blanks are what separates the words of an alias, letters and digits what must not touch it.
+_HITS = f"""t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')),
+h AS (SELECT doc_id, canonical, alias, ord, (regexp_extract_all(' ' || t || ' ', '[^a-z0-9_]' || replace(alias, ' ', '\\s+') || '[^a-z0-9_]'))[1] AS hit, t FROM t, {_aliases()}),
+f AS (SELECT doc_id, canonical, alias, ord, instr(' ' || t || ' ', hit) - 1 AS start, length(hit) - 2 AS size FROM h WHERE hit IS NOT NULL)"""
+
+
+def _ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
+
+
+@query("dictionary_match", f"""WITH {_HITS} SELECT doc_id, canonical, alias, start, start + size AS "end" FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, canonical ORDER BY ord, start) = 1""")
+def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = skillmatch.matches(_ascii_documents(spark, sf_dir), words(spark))
+    return m.select("doc_id", "canonical", F.lower("alias").alias("alias"), F.col("start").cast("long"), F.col("end").cast("long"))
+
+
+@query("dictionary_match_all")
+def dictionary_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, accented ones as well."""
+    return skillmatch.matches(R.table(spark, sf_dir, "documents"), words(spark))
+
+
+@query("posting_matches")
+def posting_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skillmatch.posting_matches(R.postings(spark, sf_dir), words(spark))[0]
+
+
+@query("match_failures")
+def match_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skillmatch.posting_matches(R.postings(spark, sf_dir), words(spark))[1]
+
+
+@query("matcher_ledger")
+def matcher_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = R.postings(spark, sf_dir)
+    found, failed = skillmatch.posting_matches(jobs, words(spark))
+    return enrich.ledger(1, jobs, found, failed)
+
+
+@query("evidence_integrity", f"""WITH {R.POSTINGS_SQL}, e AS (SELECT job_id, CASE job_id % 5 WHEN 0 THEN 'title' WHEN 4 THEN 'body' ELSE 'description' END AS evidence_field, job_id % 3 - 1 AS start, job_id % 3 + 9 AS stop,
+  CASE WHEN job_id % 2 = 0 THEN substr(description, CAST(job_id % 3 AS INTEGER), 10) ELSE 'other' END AS evidence, title, description FROM postings),
+c AS (SELECT *, CASE evidence_field WHEN 'title' THEN title WHEN 'description' THEN description END AS field FROM e),
+v AS (SELECT job_id AS row_id, CASE WHEN evidence_field = 'body' THEN 'invalid_evidence_field' WHEN start < 0 THEN 'invalid_offsets' WHEN stop > length(field) THEN 'offset_out_of_range' END AS first_,
+  CASE WHEN evidence_field <> 'body' AND start >= 0 AND stop <= length(field) AND substr(field, CAST(start + 1 AS INTEGER), 10) IS DISTINCT FROM evidence THEN 'evidence_text_mismatch' END AS second_,
+  CASE WHEN evidence_field <> 'body' AND start >= 0 AND stop <= length(field) AND lower(regexp_replace(evidence, '\\s+', ' ', 'g')) <> 'other' THEN 'matched_alias_mismatch' END AS third_ FROM c)
+SELECT row_id, violation FROM (SELECT row_id, first_ AS violation FROM v UNION ALL SELECT row_id, second_ FROM v UNION ALL SELECT row_id, third_ FROM v) WHERE violation IS NOT NULL""")
+def evidence_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.postings(spark, sf_dir)
+    found = p.selectExpr(
+        "job_id AS row_id", "1 AS run_id", "job_id", "'s' AS skill", "'matcher' AS method", "'other' AS alias",
+        "CASE job_id % 5 WHEN 0 THEN 'title' WHEN 4 THEN 'body' ELSE 'description' END AS evidence_field", "job_id % 3 - 1 AS start", "job_id % 3 + 9 AS end",
+        "CASE WHEN job_id % 2 = 0 THEN CASE WHEN job_id % 3 = 0 THEN substring(description, 1, 9) ELSE substring(description, int(job_id % 3), 10) END ELSE 'other' END AS evidence",
+    )
+    return audit.evidence_violations(found, p.select("job_id", "title", "description"), spark.range(1).selectExpr("'s' AS skill"))
+
+
+@query("ambiguous_review")
+def ambiguous_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = R.table(spark, sf_dir, "documents")
+    short = spark.createDataFrame([("In", "other", ["in", "is"], None), ("Le", "other", ["le", "la"], None)], _SKILLS)
+    found = skillmatch.matches(docs, short).withColumnRenamed("doc_id", "job_id")
+    return audit.ambiguous_review(found, docs.select(F.col("doc_id").alias("job_id"), "text"))
+
+
+@query("excerpts", "SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 320) AS excerpt FROM documents")
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "documents").select("doc_id", audit.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("alias_conflicts", """WITH i AS (SELECT p_type AS canonical, lower(p_name) AS folded FROM part) SELECT folded, count(DISTINCT canonical) AS claims, list_aggregate(list_sort(list_distinct(list(canonical))), 'string_agg', ',') AS canonicals FROM i GROUP BY folded HAVING count(DISTINCT canonical) > 1""")
+def alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.table(spark, sf_dir, "part").select(F.col("p_type").alias("canonical"), F.array("p_name").alias("aliases"))
+    i = ontology.alias_index(p).where("alias_ord > 0")
+    return ontology.alias_conflicts(i).withColumn("canonicals", F.array_join("canonicals", ","))
+
+
+@query("ontology_violations", """WITH s AS (SELECT p_name AS canonical, p_type AS category, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS parent FROM part)
+SELECT canonical, 'duplicate' AS problem FROM s GROUP BY canonical HAVING count(*) > 1 UNION ALL SELECT canonical, 'unknown_category' FROM s WHERE category NOT IN ('ECONOMY', 'SMALL')
+UNION ALL SELECT canonical, 'unknown_parent' FROM s WHERE parent IS NOT NULL AND parent NOT IN (SELECT canonical FROM s)""")
+def ontology_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = R.table(spark, sf_dir, "part").selectExpr("p_name AS canonical", "p_type AS category", "CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS parent")
+    return ontology.violations(s, ["ECONOMY", "SMALL"])
+
+
+@query("alias_resolution", """SELECT e.event_id, p.p_type AS canonical FROM events e LEFT JOIN (SELECT DISTINCT lower(event_type) AS f, CASE WHEN event_type IN ('view', 'click') THEN 'Interest' ELSE 'Action' END AS p_type FROM events WHERE event_type <> 'error') p ON lower(trim(e.event_type)) = p.f""")
+def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.table(spark, sf_dir, "events")
+    s = e.where("event_type <> 'error'").select(F.when(F.col("event_type").isin("view", "click"), "Interest").otherwise("Action").alias("canonical"), F.upper("event_type").alias("a")).groupBy("canonical").agg(F.collect_set("a").alias("aliases"))
+    raw = e.select("event_id", F.concat(F.lit(" "), F.initcap("event_type"), F.lit(" ")).alias("raw"))
+    return ontology.resolve(raw, "raw", ontology.alias_index(s)).select("event_id", "canonical")
+
+
+@query("ontology_version")
+def ontology_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("canonical")).agg(F.min("p_type").alias("category"), F.collect_set("p_brand").alias("aliases"))
+    return ontology.version(p.withColumn("parent", F.lit(None).cast("string")))
+
+
+@query("ontology_sync", """WITH a AS (SELECT p_partkey AS k, p_name || ' ' || p_partkey AS canonical, p_type AS category FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_name || ' ' || p_partkey AS canonical, CASE WHEN p_partkey % 7 = 0 THEN 'old' ELSE p_type END AS category FROM part WHERE p_partkey % 3 <> 0)
+SELECT coalesce(a.canonical, b.canonical) AS canonical, CASE WHEN b.canonical IS NULL THEN 'insert' WHEN a.canonical IS NULL THEN 'extra' WHEN a.category <> b.category THEN 'update' ELSE 'keep' END AS action FROM a FULL JOIN b ON a.canonical = b.canonical""")
+def ontology_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_name || ' ' || p_partkey AS canonical", "p_type AS category", "cast(null AS string) AS parent")
+    old = p.where("k % 3 <> 0").withColumn("category", F.when(F.col("k") % 7 == 0, "old").otherwise(F.col("category")))
+    return ontology.sync_plan(p.where("k % 5 <> 0"), old)
+
+
+@query("ontology_out_of_sync", """SELECT p_name || ' ' || p_partkey AS canonical, CASE WHEN p_partkey % 3 = 0 THEN 'ontology' ELSE 'table' END AS side FROM part WHERE (p_partkey % 5 <> 0) <> (p_partkey % 3 <> 0)""")
+def ontology_out_of_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_name || ' ' || p_partkey AS canonical")
+    return enrich.out_of_sync(p.where("k % 5 <> 0"), p.where("k % 3 <> 0"))
+
+
+@query("skill_parents", """SELECT a.p_partkey AS skill_id, coalesce(b.p_partkey, -1) AS parent_id FROM part a LEFT JOIN part b ON b.p_partkey = CASE WHEN a.p_partkey % 4 = 0 THEN a.p_partkey // 2 END""")
+def skill_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.table(spark, sf_dir, "part").selectExpr("p_partkey AS skill_id", "cast(p_partkey AS string) AS canonical", "CASE WHEN p_partkey % 4 = 0 THEN cast(p_partkey div 2 AS string) END AS parent")
+    return ontology.with_parent_ids(p).select("skill_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+
+
+@query("skill_buckets", """WITH b AS (SELECT DISTINCT l_suppkey AS profile_id, p_brand AS canonical, CASE CAST(substr(p_brand, 7) AS INTEGER) % 5 WHEN 0 THEN 'language' WHEN 1 THEN 'database' WHEN 2 THEN 'framework' WHEN 3 THEN 'cloud' ELSE 'soft' END AS category FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT profile_id, string_agg(canonical, ',' ORDER BY canonical) FILTER (WHERE category = 'language') AS language, string_agg(canonical, ',' ORDER BY canonical) FILTER (WHERE category = 'database') AS database,
+ string_agg(canonical, ',' ORDER BY canonical) FILTER (WHERE category = 'framework') AS framework, string_agg(canonical, ',' ORDER BY canonical) FILTER (WHERE category = 'cloud') AS cloud FROM b GROUP BY profile_id""")
+def skill_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, p = R.table(spark, sf_dir, "lineitem"), R.table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("language", "database", "framework", "cloud", "soft")]), (F.substring("p_brand", 7, 3).cast("int") % 5 + 1))
+    s = p.select(F.col("p_brand").alias("canonical"), kind.alias("category")).distinct()
+    ps = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("profile_id"), F.col("p_brand").alias("canonical")).distinct()
+    b = ontology.buckets(ps, s)
+    return b.select("profile_id", *[F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ontology.BUCKETS])
+
+
+@query("html_to_text", r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<\s*/?\s*(p|div|br|li|h[1-6]|tr|table|section|article)\b[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages WHERE regexp_full_match(html, '[ -~\n]*') AND instr(html, '&') = 0)
+SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM p""")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without entities and accents, which SQL can follow; ``html_to_text_all`` has the others too."""
+    p = R.table(spark, sf_dir, "pages").where(F.col("html").rlike(r"^[ -~\n]*$") & ~F.col("html").contains("&"))
+    return p.select("page_id", T.plain_text(F.col("html")).alias("text"))
+
+
+@query("html_to_text_all")
+def html_to_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
+
+
+@query("mojibake")
+def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text read once more as Latin-1 where that can be, and mended."""
+    d = R.table(spark, sf_dir, "documents")
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return d.select("doc_id", F.md5(T.mend_mojibake(broken).cast("binary")).alias("mended_md5"), (T.mend_mojibake(F.col("text")) == F.col("text")).alias("untouched"))
+
+
+SQL["mojibake"] = "SELECT doc_id, md5(text) AS mended_md5, true AS untouched FROM documents"
+
+
+@query("board_payloads")
+def board_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents wrapped as payloads of three boards, parsed again."""
+    return parse.parse(_payloads(spark, sf_dir))[0]
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = R.postings(spark, sf_dir)
+    k = F.col("job_id") % 3
+    adzuna = F.to_json(F.struct(
+        F.col("job_id").alias("id"), F.when(F.col("job_id") % 10 != 0, F.col("title")).alias("title"), F.col("description"),
+        F.struct(F.col("source").alias("display_name")).alias("company"),
+        F.struct(F.lit("Paris, France").alias("display_name"), F.array(F.lit("France"), F.lit("Paris")).alias("area")).alias("location"),
+        (F.col("job_id") * 100).alias("salary_min"), F.lit("1").alias("salary_is_predicted"), F.lit("full_time").alias("contract_time"), F.lit("2024-03-01T10:00:00Z").alias("created")))
+    remote = F.to_json(F.struct(F.col("job_id").alias("id"), F.col("title").alias("position"), F.col("source").alias("company"), F.col("description"), F.lit("80,000").alias("salary_min"), F.lit("1710000000").alias("epoch")))
+    jooble = F.to_json(F.struct(F.col("title"), F.col("source").alias("company"), F.lit("Berlin, Germany").alias("location"), F.col("description").alias("snippet"), F.lit("€70,000 - €90,000").alias("salary"), F.lit("Full-time").alias("type"), F.lit("2024-03-01T10:00:00").alias("updated"), F.concat(F.lit("http://x/"), F.col("job_id")).alias("link")))
+    return d.select(
+        F.col("job_id").alias("raw_job_id"), F.when(k == 0, "adzuna").when(k == 1, "remoteok").otherwise("jooble").alias("source"), F.col("job_id").cast("string").alias("source_id"),
+        F.when(k == 0, adzuna).when(k == 1, remote).otherwise(jooble).alias("payload"),
+    )
+
+
+@query("parse_summary", f"""WITH {R.POSTINGS_SQL}, p AS (SELECT CASE job_id % 3 WHEN 0 THEN 'adzuna' WHEN 1 THEN 'remoteok' ELSE 'jooble' END AS source, trim(title) <> '' AND (job_id % 3 <> 0 OR job_id % 10 <> 0) AS ok FROM postings)
+SELECT source, count(*) FILTER (WHERE ok) AS parsed_count, count(*) FILTER (WHERE NOT ok) AS failed_count FROM p GROUP BY source""")
+def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.parse_summary(*parse.parse(_payloads(spark, sf_dir)))
+
+
+@query("parsed_values", f"""WITH {R.POSTINGS_SQL} SELECT job_id AS raw_job_id, CASE job_id % 3 WHEN 0 THEN 'fr' WHEN 2 THEN 'de' END AS country, CASE job_id % 3 WHEN 0 THEN 'Paris' WHEN 2 THEN 'Berlin' END AS city,
+  CASE job_id % 3 WHEN 0 THEN job_id * 100.0 WHEN 1 THEN 80000.0 ELSE 70000.0 END AS salary_min, CASE job_id % 3 WHEN 0 THEN job_id * 100.0 WHEN 1 THEN 80000.0 ELSE 90000.0 END AS salary_max,
+  CASE job_id % 3 WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' END AS salary_currency, CASE WHEN job_id % 3 <> 1 THEN 'full_time' END AS contract_type, job_id % 3 = 0 AS salary_is_predicted,
+  CASE WHEN job_id % 3 = 1 THEN TIMESTAMP '2024-03-09 16:00:00' ELSE TIMESTAMP '2024-03-01 10:00:00' END AS posted_at
+FROM postings WHERE trim(title) <> '' AND (job_id % 3 <> 0 OR job_id % 10 <> 0)""")
+def parsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parse.parse(_payloads(spark, sf_dir))[0]
+    return p.select("raw_job_id", "country", "city", "salary_min", "salary_max", "salary_currency", "contract_type", "salary_is_predicted", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
+
+
+@query("board_pages", """SELECT source, source_id FROM (SELECT 'adzuna' AS source, CAST(user_id AS VARCHAR) AS source_id, event_id FROM events UNION ALL SELECT 'jooble', sha256('http://x/' || event_id), event_id FROM events)""")
+def board_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.table(spark, sf_dir, "events")
+    a = e.select(F.to_json(F.struct(F.array(F.struct(F.col("user_id").alias("id")), F.struct(F.lit(None).cast("long").alias("id"))).alias("results"))).alias("page"))
+    j = e.select(F.to_json(F.struct(F.array(F.struct(F.lit(" ").alias("id"), F.concat(F.lit(" http://x/"), F.col("event_id")).alias("link")), F.struct(F.lit("").alias("id"), F.lit(" ").alias("link"))).alias("jobs"))).alias("page"))
+    return boards.adzuna_rows(a).union(boards.jooble_rows(j)[0]).select("source", "source_id")
+
+
+@query("report_json", """SELECT '{"n":' || count(*) || ',"source":"' || source || '"}' AS report FROM documents GROUP BY source""")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.report_json(R.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")))
+
+
+_UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))))"
+
+
+@query("vector_norms", "SELECT vec_id, len(embedding) = 64 AS valid, round(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y))), 4) AS norm FROM embeddings")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", V.is_valid(F.col("embedding"), 64).alias("valid"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query("knn_exact", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS c FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(greatest(0, least(1, c)), 5) AS score, rank FROM r WHERE rank <= 10""")
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 100, against all rows."""
+    e = R.table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.nearest(q, e, 10).withColumn("score", F.round("score", 5))
+
+
+@query("knn_approximate")
+def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.approximate_nearest(q, e, 10, tables=8, width=2.0)
+
+
+@query("pending_vectors", f"""WITH {R.JOBS_SQL}, {R.JOB_SKILLS_SQL}, {R.LEDGER_SQL} SELECT l.job_id FROM ledger l LEFT JOIN embeddings e ON l.job_id = e.vec_id WHERE l.status = 'success' AND (e.vec_id IS NULL OR e.label <> 3)""")
+def pending_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = R.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("job_id"), F.lit("m").alias("model"), F.col("label").cast("string").alias("version"), "embedding")
+    return V.pending(R.ledger(spark, sf_dir), v, "m", "3")
+
+
+@query("job_texts")
+def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.postings(spark, sf_dir)
+    none = F.expr("cast(array() as array<string>)")
+    t = V.job_text(F.col("title"), F.lit("unknown"), F.array("source"), none, F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("description"))
+    return p.select("job_id", t.alias("text"))
+
+
+@query("encoded_texts")
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.encode(_texts(spark, sf_dir), V.hashed_words).select("job_id", F.round(V.norm(F.col("embedding")), 3).alias("norm"), "error")
+
+
+@query("job_attributes")
+def job_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.jobs(spark, sf_dir)
+    none = F.expr("cast(array() as array<string>)")
+    a = attributes.job_attributes(F.col("title"), F.concat(F.lit("We ask for 3 to 5 years, remote. "), F.col("contract_type")), F.col("contract_type"), F.lit(None).cast("boolean"), F.col("country"), F.lit(None).cast("string"), none)
+    return p.select("job_id", a.alias("a")).select("job_id", "a.*")
+
+
+@query("job_levels", f"""WITH {R.JOBS_SQL} SELECT job_id, CASE substr(contract_type, 1, 1) WHEN '1' THEN 'senior' WHEN '2' THEN 'junior' WHEN '3' THEN 'lead' WHEN '4' THEN 'consultant' ELSE 'internship' END AS career_level,
+  2.5 AS low, 4.0 AS high, CASE substr(contract_type, 1, 1) WHEN '5' THEN 'Backend,Cloud' WHEN '1' THEN 'Cloud,Data Engineering' WHEN '2' THEN 'Cloud,Data Science' WHEN '3' THEN 'Cloud,Software Engineering' ELSE 'Cloud' END AS domains, 'hybrid' AS remote_mode FROM jobs""")
+def job_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.jobs(spark, sf_dir)
+    none = F.expr("cast(array() as array<string>)")
+    a = attributes.job_attributes(F.col("title"), F.lit("From 2,5 to 4 years on AWS, hybride or télétravail."), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.col("country"), F.lit(None).cast("string"), none)
+    return p.select("job_id", a.alias("a")).select("job_id", "a.career_level", F.col("a.experience_min_years").alias("low"), F.col("a.experience_max_years").alias("high"), F.array_join("a.domains", ",").alias("domains"), "a.remote_mode")
+
+
+@query("stale_jobs", f"""WITH {R.JOBS_SQL} SELECT job_id, CAST(floor(epoch(TIMESTAMP '2000-01-01 12:00:00' - posted_at) / 86400) AS BIGINT) AS days, floor(epoch(TIMESTAMP '2000-01-01 12:00:00' - posted_at) / 86400) >= 120 AS stale FROM jobs""")
+def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, posted = F.lit("2000-01-01 12:00:00").cast("timestamp"), F.col("posted_at").cast("timestamp")
+    return R.jobs(spark, sf_dir).select("job_id", attributes.elapsed_days(posted, at).alias("days"), attributes.is_stale(posted, at).alias("stale"))
+
+
+@query("job_cards", f"""WITH {R.JOBS_SQL} SELECT job_id, title, company_name AS company, coalesce(upper(country), 'not given') AS location, 'not given' AS remote FROM jobs""")
+def job_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = attributes.job_card(F.col("title"), F.col("company_name"), F.lit(None).cast("string"), F.col("country"), F.col("salary_min"), F.col("salary_max"), F.col("salary_currency"), F.col("salary_period"), F.lit(None).cast("boolean"))
+    return R.jobs(spark, sf_dir).select("job_id", c.alias("c")).select("job_id", "c.title", "c.company", "c.location", "c.remote")
+
+
+@query("hit_details")
+def hit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = V.nearest(q, e, 5).withColumnRenamed("vec_id", "job_id")
+    js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").cast("string").alias("skill"))
+    return matching.hit_details(hits, R.postings(spark, sf_dir).select("job_id", "title", "description"), js)
+
+
+@query("question_routes")
+def question_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = R.table(spark, sf_dir, "conversations").where("role = 'user'")
+    asked = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("How many jobs: ", "What is the average salary, ", "Most common skills? ", "Upload my cv: ", "")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int")), F.col("text"))
+    return c.select("conv_id", "turn", guards.route(asked).alias("route"), guards.topic(asked).alias("topic"), guards.intent(asked, F.lit(None).cast("string")).alias("intent"))
+
+
+SQL["question_routes"] = """WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE k WHEN 3 THEN 'platform' WHEN 4 THEN 'unresolved' ELSE 'sql' END AS route, CASE WHEN k = 3 THEN 'cv_upload' END AS topic, CASE k WHEN 1 THEN 'avg_salary' WHEN 2 THEN 'top_skills' ELSE 'job_count' END AS intent FROM c"""
+
+
+@query("guarded_candidates", f"""WITH {_HITS}, m AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, canonical ORDER BY ord, start) = 1)
+SELECT doc_id, canonical, CASE (doc_id + length(canonical)) % 6 WHEN 0 THEN 'rejected_unsupported_fact_type' WHEN 1 THEN 'rejected_confidence' WHEN 2 THEN 'rejected_invalid_offset' WHEN 3 THEN 'rejected_no_evidence' ELSE 'accepted' END AS status FROM m""")
+def guarded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _ascii_documents(spark, sf_dir)
+    k = (F.col("doc_id") + F.char_length("canonical")) % 6
+    c = skillmatch.matches(docs, words(spark)).select(
+        F.xxhash64("doc_id", "canonical").alias("cand_id"), "doc_id", F.when(k == 0, "title").otherwise("skill").alias("fact_type"), F.when(k == 1, 1.5).otherwise(0.9).alias("confidence"), "canonical",
+        F.lit(None).cast("long").alias("skill_id"), F.when(k == 2, -1).otherwise(F.col("start")).alias("start"), "end", F.when(k == 3, "§").otherwise(F.col("evidence")).alias("quote"), F.lit(1).alias("page"),
+    )
+    s = words(spark).select("canonical", F.xxhash64("canonical").alias("skill_id"))
+    known = c.where("false").select("doc_id", "canonical")
+    return guards.judged_candidates(c, docs.select("doc_id", "text", F.lit(1).alias("n_pages")), s, known).select("doc_id", "canonical", "status")
+
+
+@query("rewrite_guard", """SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'new_number' WHEN 1 THEN 'ungrounded_skill' WHEN 2 THEN 'other_employer' ELSE 'kept' END AS verdict FROM benchmark""")
+def rewrite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, k = R.table(spark, sf_dir, "benchmark"), F.col("item_id") % 4
+    new = F.concat("text", F.when(k == 0, " 987654").when(k == 2, " at ACME Corp").otherwise(""))
+    none = F.expr("cast(array() as array<string>)")
+    v = guards.rewrite_verdict(F.col("text"), new, F.when(k == 1, F.array(F.lit("Python"))).otherwise(none), none, F.array(F.lit("SQL")), F.array(F.lit("Acme Corp")))
+    return b.select("item_id", v.alias("verdict"))
+
+
+@query("spelling_guard", """SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'no_change' WHEN 1 THEN 'changed_number' WHEN 2 THEN 'rewrite' ELSE 'kept' END AS verdict FROM benchmark""")
+def spelling_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, k = R.table(spark, sf_dir, "benchmark"), F.col("item_id") % 4
+    new = F.when(k == 0, F.concat(F.lit("  "), "text")).when(k == 1, F.concat("text", F.lit(" 12"))).when(k == 2, F.concat_ws(" ", "text", "text")).otherwise(F.concat("text", F.lit("s")))
+    none = F.expr("cast(array() as array<string>)")
+    return b.select("item_id", guards.spelling_verdict(F.col("text"), new, none, none).alias("verdict"))
+
+
+@query("stratified_sample", """WITH k AS (SELECT doc_id, source, lang, length(text) AS n FROM documents), own AS (SELECT * FROM k WHERE source = 'src0'),
+a AS (SELECT doc_id FROM own WHERE lang IN ('nl', 'it') ORDER BY sha256('20260725:' || doc_id), doc_id LIMIT 7), b AS (SELECT doc_id FROM own WHERE lang NOT IN ('nl', 'it') ORDER BY sha256('20260726:' || doc_id), doc_id LIMIT 7),
+c AS (SELECT doc_id FROM k WHERE n >= 1500 AND doc_id NOT IN (SELECT doc_id FROM b) ORDER BY sha256('20260727:' || doc_id), doc_id LIMIT 3)
+SELECT doc_id AS job_id, 'truncated' AS stratum, 'standard' AS diagnostic_group FROM b UNION ALL SELECT doc_id, 'full_text', 'standard' FROM c""")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "source", F.col("lang").alias("country"), F.char_length("text").alias("n_chars"))
+    return guards.stratified_sample(d, 10, truncated="src0")
+
+
+@query("latency_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, value AS p95 FROM r WHERE r = least(n - 1, CAST(round_even((n - 1) * 0.95, 0) AS BIGINT))""")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guards.nearest_rank(R.table(spark, sf_dir, "events").select("event_type", "value"), "value", ["event_type"], 0.95)
+
+
+@query("answer_validation", """SELECT doc_id AS job_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'tion' ELSE 'zzz' END AS name, CASE WHEN doc_id % 4 = 1 THEN 'Tion' END AS canonical,
+  CASE doc_id % 4 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'accepted' WHEN 2 THEN 'low_confidence' ELSE 'unmapped' END AS verdict FROM documents WHERE length(text) > 0""")
+def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = R.table(spark, sf_dir, "documents").where("length(text) > 0")
+    k = F.col("doc_id") % 4
+    one = F.struct(F.when(k == 1, "tion").otherwise("zzz").alias("name"), F.when(k == 2, 0.1).otherwise(0.9).alias("confidence"), F.substring("text", 1, 5).alias("evidence"))
+    answer = F.when(k == 0, "{not json").otherwise(F.to_json(F.struct(F.array(one).alias("skills"))))
+    jobs = d.select(F.col("doc_id").alias("job_id"), "text")
+    return guards.validated_response(d.select(F.col("doc_id").alias("job_id"), answer.alias("answer")), jobs, ontology.alias_index(words(spark)))
+
+
+def _resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the headings, dates and contact lines of a résumé around them."""
+    k = F.col("doc_id") % 4
+    head = F.concat(F.lit("Anna Maria Muster\n"), F.when(k == 0, "anna@example.org, +33 6 12 34 56 78\n").otherwise("2020 - 2023\n"))
+    job = F.concat(F.lit("Experience\nAnalyst at X, "), F.when(k == 1, "janvier 2020 - présent").when(k == 2, "03/2021 - 05/2022").otherwise("May 2019 to June 2019"), F.lit("\nReduced costs by 12 %\n"))
+    return R.table(spark, sf_dir, "documents").select("doc_id", F.concat(head, job, F.lit("Éducation :\nMaster in data science, 2024\nSkills\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\n", " ")).alias("text"))
+
+
+@query("resume_sections", """WITH h AS (SELECT doc_id, 18 + CASE WHEN doc_id % 4 = 0 THEN 36 ELSE 12 END AS a, CASE doc_id % 4 WHEN 1 THEN 22 WHEN 2 THEN 17 ELSE 21 END AS d, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, 'experience' AS label, CAST(a + 10 AS BIGINT) AS start, CAST(a + 10 + 15 + d + 22 + 1 AS BIGINT) AS "end" FROM h UNION ALL SELECT doc_id, 'education', a + 48 + d + 11, a + 48 + d + 11 + 30 FROM h
+UNION ALL SELECT doc_id, 'skills', a + 48 + d + 41 + 6, a + 48 + d + 41 + 7 + n FROM h""")
+def resume_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumes.sections(_resumes(spark, sf_dir)).select("doc_id", "label", "start", "end")
+
+
+@query("resume_experience", """SELECT doc_id, 'job' AS entry_type, CASE doc_id % 4 WHEN 1 THEN 'janvier 2020' WHEN 2 THEN '03/2021' ELSE 'may 2019' END AS start_date, CASE doc_id % 4 WHEN 1 THEN 'present' WHEN 2 THEN '05/2022' ELSE 'june 2019' END AS end_date,
+  CASE doc_id % 4 WHEN 1 THEN 54 WHEN 2 THEN 15 ELSE 2 END AS months FROM documents""")
+def resume_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = resumes.experience_entries(_resumes(spark, sf_dir), F.lit("2024-06-15").cast("date")).where("evidence like 'Analyst%'")
+    return e.select("doc_id", "entry_type", "start_date", "end_date", "months")
+
+
+@query("resume_education", "SELECT doc_id, 'master/mba' AS level, 'data science' AS field, 2024 AS graduation_year FROM documents")
+def resume_education(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.regexp_extract("text", r"(Master in [^\n]*)", 1)
+    return _resumes(spark, sf_dir).select("doc_id", resumes.education(line).alias("e")).select("doc_id", "e.level", "e.field", "e.graduation_year")
+
+
+@query("resume_contacts", "SELECT doc_id, doc_id % 4 = 0 AS has_email, doc_id % 4 = 0 AS has_phone, true AS has_name FROM documents")
+def resume_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = F.array_join(F.slice(F.split("text", "\n"), 1, 2), "\n")
+    return _resumes(spark, sf_dir).select("doc_id", resumes.contact_signals(top).alias("c")).select("doc_id", "c.has_email", "c.has_phone", "c.has_name")
+
+
+@query("resume_report")
+def resume_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _resumes(spark, sf_dir)
+    n = resumes.impact(resumes.experience_entries(r, F.lit("2024-06-15").cast("date")))
+    yes = F.lit(True)
+    d = r.join(n, "doc_id", "left").fillna(0, ["entries", "quantified"])
+    checks = resumes.report_checks(F.col("quantified"), F.col("entries"), yes, F.lit(None).cast("boolean"), resumes.contact_signals(F.col("text")), yes, F.lit("high"), F.col("doc_id") % 7, F.lit(None).cast("int"))
+    return d.select("doc_id", checks.alias("checks")).select("doc_id", resumes.overall(F.col("checks")).alias("overall"), "checks")
+
+
+@query("resume_families")
+def resume_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resumes.term_families(_resumes(spark, sf_dir), resumes.ROLE_FAMILIES).union(resumes.term_families(_resumes(spark, sf_dir), resumes.BUSINESS_TERMS))
+
+
+@query("resume_clean_text")
+def resume_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "documents").select("doc_id", F.md5(resumes.clean_text(F.concat(F.lit("S k i l l s  and\r\n"), F.col("text"))).cast("binary")).alias("md5"))
+
+
+@query("candidate_attributes")
+def candidate_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resumes(spark, sf_dir).select("doc_id", attributes.candidate_attributes(F.col("text"), F.expr("cast(array() as array<string>)")).alias("a")).select("doc_id", "a.*")
+
+
+@query("near_duplicate_groups")
+def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.near_duplicate_groups(R.table(spark, sf_dir, "documents"))
+
+
+@query("skill_totals", "SELECT count(*) AS jobs, count(DISTINCT lang) AS countries FROM documents")
+def skill_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.postings(spark, sf_dir)
+    return A.with_total(p.agg(F.count("*").alias("jobs")), p.agg(F.count_distinct("country").alias("countries")))
