@@ -75,7 +75,7 @@ def as_text(a: Column) -> Column:
 def from_text(s: Column) -> Column:
     """The sketch that ``as_text`` wrote."""
     return F.transform(
-        F.filter(F.split(s, ","), lambda x: x != ""), lambda x: F.conv(x, F.lit(16), F.lit(-10)).cast("long")
+        F.filter(F.split(s, ","), lambda x: x != ""), lambda x: F.conv(x, 16, -10).cast("long")
     )
 
 
