@@ -268,3 +268,64 @@ def redacted(profiles: DataFrame, raw: tuple[str, ...] = ("text", "raw_text", "d
             if drop:
                 out = out.withColumn(f.name, F.col(f.name).dropFields(*drop))
     return out
+
+
+# What lets a single letter count as a language, and skills that make a profile technical.
+LETTER_CONTEXT = [
+    "r programming", "programming language r", "langage r", "python / r / sql", "python, r, sql", "r/python", "r / python", "rstudio",
+    "statistical analysis using r", "c programming", "programming language c", "langage c", "c/c++", "c, c++",
+]
+TECHNICAL_SKILLS = ["Python", "Data Science", "Machine Learning", "Artificial Intelligence"]
+TECHNICAL_DOMAINS = ["AI", "Data Science", "Machine Learning", "Software Engineering"]
+LETTERS = ["R", "C"]
+
+
+def profile_skills(docs: DataFrame, found: DataFrame, placed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``found`` (matches) with ``confidence``: 1.0 within a skills section, 0.82 in another section, 0.7 outside.
+
+    R and C count within a skills section, or where the 60 characters around name a language. ``placed``: ``sections``.
+    """
+    s = placed.select(F.col("doc_id").alias("__d"), "label", F.col("start").alias("__from"), F.col("end").alias("__to"))
+    inside = (F.col("doc_id") == F.col("__d")) & (F.col("start") >= F.col("__from")) & (F.col("start") < F.col("__to"))
+    d = found.join(s, inside, "left").drop("__d", "__from", "__to").join(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text")), "doc_id")
+    left = F.greatest(F.col("start") - 60, F.lit(0))
+    window = F.lower(F.substring("__text", (left + 1).cast("int"), (F.col("end") + 60 - left).cast("int")))
+    allowed = F.lit(False)
+    for p in LETTER_CONTEXT:
+        allowed = allowed | window.contains(p)
+    skill = F.coalesce(F.col("label") == "skills", F.lit(False))
+    d = d.where(~F.col("canonical").isin(LETTERS) | skill | allowed)
+    return d.withColumn("confidence", F.when(skill, 1.0).when(F.col("label").isNotNull(), 0.82).otherwise(0.7)).drop("__text")
+
+
+def deterministic_profiles(docs: DataFrame, found: DataFrame, as_of: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each résumé: skills with confidence, candidate attributes, experience, education, quality.
+
+    Sections, matches, entries and attributes are computed once each and joined by document;
+    grounded entries override what the text states, and technical domains need a technical skill.
+    """
+    from postwright.operators.attributes import candidate_attributes
+
+    placed = sections(docs, id_col, text)
+    skills = profile_skills(docs, found, placed, id_col, text).groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("start", "canonical", "confidence"))).alias("skills")
+    )
+    entries = experience_entries(docs, as_of, id_col, text).groupBy("doc_id").agg(
+        F.sum("months").alias("entry_months"), F.count_if(F.col("entry_type") == "internship").alias("n_intern"), F.count_if(F.col("entry_type") == "job").alias("n_job"), F.count("*").alias("n_entries")
+    )
+    n_sections = placed.groupBy("doc_id").agg(F.count_distinct("label").alias("n_sections"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    d = d.join(skills, "doc_id", "left").join(entries, "doc_id", "left").join(n_sections, "doc_id", "left")
+    names = F.coalesce(F.transform("skills", lambda s: s["canonical"]), F.expr("cast(array() as array<string>)"))
+    d = d.withColumn("names", names).withColumn("e", education(F.coalesce("text", F.lit("")))).withColumn("c", candidate_attributes(F.col("text"), F.col("names")))
+    technical = F.arrays_overlap("names", F.array(*[F.lit(s) for s in TECHNICAL_SKILLS]))
+    domains = F.when(technical, F.col("c.preferred_domains")).otherwise(F.array_except(F.col("c.preferred_domains"), F.array(*[F.lit(x) for x in TECHNICAL_DOMAINS])))
+    graduated, has_entries = F.coalesce(F.col("e.status") == "graduated", F.lit(False)), F.coalesce(F.col("n_entries") > 0, F.lit(False))
+    level = F.when((graduated & has_entries) | ((F.col("c.career_level") == "unknown") & F.col("e.level").isNotNull()), "junior").otherwise(F.col("c.career_level"))
+    months = F.coalesce("entry_months", "c.total_months")
+    quality = extraction_quality(F.coalesce("n_sections", F.lit(0)), F.col("e.level").isNotNull() | F.col("e.field").isNotNull(), has_entries, F.size(domains) > 0, F.size("names"), F.lit(1.0), F.lit(False))
+    return d.select(
+        "doc_id", "skills", level.alias("career_level"), months.alias("total_months"), F.round(months / 12, 2).alias("total_years"),
+        F.greatest("c.internship_count", F.coalesce("n_intern", F.lit(0))).alias("internship_count"), F.greatest("c.professional_count", F.coalesce("n_job", F.lit(0))).alias("professional_count"),
+        domains.alias("domains"), F.col("e").alias("education"), quality.alias("quality"),
+    )

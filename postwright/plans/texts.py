@@ -476,3 +476,68 @@ def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skill_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = R.postings(spark, sf_dir)
     return A.with_total(p.agg(F.count("*").alias("jobs")), p.agg(F.count_distinct("country").alias("countries")))
+
+
+@query("resume_profiles")
+def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _resumes(spark, sf_dir)
+    s = spark.createDataFrame([("Data Science", "data", [], None), ("Machine Learning", "ml_ai", ["rest in"], None), ("R", "language", [], None)], _SKILLS)
+    return resumes.deterministic_profiles(r, skillmatch.matches(r, s), F.lit("2024-06-15").cast("date"))
+
+
+@query("work_modes", f"""WITH {R.POSTINGS_SQL}, m AS (SELECT job_id, CASE job_id % 4 WHEN 0 THEN 'Full Remote' WHEN 1 THEN 'hybrid role' WHEN 2 THEN 'on-site' ELSE '' END AS t FROM postings)
+SELECT job_id, t ILIKE '%remote%' AS remote, t ILIKE '%hybrid%' AS hybrid, t ILIKE '%on-site%' AS on_site FROM m""")
+def work_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("job_id") % 4 + 1).cast("int")
+    p = R.postings(spark, sf_dir).select("job_id", F.element_at(F.array(*[F.lit(x) for x in ("Full Remote", "hybrid role", "on-site", "")]), k).alias("t"))
+    return p.select("job_id", *[V.mode_filter(m, F.col("t"), F.lit("")).alias(m) for m in ("remote", "hybrid", "on_site")])
+
+
+@query("candidate_union", """WITH l AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS j FROM lineitem WHERE l_quantity > 25), s AS (SELECT l_suppkey AS p, l_partkey AS j, max(l_discount) AS d FROM lineitem WHERE l_quantity < 30 GROUP BY ALL)
+SELECT coalesce(l.p, s.p) AS profile_id, coalesce(l.j, s.j) AS job_id, CASE WHEN l.p IS NOT NULL AND s.p IS NOT NULL THEN 'both' WHEN s.p IS NOT NULL THEN 'semantic' ELSE 'lexical' END AS retrieval_source, coalesce(s.d, -1) AS semantic_score FROM l FULL JOIN s ON l.p = s.p AND l.j = s.j""")
+def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = R.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("profile_id"), F.col("l_partkey").alias("job_id"), "l_quantity", "l_discount")
+    a = li.where("l_quantity > 25").select("profile_id", "job_id", F.lit(1).alias("overlap")).distinct()
+    b = li.where("l_quantity < 30").groupBy("profile_id", "job_id").agg(F.max("l_discount").alias("semantic_score"))
+    return matching.union_candidates(a, b).select("profile_id", "job_id", "retrieval_source", F.coalesce("semantic_score", F.lit(-1.0)).alias("semantic_score"))
+
+
+@query("fallback_candidates", """WITH first_ AS (SELECT job_id, row_number() OVER (ORDER BY job_id) AS lexical_rank FROM (SELECT DISTINCT l_orderkey AS job_id FROM lineitem ORDER BY 1 LIMIT 200))
+SELECT s_suppkey AS profile_id, job_id, 0 AS overlap, lexical_rank FROM supplier, first_ WHERE s_suppkey % 10 = 0""")
+def fallback_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("profile_id"))
+    js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").alias("skill"))
+    return matching.fallback_candidates(p, p.where("profile_id % 10 <> 0"), js)
+
+
+@query("preference_overlay", f"""WITH {R.JOB_SKILLS_SQL}, {R.PROFILES_SQL} SELECT profile_id, CASE WHEN profile_id % 2 = 0 THEN 'fr' ELSE country END AS country FROM profiles""")
+def preference_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = R.profiles(spark, sf_dir)
+    f = p.where("profile_id % 2 = 0").select("profile_id", F.lit("fr").alias("country"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("boolean").alias("remote"))
+    return matching.with_preferences(p, f).select("profile_id", "country")
+
+
+@query("profiles_in_scope", f"""WITH {R.JOB_SKILLS_SQL}, {R.PROFILES_SQL} SELECT profile_id FROM profiles p WHERE profile_id % 3 = 0 OR EXISTS (SELECT 1 FROM profile_skills s JOIN part ON s.skill = p_partkey WHERE s.profile_id = p.profile_id AND p_type <> 'ECONOMY')""")
+def profiles_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = R.skills(spark, sf_dir).select(F.col("skill_id").cast("string").alias("canonical"), F.when(F.col("category") == "ECONOMY", "soft").otherwise("data").alias("category"))
+    return matching.in_scope(R.profiles(spark, sf_dir), s).select("profile_id")
+
+
+@query("job_bundles", f"""WITH {R.JOBS_SQL}, {R.JOB_SKILLS_SQL} SELECT j.job_id, count(DISTINCT s.skill_id) AS n FROM jobs j LEFT JOIN job_skills s ON j.job_id = s.job_id WHERE j.job_id % 2 = 0 GROUP BY j.job_id""")
+def job_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = R.jobs(spark, sf_dir).select("job_id")
+    js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").cast("string").alias("skill"))
+    return matching.bundles(j, js, j.where("job_id % 2 = 0")).select("job_id", F.size("skills").cast("long").alias("n"))
+
+
+@query("answer_costs", """SELECT event_type, round(sum(user_id) / 1000000.0 * 0.59 + sum(event_id) / 1000000.0 * 0.79, 6) AS cost FROM events GROUP BY event_type""")
+def answer_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("user_id").alias("p"), F.sum("event_id").alias("c"))
+    return e.select("event_type", guards.token_cost(F.col("p"), F.col("c")).alias("cost"))
+
+
+@query("canonical_values", """SELECT event_id, CASE event_type WHEN 'view' THEN 'senior' WHEN 'click' THEN 'principal' WHEN 'error' THEN 'internship' ELSE 'unknown' END AS career, CASE event_type WHEN 'view' THEN 'remote' WHEN 'click' THEN 'hybrid' WHEN 'signup' THEN 'on_site' ELSE 'unknown' END AS mode FROM events""")
+def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("event_type"))
+    career, mode = at({"view": " Sr", "click": "STAFF", "error": "Stage"}), at({"view": "Fully remote", "click": "Hybride", "signup": "On-site"})
+    return R.table(spark, sf_dir, "events").select("event_id", guards.canonical_career(career).alias("career"), guards.canonical_mode(mode).alias("mode"))
