@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwright.functions.session import cut_off
 from postwright.operators.audit import sample_key
 
 
@@ -136,14 +137,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, threshold: float = 0.
 
 def _connected(links: DataFrame) -> DataFrame:
     """``(class, root)`` by smallest labels along links, until none changes; each round is cut off by a checkpoint."""
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/postwright-checkpoints"))
-    both = links.toDF("a", "b").union(links.select("first", "class")).distinct().checkpoint()
+    both = cut_off(links.toDF("a", "b").union(links.select("first", "class")).distinct())
     label = both.select(F.col("a").alias("class"), F.col("a").alias("root")).distinct()
     while True:
         near = both.join(label, both["b"] == label["class"]).groupBy("a").agg(F.min("root").alias("m"))
-        new = label.join(near, label["class"] == near["a"]).select("class", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved")).checkpoint()
+        new = cut_off(label.join(near, label["class"] == near["a"]).select("class", F.least("root", "m").alias("root"), (F.col("m") < F.col("root")).alias("moved")))
         label = new.select("class", "root")
         if new.where("moved").isEmpty():
             return label

@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwright.functions.session import cut_off
+
 #: Queries that are broadcast at once: 4 MB of 256 float32.
 QUERY_BLOCK = 4096
+#: Vectors of one matrix product: 16 MB of scores for a block of queries.
+SLICE = 512
 
 
 def is_valid(v: Column, dim: int) -> Column:
@@ -108,24 +112,25 @@ def encode(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashed_
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Exact neighbours ``(query_id, vec_id, score, rank)`` by cosine; ties go to the smaller id.
 
-    Queries go out in blocks of QUERY_BLOCK as one matrix; every batch of
-    vectors takes one matrix product and keeps ``k`` a query and task, and a window
-    merges those. All vectors are compared with all queries of the block, as an
-    exact search must; nothing but the best leaves a task. Score is 1 - distance
-    within 0 and 1. Zero vectors and queries match nothing.
+    Queries go out in blocks of about QUERY_BLOCK as one matrix, and a block's answers
+    are written before the next goes out: the driver holds one block. A task takes its
+    vectors in slices, one matrix product each, and keeps ``k`` a query; a window merges
+    those. All vectors meet all queries, as an exact search must; nothing but the best leaves a
+    task. Score is 1 - distance within 0 and 1. Zero vectors and queries match nothing.
     """
-    ids = [r["q"] for r in queries.select(F.col(query_id).alias("q")).distinct().orderBy("q").collect()]
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out: DataFrame | None = None
-    for at in range(0, max(len(ids), 1), QUERY_BLOCK):
-        block = queries.where(F.col(query_id).isin(ids[at : at + QUERY_BLOCK])) if len(ids) > QUERY_BLOCK else queries
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
         rows = [r for r in block.select(query_id, column).collect() if r[1] is not None and any(r[1])]
         found = _block(rows, vectors, k, query_id, vector_id, column)
+        best = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), vector_id)
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        found = found if blocks == 1 else cut_off(found)
         out = found if out is None else out.union(found)
     assert out is not None
-    best = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), vector_id)
-    ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity")))
-    return ranked.select(query_id, vector_id, score.alias("score"), "rank")
+    return out.select(query_id, vector_id, score.alias("score"), "rank")
 
 
 def _block(rows: list, vectors: DataFrame, k: int, query_id: str, vector_id: str, column: str) -> DataFrame:
@@ -134,20 +139,19 @@ def _block(rows: list, vectors: DataFrame, k: int, query_id: str, vector_id: str
     q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_s, kept_id = np.empty((len(keys), 0)), np.empty((len(keys), 0), dtype=np.int64)
         for pdf in parts:
             pdf = pdf[[x is not None and len(x) == q.shape[1] for x in pdf[column]]] if len(keys) else pdf.iloc[:0]
-            if not len(pdf):
-                continue
-            v = np.stack(pdf[column].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(v, axis=1)
-            keep = n > 0
-            v, own = v[keep] / n[keep, None], pdf[vector_id].to_numpy()[keep]
-            order = np.argsort(own, kind="stable")
-            s = np.round(q @ v[order].T, 12)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame(
-                {query_id: np.repeat(keys, top.shape[1]), vector_id: own[order][top.ravel()], "similarity": np.take_along_axis(s, top, 1).ravel()}
-            )
+            for at in range(0, len(pdf), SLICE):
+                cut = pdf.iloc[at : at + SLICE]
+                v = np.stack(cut[column].to_numpy()).astype(np.float64)
+                n = np.linalg.norm(v, axis=1)
+                v, own = v[n > 0] / n[n > 0, None], cut[vector_id].to_numpy()[n > 0]
+                s = np.concatenate([kept_s, np.round(q @ v.T, 12)], axis=1)
+                ids = np.concatenate([kept_id, np.broadcast_to(own, (len(keys), len(own)))], axis=1)
+                top = np.lexsort((ids, -s), axis=1)[:, :k]
+                kept_s, kept_id = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
+        yield pd.DataFrame({query_id: np.repeat(keys, kept_s.shape[1]), vector_id: kept_id.ravel(), "similarity": kept_s.ravel()})
 
     return vectors.select(vector_id, column).mapInPandas(run, f"{query_id} bigint, {vector_id} bigint, similarity double")
 
