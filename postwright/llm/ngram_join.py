@@ -33,6 +33,8 @@ from postwright.llm.components import components
 
 #: Sets that meet under one shingle are dealt in blocks of so many.
 BLOCK = 512
+#: Ids or pairs of ids that are broadcast: 16 MB; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _need(n: Column, num: int, den: int) -> Column:
@@ -62,11 +64,11 @@ def jaccard_components(
     (each class has one at least to its component where there is any).
     Shingles are 64-bit hashes. Null and blank texts have an empty set and
     link with nothing; rows of a null doc_id are classes by their text but never
-    lead a class. Repeated rows give repeated results.
+    lead a class. Repeated rows give repeated results; of different texts under
+    one id one is compared.
     """
-    k_share = (den - num, 2 * den)  # k = n * (1 - t) / 2
     size = F.size("set")
-    k = lambda m: F.greatest(F.lit(1), F.floor(m * k_share[0] / k_share[1]).cast("int"))
+    k = lambda m: F.greatest(F.lit(1), F.floor(m * (den - num) / (2 * den)).cast("int"))
     first = size - _need(size, num, den) + k(size)
     sieve = materialize(
         shingle_classes(docs, n, id_col, text).select(
@@ -82,29 +84,27 @@ def jaccard_components(
     heads = materialize(heads)
 
     # 1. sieve: shingles that a second set has among its least
-    leads = heads.select(F.col("class_id").alias("doc_id"))
-    least = sieve.where("n > 0").join(leads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    least = least.select(F.col("doc_id").alias("class_id"), "n", F.explode("least").alias("s"))
-    shared = least.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    met = least.join(shared, "s").groupBy("class_id", "n").agg(F.count("*").alias("met"))
+    leads = heads.select(F.col("class_id").alias("doc_id")).distinct()
+    least = sieve.where("n > 0").join(_small(leads), "doc_id", "left_semi")
+    met = _shared(least.select("doc_id", F.explode("least").alias("s"))).groupBy("doc_id").agg(F.count("*").alias("met"))
     smallest_partner = _need(F.col("n"), num, den)
-    left = materialize(met.where(F.col("met") >= k(smallest_partner)).select(F.col("class_id").alias("keep_id")).distinct())
+    left = sieve.select(F.col("doc_id").alias("keep_id"), "n").join(met, F.col("keep_id") == met["doc_id"])
+    left = materialize(left.where(F.col("met") >= k(smallest_partner)).select("keep_id").distinct())
 
     # 2. order by frequency among what is left
-    sets = materialize(
-        docs.join(left, F.col(f"`{id_col}`") == F.col("keep_id"), "left_semi")
-        .transform(lambda d: shingle_classes(d, n, id_col, text))
-        .where(F.size("set") > 0)
-        .dropDuplicates(["doc_id"])
-    )
-    each = sets.select("doc_id", F.explode("set").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    common = each.join(often, "s").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"))
-    n_own = F.size("set") - F.size("common")
-    depth = F.size("set") - _need(F.size("set"), num, den) + 1 - n_own
+    kept = docs.join(_small(left), F.col(f"`{id_col}`") == F.col("keep_id"), "left_semi")
+    sets = shingle_classes(kept, n, id_col, text)
+    if not sieve.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").isEmpty():
+        sets = sets.dropDuplicates(["doc_id"])
+    sets = materialize(sets.withColumn("n", F.size("set")))
+    each = _shared(sets.select("doc_id", F.explode("set").alias("s")))
+    common = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"))
+    n_own = F.col("n") - F.size("common")
+    depth = F.col("n") - _need(F.col("n"), num, den) + 1 - n_own
     prefixes = materialize(
-        sets.join(common, "doc_id")
-        .select("doc_id", F.size("set").alias("n"), n_own.alias("own"), depth.alias("depth"), "common")
+        sets.select("doc_id", "n")
+        .join(common, "doc_id")
+        .select("doc_id", "n", n_own.alias("own"), depth.alias("depth"), "common")
         .where("depth > 0")
         .select("doc_id", "n", "own", F.transform(F.slice("common", F.lit(1), F.col("depth")), lambda x: x["s"]).alias("prefix"))
     )
@@ -171,9 +171,29 @@ def jaccard_components(
     )
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """For a join: broadcast up to BROADCAST_ROWS rows of ids, shuffled beyond."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _shared(each: DataFrame) -> DataFrame:
+    """``(doc_id, s, df)``: the rows whose shingle several sets have, with how many.
+
+    Rows are dealt by shingle once, and what counts them and what joins the counts read
+    the same exchange. A shingle's rows are streamed, never held together.
+    """
+    dealt = each.select("doc_id", "s").repartition("s")
+    often = dealt.groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    return dealt.join(often.where("lo < hi").select("s", "df"), "s")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The ``(a, b)`` that link by their full sets."""
-    x = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    """The ``(a, b)`` that link by their full sets; only sets of some pair are dealt out."""
+    pairs = materialize(pairs)
+    sets = sets.select("doc_id", "set")
+    x = sets.toDF("a", "sa").join(_small(pairs), "a")
+    partners = pairs.select("b").distinct()
+    x = x.join(sets.toDF("b", "sb").join(_small(partners), "b", "left_semi"), "b")
     x = x.withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return x.where((F.size("sa") + F.size("sb") - F.col("both")) * num <= F.col("both") * den).select("a", "b")
 
