@@ -59,13 +59,12 @@ def jaccard_components(
     text: str = "text",
     block: int = BLOCK,
 ) -> DataFrame:
-    """``(doc_id, n_shingles, class_id, component_id, n_links)`` for every row of ``docs``.
+    """``(doc_id, n_shingles, class_id, component_id)`` for every row of ``docs``.
 
     Two sets link when den * |intersection| >= num * |union|. ``class_id`` is the
     smallest doc_id with the same set, ``component_id`` the smallest that links
-    lead to, ``n_links`` the verified links of the class with other classes
-    (each class has one at least to its component where there is any).
-    Shingles are 64-bit hashes. Null and blank texts have an empty set and
+    lead to: links within what is joined already aren't looked for, as a group
+    of near copies has them by the square of its size. Shingles are 64-bit hashes. Null and blank texts have an empty set and
     link with nothing; rows of a null doc_id are classes by their text but never
     lead a class. Repeated rows give repeated results; of different texts under
     one id one is compared.
@@ -154,10 +153,8 @@ def jaccard_components(
     links = star_links.union(tree_links)
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = components(links)
-    degree = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("n_links"))
-    found = roots.join(degree.toDF("node", "n_links"), "node").toDF("class_id", "component_id", "n_links")
-    of_class = heads.join(found, "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
-    of_class = of_class.select(*[F.col(c).alias(f"__{c}") for c in digest], "class_id", "component_id", "n_links")
+    of_class = heads.join(roots.toDF("class_id", "component_id"), "class_id", "left")
+    of_class = of_class.select(*[F.col(c).alias(f"__{c}") for c in digest], "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     on = F.lit(True)
     for c in digest:
         on = on & (sieve[c] == of_class[f"__{c}"])
@@ -169,7 +166,6 @@ def jaccard_components(
             F.col("n").cast("long").alias("n_shingles"),
             F.coalesce("class_id", "doc_id").alias("class_id"),
             F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
     )
 
@@ -289,7 +285,7 @@ def keep_first(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col:
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
-    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 OP2_SQL = """
@@ -311,6 +307,7 @@ WITH RECURSIVE w AS (
 ), reach AS (
   SELECT class_id AS a, class_id AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
 ), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
-SELECT d.doc_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id
+SELECT d.doc_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id,
+  coalesce(m.class_id, d.doc_id) AS class_id
 FROM documents d LEFT JOIN member m ON d.doc_id = m.doc_id LEFT JOIN roots r ON m.class_id = r.a
 """

@@ -11,7 +11,7 @@ from postwright.llm.fingerprints import op4_fingerprints
 from postwright.llm.html_text import op9_html_extraction
 from postwright.llm.lines import OP1_SQL, op1_line_dedup
 from postwright.llm.mixing import OP3_SQL, op3_mixing
-from postwright.llm.ngram_join import op2_ngram_join
+from postwright.llm.ngram_join import OP2_SQL, op2_ngram_join
 from postwright.llm.packing import op5_packing
 from postwright.llm.quality_model import op8_quality_classifier
 from postwright.llm.quality_rules import OP6_SQL, op6_quality_rules
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op2_ngram_join": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
 }
