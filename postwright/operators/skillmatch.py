@@ -19,6 +19,7 @@ NEIGHBOURS = " \t\n\r,;/|()[]:."
 SHORT = 3
 CONTEXT = 80
 TOKENS = r"(?U)\w+|\s+|[^\w\s]"
+STRIDE = 64
 #: Ontologies of more aliases are joined by shuffle.
 BROADCAST_ALIASES = 200_000
 
@@ -80,18 +81,30 @@ def hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text: str
     at = own.select("doc_id", F.posexplode(tokens).alias("pos", "token")).join(starts, "token").select("doc_id", "pos", F.explode("lengths").alias("n"))
     at = at.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
     d = own.join(at, "doc_id").withColumn("folded", fold(F.col("text")))
-    d = d.withColumn("tokens", F.regexp_extract_all("folded", F.lit(TOKENS), F.lit(0)))
     blank = lambda t: F.when(t.rlike(r"(?U)^\s+$"), " ").otherwise(t)
-    length = lambda first, n: F.char_length(F.array_join(F.slice("tokens", first, n), ""))
-    placed = F.transform(
-        "at",
-        lambda p: F.struct(
-            F.array_join(F.transform(F.slice("tokens", p["pos"] + 1, p["n"]), blank), "").alias("key"),
-            p["n"].alias("n_tokens"),
-            length(F.lit(1), p["pos"]).alias("start"),
-            length(p["pos"] + 1, p["n"]).alias("size"),
-        ),
-    )
+    once = lambda value, body: F.get(F.transform(F.array(value), body), 0)  # noqa: E731  what the body names is computed once a row
+    length = lambda tk, first, n: F.char_length(F.array_join(F.slice(tk, first, n), ""))
+    stride = lambda pos: F.floor(pos / STRIDE).cast("int")
+
+    def lengths(tk: Column) -> Column:
+        """Of runs of STRIDE tokens, so that an offset is a sum of a few and not of all tokens before it."""
+        last = F.floor((F.size(tk) - 1) / STRIDE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: length(tk, b * STRIDE + 1, F.lit(STRIDE)))
+
+    def place(tk: Column, st: Column) -> Column:
+        offset = lambda pos: F.aggregate(F.slice(st, F.lit(1), stride(pos)), F.lit(0), lambda a, x: a + x) + length(tk, stride(pos) * STRIDE + 1, pos - stride(pos) * STRIDE)
+        return F.transform(
+            "at",
+            lambda p: F.struct(
+                F.array_join(F.transform(F.slice(tk, p["pos"] + 1, p["n"]), blank), "").alias("key"),
+                p["n"].alias("n_tokens"),
+                offset(p["pos"]).alias("start"),
+                length(tk, p["pos"] + 1, p["n"]).alias("size"),
+            ),
+        )
+
+    tokens = F.regexp_extract_all("folded", F.lit(TOKENS), F.lit(0))
+    placed = once(tokens, lambda tk: once(lengths(tk), lambda st: place(tk, st)))
     cut = lambda c, first, n: F.substring(c, first.cast("int"), n.cast("int"))
     near = lambda x: F.least(x["start"], F.lit(CONTEXT))
     with_context = F.transform(
