@@ -7,7 +7,8 @@ all. Then, exactly and without a comparison of all pairs:
    ``k`` of their first ``n - ceil(t n) + k`` ones. In the order of the hash
    values, sets that don't meet ``k`` others there are dropped at once.
 2. *Order.* For what is left, shingles are ordered by document frequency and
-   hash. Shingles of one set alone come first and can't match, so a set whose
+   hash: a shingle's *place* is one number that holds both, and from here on
+   stands for it. Shingles of one set alone come first and can't match, so a set whose
    prefix has no other is dropped; others keep the rest of their prefix.
 3. *Stars.* Each set is compared with one centre: the set with the fewest
    shingles of its own among those that share a prefix shingle with it. This
@@ -16,7 +17,9 @@ all. Then, exactly and without a comparison of all pairs:
    bounded size. A block's prefixes are stored in a tree; a probe walks it, the
    overlap so far is shared by all sets below a node, and a subtree is pruned
    when its remaining length can't reach the required overlap, when the pair
-   has met under an earlier shingle, or when it is joined already.
+   has met under an earlier shingle, or when it is joined already. A stored
+   shingle counts as missed only up to the end of the probe's prefix: beyond
+   it the probe may have it.
 5. Pairs that come out are verified on the full sets, and links are followed.
 """
 
@@ -100,7 +103,7 @@ def jaccard_components(
         sets = sets.dropDuplicates(["doc_id"])
     sets = materialize(sets.withColumn("n", F.size("set")))
     each = _shared(sets.select("doc_id", F.explode("set").alias("s")))
-    common = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"))
+    common = each.groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("common"))
     n_own = F.col("n") - F.size("common")
     depth = F.col("n") - _need(F.col("n"), num, den) + 1 - n_own
     prefixes = materialize(
@@ -108,7 +111,7 @@ def jaccard_components(
         .join(common, "doc_id")
         .select("doc_id", "n", n_own.alias("own"), depth.alias("depth"), "common")
         .where("depth > 0")
-        .select("doc_id", "n", "own", F.transform(F.slice("common", F.lit(1), F.col("depth")), lambda x: x["s"]).alias("prefix"))
+        .select("doc_id", "n", "own", F.slice("common", F.lit(1), F.col("depth")).alias("prefix"))
     )
 
     # 3. stars
@@ -176,14 +179,17 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def _shared(each: DataFrame) -> DataFrame:
-    """``(doc_id, s, df)``: the rows whose shingle several sets have, with how many.
+    """``(doc_id, s, place)``: the rows whose shingle several sets have, with its place in the order.
 
-    Rows are dealt by shingle once, and what counts them and what joins the counts read
+    A place has the logarithm of the frequency (steps of half a percent) above the hash's upper
+    51 bits. Any order gives the same links, and shingles of one place can only add comparisons. Rows are dealt by shingle once, and what counts them and what joins the counts read
     the same exchange. A shingle's rows are streamed, never held together.
     """
     dealt = each.select("doc_id", "s").repartition("s")
     often = dealt.groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    return dealt.join(often.where("lo < hi").select("s", "df"), "s")
+    step = F.least(F.floor(F.log2("df") * 128), F.lit(4095)).cast("long")
+    place = F.shiftleft(step, 51).bitwiseOR(F.shiftrightunsigned("s", 13))
+    return dealt.join(often.where("lo < hi").select("s", place.alias("place")), "s")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -225,7 +231,10 @@ def _insert(root: _Node, row: tuple) -> None:
 def _probe(root: _Node, row: tuple, meet: int, num: int, den: int, ordered: bool) -> Iterator[tuple[int, int]]:
     """Sets in the tree that may link to ``row`` and have ``meet`` as the first shingle in common."""
     doc, n, own, label, prefix = row
-    at = {t: i for i, t in enumerate(prefix)}
+    at: dict[int, int] = {}
+    for j, token in enumerate(prefix):
+        at.setdefault(token, j)
+    last = prefix[-1]
     limit = num + den
     todo = [(root, 0, 0, 0)]  # node, shingles passed by it, by the probe, overlap
     while todo:
@@ -243,7 +252,7 @@ def _probe(root: _Node, row: tuple, meet: int, num: int, den: int, ordered: bool
         for token, kid in node.kids.items():
             j = at.get(token)
             if j is None:
-                todo.append((kid, d + 1, i, o))
+                todo.append((kid, d + 1 if token <= last else d, i, o))
             elif o or token == meet:
                 todo.append((kid, d + 1, max(i, j + 1), o + 1))
 

@@ -143,6 +143,18 @@ def test_join_finds_all_links(spark, n, num, den, block):
     assert got == brute_components(docs, n, num, den)
 
 
+def test_join_of_unequal_sizes(spark):
+    """The larger set has the lower id, shingles of its own and the shorter prefix; both have a third set as centre."""
+    x, y, c, e, h = ([f"{k}{i}" for i in range(n)] for k, n in (("x", 93), ("y", 2), ("c", 100), ("e", 61), ("h", 50)))
+    docs = {0: c + x[:4], 1: x + [f"own{i}" for i in range(7)], 2: x + y}
+    docs |= {10 + k: [*c, f"p{k}"] for k in range(6)} | {20 + k: x[4:] + e + [f"q{k}"] for k in range(2)} | {30 + k: y + h + [f"r{k}"] for k in range(5)}
+    docs = {k: " ".join(w) for k, w in docs.items()}
+    want = brute_components(docs, 1, 90, 100)
+    d = spark.createDataFrame([(k, t, "en", "a", None) for k, t in docs.items()], SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(d, 1, 90, 100).collect()}
+    assert want[2] == (95, 1) and got == want
+
+
 def test_join_query_equals_brute_force(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = brute_components({r["doc_id"]: r["text"] for r in d.collect()}, 3, 90, 100)
