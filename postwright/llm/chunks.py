@@ -17,15 +17,13 @@ from postwright.llm.common import table
 WINDOW = 16
 #: A byte ends a chunk with one chance in so many; chunks have so many bytes on average.
 MEAN_CHUNK = 32
-#: A repeat of fewer words isn't a passage. A passage of over 50 words loses the window and a part
-#: of a chunk at both ends, 14 words on average.
+#: A repeat of fewer words isn't a passage. A passage of over 50 words loses a part of a chunk
+#: at both ends.
 MIN_WORDS = 16
-#: Chunks of one passage may have so many bytes between them (a chunk that an earlier document has as well).
-MAX_GAP = 64
 
 #: One 32-bit value for each byte, from a fixed seed.
 GEAR = np.array(random.Random(20).sample(range(1 << 32), 256), dtype=np.uint32)
-CHUNK_SCHEMA = "doc_id bigint, start int, size int, n_words int, digest bigint"
+RUN_SCHEMA = "doc_id bigint, start int, size int, word int, n_words int, digest bigint"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -53,7 +51,8 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     return np.append(ends, len(data)) if len(data) and (not len(ends) or ends[-1] != len(data)) else ends
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFrame]:
+    """The shortest runs of chunks of ``min_words`` words from each chunk on or back, with the count of words before them."""
     blanks = np.zeros(256, dtype=bool)
     blanks[[9, 10, 11, 12, 13, 32]] = True
     for pdf in batches:
@@ -65,13 +64,25 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = cut_points(data)
             if not len(ends):
                 continue
-            starts = np.concatenate([[0], ends[:-1]])
+            # a run has the bytes that its first cut depends on as well: whoever has them has the cut
+            starts = np.maximum(np.concatenate([[0], ends[:-1]]) - WINDOW, 0)
             blank = blanks[data]
             opens = ~blank
             opens[1:] &= blank[:-1]
-            n_words = np.add.reduceat(opens.astype(np.int32), starts)
+            count = np.concatenate([[0], np.cumsum(opens)])
+            # a part of a word at the start counts, so that the bytes of a run alone decide where it ends
+            word = count[starts] - (~blank[starts] & ~opens[starts])
+            last = np.searchsorted(count[ends], word + min_words)
+            # from each chunk on, and back from each chunk where none of those ends: a passage is covered to both ends
+            first = np.flatnonzero(last < len(ends))
+            if not len(first):
+                continue
+            others = np.setdiff1d(np.arange(last[0], len(ends)), last[first])
+            first, last = np.append(first, np.searchsorted(word, count[ends[others]] - min_words, side="right") - 1), np.append(last[first], others)
+            starts, word, ends = starts[first], word[first], ends[last]
+            n_words = count[ends] - word
             digests = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
-            parts.append((np.full(len(ends), doc_id, dtype=np.int64), starts, ends - starts, n_words, digests.view(np.int64)))
+            parts.append((np.full(len(ends), doc_id, dtype=np.int64), starts, ends - starts, word, n_words, digests.view(np.int64)))
             held += len(ends)
             if held >= 200_000:
                 yield _frame(parts)
@@ -82,46 +93,49 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _frame(parts: list[tuple]) -> pd.DataFrame:
     cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    return pd.DataFrame(dict(zip(["doc_id", "start", "size", "n_words", "digest"], cols, strict=True)))
+    return pd.DataFrame(dict(zip(["doc_id", "start", "size", "word", "n_words", "digest"], cols, strict=True)))
 
 
-def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_gap: int = MAX_GAP
-) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, end, n_words, first_doc_id, first_start)``: passages that an earlier document has.
 
-    ``start`` and ``end`` are bytes of the UTF-8 text. Chunks are held against
-    all others by digest; the document of the smallest id that has a chunk
-    owns it. Chunks of a document that one owner has at one distance, with
-    ``max_gap`` bytes between them at most, are one passage; passages of
-    ``min_words`` words are reported, so that common phrases and lines aren't.
-    Null or empty texts and rows of a null id have no chunks. Rows that repeat an
+    ``start`` and ``end`` are bytes of the UTF-8 text. From each chunk on or
+    back, as few chunks as have ``min_words`` words are a run; runs are held against all
+    others by digest, so that one document has all of a run, whoever has its
+    parts. The document of the smallest id that has a run owns it. Runs of a
+    document that one owner has at one distance and that touch are one
+    passage, the same bytes in both; passages of several owners may overlap.
+    Common phrases and lines are shorter than a run.
+    Null or empty texts and rows of a null id have no runs. Rows that repeat an
     id are one document with the longer text's spans in both; repeats within
     one document are left alone.
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    chunks = d.where("doc_id is not null and text is not null and text <> ''").mapInPandas(_chunks, CHUNK_SCHEMA)
-    # owners are added up task by task first: a chunk that very many documents have costs a row a task
+    d = d.where("doc_id is not null and text is not null and text <> ''")
+    runs = d.mapInPandas(lambda it: _runs(it, min_words), RUN_SCHEMA)
+    # owners are added up task by task first: a run that very many documents have costs a row a task
     owners = (
-        chunks.groupBy("digest")
+        runs.groupBy("digest")
         .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
         .where(F.col("last") > F.col("first.doc_id"))
-        .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_chunk"))
+        .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_run"))
     )
     hits = (
-        chunks.join(owners, "digest")
+        runs.join(owners, "digest")
         .where("first_doc_id < doc_id")
-        .select("doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "n_words", "first_doc_id", (F.col("start") - F.col("first_chunk")).alias("shift"))
-    )
+        .select(
+            "doc_id", "start", (F.col("start") + F.col("size")).alias("end"), "word", (F.col("word") + F.col("n_words")).alias("last_word"),
+            "first_doc_id", (F.col("start") - F.col("first_run")).alias("shift"),
+        )
+    )
     by = ["doc_id", "first_doc_id", "shift"]
     line = Window.partitionBy(*by).orderBy("start")
-    new = F.coalesce((F.col("start") - F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)) > max_gap).cast("int"), F.lit(0))
+    new = F.coalesce((F.col("start") > F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     return (
         hits.withColumn("new", new)
         .withColumn("part", F.sum("new").over(line))
         .groupBy(*by, "part")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"))
-        .where(F.col("n_words") >= min_words)
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last_word") - F.min("word")).cast("int").alias("n_words"))
         .select("doc_id", "start", "end", "n_words", "first_doc_id", (F.col("start") - F.col("shift")).alias("first_start"))
     )
 

@@ -399,3 +399,21 @@ def test_passages_are_caught(spark):
         assert raw == first and x["first_doc_id"] == x["doc_id"] % 20
     cut = {x["doc_id"]: x["text"] for x in chunks.cut_passages(d, found).collect()}
     assert cut[100] is None and cut[0] == texts[0] and all(len(cut[k].split()) < len(texts[k].split()) - 20 for k in range(20, 60))
+
+
+def test_passages_whose_parts_have_other_owners(spark):
+    """Document 1 has the passage with a longer word in the middle; document 20 has document 10's exactly."""
+    docs = {}
+    for seed in range(12):
+        g = np.random.default_rng(seed)
+        word = lambda: "".join(chr(c) for c in g.integers(97, 123, g.integers(2, 9)))  # noqa: E731, B023
+        fresh = lambda n: [word() for _ in range(n)]  # noqa: E731, B023
+        whole = fresh(51)
+        parts = {1: [*whole[:28], "longerword", *whole[29:]], 10: whole, 20: whole}
+        docs |= {100 * seed + k: " ".join(fresh(40) + part + fresh(40)) for k, part in parts.items()}
+    d = spark.createDataFrame([(k, t, "en", "a", None) for k, t in docs.items()], SCHEMA)
+    found = chunks.repeated_passages(d).collect()
+    assert {(x["doc_id"], x["first_doc_id"]) for x in found} >= {(100 * k + 20, 100 * k + 10) for k in range(12)}
+    for x in found:
+        raw = docs[x["doc_id"]].encode()[x["start"] : x["end"]]
+        assert docs[x["first_doc_id"]].encode()[x["first_start"] :].startswith(raw) and len(raw.split()) >= 16
