@@ -8,25 +8,34 @@ all. Then, exactly and without a comparison of all pairs:
    values, sets that don't meet ``k`` others there are dropped at once.
 2. *Order.* For what is left, shingles are ordered by document frequency and
    hash: a shingle's *place* is one number that holds both, and from here on
-   stands for it. Shingles of one set alone come first and can't match, so a set whose
-   prefix has no other is dropped; others keep the rest of their prefix.
-3. *Stars.* Each set is compared with one centre: the set with the fewest
-   shingles of its own among those that share a prefix shingle with it. This
-   joins a large group of near copies by as many comparisons as members.
-4. *Prefix tree.* Sets meet under each shingle of their prefixes, in blocks of
-   bounded size. A block's prefixes are stored in a tree; a probe walks it, the
-   overlap so far is shared by all sets below a node, and a subtree is pruned
-   when its remaining length can't reach the required overlap, when the pair
-   has met under an earlier shingle, or when it is joined already. A stored
-   shingle counts as missed only up to the end of the probe's prefix: beyond
-   it the probe may have it.
-5. Pairs that come out are verified on the full sets, and links are followed.
+   stands for it. Shingles of one set alone can't match: a set keeps their
+   number and the places of the others. They come first in the order, so a set
+   whose prefix (its first ``n - ceil(t n) + 1`` shingles) has no other is done.
+3. *Trees of leaders.* Each set goes to one leader: the set with the fewest
+   shingles of its own among those that share a prefix shingle with it, the one
+   it shares most with. A leader's sets are dealt in blocks, the leader in every
+   block, and a block is joined by its prefix tree. This joins a large group of
+   near copies at the cost of a row a member.
+4. *Trees of shingles.* Sets that are still apart meet under each shingle of
+   their prefixes, again in blocks that a prefix tree joins. Shingles that only
+   sets already joined have are left out, and of shingles that the same sets
+   have one stays. Where one component has most sets of a shingle, its sets are
+   dealt once, and only the others visit all its blocks.
+
+A tree holds the ordered sets, the commonest shingles first, so that sets with
+a beginning in common share its nodes. A probe walks it with the overlap so far; a
+subtree is pruned when the shingles that remain below it or to the probe can't
+reach the required overlap, and when all its sets are joined with the probe
+already. Overlaps are those of the whole sets, so that a pair that comes out is
+a link; links within a task join sets at once, and a task puts out fewer links
+than it has sets. Links are then followed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +43,18 @@ from pyspark.sql import functions as F
 from postwright.llm.common import materialize, shingle_set, table
 from postwright.llm.components import components
 
-#: Sets that meet under one shingle are dealt in blocks of so many.
-BLOCK = 512
+#: Sets that meet under one leader or shingle are dealt in blocks of so many.
+BLOCK = 256
 #: ``k`` of the sieve, in percent of a set: at 10 a set goes on if about half (t = 0.9) or a third
 #: (t = 0.8) of its first shingles occur elsewhere, which costs fewest rows in all.
 SIEVE_PERCENT = 10
-#: Ids or pairs of ids that are broadcast: 16 MB; more are joined by shuffle.
+#: Ids or keys that are broadcast: 16 MB; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Keys of more rows are hot: what belongs to them is broadcast and their rows stay where they are.
+HOT_ROWS = 1_000
+#: Hot shingles are looked for in one of so many documents: those found are counted exactly, others are
+#: dealt by shuffle, so that the choice changes who does the work and not the result.
+LOOK = 64
 
 
 def _need(n: Column, num: int, den: int) -> Column:
@@ -67,10 +81,12 @@ def jaccard_components(
     Two sets link when den * |intersection| >= num * |union|. ``class_id`` is the
     smallest doc_id with the same set, ``component_id`` the smallest that links
     lead to: links within what is joined already aren't looked for, as a group
-    of near copies has them by the square of its size. Shingles are 64-bit hashes. Null and blank texts have an empty set and
-    link with nothing; rows of a null doc_id are classes by their text but never
-    lead a class. Repeated rows give repeated results; of different texts under
-    one id one is compared.
+    of near copies has them by the square of its size. Shingles are 64-bit hashes.
+    Null and blank texts have an empty set and link with nothing; rows of a null
+    doc_id are classes by their text but never lead a class. Repeated rows give
+    repeated results; of different texts under one id the one with the smallest
+    set of hashes links with others. Extra columns don't matter; an empty table
+    gives an empty table.
     """
     size = F.size("set")
     k = lambda m: F.greatest(F.lit(1), F.floor(m * SIEVE_PERCENT / 100).cast("int"))
@@ -85,8 +101,7 @@ def jaccard_components(
         )
     )
     digest = ["n", "d1", "d2"]
-    heads = sieve.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("class_id"))
-    heads = materialize(heads)
+    heads = materialize(sieve.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("class_id")))
 
     # 1. sieve: shingles that a second set has among its least
     leads = heads.select(F.col("class_id").alias("doc_id")).distinct()
@@ -100,62 +115,24 @@ def jaccard_components(
     kept = docs.join(_small(left), F.col(f"`{id_col}`") == F.col("keep_id"), "left_semi")
     sets = shingle_classes(kept, n, id_col, text)
     if not sieve.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").isEmpty():
-        sets = sets.dropDuplicates(["doc_id"])
+        sets = sets.where(size > 0).groupBy("doc_id").agg(F.min("set").alias("set"))
     sets = materialize(sets.withColumn("n", F.size("set")))
     each = _shared(sets.select("doc_id", F.explode("set").alias("s")))
     common = each.groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("common"))
-    n_own = F.col("n") - F.size("common")
-    depth = F.col("n") - _need(F.col("n"), num, den) + 1 - n_own
-    prefixes = materialize(
-        sets.select("doc_id", "n")
-        .join(common, "doc_id")
-        .select("doc_id", "n", n_own.alias("own"), depth.alias("depth"), "common")
-        .where("depth > 0")
-        .select("doc_id", "n", "own", F.slice("common", F.lit(1), F.col("depth")).alias("prefix"))
-    )
-
-    # 3. stars
-    under = prefixes.select("doc_id", "n", "own", F.explode("prefix").alias("s"))
-    centres = under.groupBy("s").agg(F.min(F.struct(F.col("own") / F.col("n"), "doc_id")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    stars = (
-        under.select("doc_id", "s")
-        .join(centres.select("s", F.col("c.doc_id").alias("centre")), "s")
-        .where("centre <> doc_id")
-        .groupBy("doc_id", "centre")
-        .agg(F.count("*").alias("times"))
-        .groupBy("doc_id")
-        .agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
-    )
-    star_links = materialize(_verified(stars.toDF("a", "b"), sets, num, den))
+    own = F.col("n") - F.size("common")
+    depth = F.col("n") - _need(F.col("n"), num, den) + 1 - own
+    wholes = sets.select("doc_id", "n").join(common, "doc_id").select("doc_id", "n", own.alias("own"), depth.alias("depth"), "common")
+    wholes = materialize(wholes.where("depth > 0"))
+    prefix = F.slice("common", F.lit(1), F.col("depth"))
+
+    # 3. trees of leaders
+    star_links = materialize(leader_links(wholes, prefix, num, den, block))
     labels = components(star_links)
 
-    # 4. prefix tree, for what isn't joined yet
-    labelled = prefixes.join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    labelled = materialize(labelled)
-    meet = labelled.select("label", F.explode("prefix").alias("s"))
-    open_ = meet.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"))
-    open_ = open_.where("lo <> hi").select("s", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    dealt = (
-        labelled.select("*", F.explode("prefix").alias("s"))
-        .join(open_, "s")
-        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "n", "own", "label", "prefix"
-        )
-    )
-    pairs = (
-        dealt.repartition("s", "i", "j")
-        .sortWithinPartitions("s", "i", "j", "doc_id")
-        .mapInPandas(lambda it: _tree_join(it, num, den), "a bigint, b bigint")
-        .distinct()
-    )
-    tree_links = materialize(_verified(pairs, sets, num, den))
+    # 4. trees of shingles, for what isn't joined yet
+    tree_links = materialize(shingle_links(wholes, prefix, labels, num, den, block))
 
-    # 5. follow the links
-    links = star_links.union(tree_links)
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = components(links)
+    roots = components(star_links.union(tree_links))
     of_class = heads.join(roots.toDF("class_id", "component_id"), "class_id", "left")
     of_class = of_class.select(*[F.col(c).alias(f"__{c}") for c in digest], "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     on = F.lit(True)
@@ -173,114 +150,239 @@ def jaccard_components(
     )
 
 
+def leader_links(wholes: DataFrame, prefix: Column, num: int, den: int, block: int) -> DataFrame:
+    """Links ``(a, b)`` that the trees of leaders find."""
+    under = wholes.select("doc_id", "n", "own", F.explode(prefix).alias("s"))
+    centres = under.groupBy("s").agg(F.min(F.struct(F.col("own") / F.col("n"), "doc_id")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    centres = materialize(centres.select("s", F.col("c.doc_id").alias("leader"), "m"))
+    led = (
+        _by_key(under.select("doc_id", "s"), centres, "s")
+        .where("leader <> doc_id")
+        .groupBy("doc_id", "leader")
+        .agg(F.count("*").alias("times"))
+        .groupBy("doc_id")
+        .agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
+    )
+    led = materialize(led)
+    sizes = materialize(led.groupBy("leader").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")))
+    members = _by_key(led, sizes, "leader").select("leader", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("j"), "doc_id")
+    every = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("leader").alias("doc_id"))
+    dealt = members.union(every).select(F.col("leader").alias("s"), F.lit(0).alias("i"), "j", F.col("j").alias("mine"), "doc_id", F.col("doc_id").alias("label"))
+    # a block is joined with itself
+    return _joined(dealt.withColumn("i", F.col("j")), wholes, num, den)
+
+
+def shingle_links(wholes: DataFrame, prefix: Column, labels: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links ``(a, b)`` between sets of different ``labels`` that share a shingle of their prefixes."""
+    marked = wholes.join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    meet = materialize(marked.select("doc_id", "label", F.explode(prefix).alias("s")))
+    who = lambda seed: F.bit_xor(F.xxhash64("doc_id", F.lit(seed)))
+    by_label = meet.groupBy("s", "label").agg(F.count("*").alias("c"), who(0).alias("x"), who(1).alias("y"))
+    open_ = by_label.groupBy("s").agg(
+        F.sum("c").alias("m"), F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
+    )
+    open_ = open_.where("labels > 1").groupBy("m", "x", "y").agg(F.min(F.struct("s", "most")).alias("one"))
+    rest = F.col("m") - F.col("one.most.c")
+    open_ = open_.select(
+        "one.s",
+        "m",
+        F.col("one.most.label").alias("most"),
+        F.when(F.col("m") <= block, 1).otherwise(F.ceil(rest / block)).cast("int").alias("rests"),
+        F.when(F.col("m") <= block, 0).otherwise(F.ceil(F.col("one.most.c") / block)).cast("int").alias("mosts"),
+    )
+    open_ = materialize(open_)
+    met = _by_key(meet, open_, "s")
+    in_most = (F.col("label") == F.col("most")) & (F.col("mosts") > 0)
+    deal = lambda blocks: F.pmod(F.xxhash64("doc_id"), F.greatest(blocks, F.lit(1))).cast("int")
+    met = met.withColumn("mine", F.when(in_most, F.col("rests") + deal(F.col("mosts"))).otherwise(deal(F.col("rests"))))
+    partners = F.when(in_most, F.col("rests")).otherwise(F.col("rests") + F.col("mosts")) - 1
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), partners))).select(
+        "s", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "label"
+    )
+    return _joined(dealt, wholes, num, den)
+
+
+def _joined(dealt: DataFrame, wholes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within the blocks ``(s, i, j)``: sets of block ``i`` against those of block ``j``."""
+    dealt = materialize(dealt)
+    ids = dealt.select("doc_id").distinct()
+    sets = wholes.select("doc_id", "n", "common").join(_small(ids), "doc_id", "left_semi")
+    return (
+        dealt.join(sets, "doc_id")
+        .repartition("s", "i", "j")
+        .sortWithinPartitions("s", "i", "j", "doc_id")
+        .select("s", "i", "j", "mine", "doc_id", "n", "label", "common")
+        .mapInPandas(lambda it: _tree_join(it, num, den), "a bigint, b bigint")
+        .distinct()
+    )
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """For a join: broadcast up to BROADCAST_ROWS rows of ids, shuffled beyond."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def _by_key(rows: DataFrame, keyed: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the one row of ``keyed`` for their key; ``m`` of it is the key's number of rows.
+
+    Hot keys are broadcast, which moves none of their rows. There are at most
+    BROADCAST_ROWS of them, as each has more than that part of all rows.
+    """
+    total = keyed.agg(F.sum("m")).first()[0] or 0
+    hot_rows = max(HOT_ROWS, total // BROADCAST_ROWS)
+    hot = F.col("m") > hot_rows
+    if keyed.where(hot).isEmpty():
+        return rows.join(keyed, on)
+    cold = rows.join(F.broadcast(keyed.where(hot).select(on)), on, "left_anti").join(keyed.where(~hot), on)
+    return rows.join(F.broadcast(keyed.where(hot)), on).unionByName(cold)
+
+
 def _shared(each: DataFrame) -> DataFrame:
     """``(doc_id, s, place)``: the rows whose shingle several sets have, with its place in the order.
 
-    A place has the logarithm of the frequency (steps of half a percent) above the hash's upper
-    51 bits. Any order gives the same links, and shingles of one place can only add comparisons. Rows are dealt by shingle once, and what counts them and what joins the counts read
-    the same exchange. A shingle's rows are streamed, never held together.
+    A place has the logarithm of the frequency (steps of half a percent) above
+    the hash's upper 51 bits. Any order gives the same links. Rows are dealt by
+    shingle once, and what counts them and what joins the counts read the same
+    exchange; a shingle's rows are streamed, never held together. Rows of hot
+    shingles aren't dealt at all: they are counted task by task.
     """
-    dealt = each.select("doc_id", "s").repartition("s")
-    often = dealt.groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    looked = each.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOK)) == 0).groupBy("s").agg(F.count("*").alias("c"))
+    looked = materialize(looked.where(F.col("c") * LOOK > HOT_ROWS))
+    total = looked.agg(F.sum("c")).first()[0] or 0
+    hot = F.broadcast(looked.where(F.col("c") > total // BROADCAST_ROWS).select("s"))
     step = F.least(F.floor(F.log2("df") * 128), F.lit(4095)).cast("long")
     place = F.shiftleft(step, 51).bitwiseOR(F.shiftrightunsigned("s", 13))
-    return dealt.join(often.where("lo < hi").select("s", place.alias("place")), "s")
 
+    def placed(rows: DataFrame) -> DataFrame:
+        often = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        return often.where("lo < hi").select("s", place.alias("place"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The ``(a, b)`` that link by their full sets; only sets of some pair are dealt out."""
-    pairs = materialize(pairs)
-    sets = sets.select("doc_id", "set")
-    x = sets.toDF("a", "sa").join(_small(pairs), "a")
-    partners = pairs.select("b").distinct()
-    x = x.join(sets.toDF("b", "sb").join(_small(partners), "b", "left_semi"), "b")
-    x = x.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return x.where((F.size("sa") + F.size("sb") - F.col("both")) * num <= F.col("both") * den).select("a", "b")
+    dealt = each.select("doc_id", "s")
+    if total == 0:
+        dealt = dealt.repartition("s")
+        return dealt.join(placed(dealt), "s")
+    here = dealt.join(hot, "s")
+    there = dealt.join(hot, "s", "left_anti").repartition("s")
+    known = F.broadcast(materialize(placed(here)))  # a row a hot shingle
+    return here.join(known, "s").unionByName(there.join(placed(there), "s"))
 
 
 class _Node:
-    """A node of the prefix tree: what is below it, as bounds."""
+    """A node of the prefix tree: the places that lead to it from the node above, and bounds of what is below."""
 
-    __slots__ = ("kids", "ends", "least_n", "most_left", "label")
+    __slots__ = ("edge", "kids", "ends", "least_n", "most_left", "label")
 
-    def __init__(self) -> None:
+    def __init__(self, edge: np.ndarray) -> None:
+        self.edge = edge
         self.kids: dict[int, _Node] = {}
-        self.ends: list[tuple] = []
+        self.ends: list[tuple] = []  # sets that end here
         self.least_n = 1 << 60
-        self.most_left = 0  # shingles that the largest set below has besides its own ones
-        self.label: int | None = -1  # of all sets below; None if there are several
-
-
-def _insert(root: _Node, row: tuple) -> None:
-    doc, n, own, label, prefix = row
-    node = root
-    for token in [None, *prefix]:
-        if token is not None:
-            node = node.kids.setdefault(token, _Node())
-        node.least_n = min(node.least_n, n)
-        node.most_left = max(node.most_left, n - own)
-        node.label = label if node.label in (-1, label) else None
-    node.ends.append(row)
-
-
-def _probe(root: _Node, row: tuple, meet: int, num: int, den: int, ordered: bool) -> Iterator[tuple[int, int]]:
-    """Sets in the tree that may link to ``row`` and have ``meet`` as the first shingle in common."""
-    doc, n, own, label, prefix = row
-    at: dict[int, int] = {}
-    for j, token in enumerate(prefix):
-        at.setdefault(token, j)
-    last = prefix[-1]
-    limit = num + den
-    todo = [(root, 0, 0, 0)]  # node, shingles passed by it, by the probe, overlap
-    while todo:
-        node, d, i, o = todo.pop()
-        if node.label == label:
-            continue
-        most = o + min(n - own - i, node.most_left - d)
-        if most * limit < num * (n + node.least_n):  # den * o >= num * (na + nb - o)
-            continue
-        for other in node.ends:
-            if o and other[3] != label and (not ordered or other[0] > doc):
-                left = o + min(n - own - i, other[1] - other[2] - d)
-                if left * limit >= num * (n + other[1]):
-                    yield doc, other[0]
-        for token, kid in node.kids.items():
-            j = at.get(token)
-            if j is None:
-                todo.append((kid, d + 1 if token <= last else d, i, o))
-            elif o or token == meet:
-                todo.append((kid, d + 1, max(i, j + 1), o + 1))
+        self.most_left = 0  # places of the longest set below, from the first of this edge on
+        self.label: int | None = -1  # of a set below while all below are joined, else None
+
+
+class _Tree:
+    """Sets as paths of a tree, and which of them are joined."""
+
+    def __init__(self, num: int, den: int) -> None:
+        self.root = _Node(np.empty(0, dtype=np.int64))
+        self.num, self.den = num, den
+        self.up: dict[int, int] = {}
+
+    def find(self, label: int) -> int:
+        top = label
+        while (above := self.up.get(top, top)) != top:
+            top = above
+        while label != top:
+            label, self.up[label] = self.up.get(label, label), top
+        return top
+
+    def insert(self, row: tuple) -> None:
+        doc, n, label, places = row
+        node, at = self.root, 0
+        while True:
+            edge = node.edge
+            k = min(len(edge), len(places) - at)
+            differ = np.flatnonzero(edge[:k] != places[at : at + k])
+            k = int(differ[0]) if len(differ) else k
+            if k < len(edge):  # the path forks within the edge
+                below = _Node(edge[k:])
+                below.kids, below.ends, below.least_n, below.label = node.kids, node.ends, node.least_n, node.label
+                below.most_left = node.most_left - k
+                node.edge, node.kids, node.ends = edge[:k], {int(edge[k]): below}, []
+            node.least_n = min(node.least_n, n)
+            node.most_left = max(node.most_left, len(places) - at)
+            if node.label == -1:
+                node.label = label
+            elif node.label is not None and self.find(node.label) != self.find(label):
+                node.label = None
+            at += k
+            if at == len(places):
+                node.ends.append(row)
+                return
+            kid = node.kids.get(int(places[at]))
+            if kid is None:
+                kid = node.kids[int(places[at])] = _Node(places[at:])
+            node = kid
+
+    def probe(self, row: tuple) -> Iterator[tuple[int, int]]:
+        """Links of ``row`` to sets of the tree that aren't joined with it; each joins them."""
+        doc, n, label, places = row
+        num, limit = self.num, self.num + self.den
+        todo = [(self.root, 0, 0)]  # node, places of the probe passed, overlap
+        while todo:
+            node, at, both = todo.pop()
+            mine = self.find(label)
+            if node.label is not None and (node.label == -1 or self.find(node.label) == mine):
+                continue
+            # den * both >= num * (n + other - both) must be within reach
+            if (both + min(len(places) - at, node.most_left)) * limit < num * (n + node.least_n):
+                continue
+            edge = node.edge
+            if len(edge):
+                end = int(np.searchsorted(places, edge[-1], side="right"))
+                part = places[at:end]
+                if len(part):
+                    i = np.searchsorted(edge, part)
+                    i[i == len(edge)] = 0
+                    both += int(np.count_nonzero(edge[i] == part))
+                at = end
+            for other in node.ends:
+                if both * limit >= num * (n + other[1]) and self.find(other[2]) != self.find(label):
+                    yield other[0], doc
+                    self.up[self.find(other[2])] = self.find(label)
+            todo.extend((kid, at, both) for kid in node.kids.values())
 
 
 def _tree_join(batches: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
-    """Pairs within each run of equal (s, i, j) of a sorted partition; a run has 2 * BLOCK rows or so."""
+    """Links within each run of equal (s, i, j) of a sorted partition; a run has 2 * BLOCK rows or so."""
 
     def joined(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-        s, i, j = key
-        root = _Node()
-        stored = [r[:5] for r in rows if r[5] == j]
-        for r in stored:
-            _insert(root, r)
+        i, j = key[1:]
+        tree = _Tree(num, den)
         out: list[tuple[int, int]] = []
-        for r in rows:
-            if r[5] == i:
-                out.extend(_probe(root, r[:5], s, num, den, i == j))
+        if i == j:
+            for mine, row in rows:
+                out.extend(tree.probe(row))
+                tree.insert(row)
+            return out
+        for mine, row in rows:
+            if mine == j:
+                tree.insert(row)
+        for mine, row in rows:
+            if mine == i:
+                out.extend(tree.probe(row))
         return out
 
     key, rows = None, []
     for pdf in batches:
         out: list[tuple[int, int]] = []
-        for s, i, j, mine, doc, n, own, label, prefix in pdf.itertuples(index=False, name=None):
+        for s, i, j, mine, doc, n, label, common in pdf.itertuples(index=False, name=None):
             if (s, i, j) != key:
                 if rows:
                     out.extend(joined(key, rows))
                 key, rows = (s, i, j), []
-            rows.append((doc, n, own, label, prefix.tolist(), mine))
+            rows.append((mine, (doc, n, label, -np.array(common, dtype=np.int64)[::-1])))  # the commonest first
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     if rows:
         yield pd.DataFrame(joined(key, rows), columns=["a", "b"], dtype="int64")
