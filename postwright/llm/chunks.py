@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +80,11 @@ def _runs(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFr
             first, last = np.append(first, np.searchsorted(word, count[ends[others]] - min_words, side="right") - 1), np.append(last[first], others)
             starts, word, ends = starts[first], word[first], ends[last]
             n_words = count[ends] - word
-            digests = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+            runs = np.empty(len(ends), dtype=object)
+            runs[:] = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            digests = pd.util.hash_array(runs, categorize=False)
+            # spans hold whole characters: a rest of one at either end is the same bytes in every holder
+            starts, ends = _whole(data, starts, ends)
             parts.append((np.full(len(ends), doc_id, dtype=np.int64), starts, ends - starts, word, n_words, digests.view(np.int64)))
             held += len(ends)
             if held >= 200_000:
@@ -91,6 +94,15 @@ def _runs(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFr
             yield _frame(parts)
 
 
+def _whole(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the parts of UTF-8 characters that they begin or end with."""
+    inner = np.append((data & 0xC0) == 0x80, False)  # bytes that go on with a character
+    for _ in range(3):
+        starts = starts + inner[starts]
+        ends = ends - inner[ends]
+    return starts, ends
+
+
 def _frame(parts: list[tuple]) -> pd.DataFrame:
     cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
     return pd.DataFrame(dict(zip(["doc_id", "start", "size", "word", "n_words", "digest"], cols, strict=True)))
@@ -99,7 +111,7 @@ def _frame(parts: list[tuple]) -> pd.DataFrame:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, end, n_words, first_doc_id, first_start)``: passages that an earlier document has.
 
-    ``start`` and ``end`` are bytes of the UTF-8 text. From each chunk on or
+    ``start`` and ``end`` are bytes of the UTF-8 text, between whole characters. From each chunk on or
     back, as few chunks as have ``min_words`` words are a run; runs are held against all
     others by digest, so that one document has all of a run, whoever has its
     parts. The document of the smallest id that has a run owns it. Runs of a
@@ -107,8 +119,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     passage, the same bytes in both; passages of several owners may overlap.
     Common phrases and lines are shorter than a run.
     Null or empty texts and rows of a null id have no runs. Rows that repeat an
-    id are one document with the longer text's spans in both; repeats within
-    one document are left alone.
+    id are one document: a repeated row changes nothing, of different texts under one id
+    each adds its spans; repeats within one document are left alone.
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     d = d.where("doc_id is not null and text is not null and text <> ''")
@@ -158,11 +170,11 @@ def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", t
 def _without(text: str | None, spans) -> str | None:
     if text is None or spans is None:
         return text
-    raw, out, at = text.encode("utf-8"), [], 0
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
     for span in spans:
         out.append(raw[at : max(at, span["start"])])
         at = max(at, span["end"])
-    return b"".join([*out, raw[at:]]).decode("utf-8", "ignore")
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

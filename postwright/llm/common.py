@@ -20,27 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the cluster names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the checkpoint folder that the session was given.
+
+    Without either, the warehouse serves where its path names a file system
+    or the session runs on one machine; elsewhere a folder of one machine would
+    be lost to the others, and an error says so.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir("/tmp/postwright-checkpoints")
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage ends there.
 
     What later steps read survives the loss of any executor, and columns that
-    a later step doesn't name are never read.
+    a later step doesn't name are never read. The folders of an application
+    lie together under ``stages-<application>`` and are read until the caller has its
+    rows; ``forget`` deletes them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{_stages(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote in this application; results that aren't written yet are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

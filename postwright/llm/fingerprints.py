@@ -10,10 +10,10 @@ from postwright.llm.common import ascii_lower, let, shingle_hashes, table, words
 SHINGLE_WORDS = 5
 #: Hashes kept a sketch: a likeness of one half has a standard error of 0.044.
 K = 128
-#: Rows a cell of the doc_id line aims at; the number of cells grows with the table.
+#: Rows a cell of the doc_id line aims at; the number of cells grows with the table, up to MAX_CELLS.
 CELL_ROWS = 4000
-#: Heads of so many cells are broadcast (24 bytes each); more are joined by shuffle.
-BROADCAST_CELLS = 200_000
+#: Bounds of cells go to the driver and back, and heads of cells are broadcast: two MB at most.
+MAX_CELLS = 1 << 15
 
 
 def sketch(text: Column, k: int = K, n: int = SHINGLE_WORDS) -> Column:
@@ -82,31 +82,34 @@ def from_text(s: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, next_text)``: each document with the next by descending id, the first after the last.
 
-    The line of ids is cut into cells; each cell also gets a copy of the first
-    document of the next one, and a window in the cell looks one row ahead: one
-    shuffle of the texts and no global order. Rows of the same id follow each
-    other by text; null ids come last. The one row of a table follows itself.
+    The line of ids is cut at their quantiles into cells of equal size, however
+    the ids lie; each cell also gets a copy of the first document of the next
+    one, and a window in the cell looks one row ahead: one shuffle of the texts
+    and no global order. Rows of the same id follow each other by the hash of
+    their text and by text; null ids come last, in cells by that hash. The one
+    row of a table follows itself.
     """
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    stats = d.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    cells = max(1, -(-stats["n"] // CELL_ROWS))
-    lo, hi = stats["lo"] or 0, stats["hi"] or 0
-    width = (hi - lo) // cells + 1
-    d = d.withColumn("cell", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long"))
-    key = F.struct(F.coalesce("doc_id", F.lit(lo - 1)).alias("i"), F.xxhash64("text").alias("x"))
+    n = d.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    cells = lambda rows: min(MAX_CELLS, max(1, -(-rows // CELL_ROWS)))
+    parts = cells(n["ids"])
+    cuts = d.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
+    # nulls below all others: a later hash, a later cell
+    late = F.floor((F.lit(2.0**63) - F.xxhash64("text")) / F.lit(2.0**64) * cells(n["n"] - n["ids"])).cast("int")
+    d = d.withColumn("cell", F.when(F.col("doc_id").isNull(), -1 - late).otherwise(_passed(F.col("doc_id"), sorted(set(cuts)))))
+    key = F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("x"))
     heads = d.groupBy("cell").agg(F.max(key).alias("head"))
-    # a line of ids alone, a row for each CELL_ROWS documents
+    # a line of 2 * MAX_CELLS rows at most
     line = Window.orderBy(F.col("cell").desc())
     last = Window.partitionBy(F.lit(0))
     heads = heads.select("head", F.coalesce(F.lag("cell").over(line), F.min("cell").over(last)).alias("to_cell"))
-    if cells <= BROADCAST_CELLS:
-        heads = F.broadcast(heads)
     copies = (
         d.withColumn("key", key)
-        .join(heads, F.col("key") == F.col("head"))
+        .join(F.broadcast(heads), F.col("key") == F.col("head"))
         .select("doc_id", "text", F.col("to_cell").alias("cell"), "key", F.lit(True).alias("copy"))
-        .dropDuplicates(["key", "cell"])
     )
+    # of texts that share the head's id and hash the first counts
+    copies = copies.groupBy("cell", "key").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("copy").alias("copy"))
     own = d.select("doc_id", "text", "cell", key.alias("key"), F.lit(False).alias("copy"))
     ahead = Window.partitionBy("cell").orderBy("copy", F.col("key").desc(), "text")
     return (
@@ -117,6 +120,26 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+def _passed(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are less than ``x``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    bounds = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    mid = lambda b: F.floor((b["lo"] + b["hi"]) / 2).cast("int")
+
+    def half(b: Column, _: Column) -> Column:
+        less = F.get(held, mid(b)) < x
+        done = b["lo"] >= b["hi"]
+        return F.struct(
+            F.when(done | ~less, b["lo"]).otherwise(mid(b) + 1).alias("lo"),
+            F.when(done | less, b["hi"]).otherwise(mid(b)).alias("hi"),
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.aggregate(steps, bounds, half, lambda b: b["lo"])
+
+
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Sketches of each text, of its edited text and of the next text.
 

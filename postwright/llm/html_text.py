@@ -15,10 +15,13 @@ from postwright.llm.common import table
 # Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = set("head script style template noscript iframe object svg math canvas audio video select datalist title meta link base textarea noembed noframes".split())
+HIDDEN = set("head script style template noscript iframe canvas audio video datalist title meta link base noembed noframes".split())
+#: The text of these controls is their value.
+WITH_VALUE = set("button email number reset search submit tel text url".split())
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section option optgroup select summary table tbody tfoot thead tr ul caption".split()
 )
 #: Blocks with an empty line around them.
 APART = set("article blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre section table ul".split())
@@ -49,10 +52,11 @@ SPACES = re.compile(r"[ \t\n\r\f]+")
 class Element:
     """An element of the tree; ``kids`` are elements and strings."""
 
-    __slots__ = ("tag", "kids", "attrs")
+    __slots__ = ("tag", "kids", "attrs", "lines")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.lines: list[str] = []  # of a table, when it is laid out
 
     def get(self, name: str) -> str | None:
         if name in self.attrs.lower():
@@ -123,14 +127,12 @@ def _close(stack: list[Element], tag: str) -> None:
 
 
 def visible(e: Element) -> bool:
-    if e.tag in HIDDEN:
-        return e.tag == "textarea"
+    if e.tag in HIDDEN or (e.tag == "dialog" and e.get("open") is None):
+        return False
     if not e.attrs:
         return True
     if e.get("hidden") is not None or (e.get("aria-hidden") or "").lower() == "true":
         return False
-    if e.tag == "input" or (e.tag == "dialog" and e.get("open") is None):
-        return False
     return not INVISIBLE.search(e.get("style") or "")
 
 
@@ -181,12 +183,25 @@ def render(source: str | None) -> str:
 
     Blocks start lines of their own and paragraphs, headings, lists and tables
     have an empty line around them; list items have a mark or a number and
-    are indented by level; the cells of a table row are padded to the width of
-    their column, two blanks between. ``pre`` keeps its blanks. A null page is "".
+    are indented by level. A table's cells stand in their columns, row and column spans
+    counted, padded to the width of the column, two blanks between; a cell of
+    several lines makes a row of several lines. Head rows come first and foot rows
+    last, and what isn't in a row comes before them, as browsers show it. ``pre``
+    keeps its blanks, without a line feed right after the tag. Options of a list,
+    values of controls and alternatives of images are text. A null page is "".
     """
     page = Page()
     if source:
-        _render(tree(source), page, 0)
+        root = tree(source)
+        tables, todo = [], [root]
+        while todo:
+            e = todo.pop()
+            if e.tag == "table":
+                tables.append(e)
+            todo.extend(kid for kid in e.kids if not isinstance(kid, str))
+        for e in reversed(tables):  # those inside others first
+            e.lines = _table(e)
+        _render(root, page, 0)
     return "\n".join(x.rstrip() for x in "".join(page.out).split("\n"))
 
 
@@ -208,12 +223,13 @@ def _render(root: Element, page: Page, level: int) -> None:
             if e.tag == "br":
                 page.line(page.breaks + 1 if page.breaks < 2 else 2)
                 continue
-            if e.tag == "img":
-                page.text(e.get("alt") or "")
-                continue
+            if e.tag in ("img", "input", "optgroup"):
+                page.text(_own_text(e))
+                if e.tag != "optgroup":
+                    continue
             if e.tag == "table":
                 page.line(2)
-                for k, row in enumerate(_table(e)):
+                for k, row in enumerate(e.lines):
                     page.line(1 if k else 2)
                     page.text(row, True)
                 page.line(2)
@@ -233,52 +249,104 @@ def _render(root: Element, page: Page, level: int) -> None:
                     counts[-1] += 1
                 page.prefix = "  " * max(level - 1, 0) + mark + " "
             keep = pre or e.tag in ("pre", "textarea")
-            todo.extend(("text", kid, inner, keep) if isinstance(kid, str) else ("open", kid, inner, keep) for kid in reversed(e.kids))
+            kids = e.kids
+            if e.tag in ("pre", "textarea") and kids and isinstance(kids[0], str):
+                kids = [re.sub(r"^\r?\n", "", kids[0]), *kids[1:]]
+            todo.extend(("text", kid, inner, keep) if isinstance(kid, str) else ("open", kid, inner, keep) for kid in reversed(kids))
+
+
+def _own_text(e: Element) -> str:
+    """The text that an element shows by its attributes."""
+    if e.tag == "img":
+        return e.get("alt") or ""
+    if e.tag == "optgroup":
+        return e.get("label") or ""
+    return (e.get("value") or e.get("placeholder") or "") if (e.get("type") or "text").lower() in WITH_VALUE else ""
+
 
+PARTS = {"thead": 1, "tbody": 2, "tfoot": 3}
 
-def _rows(e: Element) -> Iterator[Element]:
-    todo = [e]
+
+def _rows(e: Element) -> list[Element]:
+    """The rows of a table as they are shown: what is in no row and captions, head, body, foot."""
+    found: list[tuple[int, Element]] = []
+    todo: list[tuple[int, object]] = [(2, kid) for kid in reversed(e.kids)]
     while todo:
-        x = todo.pop(0)
-        for kid in x.kids:
-            if isinstance(kid, str) or not visible(kid):
+        part, kid = todo.pop()
+        if isinstance(kid, str):
+            if not kid.strip():
                 continue
-            if kid.tag in ("tr", "caption"):
-                yield kid
-            elif kid.tag in ("tbody", "thead", "tfoot"):
-                todo.append(kid)
-            else:  # what stands between the rows is shown as a row of its own
-                row = Element("tr")
-                row.kids = [kid]
-                yield row
+        elif not visible(kid):
+            continue
+        elif kid.tag in PARTS:
+            todo.extend((PARTS[kid.tag], x) for x in reversed(kid.kids))
+            continue
+        elif kid.tag in ("tr", "caption"):
+            found.append((part if kid.tag == "tr" else 0, kid))
+            continue
+        stray = Element("caption")
+        stray.kids = [kid]
+        found.append((-1, stray))
+    return [row for _, row in sorted(found, key=lambda x: x[0])]
+
+
+def _span(e: Element, name: str, most: int) -> int:
+    n = e.get(name) or "1"
+    return max(1, min(int(n), most)) if n.isascii() and n.isdecimal() else 1
 
 
 def _table(e: Element) -> list[str]:
-    rows: list[list[str]] = []
+    """The lines of a table whose inner tables are laid out."""
+    rows: list[dict[int, tuple[list[str], int]]] = []  # lines and width in columns, by column
+    held: dict[int, int] = {}  # rows for which a column is taken from above
     for row in _rows(e):
-        cells: list[str] = []
-        for kid in [row] if row.tag == "caption" else row.kids:
+        cells: dict[int, tuple[list[str], int]] = {}
+        at = 0
+        alone = row.tag == "caption"
+        taken = {} if alone else {k: n - 1 for k, n in held.items() if n > 1}
+        for kid in [row] if alone else row.kids:
             if isinstance(kid, str):
-                if kid.strip():
-                    cells.append(SPACES.sub(" ", kid).strip())
-            elif visible(kid):
-                page = Page()
-                inner = Element("div")
+                if not kid.strip():
+                    continue
+                wide, high, lines = 1, 1, [SPACES.sub(" ", kid).strip()]
+            elif not visible(kid):
+                continue
+            else:
+                page, inner = Page(), Element("div")
                 inner.kids = kid.kids if kid.tag in ("td", "th", "caption") else [kid]
                 _render(inner, page, 0)
-                cells.append(" ".join("".join(page.out).split("\n")))
-                span = kid.get("colspan") or "1"
-                cells.extend([""] * (min(int(span), 100) - 1 if span.isdecimal() and len(span) < 5 else 0))
-        if any(cells):
+                lines = [x.rstrip() for x in "".join(page.out).split("\n")]
+                lines = [x for x in lines if x]
+                wide, high = _span(kid, "colspan", MAX_COLSPAN), _span(kid, "rowspan", MAX_ROWSPAN)
+            while not alone and at in held:
+                at += 1
+            cells[at] = lines, wide
+            if high > 1 and not alone:
+                taken.update({k: high for k in range(at, at + wide)})
+            at += wide
+        if not alone:
+            held = {k: n for k, n in taken.items() if n > 1}
+        if any(lines for lines, _ in cells.values()):
             rows.append(cells)
-    widths: list[int] = []
+    widths: dict[int, int] = {}
+    for over in (False, True):  # cells over several columns widen the last of these at need
+        for cells in rows:
+            for k, (lines, wide) in cells.items():
+                if (wide > 1) == over and (k < max(cells) or len(cells) > 1):
+                    rest = sum(widths.get(c, 0) + 2 for c in range(k, k + wide - 1))
+                    widths[k + wide - 1] = max(widths.get(k + wide - 1, 0), *(len(x) - rest for x in lines), 0)
+    out: list[str] = []
     for cells in rows:
-        if len(cells) > 1:
-            for k, cell in enumerate(cells):
-                if k == len(widths):
-                    widths.append(0)
-                widths[k] = max(widths[k], len(cell))
-    return ["  ".join(c.ljust(widths[k]) if k + 1 < len(cells) else c for k, c in enumerate(cells)).rstrip() for cells in rows]
+        last = max(cells)
+        for n in range(max(len(lines) for lines, _ in cells.values())):
+            line, k = [], 0
+            while k <= last:
+                lines, wide = cells.get(k, ([], 1))
+                text = lines[n] if n < len(lines) else ""
+                line.append(text.ljust(sum(widths.get(c, 0) + 2 for c in range(k, k + wide)) - 2) if k < last else text)
+                k += wide
+            out.append("  ".join(line).rstrip())
+    return out
 
 
 def rendered(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

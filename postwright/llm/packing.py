@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postwright.llm.common import let, materialize, table, words
+from postwright.llm.common import BLANKS, NOT_BLANK, let, materialize, table, words
 
 #: A longer document is cut into pieces of so many tokens.
 MAX_TOKENS = 8192
@@ -134,14 +134,21 @@ def pack(
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Pieces of all documents with their batch; ``text`` of a piece beyond a whole document is its words, a blank between."""
+    """Pieces of all documents with their batch and ``text``: a piece begins at its first word and ends before the next piece's.
+
+    A document's pieces in order are its text, blanks and line feeds included.
+    Null and blank texts have no piece; repeated rows have pieces of their own;
+    an empty table gives an empty table.
+    """
     cut = pieces(docs, id_col, text, how.get("max_tokens", MAX_TOKENS))
     sizes = materialize(cut.select("doc_id", "piece", "n_tokens"))
     out = pack(cut, sizes, **how)
     own = F.col(f"__row.`{text}`")
-    part = F.when(
-        (F.col("piece") == 0) & (F.col("n_tokens") < how.get("max_tokens", MAX_TOKENS)), own
-    ).otherwise(F.array_join(F.slice(words(own), (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")), " "))
+    with_blanks = F.regexp_extract_all(own, F.lit(f"{NOT_BLANK}+(?:{BLANKS})?"), F.lit(0))
+    part = F.array_join(F.slice(with_blanks, (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")), "")
+    lead = F.when(F.col("piece") == 0, F.regexp_extract(own, f"^{BLANKS}", 0)).otherwise("")
+    whole = (F.col("piece") == 0) & (F.col("n_tokens") < how.get("max_tokens", MAX_TOKENS))
+    part = F.when(whole, own).otherwise(F.concat(lead, part))  # the same text, without a cut where there is nothing to cut
     return out.select("doc_id", "piece", "first_token", "n_tokens", "bucket_len", "batch_id", "slot", part.alias("text"))
 
 

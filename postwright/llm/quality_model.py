@@ -6,6 +6,7 @@ ordered thresholds t_1 < t_2 < ...
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -41,7 +42,7 @@ def _slot(name: str) -> int:
 def _shape(word: str) -> str:
     for pattern, to in SHAPES:
         word = pattern.sub(to, word)
-    return word[:8]
+    return word
 
 
 def features(text: str, cache: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,50 +77,60 @@ def features(text: str, cache: dict[str, tuple[int, int]]) -> tuple[np.ndarray,
         f"distinct:{int(10 * len(counts) / n)}",
         f"pairs:{int(10 * pairs)}",
         f"lines:{int(10 * len(set(lines)) / max(len(lines), 1))}",
-        f"length:{min(n, 4096).bit_length()}",
-        f"width:{min(int(2 * len(text) / n), 40)}",
+        f"length:{n.bit_length()}",
+        f"width:{int(8 * math.log2(len(text) / n))}",
         "bias",
     ]
     slots = np.concatenate([np.array(words, dtype=np.int32), np.array(list(shapes), dtype=np.int32), np.array([_slot(x) for x in steps], dtype=np.int32)])
     return slots, np.concatenate([v, s, np.full(len(steps), 0.5, dtype=np.float32)])
 
 
+def _cuts(t: np.ndarray) -> np.ndarray:
+    """Ordered thresholds of a first one and the logarithms of the gaps."""
+    return np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+
+
+def likelihood(w: np.ndarray, t: np.ndarray, y: np.ndarray, of: np.ndarray, slot: np.ndarray, value: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log-likelihood less the ridge, and its gradients by the weights and by ``t``.
+
+    Row ``of[i]`` has ``value[i]`` in slot ``slot[i]``; ``y`` are the grades.
+    """
+    cuts, n = _cuts(t), len(y)
+    f = np.bincount(of, value * w[slot], n)
+    tail = 1 / (1 + np.exp(-np.clip(f[:, None] - cuts[None, :], -30, 30)))  # P(y >= k), k = 1..
+    full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], axis=1)
+    at = np.arange(n)
+    p = np.maximum(full[at, y] - full[at, y + 1], 1e-9)
+    d = full * (1 - full)  # derivatives of the tails by f
+    by_f = (d[at, y] - d[at, y + 1]) / p
+    by_cut = np.array([((d[:, k] / p) * ((y == k - 1).astype(float) - (y == k))).sum() for k in range(1, len(cuts) + 1)])
+    down = by_cut[::-1].cumsum()[::-1]
+    by_t = np.concatenate([down[:1], down[1:] * np.exp(t[1:])]) / n
+    return float(np.log(p).mean() - RIDGE * (w * w).sum() / 2), np.bincount(slot, value * by_f[of], len(w)) / n - RIDGE * w, by_t
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative-link model, by Adam on the whole sample.
 
     Thresholds are a first one and logarithms of the gaps, so they can't cross.
     """
-    w, t = np.zeros(DIM), np.concatenate([[0.0], np.zeros(max(grades - 2, 0))])
+    w, t = np.zeros(DIM), np.zeros(max(grades - 1, 1))
     if not rows or grades < 2:
-        return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+        return w, _cuts(t)
     y = np.array([r[0] for r in rows])
     of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     slot, value = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(np.float64)
     m = [np.zeros(DIM), np.zeros(len(t))]
     q = [np.zeros(DIM), np.zeros(len(t))]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
-        cuts = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        f = np.bincount(of, value * w[slot], len(rows))
-        tail = sigmoid(f[:, None] - cuts[None, :])  # P(y >= k), k = 1..
-        full = np.concatenate([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))], axis=1)
-        at = np.arange(len(rows))
-        p = np.maximum(full[at, y] - full[at, y + 1], 1e-9)
-        d = full * (1 - full)  # derivatives of the tails by f
-        g_f = (d[at, y] - d[at, y + 1]) / p
-        g_cut = np.zeros(len(cuts))
-        for k in range(1, len(cuts) + 1):
-            g_cut[k - 1] = (-(d[:, k] / p) * (y == k) + (d[:, k] / p) * (y == k - 1)).sum()
-        down = g_cut[::-1].cumsum()[::-1]
-        g_t = np.concatenate([down[:1], down[1:] * np.exp(t[1:])])
-        grads = [np.bincount(slot, value * g_f[of], DIM) / len(rows) - RIDGE * w, g_t / len(rows)]
+        _, *grads = likelihood(w, t, y, of, slot, value)
         for x, g, a, b in zip([w, t], grads, m, q, strict=True):
             a *= 0.9
             a += 0.1 * g
             b *= 0.999
             b += 0.001 * g * g
             x += RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+    return w, _cuts(t)
 
 
 def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -5,9 +5,10 @@
 2. A word scores the best log-odds of it and its stems, less a drift; a word that
    the lexicon doesn't know costs the drift. All maximal segments of a document come from one scan.
 3. Segments get the E-value of the extreme-value law for maximal segments, with
-   lambda solved for the clean tokens; a document's statistic sums its
-   significant segments, and a logistic curve over the training documents
-   makes a probability of it.
+   lambda solved for the clean tokens and K estimated from the best segments of
+   the clean training documents; a document's statistic sums its significant
+   segments, and a logistic curve over the training documents makes a
+   probability of it.
 """
 
 from __future__ import annotations
@@ -31,15 +32,12 @@ PRIOR = 5000.0
 MIN_Z = 2.5
 #: Cost of a token besides its log-odds.
 DRIFT = 0.2
-#: The bound of what the model is learnt from and of its size: training documents and lexicon tokens.
+#: The bound of what the model is learnt from: training documents. Its lexicon has the significant tokens of these.
 TRAIN_ROWS = 200_000
-LEXICON = 50_000
 #: Stems of so many letters are tokens besides the word itself: inflected forms are too rare to be learnt one by one.
 STEMS = (4, 5, 6)
 #: Words of which a task remembers the score.
 MEMORY = 500_000
-#: K of the extreme-value law.
-EVD_K = 0.1
 #: Segments of a smaller E-value are significant passages.
 MAX_E = 0.05
 
@@ -90,7 +88,7 @@ def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def lexicon(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(token, odds, z, background)`` of the tokens that speak for toxicity, at most ``LEXICON``."""
+    """``(token, odds, z, background)`` of the tokens that speak significantly for toxicity; TRAIN_ROWS bounds them."""
     t = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = t.join(F.broadcast(train), "doc_id").select("y", "text")  # TRAIN_ROWS bounds what is broadcast
     n = materialize(
@@ -104,7 +102,7 @@ def lexicon(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text: str
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (F.lit(nt + PRIOR) - a)) - F.log(b / (F.lit(nc + PRIOR) - b))
     scored = n.select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (F.col("uses") / F.lit(uses)).alias("background"))
-    return scored.where((F.col("z") >= MIN_Z) & (F.col("odds") > DRIFT)).orderBy(F.col("z").desc(), "token").limit(LEXICON)
+    return scored.where((F.col("z") >= MIN_Z) & (F.col("odds") > DRIFT))
 
 
 def evd_lambda(scores: list[float], background: list[float], drift: float = DRIFT) -> float:
@@ -129,7 +127,8 @@ def maximal_segments(events: list[tuple[int, float]], drift: float = DRIFT) -> l
     cumulative score at both ends; a new one swallows those before it as long as
     that raises its score.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, cumulative before, cumulative after
+    # first, last, cumulative before, cumulative after, nearest earlier entry with a smaller sum before
+    stack: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, 0
     for position, score in events:
         total -= drift * (position - at)
@@ -137,20 +136,22 @@ def maximal_segments(events: list[tuple[int, float]], drift: float = DRIFT) -> l
         first, low = position, total
         total += score
         high = total
-        while stack:
-            # segments before it that begin no lower can't be extended, they are maximal
-            k = len(stack) - 1
+        k = len(stack) - 1
+        while True:
+            # segments that begin no lower can't be extended: the links pass each of them once
             while k >= 0 and stack[k][2] >= low:
-                k -= 1
+                k = stack[k][4]
             if k < 0 or stack[k][3] >= high:
                 break
-            first, low = stack[k][0], stack[k][2]
+            first, low, before = stack[k][0], stack[k][2], stack[k][4]
             del stack[k:]
-        stack.append((first, position, low, high))
-    return [(a, b, high - low) for a, b, low, high in stack]
+            k = before
+        stack.append((first, position, low, high, k))
+    return [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
-def _scorer(scores: dict[str, float], rate: float):
+def _scorer(scores: dict[str, float]):
+    """A function that gives a text's number of tokens and its maximal segments."""
     memory: dict[str, float] = {}
 
     def score(word: str) -> float:
@@ -160,20 +161,50 @@ def _scorer(scores: dict[str, float], rate: float):
         memory[word] = best = max((scores.get(t, 0.0) for t in tokens_of(word)), default=0.0)
         return best
 
-    def statistic(text: str) -> tuple[float, list[tuple[int, int, float]]]:
+    def segments(text: str) -> tuple[int, list[tuple[int, int, float]]]:
         tokens = TOKEN.findall(text.lower())
         events = [(i, x) for i, w in enumerate(tokens) if (x := memory[w] if w in memory else score(w)) > 0]
-        if not events:
-            return -20.0, []
-        length = math.log(EVD_K * max(len(tokens), 2))
-        found = sorted(((rate * s - length, a, b) for a, b, s in maximal_segments(events)), reverse=True)
-        good = [x for x in found if x[0] >= -math.log(MAX_E)]
-        value = sum(x[0] for x in good) - math.lgamma(len(good) + 1) if good else found[0][0]
-        return min(50.0, max(-20.0, value)), [(a, b + 1, v) for v, a, b in good]
+        return len(tokens), maximal_segments(events)
+
+    return segments
+
+
+def statistic(n: int, found: list[tuple[int, int, float]], rate: float, k: float) -> tuple[float, list[tuple[int, int, float]]]:
+    """A document's evidence, 0 without a segment, and its significant passages ``(first, end, -log E)``.
+
+    The sum over the significant segments, less what any order of them would
+    give; if none is, minus the logarithm of the best one's P-value.
+    """
+    if not found:
+        return 0.0, []
+    length = math.log(k * max(n, 2))
+    by = sorted(((rate * s - length, a, b) for a, b, s in found), reverse=True)
+    good = [x for x in by if x[0] >= -math.log(MAX_E)]
+    value = sum(x[0] for x in good) - math.lgamma(len(good) + 1) if good else -math.log(max(-math.expm1(-math.exp(-by[0][0])), 1e-300))
+    return value, [(a, b + 1, v) for v, a, b in good]
+
+
+def toxic_statistics(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, statistic, passages)`` for every row: passages are token spans with the log of their E-value."""
+    words = lexicon(docs, train, id_col, text).collect()  # the significant tokens of TRAIN_ROWS documents
+    scores = {r["token"]: r["odds"] - DRIFT for r in words}
+    rate = evd_lambda([r["odds"] - DRIFT for r in words], [r["background"] for r in words])
+    t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segments = _scorer(scores)
+        for pdf in batches:
+            got = [segments(x) for x in pdf["text"]]
+            yield pd.DataFrame({"e": [n * math.exp(-rate * max((s for *_, s in found), default=0.0)) for n, found in got]})
+
+    # K n exp(-lambda M) has mean 1 over clean documents of n tokens whose best segment scores M
+    e = t.join(F.broadcast(train.where("y = 0")), "doc_id").select("text").mapInPandas(clean, "e double").agg(F.sum("e").alias("e"), F.count("*").alias("n")).first()
+    k = e["n"] / e["e"] if e["e"] else 1.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segments = _scorer(scores)
         for pdf in batches:
-            got = [statistic(t) for t in pdf["text"]]
+            got = [statistic(*segments(x), rate, k) for x in pdf["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
@@ -182,18 +213,7 @@ def _scorer(scores: dict[str, float], rate: float):
                 }
             )
 
-    return run
-
-
-def toxic_statistics(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, statistic, passages)`` for every row: passages are token spans with the log of their E-value."""
-    words = lexicon(docs, train, id_col, text).collect()  # LEXICON rows at most
-    scores = {r["token"]: r["odds"] - DRIFT for r in words}
-    rate = evd_lambda([r["odds"] - DRIFT for r in words], [r["background"] for r in words])
-    t = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return t.mapInPandas(
-        _scorer(scores, rate), "doc_id bigint, statistic double, passages array<struct<first int, end int, log_e double>>"
-    )
+    return t.mapInPandas(run, "doc_id bigint, statistic double, passages array<struct<first int, end int, log_e double>>")
 
 
 def calibration(bars: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -228,7 +248,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     """
     train = materialize(training(labels, "toxic"))
     found = materialize(toxic_statistics(docs, train, id_col, text))
-    bar = F.round(F.col("statistic") * 4) / 4  # 281 bars, however many documents
+    bar = F.round(F.col("statistic") * 4) / 4  # as many bars as training documents at most
     rows = found.join(F.broadcast(train), "doc_id").groupBy(bar.alias("x")).agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).orderBy("x")
     a, b = calibration([(r["x"], r["t"], r["c"]) for r in rows.collect()])
     if train.isEmpty():
