@@ -134,9 +134,11 @@ def pack(
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Pieces of all documents with their batch and ``text``: a piece begins at its first word and ends before the next piece's.
+    """Pieces of all documents with their batch and ``text``: a piece runs from its first word to its last.
 
-    A document's pieces in order are its text, blanks and line feeds included.
+    Blanks and line feeds within a piece are those of the text, whatever its
+    length; those before the first and after the last word of a document stay
+    with its outer pieces, and the run of blanks at a cut is left out.
     Null and blank texts have no piece; repeated rows have pieces of their own;
     an empty table gives an empty table.
     """
@@ -145,7 +147,13 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -
     out = pack(cut, sizes, **how)
     own = F.col(f"__row.`{text}`")
     with_blanks = F.regexp_extract_all(own, F.lit(f"{NOT_BLANK}+(?:{BLANKS})?"), F.lit(0))
-    part = F.array_join(F.slice(with_blanks, (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")), "")
+    first, n = F.col("first_token").cast("int"), F.col("n_tokens").cast("int")
+
+    def between(ws: Column) -> Column:
+        run = F.array_join(F.slice(ws, first + 1, n), "")
+        return F.when(first + n < F.size(ws), F.regexp_replace(run, f"{BLANKS}$", "")).otherwise(run)
+
+    part = let(with_blanks, between)
     lead = F.when(F.col("piece") == 0, F.regexp_extract(own, f"^{BLANKS}", 0)).otherwise("")
     whole = (F.col("piece") == 0) & (F.col("n_tokens") < how.get("max_tokens", MAX_TOKENS))
     part = F.when(whole, own).otherwise(F.concat(lead, part))  # the same text, without a cut where there is nothing to cut
