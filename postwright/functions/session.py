@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame
 
 
 def cut_off(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the folder that executors share: its lineage ends there."""
-    context = df.sparkSession.sparkContext
+    """``df`` as a reliable checkpoint in the folder that executors share: its lineage ends there.
+
+    The folder is ``spark.checkpoint.dir`` or the session's own. Without either, a session on
+    one machine uses its warehouse; elsewhere nothing is known to be shared, and an error says so.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/postwright-checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return df.checkpoint()

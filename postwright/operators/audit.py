@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwright.functions.text import alias_key
+
 FIELDS = ["title", "description"]
 # Short words that are aliases and everyday words.
-AMBIGUOUS = ["ai", "ia", "ml", "bi", "r", "c", "go", "sap", "gcp", "rag", "llm", "chef", "spark", "rust", "excel"]
+AMBIGUOUS = ["ai", "bi", "c", "ci", "go", "it", "ml", "nlp", "qa", "r", "chef", "jira", "monday", "notion", "tableau"]
 
 
 def evidence_violations(found: DataFrame, jobs: DataFrame, skills: DataFrame) -> DataFrame:
@@ -86,7 +88,8 @@ def high_count_review(ledger: DataFrame, found: DataFrame, n: int = 25) -> DataF
 
 def is_ambiguous(alias: Column) -> Column:
     """Short aliases, such with punctuation, short capitals and everyday words."""
-    return (F.char_length(alias) <= 3) | alias.rlike(r"[^\w\s]") | ((F.char_length(alias) <= 5) & (alias == F.upper(alias))) | F.lower(alias).isin(AMBIGUOUS)
+    key = alias_key(alias)
+    return (F.char_length(key) <= 3) | alias.rlike(r"(?U)[^\w\s]") | ((F.char_length(alias) <= 5) & (alias == F.upper(alias)) & (alias != F.lower(alias))) | key.isin(AMBIGUOUS)
 
 
 def ambiguous_review(found: DataFrame, texts: DataFrame, n: int = 100, width: int = 80) -> DataFrame:

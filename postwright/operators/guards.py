@@ -183,18 +183,34 @@ def stratified_sample(jobs: DataFrame, size: int, seed: int = 20260724, truncate
     return got.union(take(without(jobs, got), size - got.count(), 4, "fallback", "standard"))
 
 
-# Topics with their phrases, in order; analytical wording.
+# Topics with their phrases, in order.
 TOPICS = {
     "cv_upload": ["upload my cv", "upload a cv", "upload cv", "extraction confidence", "how is my cv", "parse my cv", "extract my cv", "cv extraction"],
-    "job_matching": ["job matching", "how does matching work", "how do matches work", "match score", "final score", "lexical", "semantic", "hybrid mode", "retrieval source"],
+    "matching": ["job matching", "how does matching work", "how do matches work", "match score", "final score", "lexical", "semantic", "hybrid mode", "retrieval source"],
     "skill_gap": ["skill gap", "missing skills", "what skills am i missing", "recommended skills"],
-    "cv_improve": ["improve my cv", "cv improvement", "quality report", "cv score", "rewrite my cv"],
+    "cv_improve_quality": ["improve my cv", "cv improvement", "quality report", "cv score", "rewrite my cv"],
+    "corpus_data_source": [
+        "where does the data come from", "data source", "how many jobs are in the corpus", "how up to date", "how fresh", "job postings come from", "snapshot",
+    ],
+    "chat_assistant": ["what can you do", "what can this chatbot", "who are you", "what is this assistant", "help me understand this chat"],
 }
+# Wording that asks for figures, by intent.
 SALARY_WORDS = r"\baverage\b|\bmean\b|\btypical salary\b|salary (of|for|in)|how much (does|do|is|are|can)|\bmoyenne\b|\bsalaire\b|combien gagne"
-TOP_WORDS = r"\btop \d*\s*skills\b|\bmost (common|in-demand|requested|popular|needed)\b|plus (demand|recherch|courant|populaire)|quelles? comp[ée]tences|top comp[ée]tences"
-SHARE_WORDS = r"%|percent|percentage|proportion|fraction|share of|pourcentage|part de"
+TOP_WORDS = (
+    r"\btop \d*\s*skills\b|\bmost common\b|\bmost in-demand\b|\bmost requested\b|\bmost popular\b|\bmost needed\b|"
+    r"plus demand[ée]e?s?|plus recherch[ée]e?s?|plus courantes?|plus populaires?|quelles? comp[ée]tences|top comp[ée]tences"
+)
+SHARE_WORDS = r"%|percent|percentage|proportion|fraction|share of|pourcentage|proportion de|part de"
 COUNT_WORDS = r"\bhow many\b|\bnumber of\b|\bcount of\b|\btotal (number|count)\b|\bcombien\b|\bnombre de\b"
-SPREAD_WORDS = r"\bdistribution\b|\bbreakdown\b|\bsplit by\b|\bcompare\b|r[ée]partition\b|comparer\b"
+# Wording that asks for figures at all; salaries and ranks are asked for in other words than the intents have.
+ANALYTICAL = [
+    SHARE_WORDS,
+    COUNT_WORDS,
+    r"\baverage\b|\bmean\b|\btypical salary\b|salary (of|for|in)|how much (does|do|is|are|can)|\bmoyenne\b|salaire moyen|en moyenne|salaire (de|pour|en)",
+    r"\btop \d*\s*skills\b|\bmost common\b|\bmost in-demand\b|\bmost requested\b|\bmost popular\b|\bmost needed\b",
+    r"plus demand[ée]s?|plus courants?|plus recherch[ée]s?|plus populaires?",
+    r"\bdistribution\b|\bbreakdown\b|\bsplit by\b|\bcompare\b|r[ée]partition\b|comparer\b",
+]
 
 
 def topic(question: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
@@ -214,7 +230,7 @@ def topic(question: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
 
 
 def route(question: Column) -> Column:
-    analytical = F.lower(question).rlike("|".join([SALARY_WORDS, TOP_WORDS, SHARE_WORDS, COUNT_WORDS, SPREAD_WORDS]))
+    analytical = F.lower(question).rlike("|".join(ANALYTICAL))
     return F.when(topic(question).isNotNull(), "platform").when(analytical, "sql").otherwise("unresolved")
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwright.functions.text import alias_key
+
 # Weights of the final score and of the skill score.
 WEIGHTS = {"skills": 0.50, "experience": 0.15, "career_level": 0.15, "domain": 0.10, "job_type": 0.05, "location": 0.05}
 SKILL_WEIGHTS = {"coverage": 0.55, "relevance": 0.20, "richness": 0.10, "specificity": 0.15}
@@ -31,6 +33,15 @@ BUSINESS_DOMAINS = [
     "Management", "Customer Service", "Customer Relationship Management", "Sales", "Insurance", "Communication", "Digital Transformation",
     "Commercial Support", "Administrative Operations", "Stock Management",
 ]
+# Role families that aren't technical; words of technical titles, in folded form.
+NON_TECHNICAL_ROLES = [
+    "Sales", "Customer Service", "Management", "Marketing", "Business Development", "Human Resources", "Finance", "Insurance",
+    "Customer Relationship Management", "Administrative Operations",
+]
+TECHNICAL_TITLE = (
+    r"\b(data|developer|developpeur|full stack|software|logiciel|technical|technology|engineer|ingenieur|architect|architecture|"
+    r"technico|integrateur|database|tester|testeur|sw|it)\b"
+)
 CAREER_RANK = {
     "student": 0, "internship": 0, "apprenticeship": 0, "junior": 1, "mid": 2, "consultant": 2, "senior": 3, "lead": 4, "principal": 4,
     "manager": 4, "unknown": -1,
@@ -190,6 +201,38 @@ def business_mismatch(profile_domains: Column, profile_skills: Column, job_domai
     )
 
 
+def suppressed() -> Column:
+    """Whether a scored row isn't to be shown: a technical job for a business profile without technical skills.
+
+    A job is technical by its domains (the mismatch penalty says so), its title or its skills.
+    """
+    known = _texts(GENERIC + SPECIALISED + TECHNICAL_DOMAINS)
+    business = F.arrays_overlap("p_domains", _texts(BUSINESS_DOMAINS)) & ~F.arrays_overlap("p_skills", known)
+    technical = alias_key(F.coalesce("j_title", F.lit(""))).rlike(TECHNICAL_TITLE) | F.arrays_overlap("j_skills", _texts(GENERIC + SPECIALISED))
+    mismatch = F.exists("penalties", lambda p: p["code"] == "business_profile_technical_role_mismatch")
+    return F.coalesce(mismatch, F.lit(False)) | F.coalesce(business & technical, F.lit(False))
+
+
+def with_covered(profiles: DataFrame, index: DataFrame) -> DataFrame:
+    """``profiles`` with ``covered``: the skills that their domains and roles name, by any alias of ``index``.
+
+    ``index`` has ``folded`` and ``canonical``. Covered skills are no gaps; they don't count as matched.
+    """
+    labels = F.array_union("domains", "roles") if "roles" in profiles.columns else F.col("domains")
+    named = profiles.select("profile_id", F.explode(labels).alias("label")).select("profile_id", alias_key(F.col("label")).alias("folded"))
+    own = named.join(index.select("folded", "canonical"), "folded").groupBy("profile_id").agg(F.sort_array(F.collect_set("canonical")).alias("covered"))
+    return profiles.join(own, "profile_id", "left").withColumn("covered", F.coalesce("covered", F.expr(_NONE)))
+
+
+def of_contract(rows: DataFrame, wishes: DataFrame) -> DataFrame:
+    """Rows whose contract is the one that the profile's wish names, letters of either case alike; no wish keeps all.
+
+    Applied to scored rows it filters before the top is taken, to ranked rows after. ``wishes``: profile_id, contract_type.
+    """
+    w = wishes.select("profile_id", F.lower("contract_type").alias("__wish"))
+    return rows.join(w, "profile_id", "left").where(F.col("__wish").isNull() | (F.lower("j_contract_type") == F.col("__wish"))).drop("__wish")
+
+
 def scored(candidates: DataFrame, profiles: DataFrame, jobs: DataFrame, mode: str = "lexical", alpha: float = ALPHA, generic: list[str] = GENERIC, specialised: list[str] = SPECIALISED) -> DataFrame:
     """Candidates with all parts of their score; ``semantic_score`` may be absent or null."""
     p = profiles.select(*[F.col(c).alias(f"p_{c}" if c != "profile_id" else c) for c in profiles.columns])
@@ -200,7 +243,8 @@ def scored(candidates: DataFrame, profiles: DataFrame, jobs: DataFrame, mode: st
     if "p_confidence" not in d.columns:
         d = d.withColumn("p_confidence", F.lit(1.0))
     d = d.withColumn("matched", F.sort_array(F.array_intersect("p_skills", "j_skills")))
-    d = d.withColumn("missing", F.sort_array(F.array_except("j_skills", "p_skills")))
+    known = F.array_union("p_skills", "p_covered") if "p_covered" in d.columns else F.col("p_skills")
+    d = d.withColumn("missing", F.sort_array(F.array_except("j_skills", known)))
     nm, nj, np_ = F.size("matched"), F.size("j_skills"), F.size("p_skills")
     mean = F.aggregate("matched", F.lit(0.0), lambda a, s: a + specificity_value(s, generic, specialised)) / F.greatest(nm, F.lit(1))
     d = d.withColumns(
@@ -242,26 +286,36 @@ def scored(candidates: DataFrame, profiles: DataFrame, jobs: DataFrame, mode: st
 
 
 def ranked(rows: DataFrame, top: int) -> DataFrame:
-    """The ``top`` jobs of each profile by eight keys, numbered from 1."""
+    """The ``top`` jobs of each profile by eight keys, numbered from 1; suppressed ones don't rank."""
     keys = [F.col("final_score").desc(), F.round("coverage", 4).desc(), F.col("specialized_count").desc(), F.size("matched").desc(),
             F.size("j_skills").desc(), F.round("career_score", 4).desc(), F.round("experience_score", 4).desc(), F.col("job_id")]
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("profile_id").orderBy(*keys))).where(F.col("rank") <= top)
+    return rows.where(~suppressed()).withColumn("rank", F.row_number().over(Window.partitionBy("profile_id").orderBy(*keys))).where(F.col("rank") <= top)
 
 
 def cautioned(rows: DataFrame, label: str = "p_quality_label", points: float = 15.0) -> DataFrame:
-    """Low-confidence profiles lose points, with a penalty row that says so."""
+    """Low-confidence profiles lose points, with a penalty row that says so, and their jobs are numbered again by score and id."""
     low = F.col(label) == "low"
     note = F.array(F.struct(F.lit("low_extraction_confidence").alias("code"), F.lit(points / 100).alias("amount")))
-    return rows.withColumn("final_score", F.when(low, F.greatest(F.lit(0.0), F.col("final_score") - points)).otherwise(F.col("final_score"))).withColumn(
-        "penalties", F.when(low, F.concat("penalties", note)).otherwise(F.col("penalties"))
-    )
+    again = F.row_number().over(Window.partitionBy("profile_id").orderBy(F.col("final_score").desc(), "job_id"))
+    lower = F.round(F.greatest(F.lit(0.0), F.col("final_score") - points), 2)
+    out = rows.withColumn("final_score", F.when(low, lower).otherwise(F.col("final_score")))
+    out = out.withColumn("penalties", F.when(low, F.concat("penalties", note)).otherwise(F.col("penalties")))
+    return out.withColumn("rank", F.when(low, again).otherwise(F.col("rank"))) if "rank" in rows.columns else out
 
 
 def in_scope(profiles: DataFrame, skills: DataFrame) -> DataFrame:
-    """Profiles with a skill that isn't soft, or a technical domain."""
-    hard = profiles.select("profile_id", F.explode("skills").alias("canonical")).join(skills.where("category <> 'soft'").select("canonical"), "canonical")
-    known = hard.select("profile_id").union(profiles.where(F.arrays_overlap("domains", _texts(TECHNICAL_DOMAINS))).select("profile_id")).distinct()
-    return profiles.join(known, "profile_id", "left_semi")
+    """All profiles but those that are plainly not technical.
+
+    Out are profiles with a business domain or a role that isn't technical, without a technical
+    domain and without any skill but soft ones. Silence about domains and roles keeps a profile.
+    """
+    has = lambda c, values: F.coalesce(F.arrays_overlap(c, _texts(values)), F.lit(False))
+    other = has("domains", BUSINESS_DOMAINS)
+    if "roles" in profiles.columns:
+        other = other | has("roles", NON_TECHNICAL_ROLES)
+    hard = profiles.select("profile_id", F.explode("skills").alias("canonical")).join(skills.where("category <> 'soft_skill'").select("canonical"), "canonical")
+    out = profiles.where(other & ~has("domains", TECHNICAL_DOMAINS)).select("profile_id").join(hard, "profile_id", "left_anti")
+    return profiles.join(out, "profile_id", "left_anti")
 
 
 def with_preferences(profiles: DataFrame, filters: DataFrame) -> DataFrame:

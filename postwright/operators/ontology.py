@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postwright.functions.text import alias_key
 
 # The categories of skills.
-CATEGORIES = ["language", "framework", "database", "cloud", "devops", "data", "ml_ai", "soft", "other"]
+CATEGORIES = ["language", "framework", "tool", "platform", "database", "cloud", "methodology", "soft_skill", "domain"]
 #: Categories that candidates' skills are bucketed by.
 BUCKETS = ["language", "database", "framework", "cloud"]
 

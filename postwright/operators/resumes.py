@@ -79,13 +79,15 @@ ROLE_FAMILIES = {
     "Project Management": ["project management", "gestion de projet", "chef de projet"],
     "Operations": ["operations"],
 }
+# Patterns of contacts and of results in figures.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<!\d)(\+?\d[\d\s().-]{5,}\d)(?!\d)"
 YEAR_RANGE = r"^\s*\d{4}\s*[-–—]\s*\d{4}\s*$"
 LINKS = r"(?i)linkedin\.com/\S+|github\.com/\S+|\blinkedin\b|\bgithub\b"
 METRIC = (
     r"(?i)\b\d+(?:[.,]\d+)?\s*%|\b\d+(?:[.,]\d+)?\s*(?:percent(?:age)?s?|hours?|hrs?|days?|weeks?|months?|years?|users?|customers?|clients?|projects?|tickets?|bugs?|errors?|requests?|"
-    r"records?|reports?|teams?|people|employees|candidates|applications)\b|[$€£]\s*\d+(?:[.,]\d+)?\s*(?:k|m|b|thousand|million)?\b"
+    r"records?|reports?|teams?|people|employees|candidates|applications)\b|[$€£]\s*\d+(?:[.,]\d+)?\s*(?:k|m|b|thousand|million)?\b|"
+    r"\b\d+\+\s*(?:users?|customers?|clients?|projects?|tickets?|bugs?|errors?|requests?|records?|reports?|teams?|people|employees|candidates|applications)\b"
 )
 # The most of each check of the report.
 CHECK_MAX = {"impact": 25.0, "sections": 15.0, "contact": 10.0, "ats": 15.0, "gap": 20.0, "spelling": 15.0}

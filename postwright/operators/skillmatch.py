@@ -23,19 +23,33 @@ STRIDE = 64
 #: Ontologies of more aliases are joined by shuffle.
 BROADCAST_ALIASES = 200_000
 
-# Aliases that need capitals or context, in folded form.
+# Terms of which one stands near an alias that needs capitals and context, in folded form.
+AI_TERMS = [
+    "ai", "agent", "artificielle", "artificial", "architecture", "architectures", "data", "deep learning", "genai", "generative", "ia", "engineer",
+    "intelligence", "learning", "machine learning", "model", "modele", "ml",
+]
+ML_TERMS = ["data", "deep learning", "engineering", "learning", "machine", "model", "modele", "scientist"]
+BI_TERMS = ["analytics", "business", "data", "decisionnel", "power bi", "reporting", "tableau"]
+CLOUD_TERMS = ["cloud", "data", "platform", "vertex"]
+SAP_TERMS = ["bw", "consultant", "erp", "s/4", "sap", "solution"]
+RAG_TERMS = ["agent", "ai", "genai", "ia", "llm", "retrieval"]
+LLM_TERMS = ["ai", "genai", "ia", "language", "langage", "model", "modele", "rag"]
+R_TERMS = [
+    "programming", "programmation", "langage", "language", "python", "sql", "rstudio", "statistical", "statistics", "skills", "competences", "technologies",
+]
+C_TERMS = ["c++", "c/c++", "developpons", "embedded", "langage", "linux", "python", "rust", "software"]
 CAPITALS_AND_CONTEXT = {
-    ("Artificial Intelligence", "ai"): "ai agent artificielle artificial architecture architectures data genai generative ia engineer intelligence learning model modele ml",
-    ("Artificial Intelligence", "ia"): "ai agent artificielle artificial architecture architectures data genai generative ia engineer intelligence learning model modele ml",
-    ("Artificial Intelligence", "ki"): "ai agent artificielle artificial architecture architectures data genai generative ia engineer intelligence learning model modele ml",
-    ("Machine Learning", "ml"): "data engineering learning machine model modele scientist",
-    ("Business Intelligence", "bi"): "analytics business data decisionnel reporting tableau",
-    ("R", "r"): "programming programmation langage language python sql rstudio statistical statistics skills competences technologies",
-    ("C", "c"): "c++ c/c++ developpons embedded langage linux python rust software",
-    ("SAP", "sap"): "bw consultant erp s/4 sap solution",
-    ("GCP", "gcp"): "cloud data platform vertex",
-    ("Retrieval-Augmented Generation", "rag"): "agent ai genai ia llm retrieval",
-    ("Large Language Models", "llm"): "ai genai ia language langage model modele rag",
+    ("Artificial Intelligence", "ai"): AI_TERMS,
+    ("Artificial Intelligence", "ia"): AI_TERMS,
+    ("Artificial Intelligence", "ki"): AI_TERMS,
+    ("Machine Learning", "ml"): ML_TERMS,
+    ("Business Intelligence", "bi"): BI_TERMS,
+    ("R", "r"): R_TERMS,
+    ("C", "c"): C_TERMS,
+    ("SAP", "sap"): SAP_TERMS,
+    ("GCP", "gcp"): CLOUD_TERMS,
+    ("Retrieval-Augmented Generation", "rag"): RAG_TERMS,
+    ("Large Language Models", "llm"): LLM_TERMS,
 }
 CHEF_AFTER = r"^\s+d[eu']\b|^\s+d'?\s*equipe\b"
 CHEF_BEFORE = r"\b(du|des)\s+$"
@@ -49,7 +63,7 @@ def alias_table(skills: DataFrame) -> DataFrame:
     index = alias_index(skills)
     tokens = F.regexp_extract_all("folded", F.lit(TOKENS), F.lit(0))
     terms = F.map_from_entries(
-        F.array(*[F.struct(F.lit(f"{c}\n{a}"), F.array(*[F.lit(t) for t in w.split()])) for (c, a), w in CAPITALS_AND_CONTEXT.items()])
+        F.array(*[F.struct(F.lit(f"{c}\n{a}"), F.array(*[F.lit(t) for t in terms])) for (c, a), terms in CAPITALS_AND_CONTEXT.items()])
     )
     return index.select(
         "canonical",

@@ -340,6 +340,13 @@ def recommend_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("suppressed_jobs", f"""{_SCORED} SELECT d.profile_id, count(*) AS candidates, count(*) FILTER (WHERE dom = 1 AND (k <> 4 OR regexp_matches(lower(j.title), '{matching.TECHNICAL_TITLE}'))) AS suppressed
+FROM d JOIN jobs j ON d.job_id = j.job_id GROUP BY d.profile_id""")
+def suppressed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hidden = F.count_if(matching.suppressed()).alias("suppressed")
+    return _recommended(spark, sf_dir).groupBy("profile_id").agg(F.count("*").alias("candidates"), hidden)
+
+
 @query("recommend_top", None)
 def recommend_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.shaped(matching.ranked(_recommended(spark, sf_dir), 10))

@@ -517,9 +517,9 @@ def preference_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.with_preferences(p, f).select("profile_id", "country")
 
 
-@query("profiles_in_scope", f"""WITH {R.JOB_SKILLS_SQL}, {R.PROFILES_SQL} SELECT profile_id FROM profiles p WHERE profile_id % 3 = 0 OR EXISTS (SELECT 1 FROM profile_skills s JOIN part ON s.skill = p_partkey WHERE s.profile_id = p.profile_id AND p_type <> 'ECONOMY')""")
+@query("profiles_in_scope", f"""WITH {R.JOB_SKILLS_SQL}, {R.PROFILES_SQL} SELECT profile_id FROM profiles p WHERE profile_id % 3 <> 1 OR EXISTS (SELECT 1 FROM profile_skills s JOIN part ON s.skill = p_partkey WHERE s.profile_id = p.profile_id AND p_type <> 'ECONOMY')""")
 def profiles_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = R.skills(spark, sf_dir).select(F.col("skill_id").cast("string").alias("canonical"), F.when(F.col("category") == "ECONOMY", "soft").otherwise("data").alias("category"))
+    s = R.skills(spark, sf_dir).select(F.col("skill_id").cast("string").alias("canonical"), F.when(F.col("category") == "ECONOMY", "soft_skill").otherwise("tool").alias("category"))
     return matching.in_scope(R.profiles(spark, sf_dir), s).select("profile_id")
 
 

@@ -145,3 +145,62 @@ def test_curation(spark):
     assert sorted(tuple(r) for r in curation.near_duplicate_groups(n).collect()) == [(1, 1), (2, 1), (3, 1)]
     f = spark.createDataFrame([("/d/ds1/a.PDF", 10), ("/d/ds1/b.pdf", 5), ("/d/ds2/c", 1)], "path string, length long")
     assert sorted(tuple(r) for r in curation.inventory(f).collect()) == [("ds1", "pdf", 2, 15), ("ds2", "", 1, 1)]
+
+
+def seller(spark, skills=("Negotiation",), domains=("Sales",)):
+    return spark.createDataFrame([(1, list(skills), "mid", 5.0, list(domains), None, None, None)], PROFILE)
+
+
+def test_technical_jobs_are_hidden_from_business_profiles(spark):
+    j = spark.createDataFrame(
+        [job(1, ["Negotiation"], title="Ingénieur commercial"), job(2, ["Negotiation"], title="Sales manager"), job(3, ["Negotiation", "AWS"], title="Account manager"),
+         job(4, ["Negotiation"], title="Consultant", domains=["Cloud"]), job(5, ["Negotiation"], title="Editing"), job(6, ["Negotiation"], title=None)], JOB)
+    c = j.select(F.lit(1).cast("long").alias("profile_id"), "job_id", F.lit(1).cast("long").alias("overlap"))
+    shown = lambda p: sorted(r["job_id"] for r in matching.ranked(matching.scored(c, p, j), 10).collect())
+    assert shown(seller(spark)) == [2, 5, 6]
+    assert shown(seller(spark, ["Negotiation", "AWS"])) == [1, 2, 3, 4, 5, 6]
+    assert shown(seller(spark, domains=["Research"])) == [1, 2, 3, 4, 5, 6]
+
+
+def test_covered_skills_are_no_gaps(scene, spark):
+    p = spark.createDataFrame([(1, ["Python"], "unknown", None, ["AI", "Données"], None, None, None), (2, ["Python"], "unknown", None, [], None, None, None)], PROFILE)
+    index = spark.createDataFrame([("ai", "Artificial Intelligence"), ("donnees", "Data Science")], "folded string, canonical string")
+    j = spark.createDataFrame([job(1, ["Artificial Intelligence", "Data Science", "Python", "SQL"])], JOB)
+    c = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "profile_id long, job_id long, overlap long")
+    rows = {r["profile_id"]: r for r in matching.scored(c, matching.with_covered(p, index), j).collect()}
+    assert rows[1]["missing"] == ["SQL"] and rows[2]["missing"] == ["Artificial Intelligence", "Data Science", "SQL"]
+    assert rows[1]["matched"] == rows[2]["matched"] == ["Python"] and rows[1]["coverage"] == rows[2]["coverage"]
+
+
+def test_contract_wish_before_and_after_the_top(scene, spark):
+    p, j, c = scene
+    kinds = F.when(F.col("job_id") == 10, None).when(F.col("job_id") == 12, "CDI").otherwise("cdd")
+    rows = matching.scored(c, p, j.withColumn("contract_type", kinds))
+    wish = spark.createDataFrame([(1, "cdi")], "profile_id long, contract_type string")
+    ids = lambda d: [r["job_id"] for r in d.orderBy("rank").collect()]
+    assert ids(matching.ranked(matching.of_contract(rows, wish), 1)) == [12]
+    assert ids(matching.of_contract(matching.ranked(rows, 1), wish)) == []
+    assert ids(matching.of_contract(matching.ranked(rows, 3), wish.where("false"))) == [10, 11, 12]
+
+
+def test_caution_numbers_again(spark):
+    rows = spark.createDataFrame([(1, 7, 1, 10.0, "low"), (1, 5, 2, 9.0, "low"), (1, 6, 3, 40.0, "low"), (2, 7, 1, 10.0, "high"), (2, 5, 2, 30.0, "high")], "profile_id long, job_id long, rank int, final_score double, p_quality_label string")
+    rows = rows.withColumn("penalties", F.expr("cast(array() as array<struct<code: string, amount: double>>)"))
+    got = {(r["profile_id"], r["job_id"]): (r["rank"], r["final_score"]) for r in matching.cautioned(rows).collect()}
+    assert got == {(1, 6): (1, 25.0), (1, 5): (2, 0.0), (1, 7): (3, 0.0), (2, 7): (1, 10.0), (2, 5): (2, 30.0)}
+
+
+def test_only_plain_business_profiles_are_out_of_scope(spark):
+    rows = [(1, ["Negotiation"], ["Sales"], []), (2, ["Negotiation"], [], []), (3, [], ["Sales", "Cloud"], []), (4, ["Python"], ["Sales"], []), (5, [], [], ["Finance"]), (6, [], ["Law"], ["Operations"]), (7, [], None, None)]
+    p = spark.createDataFrame(rows, "profile_id long, skills array<string>, domains array<string>, roles array<string>")
+    s = spark.createDataFrame([("Negotiation", "soft_skill"), ("Python", "language")], "canonical string, category string")
+    assert sorted(r["profile_id"] for r in matching.in_scope(p, s).collect()) == [2, 3, 4, 6, 7]
+
+
+def test_questions_have_topics_and_routes(spark):
+    asked = {
+        "How does job matching use semantic search?": ("matching", "platform"), "quality report please": ("cv_improve_quality", "platform"), "Which data source is it?": ("corpus_data_source", "platform"),
+        "who are you": ("chat_assistant", "platform"), "plus demander": (None, "sql"), "salaire": (None, "unresolved"), "en moyenne": (None, "sql"), "hello": (None, "unresolved"),
+    }
+    d = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert {r["q"]: (r["t"], r["r"]) for r in d.select("q", guards.topic(F.col("q")).alias("t"), guards.route(F.col("q")).alias("r")).collect()} == asked

@@ -94,3 +94,23 @@ def test_evidence_violations(spark):
     assert got == {
         2: {"duplicate"}, 3: {"missing_job"}, 4: {"missing_skill"}, 5: {"invalid_evidence_field"}, 6: {"invalid_offsets"}, 7: {"offset_out_of_range"}, 8: {"evidence_text_mismatch", "matched_alias_mismatch"},
     }
+
+
+def test_fixed_values(spark):
+    from postwright.operators import audit, resumes
+
+    assert sorted(ontology.CATEGORIES) == ["cloud", "database", "domain", "framework", "language", "methodology", "platform", "soft_skill", "tool"]
+    skills = spark.createDataFrame([(c, c, [], None) for c in [*ontology.CATEGORIES, "other"]], "canonical string, category string, aliases array<string>, parent string")
+    assert [tuple(r) for r in ontology.violations(skills).collect()] == [("other", "unknown_category")]
+    words = {"Notion": True, "monday": True, "Tableau": True, "Jira": True, "Spark": False, "Excel": False, "Rust": False, "rag": True, "LLMOP": True, "12345": False, "C++17x": True, "Docker": False, "NLP": True}
+    d = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r["w"]: r["a"] for r in d.select("w", audit.is_ambiguous(F.col("w")).alias("a")).collect()} == words
+    said = {"500+ users": True, "3+ clients onboarded": True, "12 %": True, "€ 40k": True, "many users": False, "phase 2+": False}
+    d = spark.createDataFrame([(w,) for w in said], "w string")
+    assert {r["w"]: r["m"] for r in d.select("w", F.col("w").rlike(resumes.METRIC).alias("m")).collect()} == said
+
+
+def test_terms_of_several_words_are_context(spark):
+    skills = spark.createDataFrame([("Business Intelligence", "domain", ["BI"], None), ("Machine Learning", "domain", ["ML"], None)], "canonical string, category string, aliases array<string>, parent string")
+    docs = spark.createDataFrame([(1, "BI, Power BI"), (2, "BI and sailing"), (3, "ML, deep learning"), (4, "bi data"), (5, "ML for cats")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["evidence"]) for r in skillmatch.matches(docs, skills).collect()) == [(1, "BI"), (3, "ML")]
