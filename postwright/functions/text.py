@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Letters with an accent and what they fold to, one for one.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _single_letters() -> tuple[str, str]:
+    """Characters up to the end of Latin Extended Additional that are one other character without marks, and these."""
+    plain = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in map(chr, range(0x80, 0x1F00))}
+    pairs = [(c, p) for c, p in plain.items() if c == c.lower() and len(p) == 1 and p != c]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+ACCENTED, PLAIN = _single_letters()
 
 # What titles and company names lose.
 SENIORITY = r"(?U)\b(senior|junior|sr\.?|jr\.?)\b|\((h/f|m/f/d|f/m/d|h/f/m)\)"

@@ -240,12 +240,12 @@ def merge_first_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.merge(d.withColumn("d", one).where("d = 1"), "k", "raw_id", ["posted", "tax"], ["price"])
 
 
-_KEYED = """k AS (SELECT doc_id AS raw_job_id, source, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t, lang FROM documents WHERE regexp_full_match(split_part(text, chr(10), 1), '[ -~]*')),
+_KEYED = """k AS (SELECT doc_id AS raw_job_id, source, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t, lang FROM documents),
 h AS (SELECT raw_job_id, source, sha256(t || '||' || coalesce(lang, '')) AS job_hash FROM k), j AS (SELECT job_hash, min(raw_job_id) AS job_id FROM h GROUP BY job_hash), l AS (SELECT DISTINCT job_id, raw_job_id FROM h JOIN j USING (job_hash))"""
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d = R.postings(spark, sf_dir).where(F.col("title").rlike("^[ -~]*$"))
+    d = R.postings(spark, sf_dir)
     t = T._squeezed(F.regexp_replace(F.lower("title"), "_", " "))
     h = d.select(F.col("job_id").alias("raw_job_id"), "source", dedup.job_hash(t, F.lit(""), F.col("country")).alias("job_hash"))
     j = h.groupBy("job_hash").agg(F.min("raw_job_id").alias("job_id"))

@@ -49,18 +49,14 @@ def _aliases() -> str:
 
 
 # Blanks are what separates the words of an alias, letters and digits what must not touch it.
-_HITS = f"""t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE regexp_full_match(text, '[ -~\\n]*')),
-h AS (SELECT doc_id, canonical, alias, ord, (regexp_extract_all(' ' || t || ' ', '[^a-z0-9_]' || replace(alias, ' ', '\\s+') || '[^a-z0-9_]'))[1] AS hit, t FROM t, {_aliases()}),
+_HITS = f"""t AS (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents),
+h AS (SELECT doc_id, canonical, alias, ord, (regexp_extract_all(' ' || t || ' ', '[^\\p{{L}}\\p{{N}}_]' || replace(alias, ' ', '\\s+') || '[^\\p{{L}}\\p{{N}}_]'))[1] AS hit, t FROM t, {_aliases()}),
 f AS (SELECT doc_id, canonical, alias, ord, instr(' ' || t || ' ', hit) - 1 AS start, length(hit) - 2 AS size FROM h WHERE hit IS NOT NULL)"""
 
 
-def _ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
-
-
 @query("dictionary_match", f"""WITH {_HITS} SELECT doc_id, canonical, alias, start, start + size AS "end" FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, canonical ORDER BY ord, start) = 1""")
 def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = skillmatch.matches(_ascii_documents(spark, sf_dir), words(spark))
+    m = skillmatch.matches(R.table(spark, sf_dir, "documents"), words(spark))
     return m.select("doc_id", "canonical", F.lower("alias").alias("alias"), F.col("start").cast("long"), F.col("end").cast("long"))
 
 
@@ -178,12 +174,10 @@ def skill_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("profile_id", *[F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ontology.BUCKETS])
 
 
-@query("html_to_text", r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<\s*/?\s*(p|div|br|li|h[1-6]|tr|table|section|article)\b[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages WHERE regexp_full_match(html, '[ -~\n]*') AND instr(html, '&') = 0)
-SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM p""")
+@query("html_to_text")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages without entities and accents, which SQL can follow; ``html_to_text_all`` has the others too."""
-    p = R.table(spark, sf_dir, "pages").where(F.col("html").rlike(r"^[ -~\n]*$") & ~F.col("html").contains("&"))
-    return p.select("page_id", T.plain_text(F.col("html")).alias("text"))
+    """All pages; SQL can't resolve their entities, so a test holds fixed pages against Python's ``html.unescape``."""
+    return R.table(spark, sf_dir, "pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
 
 
 @query("html_to_text_all")
@@ -354,7 +348,7 @@ SELECT conv_id, turn, CASE k WHEN 3 THEN 'platform' WHEN 4 THEN 'unresolved' ELS
 @query("guarded_candidates", f"""WITH {_HITS}, m AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, canonical ORDER BY ord, start) = 1)
 SELECT doc_id, canonical, CASE (doc_id + length(canonical)) % 6 WHEN 0 THEN 'rejected_unsupported_fact_type' WHEN 1 THEN 'rejected_confidence' WHEN 2 THEN 'rejected_invalid_offset' WHEN 3 THEN 'rejected_no_evidence' ELSE 'accepted' END AS status FROM m""")
 def guarded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _ascii_documents(spark, sf_dir)
+    docs = R.table(spark, sf_dir, "documents")
     k = (F.col("doc_id") + F.char_length("canonical")) % 6
     c = skillmatch.matches(docs, words(spark)).select(
         F.xxhash64("doc_id", "canonical").alias("cand_id"), "doc_id", F.when(k == 0, "title").otherwise("skill").alias("fact_type"), F.when(k == 1, 1.5).otherwise(0.9).alias("confidence"), "canonical",

@@ -105,3 +105,23 @@ def test_exports(spark, tmp_path):
     exports.write_partition(d, str(tmp_path / "runs"))
     exports.write_partition(d.where("run_id = 2").withColumn("v", F.lit("c")), str(tmp_path / "runs"))
     assert {r["run_id"]: r["v"] for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {1: "a", 2: "c"}
+
+
+def test_pages_against_unescape(spark):
+    import html
+
+    from postwright.functions import text
+
+    pages = ["<p>Caf&eacute; &amp; bar</p><p>1 &lt; 2</p>", "<div>a&#233;b</div><br>c &quot;d&quot;", "plain &euro; text"]
+    brute = lambda p: [" ".join(html.unescape(x).split()) for x in __import__("re").split(r"<[^>]+>", p) if x.strip()]
+    d = spark.createDataFrame([(p,) for p in pages], "p string")
+    for r in d.select("p", text.plain_text(F.col("p")).alias("t")).collect():
+        assert r["t"].split("\n\n") == brute(r["p"])
+
+
+def test_fold_takes_off_any_mark(spark):
+    from postwright.functions import text
+
+    words = {"Dvořák": "dvorak", "ŁÓDŹ": "łodz", "Nguyễn": "nguyen", "naïve Straße": "naive straße", "x²": "x2"}
+    d = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r["w"]: r["f"] for r in d.select("w", text.fold(F.col("w")).alias("f")).collect()} == words
