@@ -49,8 +49,8 @@ def _aliases() -> str:
 
 
 # Blanks are what separates the words of an alias, letters and digits what must not touch it.
-_HITS = f"""t AS (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents),
-h AS (SELECT doc_id, canonical, alias, ord, (regexp_extract_all(' ' || t || ' ', '[^\\p{{L}}\\p{{N}}_]' || replace(alias, ' ', '\\s+') || '[^\\p{{L}}\\p{{N}}_]'))[1] AS hit, t FROM t, {_aliases()}),
+_HITS = f"""t AS (SELECT doc_id, regexp_replace(strip_accents(lower(text)), '[^\\P{{L}}\\x00-\\x7F]', '_', 'g') AS t FROM documents),
+h AS (SELECT doc_id, canonical, alias, ord, (regexp_extract_all(' ' || t || ' ', '[^a-z0-9_]' || replace(alias, ' ', '\\s+') || '[^a-z0-9_]'))[1] AS hit, t FROM t, {_aliases()}),
 f AS (SELECT doc_id, canonical, alias, ord, instr(' ' || t || ' ', hit) - 1 AS start, length(hit) - 2 AS size FROM h WHERE hit IS NOT NULL)"""
 
 
