@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postwright.llm.common import table
+from postwright.llm.common import materialize, table
 
 #: Bytes that a cut depends on. Gear values have 2 * WINDOW bits, shifted by two a byte.
 WINDOW = 16
@@ -20,6 +20,9 @@ MEAN_CHUNK = 32
 #: at both ends.
 MIN_WORDS = 16
 
+#: Owners of runs that are broadcast, 24 bytes each; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
 #: One 32-bit value for each byte, from a fixed seed.
 GEAR = np.array(random.Random(20).sample(range(1 << 32), 256), dtype=np.uint32)
 RUN_SCHEMA = "doc_id bigint, start int, size int, word int, n_words int, digest bigint"
@@ -124,14 +127,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     d = d.where("doc_id is not null and text is not null and text <> ''")
-    runs = d.mapInPandas(lambda it: _runs(it, min_words), RUN_SCHEMA)
+    runs = materialize(d.mapInPandas(lambda it: _runs(it, min_words), RUN_SCHEMA))
     # owners are added up task by task first: a run that very many documents have costs a row a task
-    owners = (
+    owners = materialize(
         runs.groupBy("digest")
         .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
         .where(F.col("last") > F.col("first.doc_id"))
         .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_run"))
     )
+    # most runs have one holder: where the owners of the others are counted few, runs stay where they are
+    owners = F.broadcast(owners) if owners.count() <= BROADCAST_ROWS else owners
     hits = (
         runs.join(owners, "digest")
         .where("first_doc_id < doc_id")
