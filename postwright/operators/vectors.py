@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ from postwright.functions.session import cut_off
 QUERY_BLOCK = 4096
 #: Vectors of one matrix product: 16 MB of scores for a block of queries.
 SLICE = 512
+#: Vectors that the centres of the approximate search are fitted on, and the most centres: 2 MB of 256 float64.
+FIT_ROWS = 50_000
+MAX_CELLS = 1024
 
 
 def is_valid(v: Column, dim: int) -> Column:
@@ -156,21 +160,83 @@ def _block(rows: list, vectors: DataFrame, k: int, query_id: str, vector_id: str
     return vectors.select(vector_id, column).mapInPandas(run, f"{query_id} bigint, {vector_id} bigint, similarity double")
 
 
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, width: float = 0.5, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding", seed: int = 7) -> DataFrame:
-    """Neighbours among the vectors that share a hash bucket with the query (random projections)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def approximate_nearest(
+    queries: DataFrame, vectors: DataFrame, k: int, probes: float = 0.15, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding", seed: int = 7, block: int = 4096
+) -> DataFrame:
+    """Neighbours ``(query_id, vec_id, score, rank)`` among the vectors of the cells nearest to the query.
+
+    Cells are those of k-means centres, about the square root of the rows and MAX_CELLS at
+    most, fitted on about FIT_ROWS vectors; every vector lies in one cell and a
+    query visits the share ``probes`` of the cells, two at least. A cell's vectors and its queries
+    are dealt in blocks of ``block``, so that a cell with most of the rows is
+    spread over many tasks, and a block gives the ``k`` best of its queries. Zero
+    and null vectors, and those of another size than most, match nothing.
+    """
+    rows = vectors.where(norm(F.col(column)) > 0).select(F.col(vector_id).alias("id"), F.col(column).cast("array<float>").alias("v"))
+    asked = queries.where(norm(F.col(column)) > 0).select(F.col(query_id).alias("id"), F.col(column).cast("array<float>").alias("v"))
+    centres = _centres(rows, seed)
+    visits = max(2, math.ceil(probes * len(centres)))
+    base = cut_off(_cells(rows, centres, 1))
+    asked = cut_off(_cells(asked, centres, visits))
+    split = lambda d, name: d.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    grid = F.broadcast(split(base, "rows").join(split(asked, "asks"), "cell"))  # a row a cell
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "cell").select("cell", deal("asks").alias("i"), every("rows").alias("j"), "id", "v")
+    right = base.join(grid, "cell").select("cell", every("asks").alias("i"), deal("rows").alias("j"), "id", "v")
+
+    def best_of(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(ours) or not len(theirs):
+            return pd.DataFrame({"q": [], "x": [], "score": []})
+        q, own = _units(ours["v"]), theirs["id"].to_numpy()
+        s = np.round(q @ _units(theirs["v"]).T, 12)
+        top = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
+        return pd.DataFrame({"q": np.repeat(ours["id"].to_numpy(), top.shape[1]), "x": own[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+
+    by = ["cell", "i", "j"]
+    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best_of, "q bigint, x bigint, score double")
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), "x")
+    near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return near.select(F.col("q").alias(query_id), F.col("x").alias(vector_id), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"), "rank")
+
+
+def _centres(rows: DataFrame, seed: int) -> np.ndarray:
+    """Centres of k-means over a sample by hash of the id: about FIT_ROWS rows, whatever the table."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    any_ = vectors.where(norm(F.col(column)) > 0).select(F.size(column)).first()
-    dim = any_[0] if any_ else 1  # rows that are filtered out may still be hashed: they need the right size
-    form = lambda d, i: d.select(F.col(i), array_to_vector(F.coalesce(unit(F.col(column)), F.array_repeat(F.lit(0.0), dim))).alias("v"))
-    base = form(vectors.where(norm(F.col(column)) > 0), vector_id)
-    asked = form(queries.where(norm(F.col(column)) > 0), query_id)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(base)
-    near = model.approxSimilarityJoin(asked, base, float("inf"), "d")
-    near = near.select(F.col(f"datasetA.{query_id}").alias(query_id), F.col(f"datasetB.{vector_id}").alias(vector_id), (1 - F.col("d") * F.col("d") / 2).alias("score"))
-    best = Window.partitionBy(query_id).orderBy(F.col("score").desc(), vector_id)
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    n = rows.count()
+    if not n:
+        return np.zeros((1, 1))
+    dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()["d"]
+    share = max(1, n // FIT_ROWS)
+    part = rows.where((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0) & (F.size("v") == dim))
+    part = cut_off(part.select(array_to_vector(unit(F.col("v"))).alias("features")))
+    cells = max(2, min(MAX_CELLS, round(n**0.5)))
+    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(part)
+    return np.array(model.clusterCenters())
+
+
+def _cells(rows: DataFrame, centres: np.ndarray, visits: int) -> DataFrame:
+    """``rows`` once for each of their ``visits`` nearest cells."""
+    dim, visits = centres.shape[1], min(visits, len(centres))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            pdf = pdf[pdf["v"].map(len) == dim]
+            if not len(pdf):
+                continue
+            s = _units(pdf["v"]) @ centres.T
+            near = np.argsort(-s, axis=1, kind="stable")[:, :visits]
+            at = np.repeat(np.arange(len(pdf)), visits)
+            yield pd.DataFrame({"cell": near.ravel(), "id": pdf["id"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
+
+    return rows.mapInPandas(run, "cell int, id bigint, v array<float>")
+
+
+def _units(column: pd.Series) -> np.ndarray:
+    v = np.stack(column.to_numpy()).astype(np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def mode_filter(mode: str, title: Column, description: Column) -> Column:

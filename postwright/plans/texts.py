@@ -270,7 +270,8 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = R.table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.approximate_nearest(q, e, 10, tables=8, width=2.0)
+    # these vectors lie in all directions alike: a query's neighbours are spread over many cells
+    return V.approximate_nearest(q, e, 10, probes=0.65)
 
 
 @query("pending_vectors", f"""WITH {R.JOBS_SQL}, {R.JOB_SKILLS_SQL}, {R.LEDGER_SQL} SELECT l.job_id FROM ledger l LEFT JOIN embeddings e ON l.job_id = e.vec_id WHERE l.status = 'success' AND (e.vec_id IS NULL OR e.label <> 3)""")

@@ -83,13 +83,32 @@ def test_vectors(spark):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     assert got == {k: list(np.argsort(-np.round(u @ u[k], 12), kind="stable")[:10]) for k in range(5)}
     near = {}
-    for r in V.approximate_nearest(q, d, 10, tables=8, width=4.0).collect():
+    for r in V.approximate_nearest(q, d, 10, probes=0.7).collect():
         near.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(near[k] & set(got[k])) / 10 for k in got]) >= 0.9
     assert [r[0] for r in d.where("vec_id > 898").orderBy("vec_id").select(V.is_valid(F.col("embedding"), 16)).collect()] == [True, False]
     assert math.isclose(d.where("vec_id = 1").select(V.norm(V.unit(F.col("embedding")))).first()[0], 1.0)
 
 
+def test_approximate_search_deals_a_hot_cell_in_blocks(spark):
+    g = np.random.default_rng(4)
+    rows = [(k, [1.0] * 8) for k in range(200)] + [(k, [float(x) for x in g.normal(size=8)]) for k in range(200, 400)]
+    d = spark.createDataFrame(rows + [(900, [0.0] * 8), (901, None), (902, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    q = d.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    pairs = lambda x: {(r["query_id"], r["vec_id"], r["rank"]) for r in x.collect()}
+    eight = d.where("size(embedding) = 8")
+    assert pairs(V.approximate_nearest(q, d, 10, probes=1.0, block=16)) == pairs(V.nearest(q, eight, 10))
+    none = V.approximate_nearest(q, d.where("vec_id > 950"), 10)
+    assert none.columns == ["query_id", "vec_id", "score", "rank"] and none.count() == 0
+
+
+def test_recall_of_the_approximate_query(spark):
+    from postwright.plans import texts
+
+    found, exact = [{(r["query_id"], r["vec_id"]) for r in f(spark, "/root/testdata/sf0.01").collect()} for f in (texts.knn_approximate, texts.knn_exact)]
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
 def test_encoder_failures_stay_in_their_batch(spark):
     d = spark.createDataFrame([(k, "bad" if k == 3 else "ok") for k in range(8)], "job_id long, text string").coalesce(1)
 
