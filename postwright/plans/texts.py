@@ -480,12 +480,14 @@ def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumes.deterministic_profiles(r, skillmatch.matches(r, s), F.lit("2024-06-15").cast("date"))
 
 
-@query("work_modes", f"""WITH {R.POSTINGS_SQL}, m AS (SELECT job_id, CASE job_id % 4 WHEN 0 THEN 'Full Remote' WHEN 1 THEN 'hybrid role' WHEN 2 THEN 'on-site' ELSE '' END AS t FROM postings)
-SELECT job_id, t ILIKE '%remote%' AS remote, t ILIKE '%hybrid%' AS hybrid, t ILIKE '%on-site%' AS on_site FROM m""")
+@query("work_modes", f"""WITH {R.POSTINGS_SQL}, m AS (SELECT job_id, concat_ws(' ', title, concat(description, CASE job_id % 4 WHEN 0 THEN ' Full Remote' WHEN 1 THEN ' hybrid role' WHEN 2 THEN ' on-site, présentiel' ELSE '' END)) AS t FROM postings)
+SELECT job_id, t ILIKE '%remote%' OR t ILIKE '%télétravail%' OR t ILIKE '%teletravail%' AS remote, t ILIKE '%hybrid%' AS hybrid, t ILIKE '%on-site%' OR t ILIKE '%on site%' OR t ILIKE '%présentiel%' AS on_site FROM m""")
 def work_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = (F.col("job_id") % 4 + 1).cast("int")
-    p = R.postings(spark, sf_dir).select("job_id", F.element_at(F.array(*[F.lit(x) for x in ("Full Remote", "hybrid role", "on-site", "")]), k).alias("t"))
-    return p.select("job_id", *[V.mode_filter(m, F.col("t"), F.lit("")).alias(m) for m in ("remote", "hybrid", "on_site")])
+    """Titles and whole descriptions, with the words of a mode put at the end of most."""
+    k = F.col("job_id") % 4
+    mode = F.when(k == 0, " Full Remote").when(k == 1, " hybrid role").when(k == 2, " on-site, présentiel").otherwise("")
+    d = F.concat(F.coalesce("description", F.lit("")), mode)
+    return R.postings(spark, sf_dir).select("job_id", *[V.mode_filter(m, F.col("title"), d).alias(m) for m in ("remote", "hybrid", "on_site")])
 
 
 @query("candidate_union", """WITH l AS (SELECT DISTINCT l_suppkey AS p, l_partkey AS j FROM lineitem WHERE l_quantity > 25), s AS (SELECT l_suppkey AS p, l_partkey AS j, max(l_discount) AS d FROM lineitem WHERE l_quantity < 30 GROUP BY ALL)
