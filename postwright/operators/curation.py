@@ -111,9 +111,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, threshold: float = 0.
     """``(doc_id, group_id)`` of texts that are near another: minhash candidates, verified by exact Jaccard of word shingles.
 
     Copies of equal shingle sets meet by their set; of a bucket that many different sets
-    share, each is compared with the bucket's first, and groups are what comparisons connect.
-    Candidates come from ``tables`` bands of two minhashes: a pair at the threshold is missed
-    with a chance of (1 - 0.64) ** 10, one in 27,000.
+    share, each is compared with the bucket's first alone, and groups are what comparisons connect.
+    Candidates come from ``tables`` bands of two minhashes. Links are missed where two sets share no
+    band, and where they only meet in buckets whose first one is far from either.
     """
     w = F.array_remove(F.split(text_key(F.coalesce(F.col(text), F.lit(""))), " "), "")
     shingle = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get("w", i + k) for k in range(1, words)]))
