@@ -42,18 +42,19 @@ def materialize(df: DataFrame) -> DataFrame:
     lie together under ``stages-<application>`` and are read until the caller has its
     rows; ``forget`` deletes them.
     """
-    path = f"{_stages(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{stage_path(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _stages(spark: SparkSession) -> str:
+def stage_path(spark: SparkSession) -> str:
+    """The folder of this application's own intermediate files."""
     return f"{shared_dir(spark)}/stages-{spark.sparkContext.applicationId}"
 
 
 def forget(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote in this application; results that aren't written yet are lost with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_path(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -15,6 +15,7 @@ from postwright.llm.ngram_join import OP2_SQL, op2_ngram_join
 from postwright.llm.packing import op5_packing
 from postwright.llm.quality_model import op8_quality_classifier
 from postwright.llm.quality_rules import OP6_SQL, op6_quality_rules
+from postwright.llm.token_files import op12_token_files
 from postwright.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_token_files": op12_token_files,
 }
 
 SQL: dict[str, str] = {
