@@ -54,7 +54,12 @@ def stage_path(spark: SparkSession) -> str:
 
 def forget(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote in this application; results that aren't written yet are lost with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_path(spark))
+    remove(spark, stage_path(spark))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

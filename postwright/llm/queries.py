@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postwright.llm.chunks import op10_substring_dedup
+from postwright.llm.conversations import op11_conversation_repair
 from postwright.llm.fingerprints import op4_fingerprints
 from postwright.llm.html_text import op9_html_extraction
 from postwright.llm.lines import OP1_SQL, op1_line_dedup
@@ -17,6 +18,7 @@ from postwright.llm.quality_model import op8_quality_classifier
 from postwright.llm.quality_rules import OP6_SQL, op6_quality_rules
 from postwright.llm.token_files import op12_token_files
 from postwright.llm.toxicity import op7_toxicity
+from postwright.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
@@ -29,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_token_files": op12_token_files,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -37,4 +41,5 @@ SQL: dict[str, str] = {
     "op2_ngram_join": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
