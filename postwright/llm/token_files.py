@@ -11,8 +11,10 @@ stands before it. Shards are independent: a lost task writes its own again.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ SHARD_TOKENS = 1 << 20
 #: A pair becomes a nonterminal if a shard has it so many times at least ...
 MIN_PAIRS = 32
 #: ... and at least this part as often as the round's most frequent pair.
-ROUND_SHARE = 4
+ROUND_SHARE = 8
 #: Words of which a worker remembers the ids; the memory starts anew beyond it.
 MEMORY = 1_000_000
 
@@ -37,53 +39,71 @@ SHARD = (
 )
 
 
-class WordIds(dict):
-    """Ids of words, as bytes of 32-bit little-endian integers.
+#: What a tokenizer must do to a text before its merges for ``WordIds`` to hold.
+WORDWISE = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids
-    are its words' ids in turn. A word of ASCII letters and one mark is the lower-case
-    letters' ids and the mark's.
-    """
+
+class TextIds:
+    """Ids of whole texts, as bytes of 32-bit little-endian integers; for any tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.stems: dict[str, bytes] = {}
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMORY:
-            self.clear()
-            self.stems.clear()
-        cut = [self.parts(w) for w in new]
-        missing = list({s for p in cut for s in p if s not in self.stems})
-        self.stems.update(zip(missing, self.encoded(missing), strict=True))
-        self.update((w, b"".join([self.stems[s] for s in p])) for w, p in zip(new, cut, strict=True))
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        if not word.isascii():
-            return (word,)
-        if word.isalpha():
-            return (word.lower(),)
-        return (word[:-1].lower(), word[-1]) if word[-1:] in ".,;:!?" and word[:-1].isalpha() else (word,)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts."""
-        split = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        wanted = set().union(*split) if split else set()
-        if len(wanted) > MEMORY and len(texts) > 1:
-            return [y for x in texts for y in self.of([x])]
-        known = self.keys()
-        if not wanted <= known:
-            self.learn(wanted - known)
-            if not wanted <= known:  # the memory started anew
-                self.learn(wanted)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class WordIds(TextIds):
+    """The same, word by word, for a tokenizer that drops white space and joins nothing across it.
+
+    A text's ids are its words' ids in turn, and a word that comes again is looked up. A word of ASCII letters is
+    what the merges get, in lower case; so is one before a mark.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.known: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+        self.marks = {m: self.whole([m])[0] for m in ".,;:!?"}
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return super().of(words)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > MEMORY:
+            self.known.clear()
+        other = []
+        for w in words:
+            if not w.isascii():
+                other.append(w)
+            elif w.isalpha():
+                self.known[w] = array("I", [t.id for t in self.merges(w.lower())]).tobytes()
+            elif (mark := self.marks.get(w[-1:])) and w[:-1].isalpha():
+                self.known[w] = array("I", [t.id for t in self.merges(w[:-1].lower())]).tobytes() + mark
+            else:
+                other.append(w)
+        self.known.update(zip(other, self.whole(other), strict=True))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            words = text.replace("\n", " ").replace("\t", " ").split(" ")
+            got = list(map(self.known.get, words))
+            if None in got:
+                self.learn({w for w, ids in zip(words, got, strict=True) if ids is None})
+                got = [self.known[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+            out.append(b"".join(got))
+        return out
+
+
+def ids_of(path: str) -> TextIds:
+    """The faster of the two that holds for the tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [[x["type"] for x in (spec[k] or {}).get(inner, [])] for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    return WordIds(path) if steps == [*WORDWISE] and spec["model"]["type"] == "BPE" else TextIds(path)
 
 
 def repair(ids: np.ndarray, lengths: np.ndarray, min_pairs: int = MIN_PAIRS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,8 +206,7 @@ def write_tokens(
 ) -> None:
     """Encode every whole text and write the shards to the new folder ``path``, in ascending order of id.
 
-    ``tokenizer`` is a file of the tokenizers library that every worker can read; its ids of a
-    text are those of its words in turn (true of one that drops white space). ``end_id`` is
+    ``tokenizer`` is a file of the tokenizers library that every worker can read. ``end_id`` is
     appended to each document (None: nothing). A null text is empty; null ids come first; rows of one id stand in the table's
     order, so repeated rows are documents of their own. Extra columns don't matter;
     an empty table gives a folder without shards. A task holds one shard's ids.
@@ -197,7 +216,7 @@ def write_tokens(
     schema = _arrow_schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = worker_memory(tokenizer, lambda: WordIds(tokenizer)), b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        words, end = worker_memory(tokenizer, lambda: ids_of(tokenizer)), b"" if end_id is None else int(end_id).to_bytes(4, "little")
         part, shard, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -65,6 +65,10 @@ SHARED = token_files.WordIds(PATH)
 def test_memory_starts_anew(library, monkeypatch):
     monkeypatch.setattr(token_files, "MEMORY", 5)
     texts = ["one two three", "four five six. seven", " ".join(f"w{k}" for k in range(20)), ""]
+    assert isinstance(token_files.ids_of(PATH), token_files.WordIds)
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert type(token_files.ids_of(other)) is token_files.TextIds
+    assert np.frombuffer(token_files.ids_of(other).of(["a  b\n"])[0], dtype="<u4").tolist() == tokenizers.Tokenizer.from_file(other).encode("a  b\n").ids
     got = token_files.WordIds(PATH).of(texts)
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [whole(library, x) for x in texts]
 
