@@ -12,6 +12,7 @@ stands before it. Shards are independent: a lost task writes its own again.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -72,19 +73,20 @@ class WordIds(TextIds):
         return super().of(words)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
+        known = self.known
+        if len(known) + len(words) > MEMORY:
+            known.clear()
         other = []
         for w in words:
-            if not w.isascii():
-                other.append(w)
-            elif w.isalpha():
-                self.known[w] = array("I", [t.id for t in self.merges(w.lower())]).tobytes()
-            elif (mark := self.marks.get(w[-1:])) and w[:-1].isalpha():
-                self.known[w] = array("I", [t.id for t in self.merges(w[:-1].lower())]).tobytes() + mark
+            stem, mark = w, b""
+            if not stem.isalpha():
+                stem, mark = w[:-1], self.marks.get(w[-1:])
+            if mark is not None and stem.isascii() and stem.isalpha():
+                low = stem.lower()
+                known[w] = (known.get(low) or array("I", [t.id for t in self.merges(low)]).tobytes()) + mark
             else:
                 other.append(w)
-        self.known.update(zip(other, self.whole(other), strict=True))
+        known.update(zip(other, self.whole(other), strict=True))
 
     def of(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -234,7 +236,11 @@ def write_tokens(
 
 
 def worker_memory(key: str, make):
-    """What a Python worker keeps between its tasks: they'd all learn the same words anew."""
+    """What a Python worker keeps between its tasks: they'd all learn the same words anew.
+
+    A worker has one core, so the library's own threads would only wait for each other.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import tokenizers
 
     held = tokenizers.__dict__.setdefault("_held_by_worker", {})

@@ -271,7 +271,7 @@ def _sql() -> str:
     steps = []
     for r in range(ROUNDS + 1):
         steps.append(f"""a{r} AS MATERIALIZED (
-  SELECT vec_id, x.p, any_value(x.x) AS x, min(list_sum(list_transform(list_zip(x.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2]))) * {ENTRIES} + e) AS m
+  SELECT vec_id, x.p, any_value(x.x) AS x, min(list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * {ENTRIES} + e) AS m
   FROM parts x JOIN b{r} b ON x.p = b.p GROUP BY vec_id, x.p)""")
         if r < ROUNDS:
             steps.append(f"""b{r + 1} AS MATERIALIZED (
@@ -281,8 +281,8 @@ def _sql() -> str:
     GROUP BY p, e) n ON b.p = n.p AND b.e = n.e)""")
     return f"""
 WITH kept AS MATERIALIZED (
-  SELECT vec_id, label, list_transform(embedding, c -> CAST(floor(CAST(c AS DOUBLE) * {SCALE}) AS BIGINT)) AS v
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * {SCALE}) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), width AS (SELECT len(v) // {PARTS} AS w FROM kept ORDER BY vec_id LIMIT 1),
 parts AS MATERIALIZED (SELECT vec_id, p, v[p * w + 1 : (p + 1) * w] AS x FROM kept, width, range({PARTS}) AS t(p)),
 b0 AS MATERIALIZED (
