@@ -10,7 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Letters with an accent and what they fold to, one for one.
+class _Folds(dict):
+    """What a character folds to: in lower case, decomposed, without marks. Filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = "".join(x for x in unicodedata.normalize("NFKD", chr(code).casefold()) if not unicodedata.combining(x))
+        return out
+
+
+FOLDS = _Folds()
 
 
 def _single_letters() -> tuple[str, str]:
@@ -21,6 +29,8 @@ def _single_letters() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _single_letters()
+#: Latin letters that fold to several, from the same rule.
+EXPANDED = {c: FOLDS[ord(c)] for c in map(chr, [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]) if c.islower() and len(FOLDS[ord(c)]) > 1}
 
 # What titles and company names lose.
 SENIORITY = r"(?U)\b(senior|junior|sr\.?|jr\.?)\b|\((h/f|m/f/d|f/m/d|h/f/m)\)"
@@ -46,21 +56,28 @@ def fold(x: Column) -> Column:
     return F.translate(F.lower(x), ACCENTED, PLAIN)
 
 
-def alias_key(x: Column) -> Column:
-    """The form in which aliases are compared: trimmed, folded, blanks collapsed."""
-    return F.trim(F.regexp_replace(fold(x), r"(?U)\s+", " "))
+def full_fold(x: Column) -> Column:
+    """``fold``, and Latin letters that stand for several (``ß``, ligatures) become these; offsets move."""
+    some = fold(x)
+    out = some
+    for c, letters in EXPANDED.items():
+        out = F.replace(out, F.lit(c), F.lit(letters))
+    return F.when(some.rlike("[" + "".join(EXPANDED) + "]"), out).otherwise(some)
 
 
-@F.pandas_udf(StringType())
-def full_fold(s: pd.Series) -> pd.Series:
-    """Casefold and NFKD without marks, for texts whose letters expand; offsets move."""
+def folded_with_origin(text: str) -> tuple[str, list[int] | None]:
+    """The folded text and where each of its characters comes from; None where that is the same place."""
+    if text.isascii():
+        return text.lower(), None
+    folded = text.translate(FOLDS)
+    if all(len(FOLDS[ord(c)]) == 1 for c in set(text)):
+        return folded, None
+    return folded, [k for k, c in enumerate(text) for _ in FOLDS[ord(c)]]
 
-    def one(x: str | None) -> str | None:
-        if x is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c))
 
-    return s.map(one)
+def alias_key(x: Column) -> Column:
+    """The form in which aliases are compared: trimmed, folded, blanks collapsed."""
+    return F.trim(F.regexp_replace(full_fold(x), r"(?U)\s+", " "))
 
 
 def _squeezed(x: Column) -> Column:

@@ -17,6 +17,8 @@ from postwright.functions.text import alias_key
 WEIGHTS = {"skills": 0.50, "experience": 0.15, "career_level": 0.15, "domain": 0.10, "job_type": 0.05, "location": 0.05}
 SKILL_WEIGHTS = {"coverage": 0.55, "relevance": 0.20, "richness": 0.10, "specificity": 0.15}
 POOL = 200
+#: A skill that more than this share of the jobs ask for isn't joined posting by posting.
+HEAVY_SHARE = 0.02
 ALPHA = 0.60
 MAX_PENALTY = 0.75
 # Skills and domains by kind.
@@ -64,17 +66,47 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def lexical_candidates(profile_skills: DataFrame, job_skills: DataFrame, pool: int = POOL) -> DataFrame:
+def lexical_candidates(profile_skills: DataFrame, job_skills: DataFrame, pool: int = POOL, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """``(profile_id, job_id, overlap, lexical_rank)``: the ``pool`` jobs with most shared skills for each profile.
 
-    Both sides are bridges of distinct ``(id, skill)`` rows, joined on the skill and
-    counted with partial sums, so a popular skill is spread by the adaptive skew join.
-    Ties go to the smaller job. Profiles without skills get the first jobs by id.
+    Both sides are bridges of ``(id, skill)`` rows. Rare skills are joined posting by posting.
+    Skills that more than ``heavy_share`` of the jobs ask for (so that there are skills a job / share of
+    them at most) are never joined so: jobs are grouped by the set of heavy skills
+    that they have, profiles by theirs, and each pair of sets is compared once. A job that shares heavy skills alone can only
+    come into a pool with the ``pool`` first jobs of its set, and only from the levels of overlap that
+    it takes to fill the pool; other levels are cut before any job of theirs is read. Ties go to the
+    smaller job. Profiles without skills get no row (see ``fallback_candidates``).
     """
-    pairs = profile_skills.select("profile_id", "skill").distinct().join(job_skills.select("job_id", "skill").distinct(), "skill")
-    counted = pairs.groupBy("profile_id", "job_id").agg(F.count("*").alias("overlap"))
+    p = profile_skills.select("profile_id", "skill").distinct()
+    j = job_skills.select("job_id", "skill").distinct()
+    least = max(pool, heavy_share * job_skills.select("job_id").distinct().count())
+    heavy = [r["skill"] for r in j.groupBy("skill").agg(F.count("*").alias("n")).where(F.col("n") > least).select("skill").collect()]
     best = Window.partitionBy("profile_id").orderBy(F.col("overlap").desc(), "job_id")
-    return counted.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= pool)
+    first = lambda rows: rows.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= pool)
+    if not heavy:
+        return first(p.join(j, "skill").groupBy("profile_id", "job_id").agg(F.count("*").alias("overlap")))
+    is_heavy = F.col("skill").isin(heavy)
+    own_sets = p.where(is_heavy).groupBy("profile_id").agg(F.sort_array(F.collect_set("skill")).alias("own"))
+    job_sets = j.where(is_heavy).groupBy("job_id").agg(F.sort_array(F.collect_set("skill")).alias("has"))
+    shared = F.coalesce(F.size(F.array_intersect("own", "has")), F.lit(0))
+    rare = p.where(~is_heavy).join(own_sets, "profile_id", "left").join(j.where(~is_heavy).join(job_sets, "job_id", "left"), "skill")
+    rare = rare.groupBy("profile_id", "job_id").agg((F.count("*") + F.max(F.when(F.col("own").isNotNull() & F.col("has").isNotNull(), shared).otherwise(0))).alias("overlap"))
+    return first(rare.unionByName(_heavy_candidates(own_sets, job_sets, pool)).groupBy("profile_id", "job_id").agg(F.max("overlap").alias("overlap")))
+
+
+def _heavy_candidates(own_sets: DataFrame, job_sets: DataFrame, pool: int) -> DataFrame:
+    """``(profile_id, job_id, overlap)``: the ``pool`` jobs with most heavy skills of each profile, found once for each set of skills."""
+    kinds = job_sets.groupBy("has").agg(F.count("*").alias("n"))
+    pairs = own_sets.select("own").distinct().select("own", F.explode("own").alias("skill")).join(kinds.select("has", "n", F.explode("has").alias("skill")), "skill")
+    pairs = pairs.groupBy("own", "has").agg(F.count("*").alias("overlap"), F.first("n").alias("n"))
+    higher = Window.partitionBy("own").orderBy(F.col("overlap").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    levels = pairs.groupBy("own", "overlap").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(higher), F.lit(0)))
+    wanted = pairs.join(levels.where(F.col("before") < pool).select("own", "overlap"), ["own", "overlap"]).select("own", "overlap", "has")
+    # a limit by group is taken before the shuffle as well: a task gives out ``pool`` jobs of a set at most
+    firsts = job_sets.withColumn("nth", F.row_number().over(Window.partitionBy("has").orderBy("job_id"))).where(F.col("nth") <= pool).drop("nth")
+    ranked = Window.partitionBy("own").orderBy(F.col("overlap").desc(), "job_id")
+    tops = wanted.join(firsts, "has").withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= pool)
+    return own_sets.join(tops.select("own", "job_id", "overlap"), "own").select("profile_id", "job_id", "overlap")
 
 
 def fallback_candidates(profiles: DataFrame, profile_skills: DataFrame, job_skills: DataFrame, pool: int = POOL) -> DataFrame:

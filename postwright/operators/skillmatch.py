@@ -1,17 +1,24 @@
-"""Skill mentions with verified offsets: aliases are found by joins on token runs.
+"""Skill mentions with verified offsets: each text is walked once, next to the aliases.
 
 The folded text is cut into tokens (runs of word characters, runs of blanks,
-single other characters); an alias is a run of such tokens. Only positions
-whose first token begins an alias are looked at. The alias table is a few
-thousand rows (the ontology) and is broadcast behind a check of its size.
+single other characters); an alias is a run of such tokens. A walk looks up each token in a map
+of the aliases' first tokens and cuts out the runs that are aliases, with their context; folding
+may expand a letter (``ß``), so a map leads from the folded text back to the text. Guards and
+policies are column expressions over the runs. No text and no position is shuffled. The alias table is a few
+thousand rows (the ontology) and goes to the tasks behind a check of its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postwright.functions.text import fold
+from postwright.functions.text import folded_with_origin
 from postwright.operators.ontology import alias_index
 
 # What may stand beside a short alias, and how far context reaches.
@@ -19,7 +26,7 @@ NEIGHBOURS = " \t\n\r,;/|()[]:."
 SHORT = 3
 CONTEXT = 80
 TOKENS = r"(?U)\w+|\s+|[^\w\s]"
-STRIDE = 64
+TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 #: Ontologies of more aliases are joined by shuffle.
 BROADCAST_ALIASES = 200_000
 
@@ -69,7 +76,7 @@ def alias_table(skills: DataFrame) -> DataFrame:
         "canonical",
         "alias",
         "alias_ord",
-        F.regexp_replace("folded", r"\s+", " ").alias("key"),
+        F.regexp_replace("folded", r"(?U)\s+", " ").alias("key"),
         F.get(tokens, 0).alias("first_token"),
         F.size(tokens).alias("n_tokens"),
         (~F.col("folded").contains(" ") & (F.char_length("folded") <= SHORT)).alias("is_short"),
@@ -79,61 +86,64 @@ def alias_table(skills: DataFrame) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All alias hits ``(doc_id, canonical, alias, alias_ord, start, end, evidence)`` that guards and policies pass.
+def walk(text: str, runs: dict[str, dict[int, dict[str, str] | None]] | None, lengths: list[int]) -> Iterator[tuple]:
+    """``(key, n_tokens, start, end, evidence, before, after)`` of the runs of tokens that are aliases.
 
-    Offsets are code points, half open. Tokens are exploded without the text and only
-    positions whose token begins an alias go on: they are what is dealt out, with each text
-    once. Runs, offsets and contexts are then cut from the text of each document in place.
+    ``runs`` has the aliases by first token and length; None stands for any run of one of ``lengths``.
+    Offsets and evidence are of the text, the context is folded.
+    """
+    folded, origin = folded_with_origin(text)
+    tokens = TOKEN.findall(folded)
+    begins = range(len(tokens)) if runs is None else [k for k, t in enumerate(tokens) if t in runs]
+    if not begins:
+        return
+    ends = list(accumulate(map(len, tokens)))
+    for k in begins:
+        for n in lengths if runs is None else runs[tokens[k]]:
+            if k + n > len(tokens):
+                continue
+            key = "".join([" " if t.isspace() else t for t in tokens[k : k + n]])
+            if runs is not None:
+                key = runs[tokens[k]][n].get(key)
+            if key is not None:
+                a, b = ends[k] - len(tokens[k]), ends[k + n - 1]
+                start, end = (a, b) if origin is None else (origin[a], origin[b - 1] + 1)
+                yield key, n, start, end, text[start:end], folded[max(0, a - CONTEXT) : a], folded[b : b + CONTEXT]
+
+
+def hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """All alias hits ``(doc_id, *keep, row, canonical, alias, alias_ord, start, end, evidence)`` that guards and policies pass.
+
+    Offsets are code points, half open. ``row`` numbers the rows of ``docs``: rows of one id and rows without
+    one keep their own hits. Null texts have none. Beyond ``BROADCAST_ALIASES`` aliases all runs of their
+    lengths are cut out and joined by shuffle.
     """
     small = aliases.count() <= BROADCAST_ALIASES
-    held = F.broadcast(aliases) if small else aliases
-    starts = aliases.groupBy(F.col("first_token").alias("token")).agg(F.sort_array(F.collect_set("n_tokens")).alias("lengths"))
-    starts = F.broadcast(starts) if small else starts
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    tokens = F.regexp_extract_all(fold(F.col("text")), F.lit(TOKENS), F.lit(0))
-    at = own.select("doc_id", F.posexplode(tokens).alias("pos", "token")).join(starts, "token").select("doc_id", "pos", F.explode("lengths").alias("n"))
-    at = at.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
-    d = own.join(at, "doc_id").withColumn("folded", fold(F.col("text")))
-    blank = lambda t: F.when(t.rlike(r"(?U)^\s+$"), " ").otherwise(t)
-    once = lambda value, body: F.get(F.transform(F.array(value), body), 0)  # noqa: E731  what the body names is computed once a row
-    length = lambda tk, first, n: F.char_length(F.array_join(F.slice(tk, first, n), ""))
-    stride = lambda pos: F.floor(pos / STRIDE).cast("int")
-
-    def lengths(tk: Column) -> Column:
-        """Of runs of STRIDE tokens, so that an offset is a sum of a few and not of all tokens before it."""
-        last = F.floor((F.size(tk) - 1) / STRIDE).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda b: length(tk, b * STRIDE + 1, F.lit(STRIDE)))
-
-    def place(tk: Column, st: Column) -> Column:
-        offset = lambda pos: F.aggregate(F.slice(st, F.lit(1), stride(pos)), F.lit(0), lambda a, x: a + x) + length(tk, stride(pos) * STRIDE + 1, pos - stride(pos) * STRIDE)
-        return F.transform(
-            "at",
-            lambda p: F.struct(
-                F.array_join(F.transform(F.slice(tk, p["pos"] + 1, p["n"]), blank), "").alias("key"),
-                p["n"].alias("n_tokens"),
-                offset(p["pos"]).alias("start"),
-                length(tk, p["pos"] + 1, p["n"]).alias("size"),
-            ),
-        )
-
-    tokens = F.regexp_extract_all("folded", F.lit(TOKENS), F.lit(0))
-    placed = once(tokens, lambda tk: once(lengths(tk), lambda st: place(tk, st)))
-    cut = lambda c, first, n: F.substring(c, first.cast("int"), n.cast("int"))
-    near = lambda x: F.least(x["start"], F.lit(CONTEXT))
-    with_context = F.transform(
-        "placed",
-        lambda x: F.struct(
-            x["key"].alias("key"),
-            x["n_tokens"].alias("n_tokens"),
-            x["start"].alias("start"),
-            (x["start"] + x["size"]).alias("end"),
-            cut("text", x["start"] + 1, x["size"]).alias("evidence"),
-            cut("folded", x["start"] - near(x) + 1, near(x)).alias("before"),
-            cut("folded", x["start"] + x["size"] + 1, F.lit(CONTEXT)).alias("after"),
-        ),
-    )
-    found = d.withColumn("placed", placed).select("doc_id", F.explode(with_context).alias("x")).select("doc_id", "x.*").join(held, ["key", "n_tokens"])
+    runs, lengths = None, sorted(r["n_tokens"] for r in aliases.select("n_tokens").distinct().collect())
+    if small:
+        runs = {}
+        for r in aliases.select("key", "alias").distinct().collect():
+            own = re.sub(r"\s+", " ", folded_with_origin(r["alias"].strip())[0])
+            tokens = TOKEN.findall(own)
+            runs.setdefault(tokens[0], {}).setdefault(len(tokens), {})[own] = r["key"]
+    columns = docs.select(F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema[1:])
+    names = ["key", "n_tokens", "start", "end", "evidence", "before", "after"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for k, value in enumerate(batch.column(0).to_pylist()):
+                for hit in walk(value or "", runs, lengths):
+                    at.append(k)
+                    found.append(hit)
+            rest = batch.select(batch.schema.names[1:]).take(pa.array(at, pa.int64()))
+            cut = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * len(names), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*rest.columns, *cut], [*rest.schema.names, *names])
+
+    found = columns.mapInArrow(run, f"{schema}, key string, n_tokens int, start int, `end` int, evidence string, before string, after string")
+    found = found.join(F.broadcast(aliases) if small else aliases, ["key"] if small else ["key", "n_tokens"])
     before_char, after_char = F.right("before", F.lit(1)), F.substring("after", 1, 1)
     word = lambda c: c.rlike(r"(?U)^\w$")
     beside = lambda c: (c == "") | F.lit(NEIGHBOURS).contains(c)
@@ -145,14 +155,14 @@ def hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text: str
         & (F.col("terms").isNull() | (~lower & F.exists("terms", lambda t: F.col("before").contains(t) | F.col("after").contains(t))))
         & (~F.col("is_chef") | (~F.col("after").rlike(CHEF_AFTER) & ~F.col("before").rlike(CHEF_BEFORE)))
     )
-    return found.where(ok).select("doc_id", "canonical", "alias", "alias_ord", "start", "end", "evidence")
+    return found.where(ok).select("doc_id", *keep, "row", "canonical", "alias", "alias_ord", "start", "end", "evidence")
 
 
-def matches(docs: DataFrame, skills: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One hit for each document and skill: its first alias with a hit, where that hit comes first."""
-    best = Window.partitionBy("doc_id", "canonical").orderBy("alias_ord", "start")
-    found = hits(docs, alias_table(skills), id_col, text)
-    return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "alias_ord")
+def matches(docs: DataFrame, skills: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One hit for each row of ``docs`` and skill: its first alias with a hit, where that hit comes first."""
+    best = Window.partitionBy("row", "canonical").orderBy("alias_ord", "start")
+    found = hits(docs, alias_table(skills), id_col, text, keep)
+    return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n", "alias_ord", "row")
 
 
 def posting_matches(jobs: DataFrame, skills: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,13 +172,9 @@ def posting_matches(jobs: DataFrame, skills: DataFrame) -> tuple[DataFrame, Data
     across that line fails the job, and none of its matches count.
     """
     both = jobs.select("job_id", F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))).alias("text"), F.char_length(F.coalesce("title", F.lit(""))).alias("cut"))
-    found = matches(both, skills, "job_id").withColumnRenamed("doc_id", "job_id").join(both.select("job_id", "cut"), "job_id")
+    found = matches(both, skills, "job_id", keep=("cut",)).withColumnRenamed("doc_id", "job_id")
     field = F.when(F.col("end") <= F.col("cut"), "title").when(F.col("start") >= F.col("cut") + 2, "description")
     shift = F.when(F.col("end") <= F.col("cut"), 0).otherwise(F.col("cut") + 2)
     placed = found.select("job_id", "canonical", "alias", field.alias("evidence_field"), (F.col("start") - shift).alias("start"), (F.col("end") - shift).alias("end"), "evidence")
     failures = placed.where("evidence_field is null").select("job_id", F.lit("match").alias("stage"), F.lit("evidence crosses title and description").alias("error")).distinct()
     return placed.join(failures.select("job_id"), "job_id", "left_anti"), failures
-
-
-def evidence_holds(field: Column, start: Column, end: Column, evidence: Column) -> Column:
-    return F.substring(field, (start + 1).cast("int"), (end - start).cast("int")) == evidence

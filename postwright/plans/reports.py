@@ -291,6 +291,19 @@ def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.lexical_candidates(R.profile_skills(spark, sf_dir), js)
 
 
+# A skill of half the jobs (-1) and one of a third (-2), which all profiles and half of them have.
+@query("popular_candidates", f"""{_BASE}, {R.PROFILES_SQL}, js AS (SELECT DISTINCT job_id, skill_id AS skill FROM job_skills UNION SELECT job_id, -1 FROM jobs WHERE job_id % 2 = 0 UNION SELECT job_id, -2 FROM jobs WHERE job_id % 3 = 0),
+ps AS (SELECT profile_id, skill FROM profile_skills UNION ALL SELECT profile_id, -1 FROM profiles UNION ALL SELECT profile_id, -2 FROM profiles WHERE profile_id % 2 = 0),
+c AS (SELECT profile_id, job_id, count(*) AS overlap FROM ps JOIN js USING (skill) GROUP BY profile_id, job_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY overlap DESC, job_id) AS lexical_rank FROM c) WHERE lexical_rank <= 100""")
+def popular_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").alias("skill"))
+    jobs, profiles = R.jobs(spark, sf_dir), R.profiles(spark, sf_dir)
+    js = js.union(jobs.where("job_id % 2 = 0").selectExpr("job_id", "-1")).union(jobs.where("job_id % 3 = 0").selectExpr("job_id", "-2"))
+    ps = R.profile_skills(spark, sf_dir).union(profiles.selectExpr("profile_id", "-1")).union(profiles.where("profile_id % 2 = 0").selectExpr("profile_id", "-2"))
+    return matching.lexical_candidates(ps, js, 100)
+
+
 def _recommended(spark: SparkSession, sf_dir: str, mode: str = "lexical") -> DataFrame:
     js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").alias("skill"))
     c = matching.lexical_candidates(R.profile_skills(spark, sf_dir), js)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postwright.functions import text as T
 from postwright.operators import analytics as A
-from postwright.operators import attributes, audit, curation, enrich, guards, matching, ontology, parse, resumes, skillmatch
+from postwright.operators import attributes, audit, curation, enrich, guards, matching, ontology, parse, questions, resumes, skillmatch
 from postwright.operators import vectors as V
 from postwright.plans import roles as R
 from postwright.sources import boards, exports
@@ -60,12 +60,6 @@ def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "canonical", F.lower("alias").alias("alias"), F.col("start").cast("long"), F.col("end").cast("long"))
 
 
-@query("dictionary_match_all")
-def dictionary_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, accented ones as well."""
-    return skillmatch.matches(R.table(spark, sf_dir, "documents"), words(spark))
-
-
 @query("posting_matches")
 def posting_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skillmatch.posting_matches(R.postings(spark, sf_dir), words(spark))[0]
@@ -346,6 +340,81 @@ SQL["question_routes"] = """WITH c AS (SELECT conv_id, turn, (conv_id + turn) %
 SELECT conv_id, turn, CASE k WHEN 3 THEN 'platform' WHEN 4 THEN 'unresolved' ELSE 'sql' END AS route, CASE WHEN k = 3 THEN 'cv_upload' END AS topic, CASE k WHEN 1 THEN 'avg_salary' WHEN 2 THEN 'top_skills' ELSE 'job_count' END AS intent FROM c"""
 
 
+#: Openings of questions, one for each turn in turn; what they name is told again in the SQL's own words.
+OPENINGS = [
+    "How many senior data scientist jobs in France? ", "Average salary in the United Kingdom, freelance: ", "country=IT, it works? ", "junior ML Engineer or intern, full time ",
+    "Part-time in Pays-Bas, head of data; contractor ", "Straße in Deutschland, debutant: the  tion ", "", "Is it de or fr? Chef de projet, product manager. ", "British or spanish CDI, alternance ", "sr. software engineers (permanent) in holland ",
+]
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = R.table(spark, sf_dir, "conversations").where("role = 'user'")
+    opening = F.element_at(F.array(*[F.lit(x) for x in OPENINGS]), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS) + 1).cast("int"))
+    return c.select("conv_id", "turn", F.concat(opening, F.col("text")).alias("question"))
+
+
+#: The ontology of questions: one name has a letter that stands for two.
+ASKED_WORDS = [*WORDS, ("Straße", "domain", ["strasse"], None)]
+
+
+def _cases(pairs: list[tuple[str, str]]) -> str:
+    """The value of the first name that stands in ``q`` with no letter, digit or underscore beside it."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])({name})($|[^\\p{{L}}\\p{{N}}_])') THEN '{value}'" for name, value in pairs) + " END"
+
+
+# The longest names first, as the SQL reads them in order.
+_SQL_COUNTRIES = [
+    ("united kingdom", "gb"), ("deutschland|netherlands", "_"), ("allemagne", "de"), ("angleterre", "gb"), ("pays-bas|pays bas", "nl"), ("français|francais", "fr"), ("germany", "de"), ("spanish|espagne", "es"),
+    ("britain|british|england", "gb"), ("italian", "it"), ("holland", "nl"), ("france|french", "fr"), ("german", "de"), ("españa", "es"), ("italie", "it"), ("spain", "es"), ("italy", "it"), ("dutch", "nl"),
+]
+_SQL_CONTRACTS = [("contractor", "contract"), ("permanent", "full_time"), ("freelance", "contract"), ("full_time|full-time|full time|part_time|part-time|part time", "_"), ("temporary", "contract"), ("contract", "contract"), ("cdi", "full_time"), ("cdd", "contract")]
+_SQL_LEVELS = [("junior|debutant", "junior"), ("senior|sr|confirme|experimente", "senior")]
+
+SQL["question_entities"] = f"""WITH RECURSIVE o AS (SELECT conv_id, turn, [{", ".join("'" + x.replace("'", "''") + "'" for x in OPENINGS)}][(conv_id + turn) % {len(OPENINGS)} + 1] || text AS question FROM conversations WHERE role = 'user'),
+n AS (SELECT *, lower(question) AS q FROM o),
+w AS (SELECT conv_id, turn, regexp_extract_all(question, '[\\p{{L}}\\p{{N}}_+.#/-]+') AS w FROM n),
+x AS (SELECT conv_id, turn, CAST(a AS BIGINT) AS start, CAST(s AS BIGINT) AS size, replace(strip_accents(lower(array_to_string(w[a + 1 : a + s], ' '))), 'ß', 'ss') AS phrase
+  FROM w, range(0, len(w)) AS t(a), range(1, 5) AS u(s) WHERE a + s <= len(w)),
+al AS (SELECT alias, min(canonical) AS canonical FROM (SELECT canonical, alias FROM {_aliases()} UNION SELECT 'Straße', 'strasse') GROUP BY alias),
+h AS (SELECT conv_id, turn, start, size, canonical, row_number() OVER (PARTITION BY conv_id, turn ORDER BY size DESC, start) AS r FROM x JOIN al ON phrase = alias),
+pick(conv_id, turn, r, got) AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT), CAST([] AS STRUCT(start BIGINT, size BIGINT, canonical VARCHAR)[]) FROM n
+  UNION ALL
+  SELECT p.conv_id, p.turn, h.r, CASE WHEN len(got) < 3 AND len(list_filter(got, lambda g: (h.start < g.start + g.size AND g.start < h.start + h.size) OR g.canonical = h.canonical)) = 0
+    THEN list_append(got, {{'start': h.start, 'size': h.size, 'canonical': h.canonical}}) ELSE got END
+  FROM pick p JOIN h ON h.conv_id = p.conv_id AND h.turn = p.turn AND h.r = p.r + 1
+), last AS (SELECT conv_id, turn, list_transform(arg_max(got, r), lambda g: g.canonical) AS skills FROM pick GROUP BY conv_id, turn)
+SELECT n.conv_id, n.turn,
+  coalesce(CASE {_cases(_SQL_COUNTRIES)} WHEN '_' THEN CASE WHEN q LIKE '%deutschland%' THEN 'de' ELSE 'nl' END ELSE {_cases(_SQL_COUNTRIES)} END,
+    nullif(regexp_extract(q, '\\b(country|pays)\\s*(=|:|is|est)\\s*(fr|de|es|gb|it|nl)\\b', 3), '')) AS country,
+  coalesce({_cases(_SQL_LEVELS)}, CASE WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])lead($|[^\\p{{L}}\\p{{N}}_])|tech lead|leader technique') THEN 'lead'
+    WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])manager($|[^\\p{{L}}\\p{{N}}_])|responsable|head of|chef de projet') THEN 'manager'
+    WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])stage($|[^\\p{{L}}\\p{{N}}_])|stagiaire|intern') THEN 'internship' WHEN regexp_matches(q, 'alternance|apprenti') THEN 'apprenticeship' END) AS seniority,
+  CASE {_cases(_SQL_CONTRACTS)} WHEN '_' THEN CASE WHEN regexp_matches(q, 'full[_ -]time') THEN 'full_time' ELSE 'part_time' END ELSE {_cases(_SQL_CONTRACTS)} END AS contract_type,
+  list_filter(['machine learning engineer', 'full stack developer', 'fullstack developer', 'solutions architect', 'software developer', 'frontend developer', 'software engineer', 'backend developer', 'frontend engineer',
+    'security engineer', 'backend engineer', 'product manager', 'project manager', 'business analyst', 'devops engineer', 'data scientist', 'cloud engineer', 'data engineer', 'data architect', 'data analyst', 'ml engineer',
+    'ai engineer', 'qa engineer'], lambda t: contains(q, t))[1] AS role_title, skills[1] AS skill, array_to_string(skills, '|') AS skills
+FROM n JOIN last USING (conv_id, turn)"""
+
+
+@query("question_entities")
+def question_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ontology.alias_index(spark.createDataFrame(ASKED_WORDS, _SKILLS))
+    return questions.entities(asked(spark, sf_dir), index, "question").drop("question").withColumn("skills", F.array_join("skills", "|"))
+
+
+#: Words with letters that stand for two, planted after a part of each text; what follows them is at an offset of the text, not of its folding.
+@query("folded_match", """WITH t AS (SELECT doc_id, left(text, CAST(doc_id % 50 AS INTEGER)) || ' STRAßE mit ﬁnance; Python ' || substr(text, CAST(doc_id % 50 + 1 AS INTEGER)) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 'Road' AS canonical, 'straße' AS alias, instr(t, 'STRAßE') - 1 AS start, instr(t, 'STRAßE') + 5 AS "end", 'STRAßE' AS evidence FROM t
+UNION ALL SELECT doc_id, 'Finance', 'Finance', instr(t, 'ﬁnance') - 1, instr(t, 'ﬁnance') + 5, 'ﬁnance' FROM t UNION ALL SELECT doc_id, 'Python', 'Python', instr(t, '; Python ') + 1, instr(t, '; Python ') + 7, 'Python' FROM t""")
+def folded_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skills = spark.createDataFrame([("Road", "domain", ["straße"], None), ("Finance", "domain", [], None), ("Python", "language", [], None)], _SKILLS)
+    at = (F.col("doc_id") % 50).cast("int")
+    text = F.concat(F.left("text", at), F.lit(" STRAßE mit ﬁnance; Python "), F.substring("text", at + 1, F.char_length("text")))
+    m = skillmatch.matches(R.table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), skills)
+    return m.select("doc_id", "canonical", "alias", F.col("start").cast("long"), F.col("end").cast("long"), "evidence")
+
+
 @query("guarded_candidates", f"""WITH {_HITS}, m AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, canonical ORDER BY ord, start) = 1)
 SELECT doc_id, canonical, CASE (doc_id + length(canonical)) % 6 WHEN 0 THEN 'rejected_unsupported_fact_type' WHEN 1 THEN 'rejected_confidence' WHEN 2 THEN 'rejected_invalid_offset' WHEN 3 THEN 'rejected_no_evidence' ELSE 'accepted' END AS status FROM m""")
 def guarded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

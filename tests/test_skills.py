@@ -114,3 +114,50 @@ def test_terms_of_several_words_are_context(spark):
     skills = spark.createDataFrame([("Business Intelligence", "domain", ["BI"], None), ("Machine Learning", "domain", ["ML"], None)], "canonical string, category string, aliases array<string>, parent string")
     docs = spark.createDataFrame([(1, "BI, Power BI"), (2, "BI and sailing"), (3, "ML, deep learning"), (4, "bi data"), (5, "ML for cats")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["evidence"]) for r in skillmatch.matches(docs, skills).collect()) == [(1, "BI"), (3, "ML")]
+
+
+QUALITY = [
+    ("Artificial Intelligence", "domain", ["ai", "ia", "ki", "intelligence artificielle", "kunstliche intelligenz", "artificial intelligence"], None), ("Chef", "tool", ["chef"], None),
+    ("Machine Learning", "domain", ["ml", "machine learning", "apprentissage automatique"], None), ("Business Intelligence", "domain", ["bi", "business intelligence"], None), ("C", "language", ["langage c"], None),
+    ("C++", "language", ["cpp"], None), ("Python", "language", ["python3"], None), ("SAP", "platform", ["sap"], None), ("GCP", "cloud", ["gcp", "google cloud"], None), ("Google Vertex AI", "platform", ["vertex ai"], None),
+    ("Large Language Models", "domain", ["llm", "llms"], None), ("Retrieval-Augmented Generation", "domain", ["rag"], None), ("Data Science", "domain", ["data science", "data scientist"], None),
+]
+# The evaluation set of the matcher: text, skills that it must find, skill that it must not find.
+EVALUATION = [
+    ("AI Engineer position open.", {"Artificial Intelligence"}, None), ("The main point is available in the appendix.", set(), "Artificial Intelligence"), ("Poste en IA et machine learning.", {"Artificial Intelligence"}, None),
+    ("J'ai d?velopp? des mod?les d'IA.", set(), "Artificial Intelligence"), ("Automate infrastructure with Chef recipes.", {"Chef"}, None), ("Chef de Projet Data Scientist", set(), "Chef"),
+    ("Sous l'autorit? du chef de projet en charge.", set(), "Chef"), ("Senior Data Scientist / ML Engineer", {"Machine Learning"}, None), ("Ce poste est calme et autonome.", set(), "Machine Learning"),
+    ("Lead Data Scientist - BI Prediction", {"Business Intelligence"}, None), ("Nous cherchons une personne bienveillante.", set(), "Business Intelligence"), ("Core product in C/C++ and Python.", {"C", "C++", "Python"}, None),
+    ("C'est une entreprise innovante.", set(), "C"), ("Consultant SAP BW data platform.", {"SAP"}, None), ("Une sape ancienne dans le processus.", set(), "SAP"), ("Cloud GCP / Vertex AI platform.", {"GCP", "Google Vertex AI"}, None),
+    ("Projects around LLM, RAG and modern AI architectures.", {"Artificial Intelligence", "Large Language Models", "Retrieval-Augmented Generation"}, None), ("Orientation LLM pour mod?les de langage.", {"Large Language Models"}, None),
+    ("Data Scientist - Freelance", {"Data Science"}, None), ("Machine Learning Engineer", {"Machine Learning"}, None), ("AI Engineer F/H", {"Artificial Intelligence"}, None),
+]
+
+
+def test_evaluation_set(spark):
+    skills = spark.createDataFrame(QUALITY, "canonical string, category string, aliases array<string>, parent string")
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(EVALUATION)], "doc_id long, text string")
+    got = {}
+    for r in skillmatch.matches(docs, skills).collect():
+        got.setdefault(r["doc_id"], set()).add(r["canonical"])
+    for k, (text, must, never) in enumerate(EVALUATION):
+        assert must <= got.get(k, set()) and never not in got.get(k, set()), text
+
+
+def test_letters_that_expand(spark):
+    skills = spark.createDataFrame([("Python", "language", [], None), ("Straße", "domain", [], None), ("Bureau", "tool", ["oﬃce suite"], None)], "canonical string, category string, aliases array<string>, parent string")
+    texts = ["Straße team uses Python", "ﬃ STRASSE: office  suite, ½ python!", "á oﬃce suite İ Python", None, ""]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(None, texts[0]), (None, texts[0])], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["canonical"], r["evidence"]) for r in skillmatch.matches(docs, skills).collect())
+    assert got == sorted([("1", "Straße", "Straße"), ("1", "Python", "Python"), ("1", "Straße", "STRASSE"), ("1", "Bureau", "office  suite"), ("1", "Python", "python"), ("1", "Bureau", "oﬃce suite"), ("1", "Python", "Python")] + [("None", "Straße", "Straße"), ("None", "Python", "Python")] * 2)
+    for r in skillmatch.matches(docs.where("doc_id is null"), skills).collect():
+        assert texts[0][r["start"] : r["end"]] == r["evidence"]
+
+
+def test_hits_beyond_the_broadcast_and_without_exchange(spark, skills, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    near = sorted(map(tuple, skillmatch.matches(docs, skills).collect()))
+    plan = skillmatch.hits(docs, skillmatch.alias_table(skills))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
+    monkeypatch.setattr(skillmatch, "BROADCAST_ALIASES", -1)
+    assert sorted(map(tuple, skillmatch.matches(docs, skills).collect())) == near
