@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import os
+import string
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from postwright.llm.common import stage_path, table
 #: Ids after which a shard ends (a document is never cut, so a longer one is a shard of its own).
 SHARD_TOKENS = 1 << 20
 #: A pair becomes a nonterminal if a shard has it so many times at least ...
-MIN_PAIRS = 32
+MIN_PAIRS = 64
 #: ... and at least this part as often as the round's most frequent pair.
 ROUND_SHARE = 8
 #: Words of which a worker remembers the ids; the memory starts anew beyond it.
@@ -44,6 +46,18 @@ SHARD = (
 WORDWISE = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
 
+#: Marks that stand alone after letters: all of ASCII but the apostrophe, which begins endings of its own.
+MARKS = string.punctuation.replace("'", "")
+#: The end of the Latin letters; all but one (I with a dot) have one lower-case letter each.
+LATIN_END = "\u0250"
+#: Merges are of bytes, each written as a letter: itself if it is printable Latin-1, else the next one after these.
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)})}
+
+
+def as_bytes(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
 class TextIds:
     """Ids of whole texts, as bytes of 32-bit little-endian integers; for any tokenizer."""
 
@@ -59,15 +73,15 @@ class TextIds:
 class WordIds(TextIds):
     """The same, word by word, for a tokenizer that drops white space and joins nothing across it.
 
-    A text's ids are its words' ids in turn, and a word that comes again is looked up. A word of ASCII letters is
-    what the merges get, in lower case; so is one before a mark.
+    A text's ids are its words' ids in turn, and a word that comes again is looked up. A word of Latin letters is
+    what the merges get, in lower case; marks after it are a piece of their own.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
         self.known: dict[str, bytes] = {}
         self.merges = self.tokenizer.model.tokenize
-        self.marks = {m: self.whole([m])[0] for m in ".,;:!?"}
+        self.marks = {"": b""}
 
     def whole(self, words: list[str]) -> list[bytes]:
         return super().of(words)
@@ -76,28 +90,36 @@ class WordIds(TextIds):
         known = self.known
         if len(known) + len(words) > MEMORY:
             known.clear()
+            self.marks = {"": b""}
         other = []
         for w in words:
-            stem, mark = w, b""
-            if not stem.isalpha():
-                stem, mark = w[:-1], self.marks.get(w[-1:])
-            if mark is not None and stem.isascii() and stem.isalpha():
-                low = stem.lower()
-                known[w] = (known.get(low) or array("I", [t.id for t in self.merges(low)]).tobytes()) + mark
+            stem = w.rstrip(MARKS)
+            run = w[len(stem) :]
+            if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END and "İ" not in stem and unicodedata.is_normalized("NFC", stem)):
+                low = "".join(map(str.lower, stem))
+                if run and run not in self.marks:
+                    self.marks[run] = self.whole([run])[0]
+                known[w] = (known.get(low) or array("I", [t.id for t in self.merges(as_bytes(low))]).tobytes()) + self.marks[run]
             else:
                 other.append(w)
         known.update(zip(other, self.whole(other), strict=True))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").split(" ")
-            got = list(map(self.known.get, words))
-            if None in got:
-                self.learn({w for w, ids in zip(words, got, strict=True) if ids is None})
-                got = [self.known[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
-            out.append(b"".join(got))
-        return out
+        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        missed = [(words, got, k) for words, got in zip(split, found, strict=True) for k in places(got, None)]
+        self.learn({words[k] for words, _, k in missed})
+        for words, got, k in missed:
+            got[k] = self.known[words[k]]
+        return [b"".join(got) for got in found]
+
+
+def places(values: list, wanted) -> Iterator[int]:
+    """Where ``wanted`` stands in ``values``."""
+    at = -1
+    for _ in range(values.count(wanted)):
+        at = values.index(wanted, at + 1)
+        yield at
 
 
 def ids_of(path: str) -> TextIds:

@@ -43,12 +43,12 @@ def test_grammar_round_trip(docs, least):
 
 
 def test_wide_symbols():
-    flat = np.array([70_000, 5] * 40, dtype=np.uint32)
-    vocab, rules, _, seq, _ = token_files.repair(flat, np.array([80]))
-    assert len(seq) < 80 and token_files.expand(vocab, rules, seq).tolist() == flat.tolist()
+    flat = np.array([70_000, 5] * 80, dtype=np.uint32)
+    vocab, rules, _, seq, _ = token_files.repair(flat, np.array([160]))
+    assert len(seq) < 160 and token_files.expand(vocab, rules, seq).tolist() == flat.tolist()
 
 
-WORDS = ["İstanbul", "ΣΑΣ", "don't", "it's.", "é", "́x", "a\x1cb", "a\x85b", "a b", "<|endoftext|>", "<|ENDOFTEXT|>", "x<|startoftext|>y", "2024,", "Word.", "WORD?!", "日本語", "😀", "ß", "", "\r", "\x0b", "'s", "A'll"]
+WORDS = ["word.$$$", "a_b_", "x<|", "don't.", "end.'", "Été***", "7th!", "a-", "---", "<|endoftext|>.", "İstanbul", "éè", "ÉTÉ.", "ǅungla", "ŉa", "Øre,", "ſ", "ĲSLAND", "e\u0301te", "ªº", "naïve!", "ßẞ", "ÀÀ", "ΣΑΣ", "don't", "it's.", "é", "́x", "a\x1cb", "a\x85b", "a b", "<|endoftext|>", "<|ENDOFTEXT|>", "x<|startoftext|>y", "2024,", "Word.", "WORD?!", "日本語", "😀", "ß", "", "\r", "\x0b", "'s", "A'll"]
 
 
 @given(st.lists(st.sampled_from(WORDS) | st.text(max_size=6), max_size=12), st.sampled_from([" ", "\n", "\t", "  ", "\r\n"]))
