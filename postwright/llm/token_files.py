@@ -34,7 +34,7 @@ MIN_PAIRS = 64
 #: ... and at least this part as often as the round's most frequent pair.
 ROUND_SHARE = 8
 #: Words of which a worker remembers the ids; the memory starts anew beyond it.
-MEMORY = 1_000_000
+MEMORY = 2_000_000
 
 SHARD = (
     "part int, shard int, before bigint, n_tokens bigint, first_id bigint, last_id bigint, ids array<bigint>, lengths array<int>,"
