@@ -58,11 +58,14 @@ def fold(x: Column) -> Column:
 
 def full_fold(x: Column) -> Column:
     """``fold``, and Latin letters that stand for several (``ß``, ligatures) become these; offsets move."""
-    some = fold(x)
-    out = some
-    for c, letters in EXPANDED.items():
-        out = F.replace(out, F.lit(c), F.lit(letters))
-    return F.when(some.rlike("[" + "".join(EXPANDED) + "]"), out).otherwise(some)
+
+    def expanded(some: Column) -> Column:
+        out = some
+        for c, letters in EXPANDED.items():
+            out = F.replace(out, F.lit(c), F.lit(letters))
+        return F.when(some.rlike("[" + "".join(EXPANDED) + "]"), out).otherwise(some)
+
+    return F.get(F.transform(F.array(fold(x)), expanded), 0)  # what is folded is named once, however often it is used
 
 
 def folded_with_origin(text: str) -> tuple[str, list[int] | None]:

@@ -127,62 +127,10 @@ def canonical_mode(x: Column) -> Column:
     return F.when(n.contains("remote"), "remote").when(n.rlike("hybride?"), "hybrid").when(n.isin("on site", "onsite", "on-site", "office", "in office"), "on_site").otherwise("unknown")
 
 
-def validated_response(answers: DataFrame, jobs: DataFrame, index: DataFrame) -> DataFrame:
-    """``(job_id, name, canonical, verdict)`` of the skills that a JSON answer names.
-
-    An answer that isn't JSON has one row with the verdict invalid_json. A skill needs the least
-    confidence and evidence that the posting's text has; what the ontology doesn't know is unmapped.
-    """
-    kind = "struct<skills:array<struct<name:string,confidence:double,evidence:string>>>"
-    rows = answers.select("job_id", F.from_json("answer", kind).alias("a"), F.try_parse_json("answer").isNotNull().alias("ok"))
-    bad = rows.where(~F.col("ok")).select("job_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("canonical"), F.lit("invalid_json").alias("verdict"))
-    s = rows.where("ok").select("job_id", F.explode("a.skills").alias("s")).select("job_id", "s.*").join(jobs.select("job_id", "text"), "job_id")
-    names = index.select("folded", "canonical").dropDuplicates(["folded"])
-    s = s.withColumn("folded", alias_key(F.col("name"))).join(names, "folded", "left")
-    verdict = (
-        F.when(~(F.col("confidence") >= MIN_CONFIDENCE) | F.col("confidence").isNull(), "low_confidence")
-        .when(F.coalesce("evidence", F.lit("")) == "", "no_evidence")
-        .when(~F.col("text").contains(F.col("evidence")), "evidence_not_found")
-        .when(F.col("canonical").isNull(), "unmapped")
-        .otherwise("accepted")
-    )
-    return s.select("job_id", "name", "canonical", verdict.alias("verdict")).union(bad)
-
-
-def nearest_rank(values: DataFrame, column: str, by: list[str], p: float) -> DataFrame:
-    """The value at ``round(p * (n - 1))`` of each group in order."""
-    w = Window.partitionBy(*by)
-    rows = values.withColumn("__r", F.row_number().over(w.orderBy(column)) - 1).withColumn("__n", F.count("*").over(w))
-    at = F.least(F.col("__n") - 1, F.bround((F.col("__n") - 1) * p).cast("long"))
-    return rows.where(F.col("__r") == at).select(*by, F.col(column).alias(f"p{int(p * 100)}"))
-
-
 def token_cost(prompt: Column, completion: Column) -> Column:
     return F.round(prompt / 1_000_000 * PRICE_IN + completion / 1_000_000 * PRICE_OUT, 6)
 
 
-def stratified_sample(jobs: DataFrame, size: int, seed: int = 20260724, truncated: str = "adzuna", share: float = 0.70, diagnostic: int = 15, long_text: int = 1500) -> DataFrame:
-    """``(job_id, stratum, diagnostic_group)``: a share from the truncated source, some of it of two countries, the rest of long texts.
-
-    Within a stratum jobs come in the order of a hash; what is short is filled from all jobs.
-    ``jobs``: job_id, source, country, n_chars.
-    """
-
-    def take(rows: DataFrame, n: int, offset: int, stratum: str, group: str) -> DataFrame:
-        key = F.sha2(F.concat(F.lit(f"{seed + offset}:"), F.col("job_id").cast("string")).cast("binary"), 256)
-        return rows.orderBy(key, "job_id").limit(max(n, 0)).select("job_id", F.lit(stratum).alias("stratum"), F.lit(group).alias("diagnostic_group"))
-
-    without = lambda rows, got: rows.join(got.select("job_id"), "job_id", "left_anti")
-    target = round(size * share)
-    own = jobs.where(F.col("source") == truncated)
-    special = own.where(F.lower("country").isin("nl", "it"))
-    got = take(special, min(diagnostic, target), 1, "truncated", "nl_it_diagnostic").cache()
-    got = got.union(take(without(own.where(~F.coalesce(F.lower("country"), F.lit("")).isin("nl", "it")), got), target - got.count(), 2, "truncated", "standard")).cache()
-    got = got.union(take(without(own, got), target - got.count(), 5, "truncated", "standard")).cache()
-    got = got.union(take(without(jobs.where(F.col("n_chars") >= long_text), got), size - target, 3, "full_text", "standard")).cache()
-    return got.union(take(without(jobs, got), size - got.count(), 4, "fallback", "standard"))
-
-
 # Topics with their phrases, in order.
 TOPICS = {
     "cv_upload": ["upload my cv", "upload a cv", "upload cv", "extraction confidence", "how is my cv", "parse my cv", "extract my cv", "cv extraction"],

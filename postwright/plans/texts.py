@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postwright.functions import text as T
+from postwright.functions.session import cut_off
 from postwright.operators import analytics as A
-from postwright.operators import attributes, audit, curation, enrich, guards, matching, ontology, parse, questions, resumes, skillmatch
+from postwright.operators import attributes, audit, curation, enrich, evaluation, guards, matching, ontology, parse, questions, resumes, skillmatch
 from postwright.operators import vectors as V
 from postwright.plans import roles as R
 from postwright.sources import boards, exports
@@ -446,30 +447,120 @@ def spelling_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", guards.spelling_verdict(F.col("text"), new, none, none).alias("verdict"))
 
 
-@query("stratified_sample", """WITH k AS (SELECT doc_id, source, lang, length(text) AS n FROM documents), own AS (SELECT * FROM k WHERE source = 'src0'),
-a AS (SELECT doc_id FROM own WHERE lang IN ('nl', 'it') ORDER BY sha256('20260725:' || doc_id), doc_id LIMIT 7), b AS (SELECT doc_id FROM own WHERE lang NOT IN ('nl', 'it') ORDER BY sha256('20260726:' || doc_id), doc_id LIMIT 7),
-c AS (SELECT doc_id FROM k WHERE n >= 1500 AND doc_id NOT IN (SELECT doc_id FROM b) ORDER BY sha256('20260727:' || doc_id), doc_id LIMIT 3)
-SELECT doc_id AS job_id, 'truncated' AS stratum, 'standard' AS diagnostic_group FROM b UNION ALL SELECT doc_id, 'full_text', 'standard' FROM c""")
+_SAMPLED = """k AS (SELECT doc_id, source, text, length(text) AS n, CASE WHEN doc_id % 17 = 0 THEN 'nl' WHEN doc_id % 19 = 0 THEN 'IT' ELSE lang END AS country, lower(split_part(text, chr(10), 1)) AS title FROM documents),
+o AS (SELECT *, source = 'src0' AS own, coalesce(lower(country) IN ('nl', 'it'), false) AS special, coalesce(n >= 3000 OR source = 'src1' AND regexp_matches(strip_accents(title), 'developer|engineer|software|data|devops|cloud|security|backend|frontend|full stack|machine learning|ai|ml|python|java|platform|sre|architect|qa|analyst'), false) AS full_ FROM k)"""
+
+
+def _sample_sql(size: int) -> str:
+    """The strata one after the other, each from what is left."""
+    target = round(size * 0.7)
+    pick = lambda name, seed, where, quota: f"{name} AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('{20260724 + seed}:' || doc_id), doc_id) AS r FROM o WHERE {where}) WHERE r <= {quota})"
+    out = lambda *names: " ".join(f"AND doc_id NOT IN (SELECT doc_id FROM {n})" for n in names)
+    n = lambda *names: " - ".join(["", *[f"(SELECT count(*) FROM {x})" for x in names]])
+    q = f"q{size}_"
+    a, b, c, d, e = (q + x for x in "abcde")
+    return ", ".join([
+        pick(a, 1, "own AND special", min(15, target)), pick(b, 2, "own AND NOT special", f"{target}{n(a)}"), pick(c, 5, f"own {out(a, b)}", f"{target}{n(a, b)}"),
+        pick(d, 3, f"full_ {out(a, b, c)}", size - target), pick(e, 4, f"true {out(a, b, c, d)}", f"{size}{n(a, b, c, d)}"),
+        f"{q}all AS (SELECT {size} AS size, doc_id AS job_id, 'truncated' AS stratum, 'nl_it_diagnostic' AS diagnostic_group FROM {a} UNION ALL SELECT {size}, doc_id, 'truncated', 'standard' FROM {b} UNION ALL SELECT {size}, doc_id, 'truncated', 'standard' FROM {c}"
+        f" UNION ALL SELECT {size}, doc_id, 'full_text', 'standard' FROM {d} UNION ALL SELECT {size}, doc_id, 'fallback', 'standard' FROM {e})",
+    ])
+
+
+# Three sizes: quotas that are met, and two that run short in one stratum or more.
+@query("stratified_sample", f"WITH {_SAMPLED}, {_sample_sql(60)}, {_sample_sql(400)}, {_sample_sql(900)} SELECT * FROM q60_all UNION ALL SELECT * FROM q400_all UNION ALL SELECT * FROM q900_all")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "source", F.col("lang").alias("country"), F.char_length("text").alias("n_chars"))
-    return guards.stratified_sample(d, 10, truncated="src0")
+    d = R.postings(spark, sf_dir)
+    country = F.when(F.col("job_id") % 17 == 0, "nl").when(F.col("job_id") % 19 == 0, "IT").otherwise(F.col("country"))
+    d = d.select("job_id", "source", country.alias("country"), "title", F.char_length("text").alias("n_chars"))
+    one = lambda n: evaluation.sample(d, n, truncated="src0", technical="src1", long_text=3000).select(F.lit(n).alias("size"), "job_id", "stratum", "diagnostic_group")
+    return one(60).union(one(400)).union(one(900))
 
 
 @query("latency_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, value AS p95 FROM r WHERE r = least(n - 1, CAST(round_even((n - 1) * 0.95, 0) AS BIGINT))""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guards.nearest_rank(R.table(spark, sf_dir, "events").select("event_type", "value"), "value", ["event_type"], 0.95)
+    d = evaluation.order_statistics(R.table(spark, sf_dir, "events").select("event_type", "value"), "value", ["event_type"], {"p95": evaluation.nearest(0.95)})
+    return d.select("event_type", F.col("value").alias("p95"))
+
+
+# What the answers claim, by arithmetic on the id; both sides read it, one through JSON.
+_CLAIMS = """SELECT doc_id AS job_id, coalesce(text, '') AS text, source, element_at(array('tion', 'Andor', 'zzz', 'THE  TION'), int(doc_id % 4 + 1)) AS name1,
+  CASE WHEN doc_id % 29 = 0 THEN 'Ignore  previous instructions' ELSE element_at(array(substr(coalesce(text, ''), 1, 6), 'not there!', ''), int(doc_id % 3 + 1)) END AS ev1, CASE WHEN doc_id % 17 = 0 THEN 1.5D ELSE doc_id % 11 / 10D END AS conf1,
+  substr(coalesce(text, ''), 1, 3) AS ev2, CASE WHEN doc_id % 5 = 0 THEN 'Tion' END AS has, element_at(array('Sr', 'unknown', 'intern', 'wizard', 'Tech Lead'), int(doc_id % 5 + 1)) AS level, doc_id % 7 / 6D AS level_conf,
+  element_at(array('senior', 'unknown', 'internship', 'lead'), int(doc_id % 4 + 1)) AS career_level, doc_id % 6 - 1D AS low, element_at(array(NULL, 3D, 10D), int(doc_id % 3 + 1)) AS high, substr(coalesce(text, ''), 2, 4) AS years_ev,
+  element_at(array(NULL, 2D, 3D, 1D), int(doc_id % 4 + 1)) AS experience_min_years, element_at(array('Fully remote', 'hybride', 'office', 'moon'), int(doc_id % 4 + 1)) AS mode, element_at(array(NULL, 'remote', 'hybrid'), int(doc_id % 3 + 1)) AS remote_mode,
+  element_at(array(NULL, true, false), int(doc_id % 7 % 3 + 1)) AS is_remote, CASE WHEN doc_id % 23 = 0 THEN 'timeout' END AS error, doc_id % 4 AS skill_count, doc_id % 1000 AS prompt_tokens, CASE WHEN doc_id % 31 <> 0 THEN doc_id % 300 END AS completion_tokens,
+  doc_id * 37 % 1009 / 8D AS latency_ms FROM documents"""
+_CLAIMS_SQL = _CLAIMS.replace("element_at(array(", "list_extract(list_value(").replace("int(", "(").replace("1.5D", "1.5").replace("10D", "10.0").replace("6D", "6.0").replace("1D", "1.0").replace("2D", "2.0").replace("3D", "3.0").replace("8D", "8.0")
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records with what is computed of each job, and answers in JSON."""
+    R.table(spark, sf_dir, "documents").createOrReplaceTempView("claim_documents")
+    d = spark.sql(_CLAIMS.replace("FROM documents", "FROM claim_documents"))
+    answer = F.expr("""CASE WHEN job_id % 13 = 0 THEN '{not json' ELSE concat('{"skills":[',
+      CASE WHEN job_id % 19 = 0 THEN to_json(struct(name1 AS name, ev1 AS evidence, conf1 AS confidence, 1 AS note)) ELSE to_json(struct(name1 AS name, ev1 AS evidence, conf1 AS confidence, true AS explicit)) END, ',',
+      to_json(struct('the tion' AS name, ev2 AS evidence, 0.9 AS confidence)), '],"career_level":', to_json(struct(level AS value, ev1 AS evidence, level_conf AS confidence)),
+      ',"experience_requirement":', to_json(struct(low AS minimum_years, coalesce(cast(high AS string), 'not specified') AS maximum_years, years_ev AS evidence, 0.8 AS confidence)),
+      ',"work_mode":', to_json(struct(mode AS value, ev2 AS evidence, 1 AS confidence)), '}') END""")
+    none = F.expr("cast(array() as array<string>)")
+    return d.withColumn("skills", F.when(F.col("has").isNotNull(), F.array("has")).otherwise(none)), d.select("job_id", answer.alias("answer"), "error")
 
 
-@query("answer_validation", """SELECT doc_id AS job_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'tion' ELSE 'zzz' END AS name, CASE WHEN doc_id % 4 = 1 THEN 'Tion' END AS canonical,
-  CASE doc_id % 4 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'accepted' WHEN 2 THEN 'low_confidence' ELSE 'unmapped' END AS verdict FROM documents WHERE length(text) > 0""")
+def _ground(evidence: str, confidence: str) -> str:
+    return f"CASE WHEN {confidence} < 0.7 THEN 'low_confidence' WHEN {evidence} = '' OR NOT contains(text, {evidence}) THEN 'hallucinated_evidence' END"
+
+
+_ITEMS_SQL = f"""c AS MATERIALIZED ({_CLAIMS_SQL}),
+st AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'call' WHEN job_id % 13 = 0 OR job_id % 17 = 0 OR job_id % 19 = 0 THEN 'json' WHEN job_id % 29 = 0 THEN 'response' ELSE 'read' END AS state FROM c),
+rd AS (SELECT * FROM st WHERE state = 'read'),
+s0 AS (SELECT job_id, 0 AS pos, name1 AS value, ev1 AS ev, conf1 AS conf, text, has FROM rd UNION ALL SELECT job_id, 1, 'the tion', ev2, 0.9, text, has FROM rd),
+s1 AS (SELECT *, CASE lower(regexp_replace(value, '\\s+', ' ', 'g')) WHEN 'tion' THEN 'Tion' WHEN 'the tion' THEN 'Tion' WHEN 'andor' THEN 'Andor' END AS canonical FROM s0),
+s2 AS (SELECT *, CASE WHEN canonical IS NULL THEN 'unknown_ontology_skill' WHEN ev = '' OR NOT contains(text, ev) THEN 'hallucinated_evidence' WHEN conf < 0.7 THEN 'low_confidence' WHEN canonical = has THEN 'already_deterministic' END AS r FROM s1),
+s3 AS (SELECT *, CASE WHEN r IS NULL AND min(pos) FILTER (WHERE r IS NULL) OVER (PARTITION BY job_id, canonical) < pos THEN 'duplicate_skill' ELSE r END AS reason FROM s2),
+l0 AS (SELECT *, CASE level WHEN 'Sr' THEN 'senior' WHEN 'intern' THEN 'internship' WHEN 'Tech Lead' THEN 'lead' END AS lv, CASE mode WHEN 'Fully remote' THEN 'remote' WHEN 'hybride' THEN 'hybrid' WHEN 'office' THEN 'on_site' END AS md,
+  CASE WHEN is_remote THEN 'remote' WHEN NOT is_remote THEN 'on_site' END AS said FROM rd),
+l1 AS (SELECT job_id, 'career_level' AS field, lv AS value, coalesce({_ground("ev1", "level_conf")}, CASE WHEN career_level <> 'unknown' AND career_level <> lv THEN 'deterministic_conflict' END) AS reason FROM l0 WHERE lv IS NOT NULL
+  UNION ALL SELECT job_id, 'experience', CAST(CAST(low AS DOUBLE) AS VARCHAR), CASE WHEN high < low THEN 'contradictory_experience' WHEN low < 0 THEN 'invalid_experience' ELSE coalesce({_ground("years_ev", "0.8")}, CASE WHEN experience_min_years <> low THEN 'deterministic_conflict' END) END FROM l0
+  UNION ALL SELECT job_id, 'work_mode', md, coalesce({_ground("ev2", "1")}, CASE WHEN said <> md THEN 'metadata_conflict' END, CASE WHEN remote_mode <> md THEN 'deterministic_conflict' END) FROM l0 WHERE md IS NOT NULL),
+items AS (SELECT job_id, state AS field, '' AS value, NULL AS canonical, 'rejected' AS verdict, CASE state WHEN 'call' THEN error WHEN 'json' THEN 'invalid_json_schema' ELSE 'prompt_injection' END AS reason FROM st WHERE state <> 'read'
+  UNION ALL SELECT job_id, 'skill', value, canonical, CASE WHEN canonical IS NULL THEN 'unmapped' WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END, reason FROM s3
+  UNION ALL SELECT job_id, field, value, CASE WHEN reason IS NULL THEN value END, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason LIKE '%_conflict' THEN 'conflict' ELSE 'rejected' END, reason FROM l1)"""
+
+
+@query("answer_validation", f"WITH {_ITEMS_SQL} SELECT * FROM items")
 def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = R.table(spark, sf_dir, "documents").where("length(text) > 0")
-    k = F.col("doc_id") % 4
-    one = F.struct(F.when(k == 1, "tion").otherwise("zzz").alias("name"), F.when(k == 2, 0.1).otherwise(0.9).alias("confidence"), F.substring("text", 1, 5).alias("evidence"))
-    answer = F.when(k == 0, "{not json").otherwise(F.to_json(F.struct(F.array(one).alias("skills"))))
-    jobs = d.select(F.col("doc_id").alias("job_id"), "text")
-    return guards.validated_response(d.select(F.col("doc_id").alias("job_id"), answer.alias("answer")), jobs, ontology.alias_index(words(spark)))
+    jobs, answers = _claims(spark, sf_dir)
+    return evaluation.validated(answers, jobs, ontology.alias_index(words(spark)))
+
+
+_FIGURES_SQL = {
+    "jobs": "count(*)", "calls": "count(*) FILTER (WHERE prompt_tokens <> 0 OR coalesce(completion_tokens, 0) <> 0 OR latency_ms > 0)", "successful": "count(*) FILTER (WHERE error IS NULL)", "failed": "count(error)",
+    "valid_json_rate": "avg(CASE WHEN bad THEN 0.0 ELSE 1.0 END)", "acceptance_rate": "coalesce(sum(acc) / nullif(sum(acc + rej + unm), 0), 0)", "rejection_rate": "coalesce(sum(rej + unm) / nullif(sum(acc + rej + unm), 0), 0)",
+    "accepted": "sum(acc)", "rejected_or_unmapped": "sum(rej + unm)", "unmapped": "sum(unm)", "mean_accepted": "avg(acc)", "jobs_with_additions": "count(*) FILTER (WHERE acc > 0)", "median_accepted": "median(acc)",
+    "matcher_mean_skills": "avg(skill_count)", "combined_mean_skills": "avg(skill_count + acc)", "accepted_zero_skill": "coalesce(sum(acc) FILTER (WHERE skill_count = 0), 0)", "accepted_nonzero_skill": "coalesce(sum(acc) FILTER (WHERE skill_count > 0), 0)",
+    "jobs_zero_skill_accepted": "count(*) FILTER (WHERE skill_count = 0 AND acc > 0)", "jobs_nonzero_skill_accepted": "count(*) FILTER (WHERE skill_count > 0 AND acc > 0)",
+    "career_agreement": "avg(CASE WHEN career IS NULL OR career = career_level THEN 1.0 ELSE 0.0 END)", "experience_agreement": "avg(CASE WHEN years IS NULL OR coalesce(years = experience_min_years, false) THEN 1.0 ELSE 0.0 END)",
+    "mode_agreement": "avg(CASE WHEN mode_ok IS NULL OR coalesce(mode_ok = remote_mode, false) THEN 1.0 ELSE 0.0 END)", "new_levels": "count(*) FILTER (WHERE career_level = 'unknown' AND career IS NOT NULL)", "mean_latency_ms": "avg(latency_ms)",
+    "prompt_tokens": "sum(prompt_tokens)", "completion_tokens": "coalesce(sum(completion_tokens), 0)", "cost_usd": "{c}", "cost_usd_1000": "{c} / count(*) * 1000", "cost_usd_corpus": "{c} / count(*) * 35968",
+}
+_COST_SQL = "round(sum(prompt_tokens) / 1000000 * 0.59 + coalesce(sum(completion_tokens), 0) / 1000000 * 0.79, 6)"
+
+
+@query("evaluation_metrics", f"""WITH {_ITEMS_SQL}, own AS (SELECT job_id, count(*) FILTER (WHERE field = 'skill' AND verdict = 'accepted') AS acc, count(*) FILTER (WHERE verdict = 'unmapped') AS unm, count(*) FILTER (WHERE verdict IN ('rejected', 'conflict')) AS rej,
+  bool_or(field IN ('call', 'json')) AS bad, max(value) FILTER (WHERE field = 'career_level' AND verdict = 'accepted') AS career, max(value) FILTER (WHERE field = 'work_mode' AND verdict = 'accepted') AS mode_ok,
+  TRY_CAST(max(value) FILTER (WHERE field = 'experience' AND verdict = 'accepted') AS DOUBLE) AS years FROM items GROUP BY job_id),
+rec AS (SELECT c.*, source AS stratum, coalesce(acc, 0) AS acc, coalesce(unm, 0) AS unm, coalesce(rej, 0) AS rej, coalesce(bad, false) AS bad, career, mode_ok, years FROM c LEFT JOIN own USING (job_id)),
+two AS (SELECT * EXCLUDE (stratum), unnest([stratum, NULL]) AS stratum FROM rec),
+lat AS (SELECT stratum, latency_ms, row_number() OVER (PARTITION BY stratum ORDER BY latency_ms) - 1 AS k, count(*) OVER (PARTITION BY stratum) - 1 AS n FROM two)
+SELECT stratum, unnest([{", ".join(f"'{k}'" for k in _FIGURES_SQL)}]) AS metric, unnest([{", ".join(f"CAST({v.format(c=_COST_SQL)} AS DOUBLE)" for v in _FIGURES_SQL.values())}]) AS value FROM two GROUP BY stratum
+UNION ALL SELECT stratum, 'p50_latency_ms', latency_ms FROM lat WHERE k = CAST(round_even(n * 0.5, 0) AS BIGINT) UNION ALL SELECT stratum, 'p95_latency_ms', latency_ms FROM lat WHERE k = CAST(round_even(n * 0.95, 0) AS BIGINT)
+UNION ALL SELECT stratum, 'rejected:' || reason, CAST(count(*) AS DOUBLE) FROM items JOIN two USING (job_id) WHERE reason IS NOT NULL GROUP BY ALL""")
+def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs, answers = _claims(spark, sf_dir)
+    items = cut_off(evaluation.validated(answers, jobs, ontology.alias_index(words(spark))))  # read three times
+    return evaluation.metrics(jobs.withColumnRenamed("source", "stratum"), items)
 
 
 def _resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
