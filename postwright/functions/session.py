@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_off(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the folder that executors share: its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    The folder is ``spark.checkpoint.dir`` or the session's own. Without either, a session on
+    It is ``spark.checkpoint.dir`` or the session's own checkpoint folder. Without either, a session on
     one machine uses its warehouse; elsewhere nothing is known to be shared, and an error says so.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints").rstrip("/")
+
+
+def cut_off(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder: its lineage ends there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -102,20 +102,3 @@ def ambiguous_review(found: DataFrame, texts: DataFrame, n: int = 100, width: in
 
 def excerpt(text: Column, size: int = 320) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, size)
-
-
-def check_violations(job_skills: DataFrame, ledger: DataFrame) -> DataFrame:
-    """``(table_name, rule, n)`` of the rows that break a constraint."""
-    rules = [
-        (job_skills, "job_skills", "method", ~F.col("method").isin("matcher", "llm")),
-        (job_skills, "job_skills", "evidence_field", ~F.col("evidence_field").isin(FIELDS)),
-        (job_skills, "job_skills", "offsets", ~((F.col("start") >= 0) & (F.col("start") <= F.col("end")))),
-        (ledger, "ledger", "status", ~F.col("status").isin("success", "failed")),
-        (ledger, "ledger", "skill_count", F.col("skill_count") < 0),
-    ]
-    out = None
-    for table, name, rule, bad in rules:
-        one = table.agg(F.count_if(bad).alias("n")).select(F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), "n")
-        out = one if out is None else out.union(one)
-    twice = ledger.groupBy("run_id", "job_id").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("n"))
-    return out.union(twice.select(F.lit("ledger").alias("table_name"), F.lit("unique").alias("rule"), "n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from postwright.functions.text import alias_key, fold
 
@@ -260,16 +261,42 @@ def overall(checks: Column) -> Column:
 
 
 def redacted(profiles: DataFrame, raw: tuple[str, ...] = ("text", "raw_text", "document_text")) -> DataFrame:
-    """Profiles without raw text, nested fields included, before they are stored."""
-    from pyspark.sql.types import StructType
-
-    out = profiles.drop(*raw)
-    for f in out.schema.fields:
-        if isinstance(f.dataType, StructType):
-            drop = [n for n in f.dataType.names if n in raw]
-            if drop:
-                out = out.withColumn(f.name, F.col(f.name).dropFields(*drop))
-    return out
+    """Profiles without the fields named in ``raw``, at any depth, before they are stored.
+
+    The schema is followed through structs, arrays and maps (a map loses the entries with such a key); what holds
+    no such field is left as it is. Null structs, arrays and maps stay null; a struct with no other field goes with it.
+    """
+    kept = [(f, _without(F.col(f"`{f.name}`"), f.dataType, raw)) for f in profiles.schema.fields if f.name not in raw and not _emptied(f.dataType, raw)]
+    return profiles.select(*[c.alias(f.name) for f, c in kept])
+
+
+def _emptied(kind: DataType, raw: tuple[str, ...]) -> bool:
+    """A struct of raw fields only, or an array or map of such."""
+    if isinstance(kind, StructType):
+        return bool(kind.fields) and all(f.name in raw or _emptied(f.dataType, raw) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _emptied(kind.elementType, raw)
+    return isinstance(kind, MapType) and _emptied(kind.valueType, raw)
+
+
+def _holds(kind: DataType, raw: tuple[str, ...]) -> bool:
+    if isinstance(kind, StructType):
+        return any(f.name in raw or _holds(f.dataType, raw) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _holds(kind.elementType, raw)
+    return isinstance(kind, MapType) and (isinstance(kind.keyType, StringType) or _holds(kind.keyType, raw) or _holds(kind.valueType, raw))
+
+
+def _without(value: Column, kind: DataType, raw: tuple[str, ...]) -> Column:
+    if not _holds(kind, raw):
+        return value
+    if isinstance(kind, StructType):
+        fields = [_without(value.getField(f.name), f.dataType, raw).alias(f.name) for f in kind.fields if f.name not in raw and not _emptied(f.dataType, raw)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _without(x, kind.elementType, raw))
+    entries = F.map_filter(value, lambda k, _: ~k.isin(*raw)) if isinstance(kind.keyType, StringType) else value
+    return F.transform_values(entries, lambda _, v: _without(v, kind.valueType, raw))
 
 
 # What lets a single letter count as a language, and skills that make a profile technical.

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import contextlib
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postwright.functions import text as T
+from postwright.functions.session import shared_folder
 from postwright.operators import analytics as A
-from postwright.operators import audit, curation, dedup, enrich, matching
+from postwright.operators import audit, constraints, curation, dedup, enrich, matching
 from postwright.plans import roles as R
 from postwright.sources import boards
 
@@ -387,13 +392,61 @@ def skill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.recommended_skills(matching.skill_gaps(m, demand), m).drop("n_matches")
 
 
-@query("constraint_violations", f"""{_BASE} SELECT 'job_skills' AS table_name, 'method' AS rule, count(*) FILTER (WHERE source NOT IN ('A', 'N')) AS n FROM job_skills
-UNION ALL SELECT 'job_skills', 'evidence_field', 0 UNION ALL SELECT 'job_skills', 'offsets', count(*) FILTER (WHERE line > weight) FROM job_skills
-UNION ALL SELECT 'ledger', 'status', count(*) FILTER (WHERE status NOT IN ('success', 'failed')) FROM ledger UNION ALL SELECT 'ledger', 'skill_count', count(*) FILTER (WHERE skill_count < 0) FROM ledger
-UNION ALL SELECT 'ledger', 'unique', 0""")
+# Tables with a violation of every rule, by arithmetic on the given ones; the SQL states each rule anew.
+_RULED = {
+    "companies": "SELECT c_custkey AS company_id FROM customer WHERE c_custkey % 10 <> 0",
+    "raw_jobs": "SELECT event_id AS raw_job_id, event_type AS source, CASE WHEN event_id % 9 <> 0 THEN user_id END AS source_id FROM events",
+    "jobs": "SELECT CASE WHEN o_orderkey % 50 = 3 THEN o_orderkey - 1 ELSE o_orderkey END AS job_id, o_custkey AS company_id FROM orders WHERE o_orderkey % 40 <> 7",
+    "skills": "SELECT p_partkey AS skill_id, p_name AS canonical, CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 2 END AS parent_id FROM part",
+    "job_sources": "SELECT l_orderkey AS job_id, CASE WHEN l_linenumber > 5 THEN l_linenumber - 1 ELSE l_linenumber END AS raw_job_id FROM lineitem",
+    "runs": "SELECT r_regionkey AS run_id, CASE r_regionkey WHEN 1 THEN 'other' ELSE 'matcher' END AS run_type, CASE r_regionkey WHEN 2 THEN 'odd' ELSE 'partial' END AS status, r_regionkey - 1 AS jobs_total, r_regionkey - 2 AS jobs_processed, 1 - r_regionkey AS jobs_succeeded, CASE WHEN r_regionkey > 0 THEN -r_regionkey END AS jobs_failed, 3 - r_regionkey AS jobs_with_skills, r_regionkey - 4 AS zero_skill_jobs FROM region",
+    "job_skills": "SELECT l_linenumber - 1 AS run_id, l_orderkey AS job_id, CASE WHEN l_partkey % 70 = 0 THEN -1 ELSE l_partkey END AS skill_id, CASE l_returnflag WHEN 'A' THEN 'matcher' WHEN 'N' THEN 'llm' ELSE 'other' END AS method, CASE l_linestatus WHEN 'O' THEN 'title' WHEN 'F' THEN CASE WHEN l_suppkey % 4 = 0 THEN 'body' ELSE 'description' END END AS evidence_field, l_linenumber - 2 AS start_char, l_quantity AS end_char, CASE WHEN l_linenumber > 2 THEN l_discount * 12 END AS confidence FROM lineitem",
+    "ledger": "SELECT o_orderkey % 6 AS run_id, CASE WHEN o_orderkey % 30 < 2 THEN 1 ELSE o_orderkey END AS job_id, CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'F' THEN 'failed' ELSE 'open' END AS status, o_orderkey % 12 - 1 AS skill_count FROM orders",
+    "failures": "SELECT s_suppkey % 7 AS run_id, s_suppkey * 4 AS job_id, CASE WHEN s_suppkey % 5 > 0 THEN 'match' END AS stage, s_suppkey % 4 AS attempts FROM supplier UNION ALL SELECT 1, 4, 'match', 2",
+}
+
+
+def _ruled_sql() -> str:
+    off = lambda t, rule, bad: f"SELECT '{t}' AS table_name, '{rule}' AS rule, count(*) FILTER (WHERE {bad}) AS n FROM {t}"
+    twice = lambda t, *c: f"SELECT '{t}', 'unique_{'_'.join(c)}', count(*) - count(DISTINCT ({', '.join(c)}, 0)) FROM {t} WHERE {' AND '.join(f'{x} IS NOT NULL' for x in c)}"
+    lost = lambda t, c, parent, key: f"SELECT '{t}', 'foreign_{c}', count(*) FROM {t} t WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = t.{c})"
+    rows = [
+        off("runs", "run_type", "run_type NOT IN ('matcher', 'llm_experiment')"), off("runs", "status", "status NOT IN ('running', 'success', 'partial', 'failed')"),
+        *[off("runs", f"{c}_nonnegative", f"{c} < 0") for c in ("jobs_total", "jobs_processed", "jobs_succeeded", "jobs_failed", "jobs_with_skills", "zero_skill_jobs")],
+        off("job_skills", "method", "method NOT IN ('matcher', 'llm')"), off("job_skills", "evidence_field", "evidence_field NOT IN ('title', 'description')"), off("job_skills", "start_nonnegative", "start_char < 0"),
+        off("job_skills", "end_after_start", "end_char < start_char"), off("job_skills", "confidence_range", "confidence < 0 OR confidence > 1"), off("ledger", "status", "status NOT IN ('success', 'failed')"),
+        off("ledger", "skill_count_nonnegative", "skill_count < 0"), off("failures", "attempts_positive", "attempts < 1"),
+        twice("raw_jobs", "source", "source_id"), twice("jobs", "job_id"), twice("skills", "canonical"), twice("job_sources", "job_id", "raw_job_id"), twice("job_skills", "run_id", "job_id", "skill_id", "method"), twice("ledger", "run_id", "job_id"), twice("failures", "run_id", "job_id", "stage"),
+        lost("jobs", "company_id", "companies", "company_id"), lost("skills", "parent_id", "skills", "skill_id"), lost("job_sources", "job_id", "jobs", "job_id"), lost("job_sources", "raw_job_id", "raw_jobs", "raw_job_id"),
+        *[lost(t, "run_id", "runs", "run_id") for t in ("job_skills", "ledger", "failures")], *[lost(t, "job_id", "jobs", "job_id") for t in ("job_skills", "ledger", "failures")], lost("job_skills", "skill_id", "skills", "skill_id"),
+    ]
+    return "WITH " + ", ".join(f"{t} AS ({q})" for t, q in _RULED.items()) + " " + " UNION ALL ".join(rows)
+
+
+@query("constraint_violations", _ruled_sql())
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    js = R.job_skills(spark, sf_dir).select(F.when(F.col("source") == "A", "matcher").when(F.col("source") == "N", "llm").otherwise("other").alias("method"), F.lit("title").alias("evidence_field"), F.col("line").alias("start"), F.col("weight").alias("end"))
-    return audit.check_violations(js, R.ledger(spark, sf_dir).withColumn("run_id", F.lit(1)))
+    for t in ("customer", "events", "orders", "part", "lineitem", "region", "supplier"):
+        R.table(spark, sf_dir, t).createOrReplaceTempView(f"ruled_{t}")
+    own = lambda q: re.sub(r"FROM (\w+)", r"FROM ruled_\1", q)
+    return constraints.violations({t: spark.sql(own(q)) for t, q in _RULED.items()})
+
+
+# A first batch, the same again, one with a row that can't be made, and all rows: what each run has fetched, added and left.
+@query("ingest_runs", """WITH e AS (SELECT DISTINCT event_type AS s, user_id FROM events), h AS (SELECT DISTINCT event_type AS s, user_id FROM events WHERE event_id % 2 = 0)
+SELECT 1 AS nth, 'success' AS status, (SELECT count(*) FROM events WHERE event_id % 2 = 0) AS rows_fetched, (SELECT count(*) FROM h) AS rows_inserted, false AS traced, (SELECT count(*) FROM e) AS stored
+UNION ALL SELECT 2, 'success', (SELECT count(*) FROM events WHERE event_id % 2 = 0), 0, false, (SELECT count(*) FROM e)
+UNION ALL SELECT 3, 'failed', 0, 0, true, (SELECT count(*) FROM e)
+UNION ALL SELECT 4, 'success', (SELECT count(*) FROM events), (SELECT count(*) FROM e) - (SELECT count(*) FROM h), false, (SELECT count(*) FROM e)""")
+def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, folder = _raw(spark, sf_dir), f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    half = raw.where("raw_job_id % 2 = 0")
+    broken = raw.withColumn("payload", F.when(F.col("raw_job_id") == 0, F.raise_error(F.lit("unreadable row"))).otherwise(F.col("payload")))
+    for batch in (half, half, broken, raw):
+        with contextlib.suppress(Exception):  # the record says that it failed
+            boards.ingest_run(batch, f"{folder}/raw", f"{folder}/runs", "events")
+    runs = spark.read.parquet(f"{folder}/runs").withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("started_at")))
+    stored = F.lit(spark.read.parquet(f"{folder}/raw").count()).alias("stored")
+    return runs.select("nth", "status", "rows_fetched", "rows_inserted", F.coalesce(F.col("error").contains("unreadable row"), F.lit(False)).alias("traced"), stored)
 
 
 @query("sampled_ids", "SELECT doc_id FROM documents ORDER BY sha256('seed:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 50")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import traceback
+import uuid
+from datetime import datetime, timezone
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW_SCHEMA = "raw_job_id bigint, source string, source_id string, payload string, fetched_at timestamp"
@@ -62,12 +67,46 @@ def append_new(batch: DataFrame, target: str, order: str) -> int:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         existing = batch.limit(0)
-    fresh = new_rows(batch, existing, order).cache()
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").partitionBy("source").parquet(target)
-    fresh.unpersist()
-    return n
+    inserted = Observation()
+    new_rows(batch, existing, order).observe(inserted, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("source").parquet(target)
+    return observed(inserted)
+
+
+def observed(rows: Observation) -> int:
+    """What a finished write has counted; a batch that is known to be empty is optimised away, and its count with it."""
+    try:
+        return rows.get.get("n", 0)
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e.java_exception):
+            raise
+        return 0
+
+
+RUN = "run_id string, source string, started_at timestamp, finished_at timestamp, status string, rows_fetched long, rows_inserted long, error string"
+
+
+def ingest_run(batch: DataFrame, target: str, runs: str, source: str, order: str = "raw_job_id") -> str:
+    """Append the new rows of ``batch`` to ``target`` and a row on the run to ``runs``; the id of the run.
+
+    Rows are counted by the write itself, as they pass: those fetched before keys are compared, those inserted after.
+    A run that fails leaves one row with the status ``failed`` and its traceback, whatever it had
+    counted till then, and raises what it met. ``target`` shows all of a run's rows or, if it failed, none.
+    """
+    spark, run_id, started = batch.sparkSession, uuid.uuid4().hex, datetime.now(timezone.utc)
+    fetched = Observation()
+    counted = batch.observe(fetched, F.count(F.lit(1)).alias("n"))
+
+    def record(status: str, n: int, inserted: int, error: str | None) -> None:
+        row = (run_id, source, started, datetime.now(timezone.utc), status, n, inserted, error)
+        spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(runs)
+
+    try:
+        inserted = append_new(counted, target, order)
+    except Exception:
+        record("failed", 0, 0, traceback.format_exc())
+        raise
+    record("success", observed(fetched), inserted, None)
+    return run_id
 
 
 def run_audit(batch: DataFrame, existing: DataFrame, order: str) -> DataFrame:
