@@ -30,7 +30,7 @@ from postwright.llm.common import stage_path, table
 #: Ids after which a shard ends (a document is never cut, so a longer one is a shard of its own).
 SHARD_TOKENS = 1 << 20
 #: A pair becomes a nonterminal if a shard has it so many times at least ...
-MIN_PAIRS = 64
+MIN_PAIRS = 32
 #: ... and at least this part as often as the round's most frequent pair.
 ROUND_SHARE = 8
 #: Words of which a worker remembers the ids; the memory starts anew beyond it.
@@ -146,9 +146,14 @@ def repair(ids: np.ndarray, lengths: np.ndarray, min_pairs: int = MIN_PAIRS) ->
     rules, n = [np.empty((0, 2), dtype=np.uint32)], vocab
     while len(seq) > 1:
         kind = np.uint32 if n <= 1 << 16 else np.uint64
-        pairs = seq[:-1].astype(kind) * kind(n) + seq[1:].astype(kind)
-        inside = ~last[:-1]
-        ordered = np.sort(pairs[inside])
+        stop = np.flatnonzero(last[:-1])
+        pairs = seq[:-1].astype(kind)
+        pairs *= kind(n)
+        pairs += seq[1:]
+        ordered = pairs.copy()
+        ordered[stop] = np.iinfo(kind).max  # no pair: both halves are under n
+        ordered.sort()
+        ordered = ordered[: len(ordered) - len(stop)]
         if not len(ordered):
             break
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -156,32 +161,48 @@ def repair(ids: np.ndarray, lengths: np.ndarray, min_pairs: int = MIN_PAIRS) ->
         if times.max() < min_pairs:
             break
         often = ordered[first[times >= max(min_pairs, times.max() // ROUND_SHARE)]]
-        begins, goes_on = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-        begins[often // kind(n)] = True
-        goes_on[often % kind(n)] = True
-        at = np.flatnonzero(begins[seq[:-1]] & goes_on[seq[1:]] & inside)
-        rule = np.minimum(np.searchsorted(often, pairs[at]), len(often) - 1)
-        hit = often[rule] == pairs[at]
-        at, rule = at[hit], rule[hit]
+        at, rule = _occurrences(seq, stop, often // kind(n), often % kind(n), n)
         # of pairs that overlap in a row, every other one is replaced
         fresh = np.concatenate(([True], np.diff(at) != 1))
         place = np.arange(len(at))
         free = ((place - np.maximum.accumulate(np.where(fresh, place, 0))) & 1) == 0
         at, rule = at[free], rule[free]
-        used, rule = np.unique(rule, return_inverse=True)
+        used = np.bincount(rule, minlength=len(often)) > 0
         rules.append(np.stack([often[used] // kind(n), often[used] % kind(n)], axis=1).astype(np.uint32))
-        seq[at] = (n + rule).astype(np.uint32)
+        seq[at] = (n + (np.cumsum(used) - 1)[rule]).astype(np.uint32)
         last[at] = last[at + 1]
         stays = np.ones(len(seq), dtype=bool)
         stays[at + 1] = False
         seq, last = seq[stays], last[stays]
-        n += len(used)
+        n += int(used.sum())
     grammar = np.concatenate(rules)
     counts = np.zeros(len(lengths), dtype=np.int32)
     counts[lengths > 0] = np.diff(np.concatenate(([-1], np.flatnonzero(last))))
     return vocab, grammar, spans_of(vocab, grammar), seq, counts
 
 
+def _occurrences(seq: np.ndarray, stop: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs ``(left[k], right[k])`` stand, and ``k``; none begins at ``stop``."""
+    lefts, rights = np.unique(left), np.unique(right)
+    of_left, of_right = np.full(n, -1, dtype=np.int32), np.full(n, -1, dtype=np.int32)
+    of_left[lefts], of_right[rights] = np.arange(len(lefts)), np.arange(len(rights))
+    begins = of_left[seq[:-1]] >= 0
+    begins &= of_right[seq[1:]] >= 0
+    begins[stop] = False
+    at = np.flatnonzero(begins)
+    cell = of_left[seq[at]].astype(np.int64) * len(rights) + of_right[seq[at + 1]]
+    own = of_left[left].astype(np.int64) * len(rights) + of_right[right]
+    if len(lefts) * len(rights) <= 1 << 24:
+        table = np.full(len(lefts) * len(rights), -1, dtype=np.int32)
+        table[own] = np.arange(len(own))
+        rule = table[cell]
+    else:  # ``own`` is in order
+        rule = np.minimum(np.searchsorted(own, cell), len(own) - 1)
+        rule[own[rule] != cell] = -1
+    hit = rule >= 0
+    return at[hit], rule[hit]
+
+
 def spans_of(vocab: int, rules: np.ndarray) -> np.ndarray:
     """How many ids each nonterminal stands for; a rule names earlier symbols only."""
     spans = np.ones(vocab + len(rules), dtype=np.uint32)
@@ -204,6 +225,16 @@ def expand(vocab: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return out
 
 
+def expand_all(vocab: int, rules: np.ndarray, spans: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The same for a whole shard: each nonterminal is opened once, and what it stands for is copied."""
+    opened = np.concatenate((np.arange(vocab, dtype=np.uint32), expand(vocab, rules, np.arange(vocab, vocab + len(rules)))))
+    size = np.concatenate((np.ones(vocab, dtype=np.int64), spans))
+    begin = np.cumsum(size) - size
+    length = size[symbols]
+    ends = np.cumsum(length)
+    return opened[np.repeat(begin[symbols] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def span_of_ids(vocab: int, rules: np.ndarray, spans: np.ndarray, symbols: np.ndarray, first: int, count: int) -> np.ndarray:
     """Ids ``first`` to ``first + count`` of a document: only the symbols that reach into the span are expanded."""
     size = np.concatenate((np.ones(vocab, dtype=np.int64), spans))[symbols]
@@ -298,8 +329,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
-                vocab, rules, _, body = _opened(row)
-                flat, sizes = expand(vocab, rules, body), np.array(row["lengths"], dtype=np.int64)
+                flat, sizes = expand_all(*_opened(row)), np.array(row["lengths"], dtype=np.int64)
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 whole = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
                 first = offset[row["part"]] + row["before"]

@@ -29,7 +29,7 @@ def test_grammar_round_trip(docs, least):
     lengths = np.array([len(d) for d in docs], dtype=np.int32)
     flat = np.array([x for d in docs for x in d], dtype=np.uint32)
     vocab, rules, spans, seq, counts = token_files.repair(flat, lengths, least)
-    assert token_files.expand(vocab, rules, seq).tolist() == flat.tolist()
+    assert token_files.expand(vocab, rules, seq).tolist() == flat.tolist() == token_files.expand_all(vocab, rules, spans, seq).tolist()
     ends = np.concatenate(([0], np.cumsum(counts)))
     for k, d in enumerate(docs):
         part = seq[ends[k] : ends[k + 1]]
