@@ -318,3 +318,54 @@ def damaged(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repaired(damaged(table(spark, sf_dir, "conversations")), gone="gone"))
+
+
+def _sql() -> str:
+    """The same by recursion over the turns: a state holds its cost, in nine digits, and its whole audit in one text, so that texts compare as pairs."""
+    plus = lambda p, cost, edit: f"printf('%09d', CAST(left({p}, 9) AS BIGINT) + {cost}) || substr({p}, 10) || '{edit}'"
+    put = lambda p: plus(p, INSERT, "I")
+    keep = lambda p, initial: f"CASE WHEN free AND initial = '{initial}' THEN {plus(p, 'more', 'K')} END"
+    rerole = lambda p: f"CASE WHEN free THEN {plus(p, f'{REROLE} + more', 'R')} END"
+    step = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    return f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), coded AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {step})), 4294967295) % 20 AS code FROM named
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE code WHEN 0 THEN CAST([] AS INTEGER[]) WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded
+), placed AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM damaged
+), turns AS MATERIALIZED (
+  SELECT *, fault IS NULL OR fault = 'truncated' AS free, CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END AS more, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before
+  FROM (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed)
+), best(conv_id, n, q0, q1, q2, q3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000', CAST(NULL AS VARCHAR), '00000000{INSERT}I', '00000000{2 * INSERT}II' FROM conversations
+  UNION ALL
+  SELECT conv_id, n, p0, p1, p2_, least(p3, {put("p2_")}) FROM (SELECT *, least(p2, {put("p0")}, {put("p1")}, {put("p3")}) AS p2_ FROM (
+    SELECT b.conv_id, t.n, {plus("q0", DELETE, "D")} AS p0, least({plus("q1", DELETE, "D")}, {keep("q0", "s")}) AS p1,
+      least({plus("q2", DELETE, "D")}, {rerole("q0")}, {rerole("q1")}, {rerole("q3")}, {keep("q0", "u")}, {keep("q1", "u")}, {keep("q3", "u")}) AS p2,
+      least({plus("q3", DELETE, "D")}, {rerole("q2")}, {keep("q2", "a")}) AS p3
+    FROM best b JOIN turns t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND t.n = b.n + 1))
+), done AS (
+  SELECT conv_id, CAST(left(p, 9) AS BIGINT) AS cost, substr(p, 10) AS audit FROM (SELECT conv_id, arg_max(least(q0, q3), n) AS p FROM best GROUP BY conv_id)
+), letters AS (
+  SELECT conv_id, i, substr(audit, CAST(i AS INTEGER), 1) AS e, length(replace(left(audit, CAST(i AS INTEGER)), 'I', '')) AS n FROM done, LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS i)
+), kept AS (
+  SELECT l.conv_id, l.i, l.e, t.role, t.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.i) - 1 AS nth, first_value(l.e = 'K' AND left(t.role, 1) = 's') OVER (PARTITION BY l.conv_id ORDER BY l.i) AS system
+  FROM letters l LEFT JOIN turns t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.n = t.n AND l.e <> 'I' WHERE l.e <> 'D'
+), whole AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (nth - CAST(system AS INTEGER)) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS said FROM kept GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM done d LEFT JOIN whole w ON d.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN counted c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+OP11_SQL = _sql()

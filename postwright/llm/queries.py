@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postwright.llm.chunks import op10_substring_dedup
-from postwright.llm.conversations import op11_conversation_repair
+from postwright.llm.conversations import OP11_SQL, op11_conversation_repair
 from postwright.llm.fingerprints import op4_fingerprints
 from postwright.llm.html_text import op9_html_extraction
 from postwright.llm.lines import OP1_SQL, op1_line_dedup
@@ -41,5 +41,6 @@ SQL: dict[str, str] = {
     "op2_ngram_join": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op13_vector_codes": OP13_SQL,
 }
