@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postwright.functions import text as T
 from postwright.functions.session import shared_folder
 from postwright.operators import analytics as A
-from postwright.operators import audit, constraints, curation, dedup, enrich, matching
+from postwright.operators import audit, constraints, curation, dedup, enrich, matching, ontology
 from postwright.plans import roles as R
 from postwright.sources import boards
 
@@ -370,6 +370,45 @@ def recommend_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.shaped(matching.ranked(_recommended(spark, sf_dir), 10))
 
 
+#: Names of domains that are skills of jobs as well: who has the domain doesn't lack them.
+_DOMAIN_SKILLS = [("1", ["Data Science"]), ("2", ["data  science", "sales"]), ("5", ["SALES"]), ("9", ["cooking"])]
+
+
+def _wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other profile wishes one contract."""
+    return R.profiles(spark, sf_dir).where("profile_id % 2 = 0").select("profile_id", F.element_at(F.array(*[F.lit(x) for x in ("1-Urgent", "2-high", "3-MEDIUM")]), (F.col("profile_id") % 3 + 1).cast("int")).alias("contract_type"))
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skills = spark.createDataFrame([(c, "domain", a, None) for c, a in _DOMAIN_SKILLS], "canonical string, category string, aliases array<string>, parent string")
+    return matching.with_covered(R.profiles(spark, sf_dir), ontology.alias_index(skills))
+
+
+@query("covered_skills", f"""WITH {R.JOBS_SQL}, {R.JOB_SKILLS_SQL}, {R.PROFILES_SQL}, d AS (SELECT profile_id, CASE profile_id % 3 WHEN 0 THEN 'data science' WHEN 1 THEN 'sales' END AS label FROM profiles),
+a AS (SELECT * FROM (VALUES ('1', 'data science'), ('2', 'data science'), ('2', 'sales'), ('5', 'sales'), ('9', 'cooking')) v(skill, label))
+SELECT profile_id, coalesce(string_agg(skill, '|' ORDER BY skill), '') AS covered FROM d LEFT JOIN a USING (label) GROUP BY profile_id""")
+def covered_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covered(spark, sf_dir).select("profile_id", F.array_join("covered", "|").alias("covered"))
+
+
+@query("wished_candidates", f"""{_BASE}, {R.PROFILES_SQL}, c AS (SELECT p.profile_id, j.job_id, count(DISTINCT p.skill) AS overlap FROM profile_skills p JOIN job_skills j ON p.skill = j.skill_id GROUP BY p.profile_id, j.job_id),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY overlap DESC, job_id) AS lexical_rank FROM c) WHERE lexical_rank <= 200)
+SELECT r.profile_id, r.job_id, r.lexical_rank FROM r JOIN jobs USING (job_id) WHERE r.profile_id % 2 <> 0 OR upper(jobs.contract_type) = upper(['1-Urgent', '2-high', '3-MEDIUM'][r.profile_id % 3 + 1])""")
+def wished_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").alias("skill"))
+    c = matching.lexical_candidates(R.profile_skills(spark, sf_dir), js).join(R.jobs(spark, sf_dir).select("job_id", F.col("contract_type").alias("j_contract_type")), "job_id")
+    return matching.of_contract(c, _wishes(spark, sf_dir)).select("profile_id", "job_id", "lexical_rank")
+
+
+@query("recommend_wished", None)
+def recommend_wished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best jobs of the wished contract; skills that a profile's domains cover aren't missing."""
+    js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").alias("skill"))
+    jobs = R.match_jobs(spark, sf_dir).join(R.jobs(spark, sf_dir).select("job_id", "contract_type"), "job_id")
+    rows = matching.scored(matching.lexical_candidates(R.profile_skills(spark, sf_dir), js), _covered(spark, sf_dir), jobs, "lexical", generic=["1", "2", "3"], specialised=["4", "5", "6", "7"])
+    return matching.ranked(matching.of_contract(rows, _wishes(spark, sf_dir)), 10).select("profile_id", "job_id", "rank", "final_score", "matched", "missing", "j_contract_type")
+
+
 @query("recommend_hybrid", None)
 def recommend_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = matching.ranked(_recommended(spark, sf_dir, "hybrid"), 10)
