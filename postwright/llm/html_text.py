@@ -43,9 +43,14 @@ IMPLIED = {
 #: A closing tag doesn't reach beyond these.
 SCOPE = {"table", "td", "th", "caption", "html"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a CDATA section, a declaration, or a tag. Each ends with the page at the latest, so no part of a page is read twice;
+#: quotes count in a tag only after an equals sign, as in browsers.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(>|\Z)", re.S
+)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -66,74 +71,100 @@ class Element:
         return None
 
 
+class Open:
+    """The open elements, and where in their stack those of each tag are."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.places[self.stack.pop().tag].pop()
+
+    def nearest(self, tags: set[str]) -> int:
+        """The place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+    def imply(self, ends: set[str], stop: set[str]) -> None:
+        """Close the elements that an opening tag ends: the outermost in a row of these, below the nearest stop."""
+        k = self.nearest(ends)
+        if k == 0 or k < self.nearest(stop):
+            return
+        while k > 1 and self.stack[k - 1].tag in ends:
+            k -= 1
+        self.cut(k)
+
+    def close(self, tag: str) -> None:
+        k = self.nearest({tag})
+        if k and (k >= self.nearest(SCOPE) or tag in ("table", "tr", "tbody", "thead", "tfoot", "body")):
+            self.cut(k)
+
+
 def tree(source: str) -> Element:
-    """The element tree, with implied end tags; wrong end tags are ignored, open elements end with the page."""
+    """The element tree, with implied end tags; wrong end tags are ignored, open elements end with the page.
+
+    A tag that doesn't end takes the rest of the page with it. Time is linear in the page, however broken.
+    """
     root = Element("html")
-    stack = [root]
+    held = Open(root)
     at = 0
     n = len(source)
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
-            stack[-1].kids.append(html.unescape(source[at:]))
+            held.stack[-1].kids.append(html.unescape(source[at:]))
             break
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(source[at : m.start()]))
+            held.stack[-1].kids.append(html.unescape(source[at : m.start()]))
         at = m.end()
         if m[1] is not None:
-            stack[-1].kids.append(m[1])
-        if m[3] is None:
+            held.stack[-1].kids.append(m[1])
+        if m[3] is None or not m[5]:
             continue
         tag = m[3].lower()
         if m[2]:
-            _close(stack, tag)
+            held.close(tag)
             continue
         if tag in IMPLIED:
-            _imply(stack, *IMPLIED[tag])
+            held.imply(*IMPLIED[tag])
         if tag in ENDS_P:
-            _imply(stack, {"p"}, SCOPE | {"button"})
+            held.imply({"p"}, SCOPE | {"button"})
         if tag == "html":
             continue
         e = Element(tag, m[4])
-        stack[-1].kids.append(e)
+        held.stack[-1].kids.append(e)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            e.kids.append(source[at : end.start() if end else n])
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+            inside = source[at : end.start() if end else n]
+            e.kids.append(html.unescape(inside) if tag in ("textarea", "title") else inside)
             at = end.end() if end else n
         elif tag not in VOID:
-            stack.append(e)
+            held.push(e)
     return root
 
 
-def _imply(stack: list[Element], ends: set[str], stop: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in stop:
-            return
-        if stack[k].tag in ends:
-            # the outermost of the elements that end, below the nearest stop
-            while k > 1 and stack[k - 1].tag in ends:
-                k -= 1
-            del stack[k:]
-            return
+def displayed(e: Element) -> bool:
+    """Whether an element takes part in the layout; what is only hidden from assistive tools does."""
+    if e.tag in HIDDEN or (e.tag == "dialog" and e.get("open") is None):
+        return False
+    return not e.attrs or e.get("hidden") is None and not NOT_SHOWN.search(e.get("style") or "")
 
 
-def _close(stack: list[Element], tag: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body"):
-            return
+def visibility(e: Element, inherited: bool) -> bool:
+    found = VISIBILITY.findall((e.get("style") or "") if e.attrs else "")
+    return inherited if not found else found[-1].lower() not in ("hidden", "collapse")
 
 
-def visible(e: Element) -> bool:
-    if e.tag in HIDDEN or (e.tag == "dialog" and e.get("open") is None):
-        return False
-    if not e.attrs:
-        return True
-    if e.get("hidden") is not None or (e.get("aria-hidden") or "").lower() == "true":
-        return False
-    return not INVISIBLE.search(e.get("style") or "")
+def shown_kids(e: Element) -> list:
+    """All kids, but of a closed ``details`` its summary alone."""
+    if e.tag != "details" or e.get("open") is not None:
+        return e.kids
+    return [kid for kid in e.kids if not isinstance(kid, str) and kid.tag == "summary"][:1]
 
 
 class Page:
@@ -188,7 +219,9 @@ def render(source: str | None) -> str:
     several lines makes a row of several lines. Head rows come first and foot rows
     last, and what isn't in a row comes before them, as browsers show it. ``pre``
     keeps its blanks, without a line feed right after the tag. Options of a list,
-    values of controls and alternatives of images are text. A null page is "".
+    values of controls and alternatives of images are text. Visibility is inherited: what is
+    visible within a hidden element is shown, but for tables within one. A
+    closed ``details`` shows its summary. A null page is "".
     """
     page = Page()
     if source:
@@ -205,38 +238,40 @@ def render(source: str | None) -> str:
     return "\n".join(x.rstrip() for x in "".join(page.out).split("\n"))
 
 
-def _render(root: Element, page: Page, level: int) -> None:
+def _render(root: Element, page: Page, level: int, seen: bool = True) -> None:
     # a stack of our own: pages may nest as deep as they like
-    todo: list[tuple] = [("open", root, level, False)]
+    todo: list[tuple] = [("open", root, level, False, seen)]
     counts: list[int | None] = []
     while todo:
-        what, e, level, pre = todo.pop()
+        what, e, level, pre, seen = todo.pop()
         if what == "text":
-            page.text(e, pre)
+            if seen:
+                page.text(e, pre)
         elif what == "close":
             page.line(2 if e.tag in APART and not (e.tag in ("ul", "ol") and level) else 1)
             if e.tag in ("ul", "ol", "menu"):
                 counts.pop()
             if e.tag == "li":
                 page.prefix = ""
-        elif visible(e):
+        elif displayed(e):
+            around, seen = seen, visibility(e, seen)
             if e.tag == "br":
                 page.line(page.breaks + 1 if page.breaks < 2 else 2)
                 continue
             if e.tag in ("img", "input", "optgroup"):
-                page.text(_own_text(e))
+                page.text(_own_text(e) if seen else "")
                 if e.tag != "optgroup":
                     continue
             if e.tag == "table":
                 page.line(2)
-                for k, row in enumerate(e.lines):
+                for k, row in enumerate(e.lines if around else []):
                     page.line(1 if k else 2)
                     page.text(row, True)
                 page.line(2)
                 continue
             if e.tag in BLOCK:
                 page.line(2 if e.tag in APART and not (e.tag in ("ul", "ol") and level) else 1)
-                todo.append(("close", e, level, pre))
+                todo.append(("close", e, level, pre, seen))
             inner = level
             if e.tag in ("ul", "ol", "menu"):
                 start = e.get("start") or "1"
@@ -247,12 +282,12 @@ def _render(root: Element, page: Page, level: int) -> None:
                 if counts and counts[-1] is not None:
                     mark = f"{counts[-1]}."
                     counts[-1] += 1
-                page.prefix = "  " * max(level - 1, 0) + mark + " "
+                page.prefix = "  " * max(level - 1, 0) + mark + " " if seen else ""
             keep = pre or e.tag in ("pre", "textarea")
-            kids = e.kids
+            kids = shown_kids(e)
             if e.tag in ("pre", "textarea") and kids and isinstance(kids[0], str):
                 kids = [re.sub(r"^\r?\n", "", kids[0]), *kids[1:]]
-            todo.extend(("text", kid, inner, keep) if isinstance(kid, str) else ("open", kid, inner, keep) for kid in reversed(kids))
+            todo.extend(("text" if isinstance(kid, str) else "open", kid, inner, keep, seen) for kid in reversed(kids))
 
 
 def _own_text(e: Element) -> str:
@@ -276,7 +311,7 @@ def _rows(e: Element) -> list[Element]:
         if isinstance(kid, str):
             if not kid.strip():
                 continue
-        elif not visible(kid):
+        elif not displayed(kid):
             continue
         elif kid.tag in PARTS:
             todo.extend((PARTS[kid.tag], x) for x in reversed(kid.kids))
@@ -309,12 +344,13 @@ def _table(e: Element) -> list[str]:
                 if not kid.strip():
                     continue
                 wide, high, lines = 1, 1, [SPACES.sub(" ", kid).strip()]
-            elif not visible(kid):
+            elif not displayed(kid):
                 continue
             else:
                 page, inner = Page(), Element("div")
                 inner.kids = kid.kids if kid.tag in ("td", "th", "caption") else [kid]
-                _render(inner, page, 0)
+                seen = visibility(kid, visibility(row, visibility(e, True)))
+                _render(inner, page, 0, seen)
                 lines = [x.rstrip() for x in "".join(page.out).split("\n")]
                 lines = [x for x in lines if x]
                 wide, high = _span(kid, "colspan", MAX_COLSPAN), _span(kid, "rowspan", MAX_ROWSPAN)

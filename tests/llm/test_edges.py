@@ -116,3 +116,24 @@ def test_passed_counts_the_cuts(spark):
     cuts = [-2, 0, 1, 5, 9]
     got = {r["x"]: r["n"] for r in d.select("x", fingerprints._passed(F.col("x"), cuts).alias("n")).collect()}
     assert got == {x: sum(c < x for c in cuts) for x in range(-3, 12)}
+
+
+@pytest.mark.parametrize("unit", ['<a "x', "<b>x</i>", "<p>x<div>y<li>z", '<a b="', "<title></title ", "<<<", "<!-- x", "<font color='r>"])
+def test_broken_markup_takes_linear_time(unit):
+    """64,000 repeats: hours where time grows with the square."""
+    import time
+
+    began = time.process_time()
+    html_text.render(unit * 64_000)
+    assert time.process_time() - began < 60
+
+
+def test_visible_text():
+    show = html_text.render
+    assert show("<p aria-hidden=true>seen</p><p hidden>not") == "seen"
+    assert show("<details><summary>S</summary>in</details><details open><summary>T</summary>out</details>") == "S\nT\nout"
+    assert show('<div style="visibility:hidden">no<b style="visibility: visible">yes</b></div>') == "yes"
+    assert show("<textarea>a &amp; b</textarea>") == "a & b"
+    assert show("<p>x <a href=\"q>r\" title='z>'>l</a> a<b and 3 < 4") == "x l a"
+    assert show("<a \"x>y</a> 3 < 4 z") == "y 3 < 4 z"
+    assert show('<table style="visibility:hidden"><tr><td>a<td style="visibility:visible">b</table>') == "b"
