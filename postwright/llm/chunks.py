@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postwright.llm.common import materialize, table
+from postwright.llm.common import materialize, table, unused
 
 #: Bytes that a cut depends on. Gear values have 2 * WINDOW bits, shifted by two a byte.
 WINDOW = 16
@@ -158,17 +158,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without their repeated passages; the first holder of each keeps it. Other rows stay as they are."""
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    spans = spans.withColumnRenamed("doc_id", "__id")
+    """``docs`` without their repeated passages; the first holder of each keeps it. Other rows and extra columns stay as they are."""
+    spans_name, id_name = unused(docs, "spans_", "id_")
+    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans_name))
+    spans = spans.withColumnRenamed("doc_id", id_name)
     at = docs.columns.index(text)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf.iloc[:, at] = [_without(t, s) for t, s in zip(pdf.iloc[:, at], pdf["__spans"], strict=True)]
-            yield pdf.drop(columns="__spans")
+            pdf.iloc[:, at] = [_without(t, s) for t, s in zip(pdf.iloc[:, at], pdf[spans_name], strict=True)]
+            yield pdf.drop(columns=spans_name)
 
-    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col("__id"), "left").drop("__id")
+    joined = docs.join(spans, F.col(f"`{id_col}`") == F.col(id_name), "left").drop(id_name)
     return joined.mapInPandas(cut, docs.schema)
 
 

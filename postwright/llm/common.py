@@ -108,3 +108,9 @@ def shingle_set(text: Column, n: int) -> Column:
 def own_columns(df: DataFrame, keep: dict[str, str]) -> DataFrame:
     """Only the named columns, under names of ours: extra columns of the input can't clash."""
     return df.select(*[F.col(f"`{c}`").alias(name) for c, name in keep.items()])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before each as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    return ["_" * next(k for k in range(len(taken) + 1) if "_" * k + name not in taken) + name for name in names]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwright.llm.common import NOT_BLANK, materialize, table
+from postwright.llm.common import NOT_BLANK, materialize, table, unused
 
 #: A line on more than this share of a host's pages is boilerplate ...
 RATIO_PERCENT = 10
@@ -59,39 +59,40 @@ def drop_boilerplate(
     as the added ones are replaced. Repeated rows are pages of their own.
     An empty table gives an empty table.
     """
+    at_host, at_id, at_hash, cuts, all_lines, kept = unused(docs, "host_", "id_", "hash_", "cut_", "lines_", "kept_")
     known = materialize(boilerplate_lines(docs, host, text, ratio_percent, min_pages))
     out = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    by_host = known.groupBy("host").agg(F.collect_list("line_hash").alias("__cut")).withColumnRenamed("host", "__host")
+    by_host = known.groupBy("host").agg(F.collect_list("line_hash").alias(cuts)).withColumnRenamed("host", at_host)
     if known.count() <= BROADCAST_ROWS:
-        with_cut = docs.join(F.broadcast(by_host), F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left")
+        with_cut = docs.join(F.broadcast(by_host), F.col(f"`{host}`").eqNullSafe(F.col(at_host)), "left")
     else:  # join what each document holds, so that no host's rows meet in one task
         held = docs.select(
-            F.col(f"`{id_col}`").alias("__id"),
-            F.col(f"`{host}`").alias("__h"),
-            F.explode(F.array_distinct(_hashes(_lines(F.col(f"`{text}`"))))).alias("__hash"),
+            F.col(f"`{id_col}`").alias(at_id),
+            F.col(f"`{host}`").alias(at_host),
+            F.explode(F.array_distinct(_hashes(_lines(F.col(f"`{text}`"))))).alias(at_hash),
         )
         cut = (
-            held.join(known, held["__h"].eqNullSafe(known["host"]) & (held["__hash"] == known["line_hash"]))
-            .groupBy("__id", "__h")
-            .agg(F.collect_set("line_hash").alias("__cut"))
+            held.join(known, held[at_host].eqNullSafe(known["host"]) & (held[at_hash] == known["line_hash"]))
+            .groupBy(at_id, at_host)
+            .agg(F.collect_set("line_hash").alias(cuts))
         )
         with_cut = docs.join(
-            cut, F.col(f"`{id_col}`").eqNullSafe(cut["__id"]) & F.col(f"`{host}`").eqNullSafe(cut["__h"]), "left"
+            cut, F.col(f"`{id_col}`").eqNullSafe(cut[at_id]) & F.col(f"`{host}`").eqNullSafe(cut[at_host]), "left"
         )
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    cut = F.coalesce("__cut", F.expr("cast(array() as array<bigint>)"))
+    cut = F.coalesce(cuts, F.expr("cast(array() as array<bigint>)"))
     marked = with_cut.select(
         *[F.col(f"`{c}`") for c in out],
-        lines.alias("__lines"),
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(cut, _hash(x)), F.lit(False))).alias("__kept"),
+        lines.alias(all_lines),
+        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(cut, _hash(x)), F.lit(False))).alias(kept),
     )
-    new_text = F.when(F.size("__kept") < F.size("__lines"), F.array_join("__kept", "\n")).otherwise(F.col(f"`{text}`"))
+    new_text = F.when(F.size(kept) < F.size(all_lines), F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))
     return marked.select(
         *[(new_text if c == text else F.col(f"`{c}`")).alias(c) for c in out],
         F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\n]*[^\x20\x09-\x0D][^\n]*")), F.lit(0))
         .cast("long")
         .alias("n_lines"),
-        (F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0))).cast("long").alias("n_dropped"),
+        (F.coalesce(F.size(all_lines) - F.size(kept), F.lit(0))).cast("long").alias("n_dropped"),
     )
 
 

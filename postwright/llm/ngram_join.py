@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postwright.llm.common import materialize, shingle_set, table
+from postwright.llm.common import materialize, own_columns, shingle_set, table, unused
 from postwright.llm.components import components
 
 #: Sets that meet under one leader or shingle are dealt in blocks of so many.
@@ -88,6 +88,7 @@ def jaccard_components(
     set of hashes links with others. Extra columns don't matter; an empty table
     gives an empty table.
     """
+    docs, id_col, text = own_columns(docs, {id_col: "doc_id", text: "text"}), "doc_id", "text"
     size = F.size("set")
     k = lambda m: F.greatest(F.lit(1), F.floor(m * SIEVE_PERCENT / 100).cast("int"))
     first = size - _need(size, num, den) + k(size)
@@ -389,9 +390,10 @@ def _tree_join(batches: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id. Rows of a null id stay."""
-    found = jaccard_components(docs, n, num, den, id_col, text).where("component_id < doc_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(found.distinct(), F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    """``docs`` with one row of each component: the one with the smallest id. Rows of a null id stay, extra columns of any name too."""
+    (name,) = unused(docs, "other_id")
+    found = jaccard_components(docs, n, num, den, id_col, text).where("component_id < doc_id").select(F.col("doc_id").alias(name))
+    return docs.join(found.distinct(), F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

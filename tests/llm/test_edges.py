@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from postwright.llm import chunks, fingerprints, html_text, ngram_join, packing, quality_rules, toxicity
+from postwright.llm import chunks, fingerprints, html_text, lines, ngram_join, packing, quality_rules, toxicity
 from tests.llm.test_corpus_operators import corpus
 
 
@@ -136,4 +136,17 @@ def test_visible_text():
     assert show("<textarea>a &amp; b</textarea>") == "a & b"
     assert show("<p>x <a href=\"q>r\" title='z>'>l</a> a<b and 3 < 4") == "x l a"
     assert show("<a \"x>y</a> 3 < 4 z") == "y 3 < 4 z"
-    assert show('<table style="visibility:hidden"><tr><td>a<td style="visibility:visible">b</table>') == "b"
+    assert show('<table style="visibility:hidden"><tr><td>a<td style="visibility:visible">b</table>') == "  b"  # a hidden cell keeps its place
+
+
+def test_names_of_the_input_never_clash(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    d = corpus(spark, [text, text + " x", "menu\nown", "menu\nother"])
+    for c in ("__host", "__id", "keep_id", "host_", "id_", "hash_", "cut_", "lines_", "kept_", "spans_", "other_id", "_other_id", "set", "n", "s"):
+        d = d.withColumn(c, F.lit("clash"))
+    kept = lines.drop_boilerplate(d, min_pages=1, ratio_percent=60)
+    assert kept.count() == 4 and kept.where("__host <> 'clash' or host_ <> 'clash' or kept_ <> 'clash'").count() == 0
+    first = ngram_join.keep_first(d)
+    assert sorted(r["doc_id"] for r in first.collect()) == [0, 2, 3] and first.columns == d.columns
+    cut = chunks.cut_passages(d, chunks.repeated_passages(d))
+    assert cut.count() == 4 and cut.columns == d.columns
