@@ -61,14 +61,30 @@ def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "canonical", F.lower("alias").alias("alias"), F.col("start").cast("long"), F.col("end").cast("long"))
 
 
-@query("posting_matches")
+@query("dictionary_match_all")
+def dictionary_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with their evidence."""
+    return skillmatch.matches(R.table(spark, sf_dir, "documents"), words(spark))
+
+
+@query("posting_matches", f"""WITH {R.POSTINGS_SQL}, p AS (SELECT job_id AS doc_id, title || chr(10) || chr(10) || description AS text, length(title) AS cut FROM postings), {_HITS.replace("FROM documents", "FROM p")},
+m AS (SELECT f.*, p.cut, p.text FROM f JOIN p USING (doc_id) QUALIFY row_number() OVER (PARTITION BY doc_id, canonical ORDER BY ord, start) = 1),
+x AS (SELECT *, CASE WHEN start + size <= cut THEN 'title' WHEN start >= cut + 2 THEN 'description' END AS evidence_field FROM m)
+SELECT doc_id AS job_id, canonical, alias, evidence_field, start - CASE evidence_field WHEN 'title' THEN 0 ELSE cut + 2 END AS start, start + size - CASE evidence_field WHEN 'title' THEN 0 ELSE cut + 2 END AS "end", substr(text, start + 1, size) AS evidence
+FROM x WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE evidence_field IS NULL)""")
 def posting_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skillmatch.posting_matches(R.postings(spark, sf_dir), words(spark))[0]
+    found = skillmatch.posting_matches(R.postings(spark, sf_dir), words(spark))[0]
+    return found.select("job_id", "canonical", F.lower("alias").alias("alias"), "evidence_field", F.col("start").cast("long"), F.col("end").cast("long"), "evidence")
 
 
-@query("match_failures")
+# Every third title ends with the first word of a skill and its description begins with the second; the next one's title has both.
+@query("match_failures", "SELECT doc_id AS job_id, 'match' AS stage, 'evidence crosses title and description' AS error FROM documents WHERE doc_id % 3 = 0")
 def match_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skillmatch.posting_matches(R.postings(spark, sf_dir), words(spark))[1]
+    skills = spark.createDataFrame([("Edge Case", "domain", [], None)], _SKILLS)
+    k = F.col("job_id") % 3
+    title = F.concat(F.coalesce("title", F.lit("")), F.when(k == 0, " edge").when(k == 1, " Edge  case").otherwise(" hedge"))
+    description = F.concat(F.when(k == 2, "case ").otherwise("Case "), F.coalesce("description", F.lit("")))
+    return skillmatch.posting_matches(R.postings(spark, sf_dir).withColumns({"title": title, "description": description}), skills)[1]
 
 
 @query("matcher_ledger")
