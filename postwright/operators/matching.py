@@ -359,6 +359,26 @@ def with_preferences(profiles: DataFrame, filters: DataFrame) -> DataFrame:
     return out
 
 
+def with_confirmed(profiles: DataFrame, confirmed: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(profiles, rejects)``: profiles with what their candidates have confirmed in place of what was extracted.
+
+    ``confirmed``: profile_id (unique), skills (as written), career_level, total_years, domains. Skills are named by any alias
+    of ``index`` and kept once each, in order; all confirmed values replace extracted ones, null included, and
+    ``total_months`` follows the years. A profile with a skill that the ontology doesn't know keeps what was extracted, and each such skill
+    is a row ``(profile_id, skill, error)`` of the rejects. Profiles that confirmed nothing stay as they are.
+    """
+    names = index.groupBy("folded").agg(F.min_by("canonical", F.struct("alias_ord", "canonical")).alias("canonical"))
+    each = confirmed.select("profile_id", F.explode("skills").alias("skill")).withColumn("folded", alias_key(F.col("skill"))).join(names, "folded", "left")
+    rejects = each.where("canonical is null").select("profile_id", "skill", F.lit("not in the ontology").alias("error"))
+    known = each.groupBy("profile_id").agg(F.sort_array(F.collect_set("canonical")).alias("__skills"), F.bool_or(F.col("canonical").isNull()).alias("__bad"))
+    said = confirmed.select("profile_id", *[F.col(c).alias(f"__{c}") for c in ("career_level", "total_years", "domains")]).join(known, "profile_id", "left")
+    said = said.where(~F.coalesce("__bad", F.lit(False))).select("*", F.lit(True).alias("confirmed")).drop("__bad")
+    new = {"skills": F.coalesce("__skills", F.expr(_NONE)), "career_level": F.col("__career_level"), "total_years": F.col("__total_years"), "domains": F.sort_array(F.array_distinct("__domains"))}
+    out = profiles.join(said, "profile_id", "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+    out = out.withColumns({c: F.when(F.col("confirmed"), v).otherwise(F.col(c)) for c, v in new.items()})
+    return out.withColumn("total_months", F.bround(F.col("total_years") * 12).cast("int")).drop("__skills", "__career_level", "__total_years", "__domains"), rejects
+
+
 def shaped(rows: DataFrame) -> DataFrame:
     """What is shown of a match: the first five missing skills and a sentence."""
     said = F.format_string("%d of %d skills match; score %.2f.", F.size("matched"), F.size("j_skills"), F.col("final_score"))

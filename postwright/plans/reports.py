@@ -384,6 +384,28 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.with_covered(R.profiles(spark, sf_dir), ontology.alias_index(skills))
 
 
+# Every other profile has confirmed skills as written, a level, years and domains; one in six names a skill that nobody knows.
+@query("confirmed_profiles", f"""WITH {R.JOBS_SQL}, {R.JOB_SKILLS_SQL}, {R.PROFILES_SQL}, own AS (SELECT profile_id, list_sort(list(CAST(skill AS VARCHAR))) AS skills FROM profile_skills GROUP BY profile_id),
+c AS (SELECT profile_id, CASE profile_id % 6 WHEN 0 THEN ['PY', ' sql '] WHEN 2 THEN ['ml', 'Python', 'py'] ELSE ['cobol', 'SQL'] END AS said FROM profiles WHERE profile_id % 2 = 0),
+e AS (SELECT profile_id, CASE lower(trim(s)) WHEN 'py' THEN 'Python' WHEN 'python' THEN 'Python' WHEN 'sql' THEN 'SQL' WHEN 'ml' THEN 'Machine Learning' END AS skill FROM (SELECT profile_id, unnest(said) AS s FROM c)),
+k AS (SELECT profile_id, string_agg(DISTINCT skill, '|' ORDER BY skill) AS skills FROM e GROUP BY profile_id HAVING count(*) = count(skill))
+SELECT p.profile_id, k.profile_id IS NOT NULL AS confirmed, CASE WHEN k.profile_id IS NULL THEN coalesce(array_to_string(own.skills, '|'), '') ELSE k.skills END AS skills, CASE WHEN k.profile_id IS NULL THEN career_level ELSE 'lead' END AS career_level,
+  CASE WHEN k.profile_id IS NULL THEN CAST(total_years AS DOUBLE) ELSE p.profile_id / 8.0 END AS total_years, CAST(round_even(CASE WHEN k.profile_id IS NULL THEN CAST(total_years AS DOUBLE) ELSE p.profile_id / 8.0 END * 12, 0) AS INTEGER) AS total_months,
+  CASE WHEN k.profile_id IS NOT NULL THEN 'A|B' WHEN p.profile_id % 3 = 0 THEN 'Data Science' WHEN p.profile_id % 3 = 1 THEN 'Sales' ELSE '' END AS domains
+FROM profiles p LEFT JOIN own USING (profile_id) LEFT JOIN k USING (profile_id)""")
+def confirmed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skills = spark.createDataFrame([("Python", "language", ["py"], None), ("SQL", "language", [], None), ("Machine Learning", "domain", ["ml"], None)], "canonical string, category string, aliases array<string>, parent string")
+    p = R.profiles(spark, sf_dir)
+    texts = lambda *v: F.array(*[F.lit(x) for x in v])
+    k = F.col("profile_id") % 6
+    said = p.where("profile_id % 2 = 0").select(
+        "profile_id", F.when(k == 0, texts("PY", " sql ")).when(k == 2, texts("ml", "Python", "py")).otherwise(texts("cobol", "SQL")).alias("skills"), F.lit("lead").alias("career_level"),
+        (F.col("profile_id") / 8).alias("total_years"), texts("B", "A", "B").alias("domains"),
+    )
+    out, _ = matching.with_confirmed(p, said, ontology.alias_index(skills))
+    return out.select("profile_id", "confirmed", F.array_join("skills", "|").alias("skills"), "career_level", "total_years", "total_months", F.array_join("domains", "|").alias("domains"))
+
+
 @query("covered_skills", f"""WITH {R.JOBS_SQL}, {R.JOB_SKILLS_SQL}, {R.PROFILES_SQL}, d AS (SELECT profile_id, CASE profile_id % 3 WHEN 0 THEN 'data science' WHEN 1 THEN 'sales' END AS label FROM profiles),
 a AS (SELECT * FROM (VALUES ('1', 'data science'), ('2', 'data science'), ('2', 'sales'), ('5', 'sales'), ('9', 'cooking')) v(skill, label))
 SELECT profile_id, coalesce(string_agg(skill, '|' ORDER BY skill), '') AS covered FROM d LEFT JOIN a USING (label) GROUP BY profile_id""")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from postwright.operators import curation, guards, vectors
+from postwright.operators import curation, guards, matching, ontology, vectors
 from postwright.plans import reports
 
 
@@ -67,3 +67,13 @@ def test_wishes_and_covered_skills_in_recommendations(spark, sf_dir):
     for r in rows:
         assert wish.get(r["profile_id"], r["j_contract_type"].lower()) == r["j_contract_type"].lower()
         assert not covered[r["profile_id"]] & set(r["missing"])
+
+
+def test_confirmed_profiles(spark):
+    index = ontology.alias_index(spark.createDataFrame([("Python", "language", ["py"], None), ("SQL", "language", [], None)], "canonical string, category string, aliases array<string>, parent string"))
+    p = spark.createDataFrame([(1, ["Go"], "mid", 1.0, ["X"]), (2, ["Go"], "mid", 1.0, ["X"]), (3, ["Go"], "mid", None, ["X"]), (4, ["Go"], "mid", 2.0, ["X"])], "profile_id long, skills array<string>, career_level string, total_years double, domains array<string>")
+    said = spark.createDataFrame([(1, ["PY", "sql", "python"], "lead", 0.125, ["B", "A", "B"]), (2, ["cobol", "sql", "apl"], "lead", 9.0, []), (4, [], None, None, [])], p.schema)
+    out, rejects = matching.with_confirmed(p, said, index)
+    got = {r["profile_id"]: (r["confirmed"], r["skills"], r["career_level"], r["total_years"], r["total_months"], r["domains"]) for r in out.collect()}
+    assert got == {1: (True, ["Python", "SQL"], "lead", 0.125, 2, ["A", "B"]), 2: (False, ["Go"], "mid", 1.0, 12, ["X"]), 3: (False, ["Go"], "mid", None, None, ["X"]), 4: (True, [], None, None, None, [])}
+    assert sorted((r["profile_id"], r["skill"]) for r in rejects.collect()) == [(2, "apl"), (2, "cobol")] and "confirmed" in out.columns
