@@ -1,7 +1,6 @@
 import hashlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from postwright.llm import vector_codes as vc
