@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from postwright.functions.text import alias_key
 INJECTION = ["ignore previous instructions", "system prompt", "developer message"]
 NUMBERS = r"\d+(?:[.,]\d+)*"
 # Prices in US dollars for a million tokens.
-PRICE_IN, PRICE_OUT = 0.59, 0.79
+PRICE_IN, PRICE_OUT = Decimal("0.59"), Decimal("0.79")
 MIN_CONFIDENCE = 0.70
 
 
@@ -128,7 +130,9 @@ def canonical_mode(x: Column) -> Column:
 
 
 def token_cost(prompt: Column, completion: Column) -> Column:
-    return F.round(prompt / 1_000_000 * PRICE_IN + completion / 1_000_000 * PRICE_OUT, 6)
+    """US dollars to six digits, reckoned in decimals: halves go up whatever the size of the sum."""
+    tokens = lambda x: x.cast("decimal(20,0)")
+    return F.round((tokens(prompt) * F.lit(PRICE_IN) + tokens(completion) * F.lit(PRICE_OUT)) / 1_000_000, 6).cast("double")
 
 
 # Topics with their phrases, in order.

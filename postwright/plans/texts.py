@@ -561,7 +561,8 @@ _FIGURES_SQL = {
     "mode_agreement": "avg(CASE WHEN mode_ok IS NULL OR coalesce(mode_ok = remote_mode, false) THEN 1.0 ELSE 0.0 END)", "new_levels": "count(*) FILTER (WHERE career_level = 'unknown' AND career IS NOT NULL)", "mean_latency_ms": "avg(latency_ms)",
     "prompt_tokens": "sum(prompt_tokens)", "completion_tokens": "coalesce(sum(completion_tokens), 0)", "cost_usd": "{c}", "cost_usd_1000": "{c} / count(*) * 1000", "cost_usd_corpus": "{c} / count(*) * 35968",
 }
-_COST_SQL = "round(sum(prompt_tokens) / 1000000 * 0.59 + coalesce(sum(completion_tokens), 0) / 1000000 * 0.79, 6)"
+# Decimals, as doubles leave to chance which way halves of the last digit go.
+_COST_SQL = "CAST(round(CAST(sum(prompt_tokens) AS DECIMAL(20, 0)) * 0.00000059 + CAST(coalesce(sum(completion_tokens), 0) AS DECIMAL(20, 0)) * 0.00000079, 6) AS DOUBLE)"
 
 
 @query("evaluation_metrics", f"""WITH {_ITEMS_SQL}, own AS (SELECT job_id, count(*) FILTER (WHERE field = 'skill' AND verdict = 'accepted') AS acc, count(*) FILTER (WHERE verdict = 'unmapped') AS unm, count(*) FILTER (WHERE verdict IN ('rejected', 'conflict')) AS rej,

@@ -1,10 +1,13 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from postwright.operators import evaluation, ontology
+from postwright.operators import evaluation, guards, ontology
+from postwright.plans import texts
+from tests.oracles import assert_same
 
 JOBS = "job_id long, text string, skills array<string>, career_level string, experience_min_years double, remote_mode string, is_remote boolean"
 
@@ -65,3 +68,17 @@ def test_sample_of_an_empty_table(spark):
     assert evaluation.sample(some, 0).count() == 0 and evaluation.sample(some, 1000).count() == 40
     got = evaluation.sample(some, 20).groupBy("stratum").count().collect()
     assert sum(r["count"] for r in got) == 20
+
+
+def test_costs_round_halves_up(spark):
+    rows = [(485, 485), (25, 175), (2_483_465, 696_380), (123_456_789_012, 0)]
+    d = spark.createDataFrame(rows, "p long, c long").select("p", "c", guards.token_cost(F.col("p"), F.col("c")).alias("cost"))
+    assert {(r["p"], r["c"]): r["cost"] for r in d.collect()} == {(p, c): (p * 59 + c * 79 + 50) // 100 / 1e6 for p, c in rows}
+
+
+def test_metrics_of_a_cost_between_two_digits(spark, tmp_path):
+    # the costs of these documents end in a half of the last digit, which doubles take for less
+    spark.range(4970).selectExpr("id AS doc_id", "'one text' AS text", "'src0' AS source").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert_same(texts.evaluation_metrics(spark, str(tmp_path)), con, texts.SQL["evaluation_metrics"])
