@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -349,12 +351,24 @@ def hit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("question_routes")
 def question_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = R.table(spark, sf_dir, "conversations").where("role = 'user'")
-    asked = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("How many jobs: ", "What is the average salary, ", "Most common skills? ", "Upload my cv: ", "")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int")), F.col("text"))
+    asked = F.concat(F.get(F.array(*[F.lit(x) for x in ("How many jobs: ", "What is the average salary, ", "Most common skills? ", "Upload my cv: ", "")]), ((F.col("conv_id") + F.col("turn")) % 5).cast("int")), F.col("text"))
     return c.select("conv_id", "turn", guards.route(asked).alias("route"), guards.topic(asked).alias("topic"), guards.intent(asked, F.lit(None).cast("string")).alias("intent"))
 
 
-SQL["question_routes"] = """WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE k WHEN 3 THEN 'platform' WHEN 4 THEN 'unresolved' ELSE 'sql' END AS route, CASE WHEN k = 3 THEN 'cv_upload' END AS topic, CASE k WHEN 1 THEN 'avg_salary' WHEN 2 THEN 'top_skills' ELSE 'job_count' END AS intent FROM c"""
+def _apart(pattern: str) -> str:
+    """A pattern's word boundaries as what Java takes them for: no letter, digit or underscore beside."""
+    return re.sub(r"\\b", r"(?:$|[^\\p{L}\\p{Nd}_])", re.sub(r"\\b(?=[\w(])", r"(?:^|[^\\p{L}\\p{Nd}_])", pattern))
+
+
+_PHRASES = ", ".join(f"({k}, '{t}', '{w}')" for k, (t, words) in enumerate(guards.TOPICS.items()) for w in words)
+
+# Texts may name topics and figures as well as the openings do.
+SQL["question_routes"] = f"""WITH c AS (SELECT row_number() OVER () AS id, conv_id, turn, lower(['How many jobs: ', 'What is the average salary, ', 'Most common skills? ', 'Upload my cv: ', ''][(conv_id + turn) % 5 + 1] || text) AS q FROM conversations WHERE role = 'user'),
+n AS (SELECT id, k, topic, count(*) AS n FROM c JOIN (VALUES {_PHRASES}) p(k, topic, phrase) ON contains(q, phrase) GROUP BY ALL),
+t AS (SELECT id, topic FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, k) = 1)
+SELECT conv_id, turn, CASE WHEN topic IS NOT NULL THEN 'platform' WHEN regexp_matches(q, '{_apart("|".join(guards.ANALYTICAL))}') THEN 'sql' ELSE 'unresolved' END AS route, topic,
+  CASE WHEN regexp_matches(q, '{_apart(guards.SALARY_WORDS)}') THEN 'avg_salary' WHEN regexp_matches(q, '{_apart(guards.TOP_WORDS)}') THEN 'top_skills' ELSE 'job_count' END AS intent
+FROM c LEFT JOIN t USING (id)"""
 
 
 #: Openings of questions, one for each turn in turn; what they name is told again in the SQL's own words.

@@ -1,9 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from postwright.operators import matching, ontology, questions
+from postwright.plans import texts
+from tests.oracles import assert_same
 
 SKILLS = [("Machine Learning", "domain", ["ml"], None), ("Python", "language", ["python3"], None), ("Learning", "domain", [], None), ("C++", "language", [], None), ("Machine", "domain", [], None), ("Straße", "domain", [], None)]
 
@@ -85,3 +88,15 @@ def test_popular_skills_meet_no_posting_one_by_one(spark):
     d.collect()
     plan = d._jdf.queryExecution().executedPlan()
     assert d.groupBy("profile_id").agg(F.count("*").alias("n")).where("n <> 10").count() == 0 and "WindowGroupLimit" in plan.toString()
+
+
+def test_routes_of_texts_that_name_topics_and_figures(spark, tmp_path):
+    texts_ = [
+        "Whenever.", "a percentage of it", "émean", "mean, is it", "upload cv; upload my cv, snapshot", "lexical and semantic: data source", "top  skills", "top 5 skills", "plus demandées", "the salaire", "en moyenne", "breakdown", "comparer", "comparers",
+        "How Many, 5 %", "total count of", "who are you", "répartition", None, "", "most commonly", "un_mean_", "salary in it", "skill gap, match score",
+    ]
+    rows = [(c, t, "user" if c % 4 else "system", x) for c, x in enumerate([x for x in texts_ for _ in range(2)]) for t in (*range(5), None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert_same(texts.question_routes(spark, str(tmp_path)), con, texts.SQL["question_routes"])
