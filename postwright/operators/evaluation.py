@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postwright.functions.text import alias_key
 from postwright.operators.guards import CAREER_WORDS, INJECTION, MIN_CONFIDENCE, canonical_mode, token_cost
+from postwright.operators.questions import BROADCAST_ALIASES
 
 # Seed and shares of the sample, and words of technical titles.
 SEED = 20260724
@@ -108,6 +109,7 @@ def validated(answers: DataFrame, jobs: DataFrame, index: DataFrame) -> DataFram
     row each: ``accepted``, ``unmapped`` (a skill that the ontology doesn't know), ``conflict`` (with what was
     computed from the posting or its metadata) or ``rejected``, the first reason that applies. Unknown levels, modes and
     years without figures claim nothing. Answers to jobs that aren't there are left out; a null answer isn't JSON.
+    Claims go without their text, and the index to the tasks behind a count: few names don't gather the claims in a few tasks.
     """
     own = jobs.select("job_id", F.coalesce("text", F.lit("")).alias("text"), "skills", F.col("career_level").alias("own_level"), F.col("experience_min_years").alias("own_years"), F.col("remote_mode").alias("own_mode"), "is_remote")
     # a row number stays in the plan to the end, so that no filter is pushed below the parsing and repeats it
@@ -123,17 +125,16 @@ def validated(answers: DataFrame, jobs: DataFrame, index: DataFrame) -> DataFram
     e = sub("experience_requirement")
     valid = part(F.col("v")) & (sub("skills").isNull() | claims.isNotNull() & F.forall(F.coalesce(claims, F.expr("cast(array() as array<variant>)")), lambda x: F.coalesce(good_skill(x), F.lit(False))))
     valid = valid & whole(sub("career_level")) & whole(e) & whole(sub("work_mode")) & (e.isNull() | ~_bad_years(e, "minimum_years") & ~_bad_years(e, "maximum_years"))
-    one = lambda field, value, reason, evidence=None, confidence=None: F.struct(
-        F.lit(field).alias("field"), value.alias("value"), (F.lit(None).cast("string") if evidence is None else evidence).alias("evidence"),
-        (F.lit(None).cast("double") if confidence is None else confidence).alias("confidence"), reason.cast("string").alias("reason"),
-    )
+    one = lambda field, value, reason, flaw=None: F.struct(F.lit(field).alias("field"), value.alias("value"), (F.lit(None) if flaw is None else flaw).cast("string").alias("flaw"), reason.cast("string").alias("reason"))
     parts = {"career": sub("career_level"), "exp": e, "mode": sub("work_mode")}
     d = d.select(
         "*", F.coalesce(valid, F.lit(False)).alias("valid"), _injected(F.col("answer")).alias("injected"), claims.alias("claims"),
         *[_text(v, "evidence").alias(f"{p}_evidence") for p, v in parts.items()], *[_confidence(v).alias(f"{p}_confidence") for p, v in parts.items()],
         _years(e, "minimum_years").alias("low"), _years(e, "maximum_years").alias("high"), _career(_get(parts["career"], "$.value", "string")).alias("level"), canonical_mode(_get(parts["mode"], "$.value", "string")).alias("kind"),
     )
-    skills = F.transform(F.coalesce("claims", F.expr("cast(array() as array<variant>)")), lambda s: one("skill", _text(s, "name"), F.lit(None), _text(s, "evidence"), _confidence(s)))
+    # evidence is judged where the text is, as claims leave it behind
+    flaw = lambda e, c: F.when((e == "") | ~F.col("text").contains(e), "hallucinated_evidence").when(c < MIN_CONFIDENCE, "low_confidence")
+    skills = F.transform(F.coalesce("claims", F.expr("cast(array() as array<variant>)")), lambda s: one("skill", _text(s, "name"), F.when(_injected(_text(s, "evidence")), "prompt_injection"), flaw(_text(s, "evidence"), _confidence(s))))
     fields = F.filter(F.array(*[F.when(value.isNotNull(), one(name, value, reason)) for name, value, reason in _fields()]), lambda c: c.isNotNull())
     items = (
         F.when(F.col("error").isNotNull(), F.array(one("call", F.lit(""), F.col("error"))))
@@ -141,17 +142,12 @@ def validated(answers: DataFrame, jobs: DataFrame, index: DataFrame) -> DataFram
         .when(F.col("injected"), F.array(one("response", F.lit(""), F.lit("prompt_injection"))))
         .otherwise(F.concat(skills, fields))
     )
-    s = d.select("row", "job_id", "text", "skills", F.posexplode(items).alias("pos", "i")).select("row", "job_id", "text", "skills", "pos", "i.*")
+    s = d.select("row", "job_id", "skills", F.posexplode(items).alias("pos", "i")).select("row", "job_id", "skills", "pos", "i.*")
     names = index.groupBy("folded").agg(F.min_by("canonical", F.struct("alias_ord", "canonical")).alias("canonical"))
+    names = F.broadcast(names) if index.count() <= BROADCAST_ALIASES else names
     s = s.withColumn("folded", F.when(F.col("field") == "skill", alias_key(F.col("value")))).join(names, "folded", "left")
     known = F.coalesce(F.array_contains("skills", F.col("canonical")), F.lit(False))
-    skill_reason = (
-        F.when(F.col("canonical").isNull(), "unknown_ontology_skill")
-        .when((F.col("evidence") == "") | ~F.col("text").contains(F.col("evidence")), "hallucinated_evidence")
-        .when(F.col("confidence") < MIN_CONFIDENCE, "low_confidence")
-        .when(known, "already_deterministic")
-        .when(_injected(F.col("evidence")), "prompt_injection")
-    )
+    skill_reason = F.when(F.col("canonical").isNull(), "unknown_ontology_skill").otherwise(F.coalesce("flaw", F.when(known, "already_deterministic"), "reason"))
     s = s.withColumn("reason", F.when(F.col("field") == "skill", skill_reason).otherwise(F.col("reason")))
     first = F.min(F.when(F.col("reason").isNull(), F.col("pos"))).over(Window.partitionBy("row", "canonical"))
     s = s.withColumn("reason", F.when((F.col("field") == "skill") & F.col("reason").isNull() & (first < F.col("pos")), "duplicate_skill").otherwise(F.col("reason")))

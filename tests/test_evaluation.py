@@ -82,3 +82,11 @@ def test_metrics_of_a_cost_between_two_digits(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert_same(texts.evaluation_metrics(spark, str(tmp_path)), con, texts.SQL["evaluation_metrics"])
+
+
+def test_claims_leave_their_text_behind(spark, index):
+    jobs = spark.createDataFrame([(k, "Python", [], "unknown", None, None, None) for k in range(5)], JOBS)
+    answers = jobs.select("job_id", F.lit(answer(skills=[{"name": "py", "evidence": "Python", "confidence": 1}])).alias("answer"), F.lit(None).cast("string").alias("error"))
+    plan = evaluation.validated(answers, jobs, index)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate posexplode")]
+    assert "text#" not in above and "rightHint=(strategy=broadcast)" in above.replace("rightHint=(strategy=broadcast, ", "rightHint=(strategy=broadcast)")
