@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwright.functions.session import cut_off
 from postwright.functions.text import folded_with_origin
 from postwright.operators.ontology import alias_index
 
@@ -29,6 +30,8 @@ TOKENS = r"(?U)\w+|\s+|[^\w\s]"
 TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 #: Ontologies of more aliases are joined by shuffle.
 BROADCAST_ALIASES = 200_000
+#: Hits that a worker holds before it hands them on.
+HITS = 2_000
 
 # Terms of which one stands near an alias that needs capitals and context, in folded form.
 AI_TERMS = [
@@ -131,16 +134,22 @@ def hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text: str
     names = ["key", "n_tokens", "start", "end", "evidence", "before", "after"]
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
+    def cut(rows: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+        rest = rows.select(rows.schema.names[1:]).take(pa.array(at, pa.int64()))
+        own = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * len(names), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*rest.columns, *own], [*rest.schema.names, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found = [], []
-            for k, value in enumerate(batch.column(0).to_pylist()):
-                for hit in walk(value or "", runs, lengths):
+            for k in range(batch.num_rows):
+                for hit in walk(batch.column(0)[k].as_py() or "", runs, lengths):
                     at.append(k)
                     found.append(hit)
-            rest = batch.select(batch.schema.names[1:]).take(pa.array(at, pa.int64()))
-            cut = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * len(names), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *cut], [*rest.schema.names, *names])
+                    if len(found) == HITS:
+                        yield cut(batch, at, found)
+                        at, found = [], []
+            yield cut(batch, at, found)
 
     found = columns.mapInArrow(run, f"{schema}, key string, n_tokens int, start int, `end` int, evidence string, before string, after string")
     found = found.join(F.broadcast(aliases) if small else aliases, ["key"] if small else ["key", "n_tokens"])
@@ -169,12 +178,14 @@ def posting_matches(jobs: DataFrame, skills: DataFrame) -> tuple[DataFrame, Data
     """``(matches, failures)`` of title and description: offsets are relative to the field.
 
     Title and description are read as one text with an empty line between; a hit
-    across that line fails the job, and none of its matches count.
+    across that line fails the job, and none of its matches count. Texts are walked once,
+    and the hits wait in the shared folder.
     """
     both = jobs.select("job_id", F.concat_ws("\n\n", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))).alias("text"), F.char_length(F.coalesce("title", F.lit(""))).alias("cut"))
     found = matches(both, skills, "job_id", keep=("cut",)).withColumnRenamed("doc_id", "job_id")
     field = F.when(F.col("end") <= F.col("cut"), "title").when(F.col("start") >= F.col("cut") + 2, "description")
     shift = F.when(F.col("end") <= F.col("cut"), 0).otherwise(F.col("cut") + 2)
     placed = found.select("job_id", "canonical", "alias", field.alias("evidence_field"), (F.col("start") - shift).alias("start"), (F.col("end") - shift).alias("end"), "evidence")
+    placed = cut_off(placed)  # read for the matches, for the failures and to part them
     failures = placed.where("evidence_field is null").select("job_id", F.lit("match").alias("stage"), F.lit("evidence crosses title and description").alias("error")).distinct()
     return placed.join(failures.select("job_id"), "job_id", "left_anti"), failures

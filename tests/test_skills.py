@@ -161,3 +161,13 @@ def test_hits_beyond_the_broadcast_and_without_exchange(spark, skills, monkeypat
     assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
     monkeypatch.setattr(skillmatch, "BROADCAST_ALIASES", -1)
     assert sorted(map(tuple, skillmatch.matches(docs, skills).collect())) == near
+
+
+def test_a_worker_holds_few_hits_and_postings_are_walked_once(spark, monkeypatch):
+    skills = spark.createDataFrame([("Python", "language", ["py"], None), ("SQL", "language", [], None)], "canonical string, category string, aliases array<string>, parent string")
+    docs = spark.createDataFrame([(1, "Python SQL " * 9), (2, None), (3, "PY"), (4, "")], "doc_id long, text string")
+    whole = sorted(skillmatch.hits(docs, skillmatch.alias_table(skills)).drop("row").collect())
+    monkeypatch.setattr(skillmatch, "HITS", 4)
+    assert sorted(skillmatch.hits(docs, skillmatch.alias_table(skills)).drop("row").collect()) == whole and len(whole) == 19
+    found, failed = skillmatch.posting_matches(docs.selectExpr("doc_id AS job_id", "text AS title", "'SQL' AS description"), skills)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString() + failed._jdf.queryExecution().toString()
