@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,6 +52,11 @@ def optional(x: Column) -> Column:
     return F.nullif(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def fold(x: Column) -> Column:
     """Lower case without accents, a letter for a letter, so that offsets stay."""
     return F.translate(F.lower(x), ACCENTED, PLAIN)
@@ -65,7 +71,7 @@ def full_fold(x: Column) -> Column:
             out = F.replace(out, F.lit(c), F.lit(letters))
         return F.when(some.rlike("[" + "".join(EXPANDED) + "]"), out).otherwise(some)
 
-    return F.get(F.transform(F.array(fold(x)), expanded), 0)  # what is folded is named once, however often it is used
+    return once(fold(x), expanded)
 
 
 def folded_with_origin(text: str) -> tuple[str, list[int] | None]:

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postwright.functions.text import alias_key
+from postwright.functions.text import alias_key, once
 
 # Patterns in order of precedence, over folded text.
 LEVELS = [
@@ -88,11 +88,20 @@ def first_of(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(text.rlike(f"(?U){p}"), F.lit(v)) for v, p in patterns])
 
 
+def _folded(*texts: Column) -> Column:
+    """Array of the texts' keys; null texts are empty."""
+    return F.array(*[alias_key(F.coalesce(x, F.lit(""))) for x in texts])
+
+
 def career_level(title: Column, description: Column) -> Column:
     """Struct of level, source and evidence: the title goes before the description."""
+    return once(_folded(title, description), _level)
+
+
+def _level(keys: Column) -> Column:
     out = []
-    for source, x in (("title", title), ("description", description)):
-        x = alias_key(F.coalesce(x, F.lit("")))
+    for k, source in enumerate(("title", "description")):
+        x = keys[k]
         for level, p in LEVELS:
             out.append(
                 F.when(x.rlike(f"(?U){p}"), F.struct(F.lit(level).alias("value"), F.lit(source).alias("source"), F.regexp_extract(x, f"(?U){p}", 0).alias("evidence")))
@@ -115,16 +124,18 @@ def required_years(text: Column) -> Column:
 
 def job_types(title: Column, description: Column, contract: Column, is_remote: Column) -> Column:
     """Distinct ``(value, source, evidence)`` of all hits, the contract's name and the remote flag."""
+    return once(_folded(title, description, contract), lambda keys: _types(keys, contract, is_remote))
+
+
+def _types(keys: Column, contract: Column, is_remote: Column) -> Column:
     entry = lambda v, s, e: F.struct(F.lit(v).alias("value"), F.lit(s).alias("source"), e.alias("evidence"))
     none = F.expr("cast(array() as array<struct<value:string,source:string,evidence:string>>)")
     parts = []
-    for source, x in (("title", title), ("description", description)):
-        x = alias_key(F.coalesce(x, F.lit("")))
+    for k, source in enumerate(("title", "description")):
         for value, p in JOB_TYPES:
-            parts.append(F.transform(F.regexp_extract_all(x, F.lit(f"(?U){p}"), F.lit(0)), partial(entry, value, source)))
-    c = alias_key(F.coalesce(contract, F.lit("")))
+            parts.append(F.transform(F.regexp_extract_all(keys[k], F.lit(f"(?U){p}"), F.lit(0)), partial(entry, value, source)))
     for value, token in CONTRACT_TYPES:
-        parts.append(F.when(c.contains(token), F.array(entry(value, "metadata", contract))).otherwise(none))
+        parts.append(F.when(keys[2].contains(token), F.array(entry(value, "metadata", contract))).otherwise(none))
     parts.append(
         F.when(is_remote, F.array(entry("remote", "metadata", F.lit("is_remote=True"))))
         .when(~is_remote, F.array(entry("on_site", "metadata", F.lit("is_remote=False"))))
@@ -153,22 +164,30 @@ def domains(text: Column, skills: Column) -> Column:
 
 
 def job_attributes(title: Column, description: Column, contract: Column, is_remote: Column, country: Column, city: Column, skills: Column) -> Column:
+    """Struct of what title, description and contract say; each is folded once, and each part found once."""
     text = F.concat_ws("\n\n", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")), F.coalesce(contract, F.lit("")))
-    types = job_types(title, description, contract, is_remote)
-    values = F.sort_array(F.array_distinct(F.transform(types, lambda t: t["value"])))
-    level, years, folded = career_level(title, description), required_years(text), alias_key(text)
-    return F.struct(
-        level["value"].alias("career_level"),
-        years["low"].alias("experience_min_years"),
-        years["high"].alias("experience_max_years"),
-        values.alias("job_types"),
-        remote_mode(folded, is_remote, values).alias("remote_mode"),
-        country.alias("country"),
-        city.alias("city"),
-        domains(folded, skills).alias("domains"),
-        level.alias("career_level_provenance"),
-        types.alias("job_type_provenance"),
-    )
+
+    def whole(x: Column) -> Column:
+        level, years, types, values = (x[c] for c in ("level", "years", "types", "values"))
+        return F.struct(
+            level["value"].alias("career_level"),
+            years["low"].alias("experience_min_years"),
+            years["high"].alias("experience_max_years"),
+            values.alias("job_types"),
+            remote_mode(x["folded"], is_remote, values).alias("remote_mode"),
+            country.alias("country"),
+            city.alias("city"),
+            domains(x["folded"], skills).alias("domains"),
+            level.alias("career_level_provenance"),
+            types.alias("job_type_provenance"),
+        )
+
+    def parts(keys: Column, types: Column) -> Column:
+        values = F.sort_array(F.array_distinct(F.transform(types, lambda t: t["value"])))
+        folded = F.array_join(F.filter(keys, lambda k: k != ""), " ")  # the key of the whole text
+        return F.struct(_level(keys).alias("level"), required_years(text).alias("years"), types.alias("types"), values.alias("values"), folded.alias("folded"))
+
+    return once(once(_folded(title, description, contract), lambda keys: once(_types(keys, contract, is_remote), lambda types: parts(keys, types))), whole)
 
 
 def candidate_months(text: Column) -> Column:
@@ -179,10 +198,15 @@ def candidate_months(text: Column) -> Column:
 
 
 def candidate_attributes(text: Column, skills: Column) -> Column:
-    n = alias_key(F.coalesce(text, F.lit("")))
-    months = candidate_months(F.coalesce(text, F.lit("")))
+    """Struct of what the text says of a candidate; it is folded once."""
+    body = F.coalesce(text, F.lit(""))
+    found = lambda n: F.struct(n.alias("n"), first_of(n, ROLES).alias("role"), first_of(n, EDUCATION).alias("education"), candidate_months(body).alias("months"))
+    return once(once(alias_key(body), found), lambda x: _candidate(x, skills))
+
+
+def _candidate(x: Column, skills: Column) -> Column:
+    n, role, education, months = (x[c] for c in ("n", "role", "education", "months"))
     years = F.round(months / 12, 2)
-    role, education = first_of(n, ROLES), first_of(n, EDUCATION)
     has = lambda p: n.rlike(f"(?U){p}")
     level = (
         F.when(has(r"\b(student|etudiant|eleve ingenieur)\b"), "student")
