@@ -27,6 +27,8 @@ PRESENT = "present|current|actuelle|actuel|aujourd'hui|a ce jour|en cours"
 _DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}[/-]\d{4}|(?:" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\s+\d{4}"
 #: Of folded text: the start and the end of a date range.
 DATE_RANGE = rf"({_DATE})\s*(?:[-/–—]|to|a)\s*({PRESENT}|{_DATE})"
+#: What every date range has, and is soon looked for: a digit before the sign between the dates.
+RANGE_SIGN = r"\d\s*(?:[-/–—]|to|a)"
 
 EDUCATION_LEVELS = [
     ("bachelor/licence", r"\b(bachelor|licence)\b"),
@@ -152,11 +154,12 @@ def experience_entries(docs: DataFrame, as_of: Column, id_col: str = "doc_id", t
     Volunteer work is dropped; windows with the same first 120 characters count once.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("pos", "line"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    near = F.concat_ws(" ", "line", F.lead("line", 1).over(order), F.lead("line", 2).over(order))
-    folded = alias_key(F.col("context"))
-    rows = rows.withColumn("context", near).withColumn("folded", folded).where(F.col("folded").rlike(DATE_RANGE))
+    rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).select("doc_id", "lines", F.transform("lines", alias_key).alias("keys"))
+    # lines are folded once and meet in their row
+    folded = lambda k: F.array_join(F.filter(F.slice("keys", k + 1, 3), lambda x: x != ""), " ")
+    near = F.transform("lines", lambda _, k: F.struct(F.array_join(F.slice("lines", k + 1, 3), " ").alias("context"), folded(k).alias("folded")))
+    rows = rows.select("doc_id", F.posexplode(near).alias("pos", "w")).select("doc_id", "pos", "w.*")
+    rows = rows.where(F.col("folded").rlike(RANGE_SIGN) & F.col("folded").rlike(DATE_RANGE))
     has = lambda p: F.col("folded").rlike(p)
     kind = F.when(has("internship|stage|stagiaire"), "internship").when(has("alternance"), "apprenticeship").when(has("volunteer|benevole|associative"), "volunteer").otherwise("job")
     start, end = (F.regexp_extract("folded", DATE_RANGE, k) for k in (1, 2))
