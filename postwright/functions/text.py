@@ -6,7 +6,6 @@ import html
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -117,23 +116,25 @@ def clean(x: Column) -> Column:
     return optional(mend_mojibake(x))
 
 
-@F.pandas_udf(StringType())
-def _unescape_all(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", html.unescape(x)))
+@F.udf(StringType(), useArrow=False)
+def _unescape_all(x: str | None) -> str | None:
+    """Row by row, so that a worker holds a hundred texts and not an Arrow batch of 10,000."""
+    return None if x is None else unicodedata.normalize("NFKC", html.unescape(x))
 
 
 def plain_text(x: Column) -> Column:
     """HTML to text: an empty line for each block tag, a blank for other tags, entities once, one blank between words.
 
     Paragraphs without text vanish. Entities beyond the commonest and letters
-    to be composed take one Arrow round trip; texts without them never leave the JVM.
+    to be composed take one round trip through Python; texts without them never leave the JVM.
     """
     body = F.regexp_replace(F.regexp_replace(x, BLOCK_TAGS, "\n\n"), "<[^>]+>", " ")
     simple = body
     for name, char in ENTITIES.items():
         simple = F.replace(simple, F.lit(name), F.lit(char))
-    rare = body.rlike(r"&(?!lt;|gt;|quot;|#39;|apos;|nbsp;|amp;)#?\w+;") | body.rlike(r"[^\x00-ɏ]")
-    text = mend_mojibake(F.when(rare, _unescape_all(F.when(rare, body))).otherwise(simple))
+    rare = lambda some: some.rlike(r"&(?!lt;|gt;|quot;|#39;|apos;|nbsp;|amp;)#?\w+;") | some.rlike(r"[^\x00-ɏ]")
+    # Python's answer is null for texts that have nothing rare, and for null
+    text = once(F.coalesce(_unescape_all(once(body, lambda some: F.when(rare(some), some))), simple), mend_mojibake)
     parts = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")))
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 

@@ -41,31 +41,48 @@ def _value(path: str) -> Column:
     return F.get_json_object("payload", f"$.{path}")
 
 
-def _string(path: str) -> Column:
+def _string(v: Column, path: str) -> Column:
     """A field that is a JSON string, trimmed; numbers, objects and blanks are null."""
-    v = F.try_variant_get(F.try_parse_json(F.col("payload")), f"$.{path}", "variant")
-    return F.when(F.schema_of_variant(v) == "STRING", T.optional(F.try_variant_get(v, "$", "string")))
+    own = F.try_variant_get(v, f"$.{path}", "variant")
+    return F.when(F.schema_of_variant(own) == "STRING", T.optional(F.try_variant_get(v, f"$.{path}", "string")))
 
 
-def _number(path: str) -> Column:
+def _number(v: Column, path: str) -> Column:
     """A field that is a JSON number."""
-    v = F.try_variant_get(F.try_parse_json(F.col("payload")), f"$.{path}", "variant")
-    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(v, "$", "double"))
+    own = F.try_variant_get(v, f"$.{path}", "variant")
+    return F.when(F.schema_of_variant(own).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(v, f"$.{path}", "double"))
+
+
+def _fields(raw: DataFrame, strings: list[str], numbers: list[str] = [], values: list[str] = []) -> DataFrame:
+    """``raw`` with the named fields of its payloads as columns (a dot becomes ``_``).
+
+    A payload is parsed once, and its fields come out of a generator: what later columns
+    and filters name of them is never worked out again.
+    """
+    name = lambda path: path.replace(".", "_")
+    made = lambda v: F.struct(
+        *[_string(v, p).alias(name(p)) for p in strings], *[_number(v, p).alias(name(p)) for p in numbers], *[_value(p).alias(name(p)) for p in values]
+    )
+    return raw.select("raw_job_id", "source", F.inline(F.transform(F.array(F.try_parse_json(F.col("payload"))), made)))
 
 
 def adzuna(raw: DataFrame) -> DataFrame:
     """A row for each raw row, with ``reason`` where it can't be parsed."""
-    area = F.from_json(F.coalesce(_value("location.area"), F.lit("[]")), "array<string>")
-    pay = T.whole_salary(_number("salary_min"), _number("salary_max"), F.lit(None).cast("string"), F.lit("year"))
+    raw = _fields(
+        raw, ["company.display_name", "title", "description", "location.display_name", "contract_time", "contract_type", "created", "redirect_url"],
+        ["salary_min", "salary_max"], ["location.area", "salary_is_predicted"],
+    )
+    area = F.from_json(F.coalesce(F.col("location_area"), F.lit("[]")), "array<string>")
+    pay = T.whole_salary(F.col("salary_min"), F.col("salary_max"), F.lit(None).cast("string"), F.lit("year"))
     any_pay = pay["salary_min"].isNotNull()
-    contract = F.coalesce(_string("contract_time"), _string("contract_type"))
+    contract = F.coalesce(F.col("contract_time"), F.col("contract_type"))
     return raw.select(
         "raw_job_id",
         "source",
-        F.coalesce(_string("company.display_name"), F.lit("Unknown")).alias("company_name"),
-        _string("title").alias("title"),
-        T.plain_text(F.coalesce(_string("description"), F.lit(""))).alias("description"),
-        _string("location.display_name").alias("location_raw"),
+        F.coalesce(F.col("company_display_name"), F.lit("Unknown")).alias("company_name"),
+        F.col("title").alias("title"),
+        T.plain_text(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
+        F.col("location_display_name").alias("location_raw"),
         T.iso_country(F.get(area, 0), ADZUNA_COUNTRIES).alias("country"),
         F.get(area, 1).alias("city"),
         F.lit(None).cast("boolean").alias("is_remote"),
@@ -74,25 +91,26 @@ def adzuna(raw: DataFrame) -> DataFrame:
         pay["salary_max"].alias("salary_max"),
         F.lit(None).cast("string").alias("salary_currency"),
         F.when(any_pay, "year").alias("salary_period"),
-        F.coalesce(_value("salary_is_predicted") == "1", F.lit(False)).alias("salary_is_predicted"),
-        T.iso_time(_string("created")).alias("posted_at"),
-        _string("redirect_url").alias("url"),
-        F.when(_string("title").isNull(), "missing title").alias("reason"),
+        F.coalesce(F.col("salary_is_predicted") == "1", F.lit(False)).alias("salary_is_predicted"),
+        T.iso_time(F.col("created")).alias("posted_at"),
+        F.col("redirect_url").alias("url"),
+        F.when(F.col("title").isNull(), "missing title").alias("reason"),
     )
 
 
 def remoteok(raw: DataFrame) -> DataFrame:
-    title = T.clean(F.coalesce(_string("position"), _string("title")))
-    company = T.clean(_string("company"))
-    low, high = T.number(_value("salary_min")), T.number(_value("salary_max"))
+    raw = _fields(raw, ["position", "title", "company", "description", "location", "date", "url", "apply_url"], values=["salary_min", "salary_max", "epoch"])
+    title = T.clean(F.coalesce(F.col("position"), F.col("title")))
+    company = T.clean(F.col("company"))
+    low, high = T.number(F.col("salary_min")), T.number(F.col("salary_max"))
     any_pay = F.coalesce(low, high).isNotNull()
     return raw.select(
         "raw_job_id",
         "source",
         company.alias("company_name"),
         title.alias("title"),
-        T.plain_text(F.coalesce(_string("description"), F.lit(""))).alias("description"),
-        T.clean(_string("location")).alias("location_raw"),
+        T.plain_text(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
+        T.clean(F.col("location")).alias("location_raw"),
         F.lit(None).cast("string").alias("country"),
         F.lit(None).cast("string").alias("city"),
         F.lit(True).alias("is_remote"),
@@ -102,31 +120,32 @@ def remoteok(raw: DataFrame) -> DataFrame:
         F.when(any_pay, "USD").alias("salary_currency"),
         F.when(any_pay, "year").alias("salary_period"),
         F.lit(False).alias("salary_is_predicted"),
-        F.coalesce(T.epoch_time(_value("epoch")), T.iso_time(_string("date"))).alias("posted_at"),
-        F.coalesce(_string("url"), _string("apply_url")).alias("url"),
+        F.coalesce(T.epoch_time(F.col("epoch")), T.iso_time(F.col("date"))).alias("posted_at"),
+        F.coalesce(F.col("url"), F.col("apply_url")).alias("url"),
         F.when(title.isNull(), "missing title").when(company.isNull(), "missing company").alias("reason"),
     )
 
 
 def jooble(raw: DataFrame) -> DataFrame:
-    place = split_location(_string("location"))
-    pay = T.salary_text(_string("salary"))
+    raw = _fields(raw, ["company", "title", "snippet", "location", "type", "updated", "link", "salary"])
+    place = split_location(F.col("location"))
+    pay = T.salary_text(F.col("salary"))
     return raw.select(
         "raw_job_id",
         "source",
-        F.coalesce(_string("company"), F.lit("Unknown")).alias("company_name"),
-        _string("title").alias("title"),
-        T.plain_text(F.coalesce(_string("snippet"), F.lit(""))).alias("description"),
-        _string("location").alias("location_raw"),
+        F.coalesce(F.col("company"), F.lit("Unknown")).alias("company_name"),
+        F.col("title").alias("title"),
+        T.plain_text(F.coalesce(F.col("snippet"), F.lit(""))).alias("description"),
+        F.col("location").alias("location_raw"),
         T.iso_country(place["country"], JOOBLE_COUNTRIES).alias("country"),
         place["city"].alias("city"),
         F.lit(None).cast("boolean").alias("is_remote"),
-        T.lookup(F.lower(_string("type")), JOOBLE_CONTRACTS).alias("contract_type"),
+        T.lookup(F.lower(F.col("type")), JOOBLE_CONTRACTS).alias("contract_type"),
         *[v.alias(k) for k, v in pay.items()],
         F.lit(False).alias("salary_is_predicted"),
-        T.iso_time(_string("updated")).alias("posted_at"),
-        _string("link").alias("url"),
-        F.when(_string("title").isNull(), "missing title").alias("reason"),
+        T.iso_time(F.col("updated")).alias("posted_at"),
+        F.col("link").alias("url"),
+        F.when(F.col("title").isNull(), "missing title").alias("reason"),
     )
 
 

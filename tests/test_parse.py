@@ -125,3 +125,17 @@ def test_fold_takes_off_any_mark(spark):
     words = {"Dvořák": "dvorak", "ŁÓDŹ": "łodz", "Nguyễn": "nguyen", "naïve Straße": "naive straße", "x²": "x2"}
     d = spark.createDataFrame([(w,) for w in words], "w string")
     assert {r["w"]: r["f"] for r in d.select("w", text.fold(F.col("w")).alias("f")).collect()} == words
+
+
+def test_payloads_are_parsed_once(spark):
+    """A payload is parsed once by its board, however many fields and filters name its parts."""
+    plan = parse.parse(raw(spark, [("adzuna", ADZUNA)]))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().replace("_", "").count("parsejson") == 3
+
+
+def test_rare_texts_go_one_by_one(spark):
+    """No Arrow batch of whole pages is held by a worker."""
+    d = spark.createDataFrame([("<p>a &eacute; ﬁ</p>",), (None,), ("<b>x</b> &amp; y",)], "x string").select(T.plain_text(F.col("x")).alias("t"))
+    assert [r[0] for r in d.collect()] == ["a é fi", None, "x & y"]
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" in plan
