@@ -115,22 +115,25 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, threshold: float = 0.
     Candidates come from ``tables`` bands of two minhashes. Links are missed where two sets share no
     band, and where they only meet in buckets whose first one is far from either.
     """
-    w = F.array_remove(F.split(text_key(F.coalesce(F.col(text), F.lit(""))), " "), "")
+    w = F.array_remove(F.split(text_key(F.coalesce(F.col("text"), F.lit(""))), " "), "")
     shingle = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get("w", i + k) for k in range(1, words)]))
-    sets = docs.select(F.col(id_col).alias("doc_id"), w.alias("w")).where(F.size("w") > 0).select("doc_id", F.sort_array(F.array_distinct(shingle)).alias("s"))
-    sets = sets.select("doc_id", "s", F.xxhash64("s").alias("class")).cache()
-    leads = sets.groupBy("class").agg(F.min("doc_id").alias("lead"))
-    own = sets.join(leads, "class").where("doc_id = lead").select("class", "s")
+    with_set = lambda rows: rows.withColumn("w", w).where(F.size("w") > 0).withColumn("s", F.sort_array(F.array_distinct(shingle))).drop("text", "w")
     low = lambda seed: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
-    bands = F.array(*[F.struct(F.lit(b).alias("b"), low(2 * b).alias("x"), low(2 * b + 1).alias("y")) for b in range(tables)])
-    at = own.select("class", F.explode(bands).alias("band"))
+    bands = F.array(*[F.xxhash64(F.lit(b), low(2 * b), low(2 * b + 1)) for b in range(tables)])
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    # a hash of the set and one of each band are all that is kept of a text; sets are made again where a candidate is verified
+    signed = cut_off(with_set(texts).select("doc_id", F.xxhash64("s").alias("class"), bands.alias("bands")))
+    at = signed.select("class", F.explode("bands").alias("band")).distinct()
     first = at.groupBy("band").agg(F.min("class").alias("first"))
-    pairs = at.join(first, "band").where("class <> first").select("class", "first").distinct()
+    pairs = cut_off(at.join(first, "band").where("class <> first").select("class", "first").distinct())
+    met = pairs.select("class").union(pairs.select("first")).distinct()
+    leads = signed.join(met, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    own = with_set(texts.join(leads.select("doc_id"), "doc_id")).select(F.xxhash64("s").alias("class"), "s")
     both = pairs.join(own, "class").join(own.select(F.col("class").alias("first"), F.col("s").alias("t")), "first")
     n = F.size(F.array_intersect("s", "t"))
     links = both.where(n >= threshold * (F.size("s") + F.size("t") - n)).select("class", "first")
     groups = _connected(links)
-    label = sets.join(leads, "class").join(groups, "class", "left").select("doc_id", F.coalesce("root", "class").alias("root"))
+    label = signed.join(groups, "class", "left").select("doc_id", F.coalesce("root", "class").alias("root"))
     size = label.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return label.join(size, "root").select("doc_id", "group_id")
 

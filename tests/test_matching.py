@@ -223,3 +223,24 @@ def test_questions_have_topics_and_routes(spark):
     }
     d = spark.createDataFrame([(q,) for q in asked], "q string")
     assert {r["q"]: (r["t"], r["r"]) for r in d.select("q", guards.topic(F.col("q")).alias("t"), guards.route(F.col("q")).alias("r")).collect()} == asked
+
+
+def shuffled(spark):
+    """Bytes that all stages of the session have given to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_duplicates_shuffle_texts_once(spark):
+    """Sets stay where the texts are, but for those of candidates."""
+    words = F.expr("array_join(transform(sequence(1, 400), k -> concat('w', xxhash64(k, if(id >= 990, 990, id)))), ' ')")
+    d = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(words, F.when(F.col("id") >= 990, F.concat(F.lit(" "), "id")).otherwise("")).alias("text"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        size, before = d.agg(F.sum(F.length("text"))).first()[0], shuffled(spark)
+        assert sorted(tuple(r) for r in curation.near_duplicate_groups(d).collect()) == [(k, 990) for k in range(990, 1000)]
+        assert shuffled(spark) - before < 1.25 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
