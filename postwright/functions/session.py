@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a table that one task is to sort and group: what it holds doesn't grow with the table.
+ROWS_A_TASK = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -24,3 +27,12 @@ def cut_off(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Into how many tasks to deal ``rows`` by a key; those of a file are counted by its footers.
+
+    Adaptive execution joins shuffle partitions up to a number of compressed bytes, whatever the rows take
+    when they are sorted and grouped; ``repartition`` to a number of its own keeps them apart.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))

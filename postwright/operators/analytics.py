@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwright.functions.session import tasks_for
+
 # Seniority words, euro rates, currencies by country.
 SENIORITY = {
     "junior": r"\bjunior\b|\bdebutant\b",
@@ -48,8 +50,13 @@ def with_total(rows: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def skill_demand(jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, top: int | None = None) -> DataFrame:
-    """Jobs that ask for each (skill, category), as a count and a share of the jobs that were processed."""
-    counts = job_skills.join(jobs.select("job_id"), "job_id", "left_semi").join(skills, "skill_id").groupBy("skill", "category").agg(F.count_distinct("job_id").alias("job_count"))
+    """Jobs that ask for each (skill, category), as a count and a share of the jobs that were processed.
+
+    Named skills are dealt by job, into tasks of about as many rows each; jobs are compared and told apart within them.
+    """
+    tasks = tasks_for(job_skills)
+    named = job_skills.select("job_id", "skill_id").join(skills.select("skill_id", "skill", "category"), "skill_id").select("job_id", "skill", "category").repartition(tasks, "job_id")
+    counts = named.join(jobs.select("job_id").repartition(tasks, "job_id"), "job_id", "left_semi").groupBy("skill", "category").agg(F.count_distinct("job_id").alias("job_count"))
     total = jobs.agg(F.count_distinct("job_id").alias("considered"))
     out = with_total(counts, total).withColumn("percent", percent(F.col("job_count"), F.col("considered")))
     return out.orderBy(F.col("job_count").desc(), "skill", "category").limit(top) if top else out
@@ -119,12 +126,15 @@ def failure_stages(failures: DataFrame) -> DataFrame:
     return failures.groupBy("stage").agg(F.count("*").alias("failures"), F.sum("attempts").alias("attempts"))
 
 
-def frequency_report(ledger: DataFrame, found: DataFrame, sources: DataFrame, top: int = 30, highest: int = 25) -> DataFrame:
+def frequency_report(ledger: DataFrame, found: DataFrame, sources: DataFrame, top: int = 30, highest: int = 25, tasks: int | None = None) -> DataFrame:
     """One long table of eight metrics: ``(metric, key, secondary_key, job_count, skill_rows, rate)``.
 
     ``ledger``: job_id, status, skill_count, country, source (primary); ``found``:
-    job_id, skill, alias; ``sources``: all sources of each job.
+    job_id, skill, alias; ``sources``: all sources of each job. With ``tasks`` (see ``tasks_for``)
+    all three are dealt by job into so many, and meet and are counted there.
     """
+    if tasks is not None:
+        ledger, found, sources = (d.repartition(tasks, "job_id") for d in (ledger, found, sources))
 
     def shape(df: DataFrame, metric: str, key: str, second: str | None = None, rows: str | None = None, rate: str | None = None, jobs: str = "job_count") -> DataFrame:
         return df.select(

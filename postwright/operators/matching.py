@@ -394,8 +394,8 @@ def skill_gaps(matches: DataFrame, demand: DataFrame) -> DataFrame:
 
 
 def demand_of(job_skills: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Jobs that ask for each of the wanted skills."""
-    return job_skills.join(wanted.select("skill").distinct(), "skill", "left_semi").groupBy("skill").agg(F.count_distinct("job_id").alias("demand"))
+    """Jobs that ask for each of the wanted skills; they are counted where the rows are, before skills are compared."""
+    return job_skills.groupBy("skill").agg(F.count_distinct("job_id").alias("demand")).join(wanted.select("skill").distinct(), "skill", "left_semi")
 
 
 def recommended_skills(gaps: DataFrame, matches: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postwright.functions import text as T
-from postwright.functions.session import shared_folder
+from postwright.functions.session import shared_folder, tasks_for
 from postwright.operators import analytics as A
 from postwright.operators import audit, constraints, curation, dedup, enrich, matching, ontology
 from postwright.plans import roles as R
@@ -138,10 +138,11 @@ UNION ALL SELECT 'skill_count', CAST(skill_count AS VARCHAR), NULL, count(*), NU
 UNION ALL SELECT * FROM (SELECT 'highest_job', CAST(job_id AS VARCHAR), NULL, 1, skill_count, NULL FROM good ORDER BY skill_count DESC, job_id LIMIT 25))""")
 def frequency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     js = R.job_skills(spark, sf_dir)
+    tasks = tasks_for(js)
     found = js.join(R.skills(spark, sf_dir), "skill_id").select("job_id", "skill", "alias")
-    src = js.select("job_id", "source").distinct()
+    src = js.select("job_id", "source").repartition(tasks, "job_id").distinct()
     prim = src.groupBy("job_id").agg(F.min("source").alias("source"))
-    report = A.frequency_report(R.ledger(spark, sf_dir).join(prim, "job_id", "left"), found, src)
+    report = A.frequency_report(R.ledger(spark, sf_dir, tasks).join(prim, "job_id", "left"), found, src, tasks=tasks)
     return report.fillna({"secondary_key": "", "skill_rows": 0, "rate": 0.0})
 
 
@@ -444,7 +445,8 @@ lost AS (SELECT m.profile_id, s.skill_id AS skill, count(*) AS missing_count FRO
 demand AS (SELECT skill_id AS skill, count(DISTINCT job_id) AS demand FROM job_skills GROUP BY skill_id)
 SELECT profile_id, skill, missing_count, demand, row_number() OVER (PARTITION BY profile_id ORDER BY demand DESC, missing_count DESC, skill) AS rank, round(missing_count * 100.0 / n, 1) AS percent FROM lost JOIN demand USING (skill) JOIN n USING (profile_id)""")
 def skill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").alias("skill")).distinct()
+    js = R.job_skills(spark, sf_dir).select("job_id", F.col("skill_id").alias("skill"))
+    js = js.repartition(tasks_for(js), "job_id").distinct()
     ps = R.profile_skills(spark, sf_dir)
     own = ps.groupBy("profile_id").agg(F.collect_list("skill").alias("own"))
     lists = js.groupBy("job_id").agg(F.collect_list("skill").alias("skills"))

@@ -68,9 +68,11 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_SQL = "ledger AS (SELECT j.job_id, j.status, j.country, CASE WHEN j.status = 'failed' THEN 0 ELSE coalesce(s.n, 0) END AS skill_count FROM jobs j LEFT JOIN (SELECT job_id, count(DISTINCT skill_id) AS n FROM job_skills GROUP BY job_id) s ON j.job_id = s.job_id)"
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = job_skills(spark, sf_dir).groupBy("job_id").agg(F.count_distinct("skill_id").alias("n"))
-    j = jobs(spark, sf_dir).select("job_id", "status", "country").join(n, "job_id", "left")
+def ledger(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Jobs with their status and number of skills, dealt by job into ``tasks`` if that is given."""
+    dealt = lambda rows: rows if tasks is None else rows.repartition(tasks, "job_id")
+    n = dealt(job_skills(spark, sf_dir).select("job_id", "skill_id")).groupBy("job_id").agg(F.count_distinct("skill_id").alias("n"))
+    j = dealt(jobs(spark, sf_dir).select("job_id", "status", "country")).join(n, "job_id", "left")
     return j.select("job_id", "status", "country", F.when(F.col("status") == "failed", 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("skill_count"))
 
 

@@ -1,7 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from postwright.functions import session
 from postwright.operators import constraints, resumes
+from postwright.plans import reports
+from postwright.plans import roles as R
 from postwright.sources import boards
 
 RAW = "raw_job_id long, source string, source_id string, payload string"
@@ -41,3 +46,12 @@ def test_constraints(spark):
     got = {(r["table_name"], r["rule"]): r["n"] for r in constraints.violations({"t": t}, catalogue).collect()}
     assert got == {("t", "v"): 1, ("t", "unique_k"): 1, ("t", "foreign_up"): 2}
     assert all(r["n"] == 0 for r in constraints.violations({"t": t.limit(0)}, catalogue).collect())
+
+
+@pytest.mark.parametrize("name", ["skill_demand", "frequency_report", "skill_gaps"])
+def test_tasks_follow_the_rows(spark, sf_dir, monkeypatch, name):
+    """Lines are dealt by job into tasks of so many rows, and adaptive execution doesn't join them up."""
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    n = -(-R.job_skills(spark, sf_dir).count() // 100)
+    plan = reports.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(job_id#\d+L, {n}\), REPARTITION_BY_NUM", plan)
