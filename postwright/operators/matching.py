@@ -8,6 +8,9 @@ remote_mode, title. Scores are explained by their parts.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,13 +81,17 @@ def lexical_candidates(profile_skills: DataFrame, job_skills: DataFrame, pool: i
     smaller job. Profiles without skills get no row (see ``fallback_candidates``).
     """
     p = profile_skills.select("profile_id", "skill").distinct()
-    j = job_skills.select("job_id", "skill").distinct()
-    least = max(pool, heavy_share * job_skills.select("job_id").distinct().count())
-    heavy = [r["skill"] for r in j.groupBy("skill").agg(F.count("*").alias("n")).where(F.col("n") > least).select("skill").collect()]
     best = Window.partitionBy("profile_id").orderBy(F.col("overlap").desc(), "job_id")
     first = lambda rows: rows.withColumn("lexical_rank", F.row_number().over(best)).where(F.col("lexical_rank") <= pool)
+    # rows are counted before their pairs: where no skill has many rows, none is asked for by many jobs
+    most = job_skills.groupBy("skill").count().agg(F.max("count")).first()[0] or 0
+    least = pool if most <= pool else max(pool, heavy_share * job_skills.select("job_id").distinct().count())
+    j = job_skills.select("job_id", "skill").distinct()
+    heavy = [] if most <= least else [r["skill"] for r in j.groupBy("skill").agg(F.count("*").alias("n")).where(F.col("n") > least).select("skill").collect()]
     if not heavy:
-        return first(p.join(j, "skill").groupBy("profile_id", "job_id").agg(F.count("*").alias("overlap")))
+        # with few rows a skill, pairs are made distinct after the join, in the tasks that join them
+        pairs = p.join(job_skills.select("job_id", "skill"), "skill").distinct() if most <= least else p.join(j, "skill")
+        return first(pairs.groupBy("profile_id", "job_id").agg(F.count("*").alias("overlap")))
     is_heavy = F.col("skill").isin(heavy)
     own_sets = p.where(is_heavy).groupBy("profile_id").agg(F.sort_array(F.collect_set("skill")).alias("own"))
     job_sets = j.where(is_heavy).groupBy("job_id").agg(F.sort_array(F.collect_set("skill")).alias("has"))
@@ -210,9 +217,7 @@ def location(remote: Column, mode: Column, city: Column, job_city: Column, count
     )
 
 
-def penalties(level: Column, years: Column, target: Column, need: Column, types: Column, gap: Column, mismatch: Column) -> Column:
-    """Array of ``(code, amount)`` of the penalties that apply."""
-    made = lambda code, amount: F.struct(F.lit(code).alias("code"), amount.cast("double").alias("amount"))
+def _penalty_rules(level: Column, years: Column, target: Column, need: Column, types: Column, gap: Column, mismatch: Column) -> list[tuple[Column, str, Column]]:
     rules = [
         ((level == "student") & target.isin("senior", "lead", "principal", "manager"), "student_senior_mismatch", F.lit(0.3)),
         (level.isin("student", "internship") & (need >= 5), "large_experience_requirement", F.lit(0.25)),
@@ -221,28 +226,44 @@ def penalties(level: Column, years: Column, target: Column, need: Column, types:
         (need.isNotNull() & years.isNull(), "unknown_candidate_experience", F.lit(0.08)),
         (years.isNotNull() & (gap > 0), "experience_gap", F.least(F.lit(0.25), 0.06 * gap)),
     ]
-    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), made(code, a)) for c, code, a in rules]), lambda p: p.isNotNull())
+    return [(F.coalesce(c, F.lit(False)), code, a.cast("double")) for c, code, a in rules]
+
+
+def penalties(level: Column, years: Column, target: Column, need: Column, types: Column, gap: Column, mismatch: Column) -> Column:
+    """Array of ``(code, amount)`` of the penalties that apply."""
+    made = lambda code, amount: F.struct(F.lit(code).alias("code"), amount.alias("amount"))
+    rules = _penalty_rules(level, years, target, need, types, gap, mismatch)
+    return F.filter(F.array(*[F.when(c, made(code, a)) for c, code, a in rules]), lambda p: p.isNotNull())
+
+
+def penalty_sum(level: Column, years: Column, target: Column, need: Column, types: Column, gap: Column, mismatch: Column) -> Column:
+    """The sum of the amounts of ``penalties``, in their order, without the array."""
+    rules = _penalty_rules(level, years, target, need, types, gap, mismatch)
+    return reduce(lambda total, rule: total + F.when(rule[0], rule[2]).otherwise(0.0), rules, F.lit(0.0))
+
+
+def _overlap(values: Column, known: list[str]) -> Column:
+    """``arrays_overlap`` with a short list, without a set for each row."""
+    return reduce(or_, [F.array_contains(values, v) for v in known])
+
+
+def business(profile_domains: Column, profile_skills: Column) -> Column:
+    """A business profile without technical skills."""
+    return F.arrays_overlap(profile_domains, _texts(BUSINESS_DOMAINS)) & ~F.arrays_overlap(profile_skills, _texts(GENERIC + SPECIALISED + TECHNICAL_DOMAINS))
 
 
 def business_mismatch(profile_domains: Column, profile_skills: Column, job_domains: Column) -> Column:
     """A business profile without technical skills against a technical job."""
-    return (
-        F.arrays_overlap(profile_domains, _texts(BUSINESS_DOMAINS))
-        & F.arrays_overlap(job_domains, _texts(TECHNICAL_DOMAINS))
-        & ~F.arrays_overlap(profile_skills, _texts(GENERIC + SPECIALISED + TECHNICAL_DOMAINS))
-    )
+    return business(profile_domains, profile_skills) & _overlap(job_domains, TECHNICAL_DOMAINS)
 
 
 def suppressed() -> Column:
     """Whether a scored row isn't to be shown: a technical job for a business profile without technical skills.
 
-    A job is technical by its domains (the mismatch penalty says so), its title or its skills.
+    A job is technical by its domains (as for the mismatch penalty), its title or its skills.
     """
-    known = _texts(GENERIC + SPECIALISED + TECHNICAL_DOMAINS)
-    business = F.arrays_overlap("p_domains", _texts(BUSINESS_DOMAINS)) & ~F.arrays_overlap("p_skills", known)
-    technical = alias_key(F.coalesce("j_title", F.lit(""))).rlike(TECHNICAL_TITLE) | F.arrays_overlap("j_skills", _texts(GENERIC + SPECIALISED))
-    mismatch = F.exists("penalties", lambda p: p["code"] == "business_profile_technical_role_mismatch")
-    return F.coalesce(mismatch, F.lit(False)) | F.coalesce(business & technical, F.lit(False))
+    technical = alias_key(F.coalesce("j_title", F.lit(""))).rlike(TECHNICAL_TITLE) | _overlap(F.col("j_skills"), GENERIC + SPECIALISED)
+    return F.coalesce(F.col("p_business") & (_overlap(F.col("j_domains"), TECHNICAL_DOMAINS) | technical), F.lit(False))
 
 
 def with_covered(profiles: DataFrame, index: DataFrame) -> DataFrame:
@@ -266,10 +287,14 @@ def of_contract(rows: DataFrame, wishes: DataFrame) -> DataFrame:
 
 
 def scored(candidates: DataFrame, profiles: DataFrame, jobs: DataFrame, mode: str = "lexical", alpha: float = ALPHA, generic: list[str] = GENERIC, specialised: list[str] = SPECIALISED) -> DataFrame:
-    """Candidates with all parts of their score; ``semantic_score`` may be absent or null."""
+    """Candidates with all parts of their score; ``semantic_score`` may be absent or null.
+
+    Jobs are joined first: rows then lie by profile, as ``ranked`` wants them, and aren't shuffled again.
+    """
     p = profiles.select(*[F.col(c).alias(f"p_{c}" if c != "profile_id" else c) for c in profiles.columns])
+    p = p.withColumn("p_business", business(F.col("p_domains"), F.col("p_skills")))
     j = jobs.select(*[F.col(c).alias(f"j_{c}" if c != "job_id" else c) for c in jobs.columns])
-    d = candidates.join(p, "profile_id").join(j, "job_id")
+    d = candidates.join(j, "job_id").join(p, "profile_id")
     if "semantic_score" not in d.columns:
         d = d.withColumn("semantic_score", F.lit(None).cast("double"))
     if "p_confidence" not in d.columns:
@@ -295,12 +320,9 @@ def scored(candidates: DataFrame, profiles: DataFrame, jobs: DataFrame, mode: st
         }
     )
     d = d.withColumn("skill_score", skill_score(F.col("coverage"), F.col("relevance"), F.col("richness"), F.col("specificity")))
-    mismatch = business_mismatch(F.col("p_domains"), F.col("p_skills"), F.col("j_domains"))
-    d = d.withColumn(
-        "penalties",
-        penalties(*[F.col(c) for c in ("p_career_level", "p_total_years", "j_career_level", "j_min_years", "j_job_types", "experience_gap")], mismatch),
-    )
-    d = d.withColumn("penalty_total", F.least(F.lit(MAX_PENALTY), F.aggregate("penalties", F.lit(0.0), lambda a, x: a + x["amount"])))
+    mismatch = F.col("p_business") & _overlap(F.col("j_domains"), TECHNICAL_DOMAINS)
+    ruled = [*[F.col(c) for c in ("p_career_level", "p_total_years", "j_career_level", "j_min_years", "j_job_types", "experience_gap")], mismatch]
+    d = d.withColumns({"penalties": penalties(*ruled), "penalty_total": F.least(F.lit(MAX_PENALTY), penalty_sum(*ruled))})
     w = WEIGHTS
     weighted = (
         w["skills"] * F.col("skill_score")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postwright.functions.session import tasks_for
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -113,8 +115,9 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with the columns that scoring reads."""
-    lists = job_skills(spark, sf_dir).groupBy("job_id").agg(F.sort_array(F.collect_set(F.col("skill_id").cast("string"))).alias("skills"))
+    """Orders with the columns that scoring reads; lines are dealt by job before their lists are made, not lists of single lines."""
+    lines = job_skills(spark, sf_dir).select("job_id", "skill_id")
+    lists = lines.repartition(tasks_for(lines), "job_id").groupBy("job_id").agg(F.sort_array(F.collect_set(F.col("skill_id").cast("string"))).alias("skills"))
     d = jobs(spark, sf_dir).join(lists, "job_id")
     p = F.substring("contract_type", 1, 1)
     pick = lambda *v: F.element_at(F.array(*v), p.cast("int"))

@@ -244,3 +244,34 @@ def test_near_duplicates_shuffle_texts_once(spark):
         assert shuffled(spark) - before < 1.25 * size
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_postings_of_rare_skills_are_shuffled_twice(spark):
+    """Once as counts and once as they are, and no more to make them distinct or to count jobs."""
+    p = spark.range(50).selectExpr("id AS profile_id", "id * 7 AS skill")
+    j = spark.range(60_000).selectExpr("xxhash64(id div 3) AS job_id", "id % 20000 AS skill").repartition(8)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        j.groupBy("job_id", "skill").count().collect()
+        once, before = shuffled(spark) - before, shuffled(spark)
+        assert matching.lexical_candidates(p, j, 10).count() == 150
+        assert shuffled(spark) - before < 2.7 * once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_scored_rows_are_ranked_where_they_lie(scene, spark):
+    """Candidates go to their job and then to their profile, where they are ranked without another shuffle."""
+    p, j, _ = scene
+    c = spark.createDataFrame([(1, 10, 2), (1, 12, 1)], "profile_id long, job_id long, overlap long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = matching.ranked(matching.scored(c, p, j), 10)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Final Plan")[0].count("hashpartitioning(profile_id") == 2
+        assert [r["job_id"] for r in d.orderBy("rank").collect()] == [10, 12]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
