@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from postwright.functions.session import cut_off
 
-#: Queries that are broadcast at once: 4 MB of 256 float32.
-QUERY_BLOCK = 4096
-#: Vectors of one matrix product: 16 MB of scores for a block of queries.
-SLICE = 512
+#: Queries that are sent out at once: 32 MB of 256 float64.
+QUERY_BLOCK = 16384
+#: Queries and vectors of one matrix product: 16 MB of scores.
+ASKED, SLICE = 256, 8192
 #: Vectors that the centres of the approximate search are fitted on, and the most centres: 2 MB of 256 float64.
 FIT_ROWS = 50_000
 MAX_CELLS = 1024
@@ -117,12 +117,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     """Exact neighbours ``(query_id, vec_id, score, rank)`` by cosine; ties go to the smaller id.
 
     Queries go out in blocks of about QUERY_BLOCK as one matrix, and a block's answers
-    are written before the next goes out: the driver holds one block. A task takes its
-    vectors in slices, one matrix product each, and keeps ``k`` a query; a window merges
-    those. All vectors meet all queries, as an exact search must; nothing but the best leaves a
+    are written before the next goes out: the driver holds one block. Vectors are dealt to all
+    tasks, however few files they come in. A task takes them in slices, one matrix product for
+    ASKED queries each, and sorts those scores only that may be among the ``k`` best so far; a window merges
+    the tasks' best. All vectors meet all queries, as an exact search must; nothing but the best leaves a
     task. Score is 1 - distance within 0 and 1. Zero vectors and queries match nothing.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    vectors = vectors.select(vector_id, column).repartition(tasks)
+    if blocks > 1:
+        queries, vectors = cut_off(queries.select(query_id, column)), cut_off(vectors)
     out: DataFrame | None = None
     for b in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
@@ -141,23 +146,44 @@ def _block(rows: list, vectors: DataFrame, k: int, query_id: str, vector_id: str
     keys = np.array([r[0] for r in rows], dtype=np.int64)
     q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else q
+    asked, slice_ = ASKED, SLICE
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept_s, kept_id = np.empty((len(keys), 0)), np.empty((len(keys), 0), dtype=np.int64)
+        none = np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        kept = {at: none for at in range(0, len(keys), asked)}  # scores, ids and numbers of their queries, in order of these, best first
         for pdf in parts:
             pdf = pdf[[x is not None and len(x) == q.shape[1] for x in pdf[column]]] if len(keys) else pdf.iloc[:0]
-            for at in range(0, len(pdf), SLICE):
-                cut = pdf.iloc[at : at + SLICE]
+            for start in range(0, len(pdf), slice_):
+                cut = pdf.iloc[start : start + slice_]
                 v = np.stack(cut[column].to_numpy()).astype(np.float64)
                 n = np.linalg.norm(v, axis=1)
                 v, own = v[n > 0] / n[n > 0, None], cut[vector_id].to_numpy()[n > 0]
-                s = np.concatenate([kept_s, np.round(q @ v.T, 12)], axis=1)
-                ids = np.concatenate([kept_id, np.broadcast_to(own, (len(keys), len(own)))], axis=1)
-                top = np.lexsort((ids, -s), axis=1)[:, :k]
-                kept_s, kept_id = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
-        yield pd.DataFrame({query_id: np.repeat(keys, kept_s.shape[1]), vector_id: kept_id.ravel(), "similarity": kept_s.ravel()})
+                for at in kept:
+                    kept[at] = _merged(kept[at], q[at : at + asked] @ v.T, own, k)
+        for at, (scores, ids, numbers) in kept.items():
+            yield pd.DataFrame({query_id: keys[at + numbers], vector_id: ids, "similarity": scores})
 
-    return vectors.select(vector_id, column).mapInPandas(run, f"{query_id} bigint, {vector_id} bigint, similarity double")
+    return vectors.mapInPandas(run, f"{query_id} bigint, {vector_id} bigint, similarity double")
+
+
+def _merged(kept: tuple[np.ndarray, np.ndarray, np.ndarray], scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best ``(scores, ids, numbers)`` of each query among those kept and a matrix of new scores.
+
+    Scores count to 12 digits. What lies below a query's k-th best, kept or new, is never sorted.
+    """
+    s, ids, numbers = kept
+    bound = np.full(len(scores), -np.inf)
+    held = np.bincount(numbers, minlength=len(scores))
+    full = held >= k
+    bound[full] = s[np.cumsum(held)[full] - 1]
+    if not full.all() and scores.shape[1] >= k:
+        bound[~full] = -np.partition(-scores[~full], k - 1, axis=1)[:, k - 1]
+    row, at = np.nonzero(~(scores < (bound - 1e-12)[:, None]))  # what isn't a number stays, and sorts last
+    s, ids, numbers = np.concatenate([s, np.round(scores[row, at], 12)]), np.concatenate([ids, own[at]]), np.concatenate([numbers, row])
+    order = np.lexsort((ids, -s, numbers))
+    s, ids, numbers = s[order], ids[order], numbers[order]
+    best = np.arange(len(numbers)) - np.searchsorted(numbers, numbers) < k
+    return s[best], ids[best], numbers[best]
 
 
 def approximate_nearest(

@@ -275,3 +275,25 @@ def test_scored_rows_are_ranked_where_they_lie(scene, spark):
         assert [r["job_id"] for r in d.orderBy("rank").collect()] == [10, 12]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_exact_search_is_spread_and_meets_all_vectors(spark, monkeypatch):
+    """One file of vectors goes to all tasks; in small products, with copies, blank and odd vectors, the best are those of a full sort."""
+    monkeypatch.setattr(V, "ASKED", 3, raising=False)
+    monkeypatch.setattr(V, "SLICE", 7)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 5)
+    g = np.random.default_rng(9)
+    v = g.normal(size=(200, 8))
+    v[50:90] = v[10]
+    v[120] = 0
+    odd = [(900, None), (901, [1.0]), (902, [math.nan] * 8)]
+    d = spark.createDataFrame([(k, [float(x) for x in v[k]]) for k in range(200)] + odd, "vec_id long, embedding array<double>").coalesce(1)
+    q = d.where("vec_id % 20 = 10").withColumnRenamed("vec_id", "query_id")
+    n = np.linalg.norm(v, axis=1)
+    ids = np.flatnonzero(n > 0)
+    u = v[ids] / n[ids, None]
+    want = [(k, int(ids[x]), r) for k in range(10, 200, 20) for r, x in enumerate(np.argsort(-np.round(u @ (v[k] / n[k]), 12), kind="stable")[:30], 1)]
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in V.nearest(q, d, 30).collect()) == sorted(want)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 100)
+    plan = V.nearest(q, d, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan.split("MapInPandas")[1]
