@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postwright.functions.session import cut_off
 from postwright.functions.text import alias_key
 from postwright.operators.guards import CAREER_WORDS, INJECTION, MIN_CONFIDENCE, canonical_mode, token_cost
 from postwright.operators.questions import BROADCAST_ALIASES
@@ -183,11 +184,12 @@ def order_statistics(values: DataFrame, column: str, by: list[str], ranks: dict[
     ``ranks`` gives each rank as an expression of ``total``, the size of the group. Values are counted
     first. Each group's distinct values are parted into ``PIECES`` by approximate quantiles; how many rows
     lie before a piece follows from counts alone, and only the pieces with a wanted rank are ordered, each by
-    itself: no task orders a group. The result is exact, whatever the quantiles.
+    itself: no task orders a group. The result is exact, whatever the quantiles, as long as the counts before a piece
+    and the piece itself go by the same ones: they depend on the order in which tasks' sketches meet, so they are kept.
     """
     keys = [F.struct(F.lit(1).alias("one"), *by).alias("g")]
-    hist = values.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("v")).groupBy("g", "v").agg(F.count("*").alias("n"))
-    cuts = hist.groupBy("g").agg(F.percentile_approx("v", [k / PIECES for k in range(1, PIECES)], 1000).alias("cuts"), F.sum("n").alias("total"))
+    hist = cut_off(values.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("v")).groupBy("g", "v").agg(F.count("*").alias("n")))
+    cuts = cut_off(hist.groupBy("g").agg(F.percentile_approx("v", [k / PIECES for k in range(1, PIECES)], 1000).alias("cuts"), F.sum("n").alias("total")))
     parted = hist.join(cuts.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")))
     parted = parted.select("g", "v", "n", "total", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("piece"))
     pieces = parted.groupBy("g", "piece").agg(F.sum("n").alias("n"), F.first("total").alias("total"))

@@ -61,6 +61,15 @@ def test_order_statistics(spark, n):
     assert got == want
 
 
+def test_order_statistics_whatever_the_quantiles(spark, monkeypatch):
+    # sketches of many values depend on the order in which they meet: here each reckoning gives other quantiles
+    other = F.udf(lambda values: sorted(random.SystemRandom().sample(values, 5)), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda v, shares, accuracy: other(F.collect_set(v)))
+    d = spark.range(3000).selectExpr("id % 3 AS g", "double(id) AS v")
+    got = evaluation.order_statistics(d, "v", ["g"], {"p50": evaluation.nearest(0.5), "p95": evaluation.nearest(0.95)})
+    assert {(r["g"], r["name"]): r["value"] for r in got.collect()} == {(g, name): 3.0 * k + g for g in range(3) for name, k in (("p50", 500), ("p95", 949))}
+
+
 def test_sample_of_an_empty_table(spark):
     none = spark.createDataFrame([], "job_id long, source string, country string, title string, n_chars int")
     assert evaluation.sample(none, 10).count() == 0
