@@ -1,4 +1,7 @@
 import math
+import re
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -246,6 +249,32 @@ def test_near_duplicates_shuffle_texts_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
+def test_near_duplicates_lose_no_link(spark, sf_dir, monkeypatch):
+    """Pairs within a family that shares a passage with them, but too little to link with them, and the given texts, against all pairs."""
+    monkeypatch.setattr(curation, "BLOCK", 7, raising=False)
+    run = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    family = [(1_000_000 + k, f"{run('Core', 104)} {run(f'pair{k // 2}', 10)}\n{run(f'own{k}', 12)}") for k in range(80)]
+    given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows = [*family, *given, (2_000_000, None), (2_000_001, " "), (2_000_002, "one two"), (2_000_003, "One  two"), (2_000_004, "one")]
+    sets = {}
+    for k, text in rows:
+        w = re.findall(r"[^\x20\t-\r]+", (text or "").lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    up = {k: k for k in sets}
+
+    def root(k):
+        return k if up[k] == k else root(up[k])
+
+    for a, b in combinations(sorted(k for k in sets if sets[k]), 2):
+        if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+    groups = Counter(root(k) for k in sets)
+    got = curation.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect())) == sorted((k, root(k)) for k in sets if groups[root(k)] > 1)
+    assert groups[1_000_000] == 2 and groups[2_000_002] == 2
+
+
 def test_postings_of_rare_skills_are_shuffled_twice(spark):
     """Once as counts and once as they are, and no more to make them distinct or to count jobs."""
     p = spark.range(50).selectExpr("id AS profile_id", "id * 7 AS skill")
