@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ class _Folds(dict):
 
 
 FOLDS = _Folds()
+#: So many letters are replaced one after the other, which is faster than to look up each character.
+FEW_LETTERS = 64
 
 
 def _single_letters() -> tuple[str, str]:
@@ -56,6 +59,10 @@ def once(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
+def _ascii(x: Column) -> Column:
+    return F.octet_length(x) == F.char_length(x)
+
+
 def fold(x: Column) -> Column:
     """Lower case without accents, a letter for a letter, so that offsets stay."""
     return F.translate(F.lower(x), ACCENTED, PLAIN)
@@ -68,7 +75,7 @@ def full_fold(x: Column) -> Column:
         out = some
         for c, letters in EXPANDED.items():
             out = F.replace(out, F.lit(c), F.lit(letters))
-        return F.when(some.rlike("[" + "".join(EXPANDED) + "]"), out).otherwise(some)
+        return F.when(~_ascii(some) & some.rlike("[" + "".join(EXPANDED) + "]"), out).otherwise(some)
 
     return once(fold(x), expanded)
 
@@ -77,15 +84,23 @@ def folded_with_origin(text: str) -> tuple[str, list[int] | None]:
     """The folded text and where each of its characters comes from; None where that is the same place."""
     if text.isascii():
         return text.lower(), None
-    folded = text.translate(FOLDS)
-    if all(len(FOLDS[ord(c)]) == 1 for c in set(text)):
+    letters = {c for c in set(text) if not c.isascii()}
+    if len(letters) <= FEW_LETTERS and all(x.isascii() or FOLDS[ord(x)] == x for c in letters for x in FOLDS[ord(c)]):
+        folded = text.encode().lower().decode()  # A-Z alone
+        for c in letters:
+            folded = folded.replace(c, FOLDS[ord(c)])
+    else:
+        folded = text.translate(FOLDS)
+    if all(len(FOLDS[ord(c)]) == 1 for c in letters):
         return folded, None
     return folded, [k for k, c in enumerate(text) for _ in FOLDS[ord(c)]]
 
 
 def alias_key(x: Column) -> Column:
     """The form in which aliases are compared: trimmed, folded, blanks collapsed."""
-    return F.trim(F.regexp_replace(full_fold(x), r"(?U)\s+", " "))
+    more = lambda some: ~_ascii(some) | reduce(lambda a, b: a | b, [some.contains(blanks) for blanks in ("  ", "\t", "\r", "\x0B", "\f")])
+    collapsed = lambda some: F.when(more(some), F.regexp_replace(some, r"(?U)\s+", " ")).otherwise(some)
+    return F.trim(once(F.replace(full_fold(x), F.lit("\n"), F.lit(" ")), collapsed))
 
 
 def _squeezed(x: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import partial
+import re
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,9 +84,42 @@ MONTHS = r"(?i)(\d+)\s*(?:months?|mois)"
 EMPTY = "cast(array() as array<string>)"
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern of words and simple groups; what isn't plain letters is a NUL."""
+    plain = re.sub(r"\((?:\?:)?[^()]*\)\?|\[[^\]]*\]\??|\\?.\?(?!:)|\\.\+?", "\0", pattern.replace("(?:", "("))
+    return re.split(r"\|(?![^(]*\))", plain)
+
+
+def signs(pattern: str) -> list[str]:
+    """Plain strings of which each match of a pattern has one: the longest outside an alternative's groups, else those within."""
+    out = set()
+    for a in _alternatives(pattern):
+        outside = re.sub(r"\([^)]*\)", "\0", a).strip("\0")
+        out |= {max(part.split("\0"), key=len) for part in ([outside] if outside else re.split(r"[()|]", a)) if part.strip("\0")}
+    return sorted(s for s in out if not any(t != s and t in s for t in out))
+
+
+def soon(pattern: str) -> str:
+    """The same pattern, which looks at the first letter before it looks for the edge of a word."""
+    heads = [a.lstrip("\0") for a in _alternatives(pattern)]
+    words = [w for h in heads for w in (h[1 : h.index(")")].split("|") if h.startswith("(") else [h])]
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}])(?:{pattern})" if all(w[:1].isalpha() for w in words) else pattern
+
+
+def has(text: Column, pattern: str, flags: str = "(?U)") -> Column:
+    """Whether the (folded) text has a match: one of its signs, which are soon looked for, and then the pattern."""
+    some = reduce(lambda a, b: a | b, [text.contains(s) for s in signs(pattern)])
+    return some if re.fullmatch(r"[a-z0-9 /-]+(\|[a-z0-9 /-]+)*", pattern) else some & text.rlike(flags + soon(pattern))
+
+
+def count_of(text: Column, pattern: str) -> Column:
+    """How many matches the (folded) text has."""
+    return F.when(has(text, pattern), F.regexp_count(text, F.lit(f"(?U){soon(pattern)}"))).otherwise(F.when(text.isNotNull(), 0))
+
+
 def first_of(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """The value of the first pattern that the (folded) text has."""
-    return F.coalesce(*[F.when(text.rlike(f"(?U){p}"), F.lit(v)) for v, p in patterns])
+    return F.coalesce(*[F.when(has(text, p), F.lit(v)) for v, p in patterns])
 
 
 def _folded(*texts: Column) -> Column:
@@ -157,10 +191,15 @@ def remote_mode(text: Column, is_remote: Column, types: Column) -> Column:
 
 def domains(text: Column, skills: Column) -> Column:
     """Sorted domains of the skills and of the folded text."""
+    from_text = F.filter(F.array(*[F.when(has(text, p), F.lit(d)) for d, p in DOMAIN_TEXTS]), lambda d: d.isNotNull())
+    return with_domains_of(from_text, skills)
+
+
+def with_domains_of(known: Column, skills: Column) -> Column:
+    """Sorted domains: those known and those of the skills."""
     of = F.create_map(*[F.lit(x) for kv in DOMAIN_OF_SKILL.items() for x in kv])
     from_skills = F.filter(F.transform(F.coalesce(skills, F.expr(EMPTY)), lambda s: F.element_at(of, s)), lambda d: d.isNotNull())
-    from_text = F.filter(F.array(*[F.when(text.rlike(f"(?U){p}"), F.lit(d)) for d, p in DOMAIN_TEXTS]), lambda d: d.isNotNull())
-    return F.sort_array(F.array_distinct(F.concat(from_skills, from_text)))
+    return F.sort_array(F.array_distinct(F.concat(from_skills, known)))
 
 
 def job_attributes(title: Column, description: Column, contract: Column, is_remote: Column, country: Column, city: Column, skills: Column) -> Column:
@@ -200,32 +239,36 @@ def candidate_months(text: Column) -> Column:
 def candidate_attributes(text: Column, skills: Column) -> Column:
     """Struct of what the text says of a candidate; it is folded once."""
     body = F.coalesce(text, F.lit(""))
-    found = lambda n: F.struct(n.alias("n"), first_of(n, ROLES).alias("role"), first_of(n, EDUCATION).alias("education"), candidate_months(body).alias("months"))
-    return once(once(alias_key(body), found), lambda x: _candidate(x, skills))
+    return once(alias_key(body), lambda n: folded_candidate(n, body, skills))
+
+
+def folded_candidate(n: Column, text: Column, skills: Column) -> Column:
+    """``candidate_attributes`` of a text whose key is ``n``."""
+    found = F.struct(n.alias("n"), first_of(n, ROLES).alias("role"), first_of(n, EDUCATION).alias("education"), candidate_months(text).alias("months"))
+    return once(found, lambda x: _candidate(x, skills))
 
 
 def _candidate(x: Column, skills: Column) -> Column:
     n, role, education, months = (x[c] for c in ("n", "role", "education", "months"))
     years = F.round(months / 12, 2)
-    has = lambda p: n.rlike(f"(?U){p}")
     level = (
-        F.when(has(r"\b(student|etudiant|eleve ingenieur)\b"), "student")
-        .when(F.coalesce(role == "Intern", F.lit(False)) | has(r"\b(intern|stagiaire)\b"), "internship")
-        .when(has(r"\bjunior\b"), "junior")
-        .when(has(r"\bsenior\b"), "senior")
+        F.when(has(n, r"\b(student|etudiant|eleve ingenieur)\b"), "student")
+        .when(F.coalesce(role == "Intern", F.lit(False)) | has(n, r"\b(intern|stagiaire)\b"), "internship")
+        .when(has(n, r"\bjunior\b"), "junior")
+        .when(has(n, r"\bsenior\b"), "senior")
         .when(education == "Student", "student")
         .when(years.isNull(), "unknown")
         .when(years < 1, "junior")
         .when(years < 4, "mid")
         .otherwise("senior")
     )
-    remote = F.when(has(r"\b(remote|teletravail)\b"), True).when(has(r"\b(on[- ]?site|presentiel)\b"), False)
+    remote = F.when(has(n, r"\b(remote|teletravail)\b"), True).when(has(n, r"\b(on[- ]?site|presentiel)\b"), False)
     return F.struct(
         role.alias("current_role"),
         level.alias("career_level"),
         education.alias("education_status"),
-        F.regexp_count(n, F.lit(r"(?U)\b(stage|stagiaire|internship|intern)\b")).alias("internship_count"),
-        F.regexp_count(n, F.lit(r"(?U)\b(professional experience|work experience|experience professionnelle)\b")).alias("professional_count"),
+        count_of(n, r"\b(stage|stagiaire|internship|intern)\b").alias("internship_count"),
+        count_of(n, r"\b(professional experience|work experience|experience professionnelle)\b").alias("professional_count"),
         months.alias("total_months"),
         years.alias("total_years"),
         domains(n, skills).alias("preferred_domains"),

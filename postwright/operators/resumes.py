@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-from postwright.functions.text import alias_key, fold
+from postwright.functions.session import cut_off
+from postwright.functions.text import alias_key, fold, once
+from postwright.operators.attributes import folded_candidate, has, with_domains_of
 
 # Headings of sections in folded form.
 SECTIONS = {
@@ -16,6 +18,8 @@ SECTIONS = {
     "certifications": "certifications", "languages": "languages", "langues": "languages", "activities": "activities",
     "vie associative": "activities", "interests": "interests", "centres d'interet": "interests",
 }
+#: What lines with a heading are: two words at most, and a colon.
+FEW_WORDS = r"^\s*+(?:\S++\s*+){0,3}+$"
 # Month names in folded form, English and French.
 MONTHS = {
     "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10,
@@ -27,8 +31,11 @@ PRESENT = "present|current|actuelle|actuel|aujourd'hui|a ce jour|en cours"
 _DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}[/-]\d{4}|(?:" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\s+\d{4}"
 #: Of folded text: the start and the end of a date range.
 DATE_RANGE = rf"({_DATE})\s*(?:[-/–—]|to|a)\s*({PRESENT}|{_DATE})"
-#: What every date range has, and is soon looked for: a digit before the sign between the dates.
-RANGE_SIGN = r"\d\s*(?:[-/–—]|to|a)"
+#: What every date range has, and is soon looked for: the end of a date, the sign between the dates, a word or a number.
+RANGE_SIGN = r"(?:\d[/-]\d{2,4}|[a-z]\s+\d{4})\s*(?:[-/–—]|to|a)\s*[a-z\d]"
+
+#: Characters of the longest date range and more, where blanks are collapsed.
+LONGEST_RANGE = 50
 
 EDUCATION_LEVELS = [
     ("bachelor/licence", r"\b(bachelor|licence)\b"),
@@ -116,14 +123,17 @@ def clean_text(text: Column) -> Column:
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, heading, label, start, end)``: from behind a heading line to the next one or the end."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("size"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    placed = lines.withColumn("from", F.sum(F.char_length("line") + 1).over(order) - F.char_length("line") - 1)
-    key = F.regexp_replace(F.trim(F.regexp_replace(fold(F.replace(F.col("line"), F.lit("’"), F.lit("'"))), r"\s*:?\s*$", "")), r"\s+", " ")
+    key = lambda line: F.regexp_replace(F.trim(F.regexp_replace(fold(F.replace(line, F.lit("’"), F.lit("'"))), r"\s*:?\s*$", "")), r"\s+", " ")
     table = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
-    heads = placed.withColumn("label", F.element_at(table, key)).where("label is not null")
+    # only lines of a few words are folded, and only headings leave their document
+    label = lambda line: F.when(line.rlike(FEW_WORDS), F.element_at(table, key(line)))
+    cut = F.transform(F.split(text, "\n", -1), lambda line: once(label(line), lambda known: F.struct(F.char_length(line).alias("length"), known.alias("label"), F.when(known.isNotNull(), F.trim(line)).alias("heading"))))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("size"), F.posexplode(cut).alias("pos", "line")).select("doc_id", "size", "pos", "line.*")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    placed = lines.withColumn("from", F.sum(F.col("length") + 1).over(order) - F.col("length") - 1)
+    heads = placed.where("label is not null")
     return heads.select(
-        "doc_id", F.trim("line").alias("heading"), "label", (F.col("from") + F.char_length("line")).cast("long").alias("start"),
+        "doc_id", "heading", "label", (F.col("from") + F.col("length")).cast("long").alias("start"),
         F.coalesce(F.lead("from").over(order), F.col("size")).cast("long").alias("end"),
     )
 
@@ -157,9 +167,14 @@ def experience_entries(docs: DataFrame, as_of: Column, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).select("doc_id", "lines", F.transform("lines", alias_key).alias("keys"))
     # lines are folded once and meet in their row
     folded = lambda k: F.array_join(F.filter(F.slice("keys", k + 1, 3), lambda x: x != ""), " ")
-    near = F.transform("lines", lambda _, k: F.struct(F.array_join(F.slice("lines", k + 1, 3), " ").alias("context"), folded(k).alias("folded")))
-    rows = rows.select("doc_id", F.posexplode(near).alias("pos", "w")).select("doc_id", "pos", "w.*")
-    rows = rows.where(F.col("folded").rlike(RANGE_SIGN) & F.col("folded").rlike(DATE_RANGE))
+    dated = lambda x: x.rlike(RANGE_SIGN) & x.rlike(DATE_RANGE)
+    # a long line is searched once, and then its ends in each of its windows; as blanks are collapsed, no range is longer than an end
+    ends = lambda x: F.when(F.char_length(x) > 4 * LONGEST_RANGE, F.struct(F.concat(F.left(x, F.lit(LONGEST_RANGE)), F.lit("\0"), F.right(x, F.lit(LONGEST_RANGE))).alias("ends"), dated(x).alias("dated"))).otherwise(F.struct(x.alias("ends"), F.lit(False).alias("dated")))
+    rows = rows.withColumn("short", F.transform("keys", ends))
+    meets = lambda near: F.exists(near, lambda x: x["dated"]) | dated(F.array_join(F.filter(F.transform(near, lambda x: x["ends"]), lambda x: x != ""), " "))
+    windows = F.filter(F.transform("short", lambda _, k: F.struct(k.alias("pos"), meets(F.slice("short", k + 1, 3)).alias("dated"))), lambda w: w["dated"])
+    rows = rows.select("doc_id", "lines", "keys", F.explode(F.transform(windows, lambda w: w["pos"])).alias("pos"))
+    rows = rows.select("doc_id", "pos", folded(F.col("pos")).alias("folded"), F.array_join(F.slice("lines", F.col("pos") + 1, 3), " ").alias("context"))
     has = lambda p: F.col("folded").rlike(p)
     kind = F.when(has("internship|stage|stagiaire"), "internship").when(has("alternance"), "apprenticeship").when(has("volunteer|benevole|associative"), "volunteer").otherwise("job")
     start, end = (F.regexp_extract("folded", DATE_RANGE, k) for k in (1, 2))
@@ -170,19 +185,27 @@ def experience_entries(docs: DataFrame, as_of: Column, id_col: str = "doc_id", t
 
 def education(text: Column) -> Column:
     """Struct of level, field, status, graduation year and confidence; all null without a trace of education."""
-    n = alias_key(text)
-    pick = lambda table: F.coalesce(*[F.when(n.rlike(p), v) for v, p in table])
-    level, field = pick(EDUCATION_LEVELS), pick(EDUCATION_FIELDS)
-    enrolled = n.rlike(ENROLLED)
-    graduated = n.rlike("graduated|diplome") | (level.isNotNull() & ~enrolled)
-    status = F.when(enrolled, "currently_enrolled").when(graduated, "graduated")
-    known = level.isNotNull() | field.isNotNull()
-    points = lambda c, v: F.when(c.isNotNull(), v).otherwise(0.0)
-    confidence = F.least(F.lit(1.0), F.lit(0.35) + points(level, 0.25) + points(field, 0.2) + points(status, 0.1))
-    return F.struct(
-        level.alias("level"), field.alias("field"), F.when(known, status).alias("status"),
-        F.when(known, F.nullif(F.regexp_extract(text, r"\b(202[3-9]|203\d)\b", 1), F.lit("")).cast("int")).alias("graduation_year"), F.when(known, F.round(confidence, 2)).alias("confidence"),
-    )
+    return once(alias_key(text), lambda n: folded_education(n, text))
+
+
+def folded_education(n: Column, text: Column) -> Column:
+    """``education`` of a text whose key is ``n``; each part is found once."""
+    pick = lambda table: F.coalesce(*[F.when(has(n, p, ""), v) for v, p in table])
+    found = F.struct(pick(EDUCATION_LEVELS).alias("level"), pick(EDUCATION_FIELDS).alias("field"), has(n, ENROLLED, "").alias("enrolled"), has(n, "graduated|diplome", "").alias("done"))
+    year = F.when(text.contains("202") | text.contains("203"), F.nullif(F.regexp_extract(text, r"\b(202[3-9]|203\d)\b", 1), F.lit("")).cast("int"))
+
+    def whole(x: Column) -> Column:
+        level, field = x["level"], x["field"]
+        status = F.when(x["enrolled"], "currently_enrolled").when(x["done"] | (level.isNotNull() & ~x["enrolled"]), "graduated")
+        known = level.isNotNull() | field.isNotNull()
+        points = lambda c, v: F.when(c.isNotNull(), v).otherwise(0.0)
+        confidence = F.least(F.lit(1.0), F.lit(0.35) + points(level, 0.25) + points(field, 0.2) + points(status, 0.1))
+        return F.struct(
+            level.alias("level"), field.alias("field"), F.when(known, status).alias("status"),
+            F.when(known, year).alias("graduation_year"), F.when(known, F.round(confidence, 2)).alias("confidence"),
+        )
+
+    return once(found, whole)
 
 
 def term_families(docs: DataFrame, families: dict[str, list[str]], id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,6 +333,8 @@ LETTER_CONTEXT = [
 TECHNICAL_SKILLS = ["Python", "Data Science", "Machine Learning", "Artificial Intelligence"]
 TECHNICAL_DOMAINS = ["AI", "Data Science", "Machine Learning", "Software Engineering"]
 LETTERS = ["R", "C"]
+#: Matches of letters that are broadcast; more are joined by shuffle.
+BROADCAST_LETTERS = 200_000
 
 
 def profile_skills(docs: DataFrame, found: DataFrame, placed: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,15 +344,20 @@ def profile_skills(docs: DataFrame, found: DataFrame, placed: DataFrame, id_col:
     """
     s = placed.select(F.col("doc_id").alias("__d"), "label", F.col("start").alias("__from"), F.col("end").alias("__to"))
     inside = (F.col("doc_id") == F.col("__d")) & (F.col("start") >= F.col("__from")) & (F.col("start") < F.col("__to"))
-    d = found.join(s, inside, "left").drop("__d", "__from", "__to").join(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text")), "doc_id")
+    d = found.join(s, inside, "left").drop("__d", "__from", "__to")
     left = F.greatest(F.col("start") - 60, F.lit(0))
     window = F.lower(F.substring("__text", (left + 1).cast("int"), (F.col("end") + 60 - left).cast("int")))
     allowed = F.lit(False)
     for p in LETTER_CONTEXT:
         allowed = allowed | window.contains(p)
     skill = F.coalesce(F.col("label") == "skills", F.lit(False))
-    d = d.where(~F.col("canonical").isin(LETTERS) | skill | allowed)
-    return d.withColumn("confidence", F.when(skill, 1.0).when(F.col("label").isNotNull(), 0.82).otherwise(0.7)).drop("__text")
+    # texts are looked into for letters outside a skills section alone, and where these are few they don't leave their place
+    d = cut_off(d)
+    doubtful = F.col("canonical").isin(LETTERS) & ~skill
+    letters = d.where(doubtful)
+    letters = F.broadcast(letters) if letters.count() <= BROADCAST_LETTERS else letters
+    letters = letters.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("__text")), "doc_id").where(allowed).drop("__text")
+    return d.where(~doubtful).unionByName(letters).withColumn("confidence", F.when(skill, 1.0).when(F.col("label").isNotNull(), 0.82).otherwise(0.7))
 
 
 def deterministic_profiles(docs: DataFrame, found: DataFrame, as_of: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,8 +366,6 @@ def deterministic_profiles(docs: DataFrame, found: DataFrame, as_of: Column, id_
     Sections, matches, entries and attributes are computed once each and joined by document;
     grounded entries override what the text states, and technical domains need a technical skill.
     """
-    from postwright.operators.attributes import candidate_attributes
-
     placed = sections(docs, id_col, text)
     skills = profile_skills(docs, found, placed, id_col, text).groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct("start", "canonical", "confidence"))).alias("skills")
@@ -346,12 +374,16 @@ def deterministic_profiles(docs: DataFrame, found: DataFrame, as_of: Column, id_
         F.sum("months").alias("entry_months"), F.count_if(F.col("entry_type") == "internship").alias("n_intern"), F.count_if(F.col("entry_type") == "job").alias("n_job"), F.count("*").alias("n_entries")
     )
     n_sections = placed.groupBy("doc_id").agg(F.count_distinct("label").alias("n_sections"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    none = F.expr("cast(array() as array<string>)")
+    said = once(alias_key(body), lambda n: F.struct(folded_education(n, body).alias("e"), folded_candidate(n, body, none).alias("c")))
+    # what the text says is all that is shuffled of it
+    d = docs.select(F.col(id_col).alias("doc_id"), said.alias("said")).select("doc_id", "said.*")
     d = d.join(skills, "doc_id", "left").join(entries, "doc_id", "left").join(n_sections, "doc_id", "left")
     names = F.coalesce(F.transform("skills", lambda s: s["canonical"]), F.expr("cast(array() as array<string>)"))
-    d = d.withColumn("names", names).withColumn("e", education(F.coalesce("text", F.lit("")))).withColumn("c", candidate_attributes(F.col("text"), F.col("names")))
+    d = d.withColumn("names", names).withColumn("preferred", with_domains_of(F.col("c.preferred_domains"), F.col("names")))
     technical = F.arrays_overlap("names", F.array(*[F.lit(s) for s in TECHNICAL_SKILLS]))
-    domains = F.when(technical, F.col("c.preferred_domains")).otherwise(F.array_except(F.col("c.preferred_domains"), F.array(*[F.lit(x) for x in TECHNICAL_DOMAINS])))
+    domains = F.when(technical, F.col("preferred")).otherwise(F.array_except(F.col("preferred"), F.array(*[F.lit(x) for x in TECHNICAL_DOMAINS])))
     graduated, has_entries = F.coalesce(F.col("e.status") == "graduated", F.lit(False)), F.coalesce(F.col("n_entries") > 0, F.lit(False))
     level = F.when((graduated & has_entries) | ((F.col("c.career_level") == "unknown") & F.col("e.level").isNotNull()), "junior").otherwise(F.col("c.career_level"))
     months = F.coalesce("entry_months", "c.total_months")

@@ -11,7 +11,7 @@ thousand rows (the ontology) and goes to the tasks behind a check of its size.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -30,6 +30,8 @@ TOKENS = r"(?U)\w+|\s+|[^\w\s]"
 TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 #: Ontologies of more aliases are joined by shuffle.
 BROADCAST_ALIASES = 200_000
+#: So many first tokens are looked for one by one; beyond, texts are cut into tokens.
+FEW_FIRST = 16
 #: Hits that a worker holds before it hands them on.
 HITS = 2_000
 
@@ -96,6 +98,18 @@ def walk(text: str, runs: dict[str, dict[int, dict[str, str] | None]] | None, le
     Offsets and evidence are of the text, the context is folded.
     """
     folded, origin = folded_with_origin(text)
+    if runs is not None and len(runs) <= FEW_FIRST:
+        for a, first in _firsts(folded, runs):
+            own = []
+            for n, keys in sorted(runs[first].items()):
+                while len(own) < n and (m := TOKEN.match(folded, own[-1].end() if own else a)):
+                    own.append(m)
+                key = keys.get("".join([" " if m.group().isspace() else m.group() for m in own[:n]])) if len(own) >= n else None
+                if key is not None:
+                    b = own[n - 1].end()
+                    start, end = (a, b) if origin is None else (origin[a], origin[b - 1] + 1)
+                    yield key, n, start, end, text[start:end], folded[max(0, a - CONTEXT) : a], folded[b : b + CONTEXT]
+        return
     tokens = TOKEN.findall(folded)
     begins = range(len(tokens)) if runs is None else [k for k, t in enumerate(tokens) if t in runs]
     if not begins:
@@ -114,6 +128,18 @@ def walk(text: str, runs: dict[str, dict[int, dict[str, str] | None]] | None, le
                 yield key, n, start, end, text[start:end], folded[max(0, a - CONTEXT) : a], folded[b : b + CONTEXT]
 
 
+def _firsts(folded: str, firsts: Iterable[str]) -> Iterator[tuple[int, str]]:
+    """Where the text has a token that is one of a few, one token after the other; nothing else is cut out."""
+    word = lambda c: c.isalnum() or c == "_"
+    for t in firsts:
+        a = folded.find(t)
+        while a >= 0:
+            b = a + len(t)
+            if not word(t[0]) or not (a and word(folded[a - 1]) or b < len(folded) and word(folded[b])):
+                yield a, t
+            a = folded.find(t, a + 1)
+
+
 def hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """All alias hits ``(doc_id, *keep, row, canonical, alias, alias_ord, start, end, evidence)`` that guards and policies pass.
 
